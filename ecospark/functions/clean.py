@@ -129,7 +129,7 @@ def split_name(col: ColumnOrName) -> tuple[Column, Column]:
     last = F.element_at(F.split(s, " "), -1)
     hit = s.contains(" ") & last.contains("(") & last.contains(")")
     name = F.when(hit, F.substring(s, F.lit(1), F.length(s) - F.length(last) - 1)).otherwise(s)
-    candidate = F.when(hit, F.trim(last, "()"))
+    candidate = F.when(hit, F.trim(last, F.lit("()")))
     return name, candidate
 
 
@@ -247,13 +247,16 @@ def compound_filter(
     keep_failed: bool = False,
     status: str = "Status",
     counterion_below: float = 100.0,
+    mixture_sep: str = ".",
+    biologic_needle: str = "C(=O)N",
+    biologic_max: int = 5,
 ) -> DataFrame:
     """Four-rule compound filter with a status trail. ``mass`` names a molecular-weight column
     (e.g. from :func:`molar_mass`); rows failing any rule are dropped unless ``keep_failed``."""
     s = c(smiles)
     organic = is_organic(element_set(s))
     counter = (c(mass) < counterion_below) if mass else F.lit(False)
-    reasons = failure_reasons(organic, counter, is_biologic(s), is_mixture(s))
+    reasons = failure_reasons(organic, counter, is_biologic(s, biologic_needle, biologic_max), is_mixture(s, mixture_sep))
     out = df.withColumn("failure_reasons", F.when(s.isNotNull(), reasons))
     msg = (
         F.when(s.isNull(), F.lit("Failed to retrieve SMILES"))

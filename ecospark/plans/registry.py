@@ -28,9 +28,13 @@ def register(key: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every floating column so the oracle compare is not at the mercy of the last ulp."""
+    """Round every floating column so the oracle compare is not at the mercy of the last ulp.
+
+    ``round(x * 10^d) / 10^d`` is the arithmetic DuckDB's ``round(x, d)`` performs; Spark's own
+    ``round`` goes half-up on the shortest decimal string and disagrees on exact-half boundaries."""
+    scale = float(10**digits)
     exprs = {
-        f.name: F.round(F.col(f"`{f.name}`"), digits)
+        f.name: F.round(F.col(f"`{f.name}`") * F.lit(scale)) / F.lit(scale)
         for f in df.schema.fields
         if isinstance(f.dataType, (T.DoubleType, T.FloatType))
     }
