@@ -79,3 +79,11 @@ def semi(df: DataFrame, keys: DataFrame, key: str | Sequence[str]) -> DataFrame:
 def anti(df: DataFrame, other: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Rows whose key is absent from ``other``."""
     return df.join(other, on=_keys(key), how="left_anti")
+
+
+def chain(base: DataFrame, steps: Sequence[tuple[DataFrame, str | Sequence[str]]]) -> DataFrame:
+    """J3 with per-table keys: left-join each ``(table, key)`` in turn."""
+    out = base
+    for o, k in steps:
+        out = out.join(o, on=_keys(k), how="left")
+    return out
