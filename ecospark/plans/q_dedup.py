@@ -1 +1,111 @@
-"""Analogue queries."""
+"""Analogue queries for deduplication, similarity and clustering.
+Structures are the word sets of ``documents.text`` (whole texts)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ecospark.operators import dedup as D
+from ecospark.operators.resolve import tanimoto
+from ecospark.plans.registry import register, rounded
+from ecospark.session import table
+
+WORDS_SQL = "list_distinct(string_split_regex(text, '\\s+'))"
+
+
+def words(col="text"):
+    return F.split(F.col(col), r"\s+")
+
+
+@register("C1_exact_dedup", "SELECT DISTINCT text FROM documents UNION ALL SELECT DISTINCT text FROM benchmark")
+def c1(spark, d):
+    return D.exact(table(spark, d, "documents").select("text")).unionByName(D.exact(table(spark, d, "benchmark").select("text")))
+
+
+@register("C2_first_per_key", """SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars, doc_id) AS rn
+    FROM documents) WHERE rn = 1""")
+def c2(spark, d):
+    return D.first_by(table(spark, d, "documents"), ["lang", "source"], ["n_chars", "doc_id"]).select("doc_id", "lang", "source")
+
+
+@register("C3_compound_dedup", """SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang, md5(text) ORDER BY doc_id) AS rn
+    FROM documents) WHERE rn = 1""")
+def c3(spark, d):
+    docs = table(spark, d, "documents").withColumn("canon", F.md5("text"))
+    return D.compounds(docs, "lang", "canon", ["doc_id"]).select("doc_id", "lang")
+
+
+@register("C4_repeated_keys", "SELECT md5(text) AS canon, count(*) AS count FROM documents GROUP BY 1 HAVING count(*) > 1")
+def c4(spark, d):
+    return D.repeated_keys(table(spark, d, "documents").select(F.md5("text").alias("canon")), "canon")
+
+
+PAIRS_SQL = f"""s AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+  t AS (SELECT doc_id, unnest(w) AS tok FROM s),
+  n AS (SELECT doc_id, len(w) AS sz FROM s),
+  i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM t a JOIN t b ON a.tok = b.tok AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  pairs AS (SELECT i.a, i.b, inter / (na.sz + nb.sz - inter) AS similarity FROM i JOIN n na ON i.a = na.doc_id JOIN n nb ON i.b = nb.doc_id
+            WHERE inter / (na.sz + nb.sz - inter) >= 0.5)"""
+
+
+@register("C5_similar_pairs", f"WITH {PAIRS_SQL} SELECT a AS id_a, b AS id_b, round(similarity, 6) AS similarity FROM pairs")
+def c5(spark, d):
+    return rounded(D.similar_pairs(table(spark, d, "documents"), "doc_id", words(), 0.5))
+
+
+@register("S1_pair_tanimoto", f"""SELECT a.conv_id, a.turn, round(len(list_intersect(wa, wb)) / nullif(len(list_distinct(list_concat(wa, wb))), 0), 6) AS similarity
+    FROM (SELECT conv_id, turn, {WORDS_SQL} AS wa FROM conversations) a
+    JOIN (SELECT conv_id, turn, {WORDS_SQL} AS wb FROM conversations) b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+def s1(spark, d):
+    cv = table(spark, d, "conversations").select("conv_id", "turn", F.array_distinct(words()).alias("w"))
+    nxt = cv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("w2"))
+    return rounded(cv.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", tanimoto(F.col("w"), F.col("w2")).alias("similarity")))
+
+
+CLUSTER_SQL = f"""{PAIRS_SQL},
+  e AS (SELECT a, b FROM pairs WHERE 1 - similarity <= 0.5 UNION SELECT b, a FROM pairs WHERE 1 - similarity <= 0.5),
+  reach(node, lab) AS (SELECT a, a FROM e UNION SELECT a, b FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON r.lab = e.a),
+  comp AS (SELECT node, min(lab) AS label FROM reach GROUP BY node),
+  numbered AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS cluster FROM (SELECT DISTINCT label FROM comp)),
+  clusters AS (SELECT d.doc_id, coalesce(n.cluster, -1)::BIGINT AS cluster FROM documents d
+               LEFT JOIN comp c ON d.doc_id = c.node LEFT JOIN numbered n ON c.label = n.label)"""
+CLUSTER_SQL = "RECURSIVE " + CLUSTER_SQL
+
+
+def clusters(spark, d):
+    docs = table(spark, d, "documents")
+    pairs, members = D.similar_representatives(docs, "doc_id", words(), 0.5)
+    return D.cluster(pairs, docs.select(F.col("doc_id").alias("id")), 0.5, members=members).withColumnRenamed("id", "doc_id")
+
+
+@register("C6_similarity_clusters", f"WITH {CLUSTER_SQL} SELECT doc_id, cluster FROM clusters")
+def c6(spark, d):
+    return clusters(spark, d)
+
+
+@register("C7_activity_cliffs", f"""WITH {CLUSTER_SQL},
+  x AS (SELECT c.doc_id, c.cluster, log10(d.n_chars) AS v FROM clusters c JOIN documents d ON c.doc_id = d.doc_id),
+  hits AS (SELECT * FROM x WHERE cluster IN (SELECT cluster FROM x WHERE cluster <> -1 GROUP BY cluster HAVING max(v) - min(v) >= 0.2))
+  SELECT doc_id, cluster, round(v, 6) AS v FROM hits UNION ALL SELECT doc_id, cluster, round(v, 6) AS v FROM x WHERE NOT EXISTS (SELECT 1 FROM hits)""")
+def c7(spark, d):
+    x = clusters(spark, d).join(table(spark, d, "documents").select("doc_id", F.log10("n_chars").alias("v")), "doc_id")
+    return rounded(D.activity_cliffs(x, "cluster", "v", 0.2))
+
+
+@register("C8_stereo_check", """SELECT d.doc_id, len(regexp_extract_all(d.text, '(@@?)', 1)) AS stereo_centres,
+    'Passed Stereochemistry Verification; ' AS Status
+    FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE len(regexp_extract_all(d.text, '(@@?)', 1)) = l.quality""")
+def c8(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    ref = table(spark, d, "labels").select("doc_id", F.col("quality").alias("ref_count"))
+    return D.stereo_check(docs, "text", ref, "doc_id", keep=False).select("doc_id", "stereo_centres", "Status")
+
+
+@register("C9_curation_chain")
+def c9(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars", F.md5("text").alias("canon"),
+                                                F.log10("n_chars").alias("v"))
+    ref = table(spark, d, "labels").select("doc_id", F.col("quality").alias("ref_count"))
+    out = D.curate(docs, "doc_id", "text", "n_chars", "lang", "canon", ["doc_id"], words(), "v", stereo_ref=ref,
+                   keep_manual=True, mixture_sep="!")
+    return rounded(out.select("doc_id", "lang", "cluster", "v", "Status"))
