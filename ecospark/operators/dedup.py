@@ -64,26 +64,41 @@ def _collapse(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, members
 
 
-def _candidate_pairs(reps: DataFrame, t: float) -> DataFrame:
-    """Prefix-filter candidates ``(a, b)``, a < b, over representatives ``(rep, toks)``."""
-    exploded = reps.select("rep", F.size("toks").alias("n"), F.explode("toks").alias("tok"))
-    freq = exploded.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    ranked = exploded.join(freq, "tok")
-    w = Window.partitionBy("rep").orderBy("df", "tok")
-    prefix_len = F.col("n") - F.ceil(F.col("n") * F.lit(t) - F.lit(1e-9)) + 1
-    prefix = (ranked.withColumn("_pos", F.row_number().over(w))
-              .filter(F.col("_pos") <= prefix_len).select("rep", "n", "tok"))
-    a = prefix.select(F.col("rep").alias("a"), F.col("n").alias("na"), "tok")
-    b = prefix.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "tok")
-    # length filter: J >= t needs t*|A| <= |B| <= |A|/t
-    return (a.join(b, "tok").filter(F.col("a") < F.col("b"))
-            .filter((F.col("nb") >= F.col("na") * t - 1e-9) & (F.col("na") >= F.col("nb") * t - 1e-9))
-            .select("a", "b").distinct())
-
-
-def _verify(pairs: DataFrame, reps: DataFrame, t: float) -> DataFrame:
-    ra = reps.select(F.col("rep").alias("a"), F.col("toks").alias("ta"))
-    rb = reps.select(F.col("rep").alias("b"), F.col("toks").alias("tb"))
+def _ranked_sets(reps: DataFrame) -> DataFrame:
+    """Re-encode each representative's tokens as ascending int ranks of a global rare-first order
+    ``(document frequency, token)``. ``(rep, n, ids)``; a set's prefix is then ``slice(ids, 1, p)``.
+
+    The vocabulary is ranked with a distributed prefix sum, never on one task."""
+    exploded = reps.select("rep", F.explode("toks").alias("tok"))
+    freq = exploded.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).withColumn("_one", F.lit(1))
+    vocab = prefix_sum(freq, ["df", "tok"], "_one", out="tid").select("tok", F.col("tid").cast("int").alias("tid"))
+    return (exploded.join(vocab, "tok").groupBy("rep")
+            .agg(F.array_sort(F.collect_list("tid")).alias("ids"))
+            .withColumn("n", F.size("ids")))
+
+
+def _candidate_pairs(ranked: DataFrame, t: float) -> DataFrame:
+    """Prefix-filter candidates ``(a, b)``, a < b, over ``(rep, n, ids)``, with the length filter
+    and a positional bound. Grouping the prefix matches of a pair gives ``m`` shared prefix tokens
+    and the positions of the last one; every common token up to it lies in both prefixes, so
+    ``overlap <= m + min(na - pa_last, nb - pb_last)``. Pairs whose bound is below the overlap
+    that Jaccard >= t requires (``t / (1 + t) * (na + nb)``) are dropped before verification."""
+    prefix_len = (F.col("n") - F.ceil(F.col("n") * F.lit(t) - F.lit(1e-9)) + 1).cast("int")
+    prefix = ranked.select("rep", "n", F.posexplode(F.slice("ids", F.lit(1), prefix_len)).alias("pos", "tid"))
+    a = prefix.select(F.col("rep").alias("a"), F.col("n").alias("na"), "tid", (F.col("pos") + 1).alias("pa"))
+    b = prefix.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "tid", (F.col("pos") + 1).alias("pb"))
+    matches = (a.join(b, "tid").filter(F.col("a") < F.col("b"))
+               .filter((F.col("nb") >= F.col("na") * t - 1e-9) & (F.col("na") >= F.col("nb") * t - 1e-9)))
+    per_pair = matches.groupBy("a", "b", "na", "nb").agg(
+        F.count(F.lit(1)).alias("m"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    bound = F.col("m") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    need = F.ceil((F.col("na") + F.col("nb")) * F.lit(t / (1.0 + t)) - F.lit(1e-9))
+    return per_pair.filter(bound >= need).select("a", "b")
+
+
+def _verify(pairs: DataFrame, ranked: DataFrame, t: float) -> DataFrame:
+    ra = ranked.select(F.col("rep").alias("a"), F.col("ids").alias("ta"))
+    rb = ranked.select(F.col("rep").alias("b"), F.col("ids").alias("tb"))
     inter = F.size(F.array_intersect("ta", "tb"))
     sim = inter / (F.size("ta") + F.size("tb") - inter)
     return (pairs.join(ra, "a").join(rb, "b").select("a", "b", sim.alias("similarity"))
@@ -94,7 +109,8 @@ def similar_representatives(df: DataFrame, id_col: str, tokens: Column, min_sim:
     """Compressed C5: pairs of distinct-set representatives ``(a, b, similarity)`` plus the
     ``(sig, id, rep)`` membership of every row. Output size never exceeds distinct-set pairs."""
     reps, members = _collapse(token_sets(df, id_col, tokens).filter(F.size("toks") > 0))
-    pairs = _verify(_candidate_pairs(reps, min_sim), reps, min_sim)
+    ranked = cut_lineage(_ranked_sets(reps))
+    pairs = _verify(_candidate_pairs(ranked, min_sim), ranked, min_sim)
     return pairs, members
 
 
