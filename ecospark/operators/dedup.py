@@ -134,24 +134,30 @@ def similar_pairs(df: DataFrame, id_col: str, tokens: Column, min_sim: float = 0
 # ---------------------------------------------------------------- components
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
-    """Min-label connected components of an undirected edge list ``(a, b)``.
+def connected_components(edges: DataFrame, max_rounds: int = 500, group: Sequence[str] = ()) -> DataFrame:
+    """Min-label connected components of an undirected edge list ``(*group, a, b)``.
 
     Each round: every node takes the smallest label among itself and its neighbours, then
     jumps to its label's label (pointer jumping halves chains). The label table is checkpointed
-    every round (reliable checkpoint, so executor loss never replays the whole loop)."""
-    und = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    every round (reliable checkpoint, so executor loss never replays the whole loop). With
+    ``group`` columns (e.g. a molecule id) components never cross groups.
+    Returns ``(*group, node, label)``."""
+    g = list(group)
+    und = edges.select(*g, "a", "b").unionByName(edges.select(*g, F.col("b").alias("a"), F.col("a").alias("b")))
     und = cut_lineage(und.filter(F.col("a") != F.col("b")).distinct())
-    label = und.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    label = und.groupBy(*g, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
     label = cut_lineage(label)
     for _ in range(max_rounds):
-        nbr = und.join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").groupBy(
-            F.col("a").alias("node")).agg(F.min("lb").alias("lb"))
-        step = label.join(nbr, "node", "left").select("node", F.least("label", F.coalesce("lb", "label")).alias("label"))
-        hop = step.select(F.col("node").alias("label"), F.col("label").alias("l2"))
-        jumped = step.join(hop, "label", "left").select("node", F.least("label", F.coalesce("l2", "label")).alias("label"))
+        nbr = und.join(label.select(*g, F.col("node").alias("b"), F.col("label").alias("lb")), [*g, "b"]).groupBy(
+            *g, F.col("a").alias("node")).agg(F.min("lb").alias("lb"))
+        step = label.join(nbr, [*g, "node"], "left").select(
+            *g, "node", F.least("label", F.coalesce("lb", "label")).alias("label"))
+        hop = step.select(*g, F.col("node").alias("label"), F.col("label").alias("l2"))
+        jumped = step.join(hop, [*g, "label"], "left").select(
+            *g, "node", F.least("label", F.coalesce("l2", "label")).alias("label"))
         jumped = cut_lineage(jumped)
-        changed = jumped.join(label.withColumnRenamed("label", "old"), "node").filter(F.col("label") != F.col("old")).limit(1).count()
+        changed = (jumped.join(label.withColumnRenamed("label", "old"), [*g, "node"])
+                   .filter(F.col("label") != F.col("old")).limit(1).count())
         label = jumped
         if changed == 0:
             return label

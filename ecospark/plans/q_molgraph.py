@@ -1 +1,152 @@
-"""Analogue queries."""
+"""Analogue queries for molecular-graph jobs: a conversation is a molecule, a
+turn an atom (element = role, aromatic = user turn, charge = text length scaled), consecutive
+turns are bonded. For D10 a bond from the first to the last turn closes one ring in every
+conversation of three or more turns."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ecospark.operators import molgraph as G
+from ecospark.plans.registry import register, rounded
+from ecospark.session import table
+
+
+def atoms(spark, d):
+    cv = table(spark, d, "conversations")
+    return cv.select(F.col("conv_id").alias("mol_id"), F.col("turn").cast("int").alias("atom_id"),
+                     F.col("role").alias("element"), (F.col("role") == "user").alias("aromatic"),
+                     (F.length("text") / 1000.0 - 0.5).alias("charge"))
+
+
+def bonds(spark, d, ring=False):
+    cv = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    nxt = cv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("turn").alias("t2"), F.col("role").alias("r2"))
+    b = cv.join(nxt, ["conv_id", "turn"]).select(
+        F.col("conv_id").alias("mol_id"), F.col("turn").cast("int").alias("a"), F.col("t2").cast("int").alias("b"),
+        F.lit(1.0).alias("bond_order"), ((F.col("role") == "user") & (F.col("r2") == "user")).alias("aromatic"))
+    if not ring:
+        return b
+    ends = cv.groupBy("conv_id").agg(F.min(F.struct("turn", "role")).alias("lo"), F.max(F.struct("turn", "role")).alias("hi"),
+                                     F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 3)
+    closing = ends.select(F.col("conv_id").alias("mol_id"), F.col("lo.turn").cast("int").alias("a"),
+                          F.col("hi.turn").cast("int").alias("b"), F.lit(1.0).alias("bond_order"),
+                          ((F.col("lo.role") == "user") & (F.col("hi.role") == "user")).alias("aromatic"))
+    return b.unionByName(closing)
+
+
+AT = "(SELECT conv_id AS mol_id, turn::INT AS atom_id, role AS element, role = 'user' AS aromatic FROM conversations)"
+BD = """(SELECT c1.conv_id AS mol_id, c1.turn::INT AS a, c2.turn::INT AS b, c1.role = 'user' AND c2.role = 'user' AS aromatic
+        FROM conversations c1 JOIN conversations c2 ON c1.conv_id = c2.conv_id AND c2.turn = c1.turn + 1)"""
+PAIRS = f"(SELECT x.mol_id, x.atom_id AS src, y.atom_id AS dst, abs(x.atom_id - y.atom_id) AS dist FROM {AT} x JOIN {AT} y ON x.mol_id = y.mol_id AND x.atom_id <> y.atom_id)"
+
+
+@register("D1_constitutional_counts", f"""SELECT a.mol_id, count(*) AS NumAtoms, coalesce(max(b.nb), 0) AS NumBonds,
+    count_if(a.aromatic) AS NumAromaticAtoms FROM {AT} a LEFT JOIN (SELECT mol_id, count(*) AS nb FROM {BD} GROUP BY mol_id) b
+    ON a.mol_id = b.mol_id GROUP BY a.mol_id""")
+def d1(spark, d):
+    return G.counts(atoms(spark, d), bonds(spark, d))
+
+
+DEG = f"""deg AS (SELECT a.mol_id, a.atom_id, coalesce(e.n, 0) AS degree FROM {AT} a LEFT JOIN
+    (SELECT mol_id, x AS atom_id, count(*) AS n FROM (SELECT mol_id, a AS x FROM {BD} UNION ALL SELECT mol_id, b FROM {BD}) GROUP BY 1, 2) e
+    ON a.mol_id = e.mol_id AND a.atom_id = e.atom_id)"""
+
+
+@register("D2_D3_zagreb_indices", f"""WITH {DEG},
+    f AS (SELECT mol_id, sum(degree * degree)::BIGINT AS FirstZagrebIndex FROM deg GROUP BY mol_id),
+    s AS (SELECT b.mol_id, sum(da.degree * db.degree)::BIGINT AS SecondZagrebIndex FROM {BD} b
+          JOIN deg da ON b.mol_id = da.mol_id AND b.a = da.atom_id JOIN deg db ON b.mol_id = db.mol_id AND b.b = db.atom_id GROUP BY b.mol_id)
+    SELECT f.mol_id, FirstZagrebIndex, coalesce(SecondZagrebIndex, 0) AS SecondZagrebIndex FROM f LEFT JOIN s ON f.mol_id = s.mol_id""")
+def d2(spark, d):
+    return G.zagreb(atoms(spark, d), bonds(spark, d))
+
+
+@register("D4_topological_distances", f"SELECT mol_id, src, dst, dist FROM {PAIRS}")
+def d4(spark, d):
+    return G.distances(atoms(spark, d), bonds(spark, d))
+
+
+@register("D5_D6_D7_wiener_harary_balaban", f"""WITH p AS {PAIRS},
+    c AS (SELECT mol_id, count(*) AS na, count(*) - 1 AS nb FROM {AT} GROUP BY mol_id),
+    g AS (SELECT mol_id, sum(dist) AS s, sum(1.0 / dist) AS h, max(dist) AS diam FROM p GROUP BY mol_id)
+    SELECT c.mol_id, round(coalesce(s, 0) / 2.0, 6) AS WienerIndex,
+      round(CASE WHEN nb = 0 OR na <= 2 THEN 0.0 ELSE (nb / (na - 1)) * (1.0 / diam) * h END, 6) AS BalabanJ,
+      round(coalesce(h, 0.0) / 2.0, 6) AS HararyIndex FROM c LEFT JOIN g ON c.mol_id = g.mol_id""")
+def d5(spark, d):
+    return rounded(G.topological_indices(atoms(spark, d), bonds(spark, d)))
+
+
+@register("D8_bcut_eigenvalues")
+def d8(spark, d):
+    return rounded(G.bcut(atoms(spark, d), bonds(spark, d)))
+
+
+@register("D9_partial_charge_extremes", """SELECT conv_id AS mol_id, round(max(abs(q)), 6) AS MaxAbsPartialCharge,
+    round(min(abs(q)), 6) AS MinAbsPartialCharge, round(max(q), 6) AS MaxPartialCharge, round(min(q), 6) AS MinPartialCharge
+    FROM (SELECT conv_id, length(text) / 1000.0 - 0.5 AS q FROM conversations) GROUP BY conv_id""")
+def d9(spark, d):
+    return rounded(G.charge_extremes(atoms(spark, d)))
+
+
+RING_BD = f"""(SELECT * FROM {BD} UNION ALL SELECT conv_id, min(turn)::INT, max(turn)::INT,
+      bool_and(role = 'user') FILTER (WHERE turn = lo OR turn = hi)
+    FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS lo, max(turn) OVER (PARTITION BY conv_id) AS hi,
+                 count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n >= 3 GROUP BY conv_id)"""
+
+
+@register("D10_ring_counts", f"""WITH RECURSIVE rb AS {RING_BD},
+    ab AS (SELECT mol_id, a, b FROM rb WHERE aromatic),
+    e AS (SELECT mol_id, a, b FROM ab UNION SELECT mol_id, b, a FROM ab),
+    reach(mol_id, node, lab) AS (SELECT mol_id, a, a FROM e UNION SELECT mol_id, a, b FROM e
+        UNION SELECT r.mol_id, r.node, e.b FROM reach r JOIN e ON r.mol_id = e.mol_id AND r.lab = e.a),
+    comp AS (SELECT mol_id, count(DISTINCT lab) AS c, count(*) AS v FROM (SELECT mol_id, node, min(lab) AS lab FROM reach GROUP BY 1, 2) GROUP BY 1),
+    va AS (SELECT mol_id, count_if(aromatic) AS v FROM {AT} GROUP BY 1),
+    tot AS (SELECT a.mol_id, coalesce(b.e, 0) - a.v + 1 AS rings FROM (SELECT mol_id, count(*) AS v FROM {AT} GROUP BY 1) a
+            LEFT JOIN (SELECT mol_id, count(*) AS e FROM rb GROUP BY 1) b ON a.mol_id = b.mol_id),
+    aro AS (SELECT va.mol_id, coalesce(x.e, 0) - va.v + coalesce(comp.c, 0) + (va.v - coalesce(comp.v, 0)) AS ar
+            FROM va LEFT JOIN (SELECT mol_id, count(*) AS e FROM ab GROUP BY 1) x ON va.mol_id = x.mol_id
+            LEFT JOIN comp ON va.mol_id = comp.mol_id)
+    SELECT tot.mol_id, aro.ar AS NumAromaticRings, tot.rings - aro.ar AS NumAliphaticRings FROM tot JOIN aro ON tot.mol_id = aro.mol_id""")
+def d10(spark, d):
+    return G.rings(atoms(spark, d), bonds(spark, d, ring=True))
+
+
+@register("D11_morgan_fingerprint")
+def d11(spark, d):
+    return G.morgan(atoms(spark, d), bonds(spark, d))
+
+
+FOLD = "((('0x' || substr(md5({f}), 1, 8))::BIGINT) % {n})::INT"
+
+
+@register("D12_atom_pair_fingerprint", f"""SELECT mol_id, 'AtomPair' AS family, 2048 AS n_bits, list_sort(list_distinct(list(bit))) AS on_bits
+    FROM (SELECT x.mol_id, {FOLD.format(f="least(x.element, y.element) || '|' || greatest(x.element, y.element) || '|' || (y.atom_id - x.atom_id)::VARCHAR", n=2048)} AS bit
+          FROM {AT} x JOIN {AT} y ON x.mol_id = y.mol_id AND x.atom_id < y.atom_id) GROUP BY mol_id""")
+def d12(spark, d):
+    a, b = atoms(spark, d), bonds(spark, d)
+    return G.atom_pair(a, G.distances(a, b))
+
+
+@register("D13_torsion_fingerprint", f"""SELECT mol_id, 'Torsion' AS family, 2048 AS n_bits, list_sort(list_distinct(list(bit))) AS on_bits
+    FROM (SELECT a1.mol_id, {FOLD.format(f="least(a1.element || '|' || a2.element || '|' || a3.element || '|' || a4.element, a4.element || '|' || a3.element || '|' || a2.element || '|' || a1.element)", n=2048)} AS bit
+          FROM {AT} a1 JOIN {AT} a2 ON a1.mol_id = a2.mol_id AND a2.atom_id = a1.atom_id + 1
+          JOIN {AT} a3 ON a1.mol_id = a3.mol_id AND a3.atom_id = a1.atom_id + 2
+          JOIN {AT} a4 ON a1.mol_id = a4.mol_id AND a4.atom_id = a1.atom_id + 3) GROUP BY mol_id""")
+def d13(spark, d):
+    return G.torsion(atoms(spark, d), bonds(spark, d))
+
+
+@register("D14_path_fingerprint")
+def d14(spark, d):
+    return G.paths(atoms(spark, d), bonds(spark, d), max_bonds=7)
+
+
+@register("D15_bits_to_columns")
+def d15(spark, d):
+    return G.bits_to_columns(G.morgan(atoms(spark, d), bonds(spark, d)), "Morgan", 2048)
+
+
+@register("D16_descriptor_table")
+def d16(spark, d):
+    return rounded(G.descriptors(atoms(spark, d), bonds(spark, d, ring=True)))
