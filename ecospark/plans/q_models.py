@@ -1 +1,137 @@
-"""Analogue queries."""
+"""Analogue queries for models, tuning and scoring: features of lineitem joined
+to part, target l_extendedprice, hash split 80/20. Model outputs are rows-only checks (tests
+hold the closed-form checks)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ecospark.operators import features as X
+from ecospark.operators import models as Mo
+from ecospark.plans.q_features import FEATURES, TARGET, feature_table
+from ecospark.plans.registry import register, rounded
+
+SMALL_FOREST = {"numTrees": 20, "maxDepth": 6}
+SMALL_GBT = {"maxIter": 20, "maxDepth": 3}
+
+
+def data(spark, d):
+    ft = feature_table(spark, d).withColumn("label", F.col(TARGET).cast("double"))
+    return X.split(ft, ["l_orderkey", "l_linenumber", "l_partkey"], 0.2, 42)
+
+
+def _scores(name, est, spark, d, cols=FEATURES, scale="standard"):
+    train, test = data(spark, d)
+    m = Mo.chain(cols, est, scale=scale).fit(train)
+    tr = Mo.evaluate(m, train).select(F.lit(name).alias("model"), F.lit("train").alias("part"), "r2", "mse", "n")
+    te = Mo.evaluate(m, test).select(F.lit(name).alias("model"), F.lit("test").alias("part"), "r2", "mse", "n")
+    return rounded(tr.unionByName(te))
+
+
+@register("M1_linear_ridge_lasso")
+def m1(spark, d):
+    out = _scores("linear", Mo.estimator("linear"), spark, d)
+    out = out.unionByName(_scores("ridge", Mo.estimator("ridge", regParam=1.0), spark, d))
+    return out.unionByName(_scores("lasso", Mo.estimator("lasso", regParam=0.01), spark, d))
+
+
+@register("M2_tree_and_forest")
+def m2(spark, d):
+    return _scores("tree", Mo.estimator("tree", maxDepth=6), spark, d, scale=None).unionByName(
+        _scores("forest", Mo.estimator("forest", **SMALL_FOREST), spark, d, scale=None))
+
+
+@register("M3_gradient_boosting")
+def m3(spark, d):
+    return _scores("gbt", Mo.estimator("gbt", **SMALL_GBT), spark, d, scale=None)
+
+
+@register("M4_support_vector_regression")
+def m4(spark, d):
+    train, test = data(spark, d)
+    scaled_cols = ["l_quantity", "l_discount", "l_tax", "p_size"]
+    rows = None
+    for kernel in ("linear", "rbf"):
+        svr = Mo.SVRegressor(scaled_cols, "label", epsilon=0.1, kernel=kernel, max_iter=20, n_components=20, step=50.0).fit(train)
+        for part, df in (("train", train), ("test", test)):
+            p = svr.transform(df)
+            y, yh = F.col("label"), F.col("prediction")
+            r = p.agg((1 - F.sum((y - yh) * (y - yh)) / (F.count(y) * F.var_pop(y))).alias("r2"),
+                      F.avg((y - yh) * (y - yh)).alias("mse"), F.count(y).alias("n")).select(
+                F.lit(f"svr_{kernel}").alias("model"), F.lit(part).alias("part"), "r2", "mse", "n")
+            rows = r if rows is None else rows.unionByName(r)
+    return rounded(rows)
+
+
+@register("M5_score_matrix")
+def m5(spark, d):
+    train, test = data(spark, d)
+    sets = {"all": FEATURES, "top3": ["l_quantity", "p_retailprice", "p_size"]}
+    ests = {"linear": Mo.estimator("linear"), "tree": Mo.estimator("tree", maxDepth=5)}
+    return rounded(Mo.score_matrix(train, test, sets, ests))
+
+
+@register("M6_grid_search")
+def m6(spark, d):
+    train, _ = data(spark, d)
+    _, res = Mo.grid_search(train, FEATURES, Mo.estimator("forest", numTrees=10), {"maxDepth": [3, 5]}, folds=3)
+    return rounded(res)
+
+
+@register("M7_random_search")
+def m7(spark, d):
+    train, _ = data(spark, d)
+    space = {"maxDepth": ("int", 2, 6), "stepSize": ("log", 0.05, 0.3)}
+    _, res = Mo.random_search(train, FEATURES, Mo.estimator("gbt", maxIter=10), space, n=3, folds=3)
+    return rounded(res)
+
+
+@register("M8_cross_validated_score")
+def m8(spark, d):
+    train, _ = data(spark, d)
+    return rounded(spark.createDataFrame([("linear", Mo.cv_score(train, FEATURES, Mo.estimator("linear"), folds=5))],
+                                         "model string, mse double"))
+
+
+@register("M9_M14_best_model")
+def m9(spark, d):
+    train, test = data(spark, d)
+    sets = {"all": FEATURES}
+    ests = {"linear": Mo.estimator("linear"), "tree": Mo.estimator("tree", maxDepth=5), "lasso": Mo.estimator("lasso")}
+    scores = Mo.score_matrix(train, test, sets, ests).withColumn("mse_rank", -F.col("test_r2"))
+    return rounded(Mo.best(scores, "mse_rank"))
+
+
+@register("M10_evaluate")
+def m10(spark, d):
+    return _scores("linear", Mo.estimator("linear"), spark, d)
+
+
+@register("M11_impute_scale_poly_pipeline")
+def m11(spark, d):
+    train, test = data(spark, d)
+    m = Mo.chain(FEATURES, Mo.estimator("linear"), impute=True, scale="standard", poly=True).fit(train)
+    return rounded(Mo.evaluate(m, test))
+
+
+@register("M12_predict_new_data")
+def m12(spark, d):
+    train, test = data(spark, d)
+    m = Mo.chain(FEATURES, Mo.estimator("linear")).fit(train)
+    return rounded(Mo.predict(m, test, FEATURES).select("l_orderkey", "l_linenumber", "prediction"))
+
+
+@register("M13_actual_predicted_residual")
+def m13(spark, d):
+    train, test = data(spark, d)
+    m = Mo.chain(FEATURES, Mo.estimator("linear")).fit(train)
+    return rounded(Mo.predictions(m, test, keys=["l_orderkey", "l_linenumber"]))
+
+
+@register("M15_end_to_end_run")
+def m15(spark, d):
+    from ecospark.session import table
+
+    li = table(spark, d, "lineitem").select("l_partkey", "l_quantity", "l_discount", "l_tax", TARGET)
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size", "p_retailprice")
+    return rounded(Mo.run(li, [part], "l_partkey", TARGET, folds=2))
