@@ -14,14 +14,14 @@ TARGET = "l_extendedprice"
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "p_size", "p_retailprice"]
 
 _EXTRA = {
-    "zero_col": ("0.0", F.lit(0.0)),
-    "one_col": ("1.0", F.lit(1.0)),
-    "const7": ("7.0", F.lit(7.0)),
-    "null_col": ("NULL::DOUBLE", F.lit(None).cast("double")),
-    "mostly_null": ("CASE WHEN l_linenumber = 1 THEN l_tax END", F.when(F.col("l_linenumber") == 1, F.col("l_tax"))),
+    "zero_col": ("0.0", lambda: F.lit(0.0)),
+    "one_col": ("1.0", lambda: F.lit(1.0)),
+    "const7": ("7.0", lambda: F.lit(7.0)),
+    "null_col": ("NULL::DOUBLE", lambda: F.lit(None).cast("double")),
+    "mostly_null": ("CASE WHEN l_linenumber = 1 THEN l_tax END", lambda: F.when(F.col("l_linenumber") == 1, F.col("l_tax"))),
     "zeros_some_null": ("CASE WHEN l_linenumber = 3 THEN NULL ELSE 0.0 END",
-                        F.when(F.col("l_linenumber") == 3, F.lit(None).cast("double")).otherwise(F.lit(0.0))),
-    "qty_copy": ("l_quantity * 2 + 1", F.col("l_quantity") * 2 + 1),
+                        lambda: F.when(F.col("l_linenumber") == 3, F.lit(None).cast("double")).otherwise(F.lit(0.0))),
+    "qty_copy": ("l_quantity * 2 + 1", lambda: F.col("l_quantity") * 2 + 1),
 }
 WIDE_COLS = ["l_quantity", "l_discount", "l_tax", "l_returnflag", *_EXTRA]
 WIDE_SQL = ("(SELECT l_quantity, l_discount, l_tax, l_returnflag, "
@@ -30,7 +30,7 @@ WIDE_SQL = ("(SELECT l_quantity, l_discount, l_tax, l_returnflag, "
 
 def wide(spark, d):
     li = table(spark, d, "lineitem")
-    return li.select("l_quantity", "l_discount", "l_tax", "l_returnflag", *[e.alias(n) for n, (_, e) in _EXTRA.items()])
+    return li.select("l_quantity", "l_discount", "l_tax", "l_returnflag", *[e().alias(n) for n, (_, e) in _EXTRA.items()])
 
 
 def feature_table(spark, d):
@@ -210,7 +210,7 @@ _F16_SRC = "(SELECT l_quantity, l_linenumber, CASE WHEN l_linenumber = 1 THEN l_
 def f16(spark, d):
     from ecospark.functions.clean import fill_mean
 
-    w = table(spark, d, "lineitem").select("l_quantity", "l_linenumber", _EXTRA["mostly_null"][1].alias("mostly_null"))
+    w = table(spark, d, "lineitem").select("l_quantity", "l_linenumber", _EXTRA["mostly_null"][1]().alias("mostly_null"))
     return rounded(fill_mean(w, ["mostly_null"]))
 
 
