@@ -285,3 +285,27 @@ def b34(spark, d):
         "l_orderkey", "l_linenumber", "l_partkey",
         K.residual("l_extendedprice", F.col("l_quantity") * F.col("p_retailprice")).alias("residual"))
     return rounded(out)
+
+
+FLAG_RULES = {"A": (1000.0, False), "N": (0.001, True)}
+
+
+@register("O6_row_function_two_columns", """SELECT l_orderkey, l_linenumber,
+    round(CASE WHEN l_returnflag = 'A' THEN l_quantity * 1000.0 WHEN l_returnflag = 'N' AND l_tax IS NOT NULL
+               THEN l_quantity * l_tax * 0.001 ELSE l_quantity END, 6) AS value,
+    CASE WHEN l_returnflag = 'A' OR (l_returnflag = 'N' AND l_tax IS NOT NULL) THEN 'mg/L' ELSE l_returnflag END AS unit
+    FROM lineitem""")
+def o6(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("value"),
+                                            F.col("l_returnflag").alias("unit"), "l_tax")
+    return rounded(K.standardise_units(li, "value", "unit", "l_tax", rules=FLAG_RULES).drop("l_tax"))
+
+
+@register("O7_row_scalar_function", """SELECT l_orderkey, l_linenumber,
+    round(CASE WHEN l_extendedprice / l_quantity * 1000 > 0 THEN -log10(l_extendedprice / l_quantity * 1000) END, 6) AS p
+    FROM lineitem""")
+def o7(spark, d):
+    from ecospark.operators.sensitivity import p_endpoint
+
+    li = table(spark, d, "lineitem")
+    return rounded(li.select("l_orderkey", "l_linenumber", p_endpoint("l_extendedprice", "l_quantity").alias("p")))

@@ -109,3 +109,26 @@ def c9(spark, d):
     out = D.curate(docs, "doc_id", "text", "n_chars", "lang", "canon", ["doc_id"], words(), "v", stereo_ref=ref,
                    keep_manual=True, mixture_sep="!")
     return rounded(out.select("doc_id", "lang", "cluster", "v", "Status"))
+
+
+@register("J8_similarity_self_join", """WITH s AS (SELECT conv_id * 1000 + turn AS id, list_distinct(string_split_regex(text, '\\s+')) AS w FROM conversations),
+  t AS (SELECT id, unnest(w) AS tok FROM s), n AS (SELECT id, len(w) AS sz FROM s),
+  i AS (SELECT a.id AS a, b.id AS b, count(*) AS inter FROM t a JOIN t b ON a.tok = b.tok AND a.id < b.id GROUP BY 1, 2)
+  SELECT a AS id_a, b AS id_b, round(inter / (na.sz + nb.sz - inter), 6) AS similarity
+  FROM i JOIN n na ON i.a = na.id JOIN n nb ON i.b = nb.id WHERE inter / (na.sz + nb.sz - inter) >= 0.2""")
+def j8(spark, d):
+    """Self-join of every conversation turn against every other by word-set similarity >= 0.2."""
+    cv = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return rounded(D.similar_pairs(cv, "id", words(), 0.2))
+
+
+@register("O8_map_over_unique_keys", """WITH u AS (SELECT DISTINCT text FROM documents),
+  f AS (SELECT text, (length(text) - length(replace(text, 'C(=O)N', ''))) / 6 > 5 OR contains(text, '!') AS flagged FROM u)
+  SELECT d.doc_id, f.flagged FROM documents d JOIN f ON d.text = f.text""")
+def o8(spark, d):
+    """Evaluate a per-structure function once per distinct key, then join the result back to all rows."""
+    from ecospark.functions.clean import is_biologic, is_mixture
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    per_key = docs.select("text").distinct().select("text", (is_biologic("text") | is_mixture("text", "!")).alias("flagged"))
+    return docs.join(per_key, "text").select("doc_id", "flagged")

@@ -161,3 +161,11 @@ def a22(spark, d):
     paths = IO.run_pairs(base, others, lambda a, b: a.join(b, "c_custkey", "left"), out, "customer")
     parts = [IO.scan_csv(spark, p, "c_custkey long, c_nationkey int, n long").withColumn("pair", F.lit(k)) for k, p in paths.items()]
     return parts[0].unionByName(parts[1])
+
+
+@register("J9_positional_join", "SELECT s_suppkey, s_name, lower(s_name) AS line FROM supplier")
+def j9(spark, d):
+    sup = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    path = IO.scratch(spark, "supplier_lines")
+    sup.orderBy("s_suppkey").select(F.lower("s_name").alias("value")).coalesce(1).write.text(path)
+    return IO.attach_by_position(sup, IO.scan_lines(spark, path), "line", order=["s_suppkey"])
