@@ -84,11 +84,11 @@ def c6(spark, d):
 
 
 @register("C7_activity_cliffs", f"""WITH {CLUSTER_SQL},
-  x AS (SELECT c.doc_id, c.cluster, log10(d.n_chars) AS v FROM clusters c JOIN documents d ON c.doc_id = d.doc_id),
+  x AS (SELECT c.doc_id, c.cluster, d.n_chars / 1000.0 AS v FROM clusters c JOIN documents d ON c.doc_id = d.doc_id),
   hits AS (SELECT * FROM x WHERE cluster IN (SELECT cluster FROM x WHERE cluster <> -1 GROUP BY cluster HAVING max(v) - min(v) >= 0.2))
   SELECT doc_id, cluster, round(v, 6) AS v FROM hits UNION ALL SELECT doc_id, cluster, round(v, 6) AS v FROM x WHERE NOT EXISTS (SELECT 1 FROM hits)""")
 def c7(spark, d):
-    x = clusters(spark, d).join(table(spark, d, "documents").select("doc_id", F.log10("n_chars").alias("v")), "doc_id")
+    x = clusters(spark, d).join(table(spark, d, "documents").select("doc_id", (F.col("n_chars") / 1000.0).alias("v")), "doc_id")
     return rounded(D.activity_cliffs(x, "cluster", "v", 0.2))
 
 
