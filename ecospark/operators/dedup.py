@@ -21,7 +21,7 @@ from ecospark.functions.cols import c
 from ecospark.operators import joins as J
 from ecospark.operators.profile import prefix_sum
 from ecospark.operators.resolve import tanimoto  # noqa: F401  (S1 lives with the set helpers)
-from ecospark.session import cut_lineage
+from ecospark.session import cut_lineage, spread
 
 # ---------------------------------------------------------------- exact dedup
 
@@ -52,7 +52,7 @@ def repeated_keys(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
 
 def token_sets(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     """``(id, toks)`` with ``toks`` the distinct, sorted tokens of each row."""
-    return df.select(c(id_col).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("toks"))
+    return spread(df).select(c(id_col).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("toks"))
 
 
 def _collapse(sets: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -221,13 +221,27 @@ def melt(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), name: str
 
 def spearman(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
     """Spearman rho of each column with ``target`` over the pairwise-complete rows:
-    average ranks within each feature's complete rows, then Pearson of the ranks. ``(feature, rho)``."""
-    long = melt(df, cols, keep=[target]).withColumn("_y", c(target).cast("double")).drop(target)
-    long = long.filter(F.col("value").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("value") & ~F.isnan("_y"))
+    average ranks within each feature's complete rows, then Pearson of the ranks. ``(feature, rho)``.
+
+    One-row pre-check: when no feature is null/NaN where the target is present, every feature
+    has the same complete rows, so the target is ranked once on the base table (not once per
+    feature in long form)."""
+    y = c(target).cast("double")
+    valid = lambda e: e.isNotNull() & ~F.isnan(e)
+    gaps = df.filter(valid(y)).agg(*[F.count_if(~valid(c(x).cast("double"))).alias(f"g{i}") for i, x in enumerate(cols)]).first()
+    names = df.sparkSession.createDataFrame([(x,) for x in cols], "feature string")
+    if gaps is not None and all(gaps[f"g{i}"] == 0 for i in range(len(cols))):
+        base = df.filter(valid(y)).select(*[c(x) for x in cols], y.alias("_y"))
+        ranked_y = average_rank(base, [], "_y", "_ry")
+        long = melt(ranked_y, cols, keep=["_ry"])
+        rx = average_rank(long, ["feature"], "value", "_rx")
+        rho = rx.groupBy("feature").agg(F.corr("_rx", "_ry").alias("rho"))
+        return names.join(rho, "feature", "left")
+    long = melt(df, cols, keep=[target]).withColumn("_y", y).drop(target)
+    long = long.filter(valid(F.col("value")) & valid(F.col("_y")))
     rx = average_rank(long, ["feature"], "value", "_rx")
     ry = average_rank(rx, ["feature"], "_y", "_ry")
     rho = ry.groupBy("feature").agg(F.corr("_rx", "_ry").alias("rho"))
-    names = df.sparkSession.createDataFrame([(x,) for x in cols], "feature string")
     return names.join(rho, "feature", "left")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ecospark.functions import clean as K
 from ecospark.functions import cols as C
 from ecospark.plans.registry import register, rounded
-from ecospark.session import table
+from ecospark.session import spread, table
 
 
 def _docs_labels(spark, d):
@@ -241,7 +241,7 @@ _ELEMENTS_SQL = r"""list_distinct(list_transform(regexp_extract_all(text, '(\[[0
 @register("B31_is_organic", f"""SELECT doc_id, NOT list_has_any(el, {_METALS_SQL}) AND list_contains(el, 'C') AND len(el) > 1 AS organic,
     len(el) AS n_elements FROM (SELECT doc_id, {_ELEMENTS_SQL} AS el FROM documents)""")
 def b31(spark, d):
-    df = table(spark, d, "documents").withColumn("el", K.element_set("text"))
+    df = spread(table(spark, d, "documents")).withColumn("el", K.element_set("text"))
     return df.select("doc_id", K.is_organic(F.col("el")).alias("organic"), F.size("el").alias("n_elements"))
 
 
@@ -270,7 +270,7 @@ def b32(spark, d):
            CASE WHEN mix THEN 'Is mixture' END], lambda z: z IS NOT NULL) AS failure_reasons FROM x)
     SELECT doc_id, failure_reasons, 'Passed Initial Structural Checks; ' AS Status FROM r WHERE len(failure_reasons) = 0""")
 def b33(spark, d):
-    df = table(spark, d, "documents").select("doc_id", F.col("text").alias("smiles"), "n_chars")
+    df = spread(table(spark, d, "documents")).select("doc_id", F.col("text").alias("smiles"), "n_chars")
     out = K.compound_filter(df, "smiles", mass="n_chars", mixture_sep="!")
     return out.select("doc_id", "failure_reasons", "Status")
 

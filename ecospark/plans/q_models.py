@@ -16,8 +16,13 @@ SMALL_GBT = {"maxIter": 20, "maxDepth": 3}
 
 
 def data(spark, d):
-    ft = feature_table(spark, d).withColumn("label", F.col(TARGET).cast("double"))
-    return X.split(ft, ["l_orderkey", "l_linenumber", "l_partkey"], 0.2, 42)
+    """Train/test halves of the feature table; the joined table is materialised once (reliable
+    checkpoint) so every MLlib pass and evaluation reads it instead of recomputing the join."""
+    from ecospark.session import cut_lineage, spread
+
+    ft = spread(feature_table(spark, d).withColumn("label", F.col(TARGET).cast("double")))
+    train, test = X.split(ft, ["l_orderkey", "l_linenumber", "l_partkey"], 0.2, 42)
+    return cut_lineage(train), cut_lineage(test)
 
 
 def _scores(name, est, spark, d, cols=FEATURES, scale="standard"):
