@@ -101,10 +101,41 @@ def c8(spark, d):
     return D.stereo_check(docs, "text", ref, "doc_id", keep=False).select("doc_id", "stereo_centres", "Status")
 
 
-@register("C9_curation_chain")
+def _c9_sql():
+    from ecospark.plans.q_clean import _ELEMENTS_SQL, _METALS_SQL
+
+    organic = f"(NOT list_has_any(el, {_METALS_SQL}) AND list_contains(el, 'C') AND len(el) > 1)"
+    return f"""WITH RECURSIVE
+  x AS (SELECT doc_id, text, lang, n_chars, md5(text) AS canon, {_ELEMENTS_SQL} AS el FROM documents),
+  passed AS (SELECT * FROM x WHERE {organic} AND NOT n_chars < 100
+             AND NOT (length(text) - length(replace(text, 'C(=O)N', ''))) / 6 > 5 AND NOT contains(text, '!')),
+  dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, canon ORDER BY doc_id) AS rn FROM passed) WHERE rn = 1),
+  st AS (SELECT dd.doc_id, dd.text, dd.lang, dd.n_chars,
+           CASE WHEN l.quality IS NULL THEN true ELSE len(regexp_extract_all(dd.text, '(@@?)', 1)) <> l.quality END AS manual
+         FROM dd LEFT JOIN labels l ON dd.doc_id = l.doc_id),
+  s AS (SELECT doc_id, {WORDS_SQL} AS w FROM st),
+  t AS (SELECT doc_id, unnest(w) AS tok FROM s),
+  n AS (SELECT doc_id, len(w) AS sz FROM s),
+  i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM t a JOIN t b ON a.tok = b.tok AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  pairs AS (SELECT i.a, i.b FROM i JOIN n na ON i.a = na.doc_id JOIN n nb ON i.b = nb.doc_id
+            WHERE 1 - inter / (na.sz + nb.sz - inter) <= 0.5),
+  e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+  reach(node, lab) AS (SELECT a, a FROM e UNION SELECT a, b FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON r.lab = e.a),
+  comp AS (SELECT node, min(lab) AS label FROM reach GROUP BY node),
+  numbered AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS cluster FROM (SELECT DISTINCT label FROM comp)),
+  y AS (SELECT st.doc_id, st.lang, coalesce(nb.cluster, -1)::BIGINT AS cluster, st.n_chars / 1000.0 AS v,
+          'Passed Initial Structural Checks; ' || CASE WHEN manual THEN 'Manual Curation Required; '
+          ELSE 'Passed Stereochemistry Verification; ' END AS Status
+        FROM st LEFT JOIN comp c ON st.doc_id = c.node LEFT JOIN numbered nb ON c.label = nb.label),
+  hits AS (SELECT * FROM y WHERE cluster IN (SELECT cluster FROM y WHERE cluster <> -1 GROUP BY cluster HAVING max(v) - min(v) >= 0.2))
+  SELECT doc_id, lang, cluster, round(v, 6) AS v, Status FROM hits
+  UNION ALL SELECT doc_id, lang, cluster, round(v, 6) AS v, Status FROM y WHERE NOT EXISTS (SELECT 1 FROM hits)"""
+
+
+@register("C9_curation_chain", _c9_sql())
 def c9(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars", F.md5("text").alias("canon"),
-                                                F.log10("n_chars").alias("v"))
+                                                (F.col("n_chars") / 1000.0).alias("v"))
     ref = table(spark, d, "labels").select("doc_id", F.col("quality").alias("ref_count"))
     out = D.curate(docs, "doc_id", "text", "n_chars", "lang", "canon", ["doc_id"], words(), "v", stereo_ref=ref,
                    keep_manual=True, mixture_sep="!")

@@ -35,6 +35,7 @@ def bonds(spark, d, ring=False):
     return b.unionByName(closing)
 
 
+FOLD = "((('0x' || substr(md5({f}), 1, 8))::BIGINT) % {n})::INT"
 AT = "(SELECT conv_id AS mol_id, turn::INT AS atom_id, role AS element, role = 'user' AS aromatic FROM conversations)"
 BD = """(SELECT c1.conv_id AS mol_id, c1.turn::INT AS a, c2.turn::INT AS b, c1.role = 'user' AND c2.role = 'user' AS aromatic
         FROM conversations c1 JOIN conversations c2 ON c1.conv_id = c2.conv_id AND c2.turn = c1.turn + 1)"""
@@ -112,13 +113,30 @@ def d10(spark, d):
     return G.rings(atoms(spark, d), bonds(spark, d, ring=True))
 
 
-@register("D11_morgan_fingerprint")
+DIRB = f"(SELECT mol_id, a AS src, b AS dst, 1.0 AS bond_order FROM {BD} UNION ALL SELECT mol_id, b, a, 1.0 FROM {BD})"
+
+
+def _morgan_round(prev, name):
+    return f"""{name} AS (SELECT r.mol_id, r.atom_id, md5(r.ident || '|' || coalesce(e.env, '')) AS ident FROM {prev} r LEFT JOIN
+      (SELECT d.mol_id, d.src AS atom_id, array_to_string(list_sort(list(d.bond_order::VARCHAR || ':' || n.ident)), ',') AS env
+       FROM {DIRB} d JOIN {prev} n ON d.mol_id = n.mol_id AND d.dst = n.atom_id GROUP BY 1, 2) e
+      ON r.mol_id = e.mol_id AND r.atom_id = e.atom_id)"""
+
+
+MORGAN_SQL = f"""WITH {DEG},
+  r0 AS (SELECT a.mol_id, a.atom_id, md5(a.element || '|' || deg.degree::VARCHAR || '|' || a.aromatic::VARCHAR) AS ident
+         FROM {AT} a JOIN deg ON a.mol_id = deg.mol_id AND a.atom_id = deg.atom_id),
+  {_morgan_round('r0', 'r1')}, {_morgan_round('r1', 'r2')},
+  allid AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2)
+  SELECT mol_id, 'Morgan' AS family, 2048 AS n_bits, list_sort(list_distinct(list(bit))) AS on_bits
+  FROM (SELECT mol_id, {FOLD.format(f='ident', n=2048)} AS bit FROM allid) GROUP BY mol_id"""
+
+
+@register("D11_morgan_fingerprint", MORGAN_SQL)
 def d11(spark, d):
     return G.morgan(atoms(spark, d), bonds(spark, d))
 
 
-FOLD = "((('0x' || substr(md5({f}), 1, 8))::BIGINT) % {n})::INT"
-
 
 @register("D12_atom_pair_fingerprint", f"""SELECT mol_id, 'AtomPair' AS family, 2048 AS n_bits, list_sort(list_distinct(list(bit))) AS on_bits
     FROM (SELECT x.mol_id, {FOLD.format(f="least(x.element, y.element) || '|' || greatest(x.element, y.element) || '|' || (y.atom_id - x.atom_id)::VARCHAR", n=2048)} AS bit
@@ -137,7 +155,13 @@ def d13(spark, d):
     return G.torsion(atoms(spark, d), bonds(spark, d))
 
 
-@register("D14_path_fingerprint")
+@register("D14_path_fingerprint", f"""WITH seg AS (SELECT x.mol_id, x.atom_id AS i, y.atom_id AS j FROM {AT} x JOIN {AT} y
+      ON x.mol_id = y.mol_id AND y.atom_id - x.atom_id BETWEEN 1 AND 7),
+  lab AS (SELECT s.mol_id, s.i, s.j, string_agg(a.element, '|' ORDER BY a.atom_id) AS fwd,
+                 string_agg(a.element, '|' ORDER BY a.atom_id DESC) AS rev
+          FROM seg s JOIN {AT} a ON a.mol_id = s.mol_id AND a.atom_id BETWEEN s.i AND s.j GROUP BY 1, 2, 3)
+  SELECT mol_id, 'RDKitFP' AS family, 2048 AS n_bits, list_sort(list_distinct(list({FOLD.format(f='least(fwd, rev)', n=2048)}))) AS on_bits
+  FROM lab GROUP BY mol_id""")
 def d14(spark, d):
     return G.paths(atoms(spark, d), bonds(spark, d), max_bonds=7)
 

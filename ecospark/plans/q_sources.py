@@ -6,8 +6,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ecospark.sources import io as IO
+from ecospark.plans import q_molgraph  # noqa: F401  (A14's oracle reuses the D12/D13 oracles)
 from ecospark.plans.registry import register, rounded
+from ecospark.sources import io as IO
 from ecospark.session import table
 
 PART_SCHEMA = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
@@ -83,7 +84,14 @@ def a12(spark, d):
     return rounded(spark.read.parquet(path).select("o_orderkey", "o_orderpriority", "o_totalprice"))
 
 
-@register("A14_fingerprint_family_fanout")
+def _a14_sql():
+    from ecospark.plans.registry import ORACLES
+
+    d12, d13 = ORACLES["D12_atom_pair_fingerprint"], ORACLES["D13_torsion_fingerprint"]
+    return f"""SELECT family, count(*) AS molecules, sum(len(on_bits))::BIGINT AS bits FROM ({d12} UNION ALL {d13}) GROUP BY family"""
+
+
+@register("A14_fingerprint_family_fanout", _a14_sql())
 def a14(spark, d):
     from ecospark.operators import molgraph as G
     from ecospark.plans.q_molgraph import atoms, bonds
@@ -150,7 +158,10 @@ def a21(spark, d):
     return rounded(Mo.evaluate(Mo.load(path), test))
 
 
-@register("A22_pairwise_runs")
+@register("A22_pairwise_runs", """SELECT c.c_custkey, c.c_nationkey, o.n, 'orders' AS pair FROM customer c
+    LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON c.c_custkey = o.o_custkey
+    UNION ALL SELECT c.c_custkey, c.c_nationkey, e.n, 'events' AS pair FROM customer c
+    LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) e ON c.c_custkey = e.user_id""")
 def a22(spark, d):
     base = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     others = {
