@@ -58,22 +58,21 @@ def token_sets(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
 def _collapse(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Identical token sets -> one representative (smallest id). Returns (reps, members)."""
     sig = F.sha2(F.array_join(F.col("toks"), "\u0001"), 256)
-    keyed = sets.withColumn("sig", F.concat_ws(":", F.size("toks").cast("string"), sig))
+    # tokenising whole texts is the expensive step: materialise once, reuse for reps and members
+    keyed = cut_lineage(sets.withColumn("sig", F.concat_ws(":", F.size("toks").cast("string"), sig)))
     reps = keyed.groupBy("sig").agg(F.min("id").alias("rep"), F.first("toks").alias("toks"))
     members = keyed.select("sig", "id").join(reps.select("sig", "rep"), "sig")
     return reps, members
 
 
 def _ranked_sets(reps: DataFrame) -> DataFrame:
-    """Re-encode each representative's tokens as ascending int ranks of a global rare-first order
-    ``(document frequency, token)``. ``(rep, n, ids)``; a set's prefix is then ``slice(ids, 1, p)``.
-
-    The vocabulary is ranked with a distributed prefix sum, never on one task."""
+    """Order each representative's tokens by the global rare-first order ``(document frequency,
+    token)`` -- a total order every set can apply on its own, so no global ranking job is needed.
+    ``(rep, n, ids)`` with ``ids`` the ordered tokens; a set's prefix is ``slice(ids, 1, p)``."""
     exploded = reps.select("rep", F.explode("toks").alias("tok"))
-    freq = exploded.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).withColumn("_one", F.lit(1))
-    vocab = prefix_sum(freq, ["df", "tok"], "_one", out="tid").select("tok", F.col("tid").cast("int").alias("tid"))
-    return (exploded.join(vocab, "tok").groupBy("rep")
-            .agg(F.array_sort(F.collect_list("tid")).alias("ids"))
+    freq = exploded.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    return (exploded.join(freq, "tok").groupBy("rep")
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "tok"))), lambda x: x["tok"]).alias("ids"))
             .withColumn("n", F.size("ids")))
 
 
