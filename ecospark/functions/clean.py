@@ -205,7 +205,7 @@ _ATOM_TOKEN = r"(\[[0-9]*[A-Za-z][a-z]?|Cl|Br|[BCNOPSFIbcnops])"
 def element_set(smiles: ColumnOrName) -> Column:
     """Distinct element symbols of a SMILES string (aromatic lower case mapped to upper)."""
     toks = F.regexp_extract_all(_col(smiles), F.lit(_ATOM_TOKEN), 1)
-    sym = F.transform(toks, lambda t: F.initcap(F.regexp_replace(t, r"[\[0-9]", "")))
+    sym = F.transform(toks, lambda t: F.initcap(F.translate(t, "[0123456789", "")))
     return F.array_distinct(sym)
 
 

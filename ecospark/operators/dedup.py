@@ -229,6 +229,8 @@ def curate(df: DataFrame, id_col: str, smiles: str, mass: str | None, inchi: str
     step = compound_filter(df, smiles, mass=mass, **filter_options)
     step = compounds(step, inchi, canonical, order)
     step = stereo_check(step, smiles, stereo_ref, id_col, keep=keep_manual)
+    # the survivors feed the similarity join, the cluster ids and the cliff test: materialise once
+    step = cut_lineage(step)
     pairs, members = similar_representatives(step, id_col, tokens, 1.0 - eps - 1e-9)
     clusters = cluster(pairs, step.select(c(id_col).alias("id")), eps, members=members)
     with_cluster = step.join(clusters.withColumnRenamed("id", id_col), id_col, "left")
