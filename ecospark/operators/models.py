@@ -37,12 +37,33 @@ def estimator(name: str, label: str = "label", features: str = "features", **par
     if name == "tree":
         return DecisionTreeRegressor(**common, **{"seed": 42, **params})
     if name == "forest":
-        return RandomForestRegressor(**common, **{"numTrees": 100, "featureSubsetStrategy": "all", "seed": 42, **params})
+        # scikit-learn defaults: 100 trees, all features per split, unbounded depth (MLlib's maximum is 30)
+        return RandomForestRegressor(**common, **{"numTrees": 100, "featureSubsetStrategy": "all", "maxDepth": 30,
+                                                  "seed": 42, **params})
     if name == "gbt":
         return GBTRegressor(**common, **{"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, "seed": 42, **params})
     raise ValueError(f"unknown estimator {name}")
 
 
+def ridge_reg_param(df: DataFrame, label: str, alpha: float) -> float:
+    """M1: MLlib ``regParam`` equivalent to scikit-learn ``Ridge(alpha)`` for ``estimator('ridge')``
+    (normal solver, no standardisation): ``alpha * stddev_pop(y) / n`` (one aggregate)."""
+    r = df.agg(F.stddev_pop(c(label)).alias("s"), F.count(c(label)).alias("n")).first()
+    return float(alpha * r["s"] / r["n"]) if r["n"] else float(alpha)
+
+
+# Fixed values that must equal the reference's: tuning grids and search spaces, named with the MLlib
+# parameter each maps to. ``None`` depth becomes MLlib's maximum 30; scikit-learn's ``min_samples_split``
+# has no MLlib counterpart and is left out; ``min_samples_leaf`` maps to ``minInstancesPerNode``.
+FOREST_GRID_NOTEBOOK = {"numTrees": [100, 200, 300], "maxDepth": [30, 10, 20, 30], "minInstancesPerNode": [1, 2, 4]}
+SVR_GRID_NOTEBOOK = {"c_reg": [0.1, 1, 10], "epsilon": [0.01, 0.1, 1], "kernel": ["linear", "rbf"]}
+FOREST_GRID_WORKFLOW = {"numTrees": [50, 100, 200], "maxDepth": [30, 10, 20]}
+BOOSTING_GRID_WORKFLOW = {"maxIter": [50, 100, 200], "stepSize": [0.01, 0.1, 0.2]}
+SVR_GRID_WORKFLOW = {"c_reg": [0.1, 1, 10], "kernel": ["linear", "rbf"]}
+FOREST_SPACE = {"numTrees": ("int", 100, 500), "maxDepth": ("int", 5, 30), "minInstancesPerNode": ("int", 1, 10)}
+SVR_SPACE = {"c_reg": ("log", 1e-2, 1e2), "epsilon": ("log", 1e-3, 1e1), "kernel": ("choice", ["linear", "rbf"])}
+
+
 def chain(cols: Sequence[str], est, impute: bool = True, scale: str | None = "standard", poly: bool = False) -> Pipeline:
     """Impute -> (scale) -> (poly) -> model, fitted as one MLlib Pipeline."""
     return Pipeline(stages=[*prep_stages(cols, impute, scale, poly, out=est.getFeaturesCol()), est])
@@ -195,6 +216,27 @@ class SVRegressor:
         return data.select(F.col("_y").alias(self.label), pred.alias("prediction"))
 
 
+def svr_grid_search(df: DataFrame, cols: Sequence[str], grid: dict, key: Sequence[str], folds: int = 5, seed: int = 42,
+                    label: str = "label", **fixed) -> DataFrame:
+    """M6 for the SVR: every grid combination scored by k-fold mean MSE; folds are assigned by a
+    hash of ``key`` (stable, disjoint). ``(params, mse)`` sorted best first."""
+    import itertools
+
+    names = list(grid)
+    fold = F.pmod(F.xxhash64(F.lit(seed), *[c(k) for k in key]), F.lit(folds))
+    data = df.withColumn("_fold", fold)
+    rows = []
+    for combo in itertools.product(*[grid[n] for n in names]):
+        params = dict(zip(names, combo))
+        errs = []
+        for k in range(folds):
+            m = SVRegressor(cols, label, **{**fixed, **params}).fit(data.filter(F.col("_fold") != k))
+            p = m.transform(data.filter(F.col("_fold") == k))
+            errs.append(p.agg(F.avg((F.col(label) - F.col("prediction")) ** 2)).first()[0])
+        rows.append((str(params), float(sum(errs) / len(errs))))
+    return df.sparkSession.createDataFrame(rows, "params string, mse double").orderBy("mse")
+
+
 def run(base: DataFrame, others: Sequence[DataFrame], key: str, target: str, path: str | None = None,
         sparse_ratio: float = 0.9, min_present: float = 0.9, folds: int = 3, seed: int = 42) -> DataFrame:
     """Merge (J3) -> drop sparse columns (F4) -> keep rows with enough values (B12) -> split

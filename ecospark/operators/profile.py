@@ -18,12 +18,17 @@ from ecospark.functions.cols import c, numeric
 # ---------------------------------------------------------------- counts
 
 
-def value_counts(df: DataFrame, col: str, min_count: int | None = None, name: str = "count") -> DataFrame:
-    """G1 (+G4 with ``min_count``): counts per non-null value, descending, ties by value."""
-    out = df.filter(c(col).isNotNull()).groupBy(c(col)).agg(F.count(F.lit(1)).alias(name))
+def value_counts(df: DataFrame, col: str | Sequence[str], min_count: int | None = None, name: str = "count") -> DataFrame:
+    """G1 (+G4 with ``min_count``): counts per non-null value (or value combination of several
+    columns, rows with any null excluded), descending, ties by value."""
+    cols = [col] if isinstance(col, str) else list(col)
+    present = F.lit(True)
+    for x in cols:
+        present = present & c(x).isNotNull()
+    out = df.filter(present).groupBy(*[c(x) for x in cols]).agg(F.count(F.lit(1)).alias(name))
     if min_count is not None:
         out = out.filter(F.col(name) > min_count)
-    return out.orderBy(F.col(name).desc(), c(col))
+    return out.orderBy(F.col(name).desc(), *[c(x) for x in cols])
 
 
 def size(df: DataFrame, by: Sequence[str], name: str = "count") -> DataFrame:

@@ -36,7 +36,9 @@ def _scores(name, est, spark, d, cols=FEATURES, scale="standard"):
 @register("M1_linear_ridge_lasso")
 def m1(spark, d):
     out = _scores("linear", Mo.estimator("linear"), spark, d)
-    out = out.unionByName(_scores("ridge", Mo.estimator("ridge", regParam=1.0), spark, d))
+    train, _ = data(spark, d)
+    ridge = Mo.estimator("ridge", regParam=Mo.ridge_reg_param(train, "label", 1.0))  # scikit-learn's default alpha
+    out = out.unionByName(_scores("ridge", ridge, spark, d))
     return out.unionByName(_scores("lasso", Mo.estimator("lasso", regParam=0.01), spark, d))
 
 

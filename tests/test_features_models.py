@@ -72,3 +72,28 @@ def test_svr_learns_linear_signal(spark):
     mse = p.agg(F.avg((F.col("label") - F.col("prediction")) ** 2)).first()[0]
     var = df.agg(F.var_pop("label")).first()[0]
     assert mse < 0.2 * var
+
+
+def test_ridge_reg_param_matches_closed_form(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 3))
+    y = x @ np.array([1.5, -2.0, 0.5]) + rng.normal(scale=0.3, size=120)
+    alpha = 5.0
+    # scikit-learn Ridge with intercept: centre, then solve (X'X + alpha I) w = X'y
+    xc, yc = x - x.mean(0), y - y.mean()
+    w = np.linalg.solve(xc.T @ xc + alpha * np.eye(3), xc.T @ yc)
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], "a double, b double, c double, label double")
+    reg = Mo.ridge_reg_param(df, "label", alpha)
+    m = Mo.chain(["a", "b", "c"], Mo.estimator("ridge", regParam=reg), impute=False, scale=None).fit(df)
+    got = m.stages[-1].coefficients.toArray()
+    assert np.allclose(got, w, atol=1e-6)
+
+
+def test_svr_grid_search_orders_by_mse(spark):
+    rows = [(i, float(i % 10) / 10, float(i % 7) / 7) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, a double, b double").withColumn("label", 2 * F.col("a") - F.col("b"))
+    res = Mo.svr_grid_search(df, ["a", "b"], {"c_reg": [0.01, 1.0]}, ["id"], folds=2, max_iter=40, step=2.0).collect()
+    assert len(res) == 2 and res[0].mse <= res[1].mse
+    assert "'c_reg': 1.0" in res[0].params
