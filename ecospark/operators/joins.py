@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ecospark.functions.cols import c
@@ -58,10 +58,18 @@ def left_distinct(a: DataFrame, b: DataFrame, key: str | Sequence[str]) -> DataF
 
 
 def first_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
-    """C2 helper: the first row per key in ``order`` (window, one shuffle on the key)."""
+    """C2 helper: the first row per key in ``order`` (ascending, nulls first like a sort).
+
+    An aggregate ``min(struct(order..., rest...))`` rather than a ranking window: it combines
+    map-side, so a key holding a third of all rows is reduced in every task before the shuffle
+    instead of being sorted by one task. Remaining ties are broken by the other columns."""
     keys = _keys(key)
-    w = Window.partitionBy(*[c(k) for k in keys]).orderBy(*[c(o) for o in order])
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    rest = [x for x in df.columns if x not in keys and x not in order]
+    fields = [*order, *rest]
+    packed = F.struct(*[c(x).alias(f"f{i}") for i, x in enumerate(fields)])
+    best = df.groupBy(*[c(k) for k in keys]).agg(F.min(packed).alias("_m"))
+    return best.select(*[c(k) for k in keys], *[F.col(f"_m.f{i}").alias(x) for i, x in enumerate(fields)]).select(
+        *[c(x) for x in df.columns])
 
 
 def left_first(a: DataFrame, b: DataFrame, key: str | Sequence[str], order: Sequence[str],
