@@ -11,7 +11,7 @@ from pyspark.ml.feature import Imputer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ecospark.functions.cols import c
+from ecospark.functions.cols import c, evaluate_once
 
 ColumnOrName = Column | str
 
@@ -254,10 +254,12 @@ def compound_filter(
     """Four-rule compound filter with a status trail. ``mass`` names a molecular-weight column
     (e.g. from :func:`molar_mass`); rows failing any rule are dropped unless ``keep_failed``."""
     s = c(smiles)
-    organic = is_organic(element_set(s))
+    # the tokeniser runs over whole structure strings: evaluate it once, not once per predicate
+    df = evaluate_once(df, "_elements", element_set(s))
+    organic = is_organic(F.col("_elements"))
     counter = (c(mass) < counterion_below) if mass else F.lit(False)
     reasons = failure_reasons(organic, counter, is_biologic(s, biologic_needle, biologic_max), is_mixture(s, mixture_sep))
-    out = df.withColumn("failure_reasons", F.when(s.isNotNull(), reasons))
+    out = df.withColumn("failure_reasons", F.when(s.isNotNull(), reasons)).drop("_elements")
     msg = (
         F.when(s.isNull(), F.lit("Failed to retrieve SMILES"))
         .when(F.size("failure_reasons") == 0, F.lit("Passed Initial Structural Checks"))

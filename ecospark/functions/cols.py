@@ -67,3 +67,13 @@ def rename(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """Rename by dictionary; names not in the frame are ignored, others pass through."""
     present = set(df.columns)
     return df.withColumnsRenamed({k: v for k, v in mapping.items() if k in present})
+
+
+def evaluate_once(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Add ``expr`` as column ``name`` so that it is evaluated once per row.
+
+    Catalyst substitutes aliases into filters pushed through a projection, so an expensive
+    expression used by several predicates (or by a predicate and the output) is re-evaluated each
+    time. Producing it from a one-element ``inline`` generator makes it a generated attribute:
+    predicates on it stay above the generator and reference the computed value."""
+    return df.select("*", F.inline(F.array(F.struct(expr.alias(name)))))

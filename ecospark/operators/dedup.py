@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ecospark.functions.cols import c
+from ecospark.functions.cols import c, evaluate_once
 from ecospark.operators import joins as J
 from ecospark.operators.profile import prefix_sum
 from ecospark.operators.resolve import tanimoto  # noqa: F401  (S1 lives with the set helpers)
@@ -51,8 +51,10 @@ def repeated_keys(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
 
 
 def token_sets(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """``(id, toks)`` with ``toks`` the distinct, sorted tokens of each row."""
-    return spread(df).select(c(id_col).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("toks"))
+    """``(id, toks)`` with ``toks`` the distinct, sorted tokens of each row (tokenised once per row,
+    even when later filters test the set)."""
+    return evaluate_once(spread(df).select(c(id_col).alias("id"), tokens.alias("_raw")), "toks",
+                         F.array_sort(F.array_distinct("_raw"))).drop("_raw")
 
 
 def _collapse(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
