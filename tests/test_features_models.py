@@ -97,3 +97,11 @@ def test_svr_grid_search_orders_by_mse(spark):
     res = Mo.svr_grid_search(df, ["a", "b"], {"c_reg": [0.01, 1.0]}, ["id"], folds=2, max_iter=40, step=2.0).collect()
     assert len(res) == 2 and res[0].mse <= res[1].mse
     assert "'c_reg': 1.0" in res[0].params
+
+
+def test_permutation_importance_ranks_signal(spark):
+    rows = [(float(i % 17), float((i * 7) % 13), float((i * 3) % 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, noise double").withColumn("label", 2 * F.col("a") - 3 * F.col("b") + 1)
+    m = Mo.chain(["a", "b", "noise"], Mo.estimator("linear"), scale=None).fit(df)
+    imp = {r.feature: r.importance for r in X.permutation_importance(m, df, "label", ["a", "b", "noise"]).collect()}
+    assert imp["b"] > 0.5 and imp["a"] > 0.2 and abs(imp["noise"]) < 0.05
