@@ -14,7 +14,6 @@ differ from the reference's library (documented), the features do not.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
