@@ -258,3 +258,18 @@ def f22(spark, d):
     train, test = X.split(ft, ["l_orderkey", "l_linenumber", "l_partkey"], 0.2, 42)
     return train.select("l_orderkey", "l_linenumber", F.lit("train").alias("part")).unionByName(
         test.select("l_orderkey", "l_linenumber", F.lit("test").alias("part")))
+
+
+@register("workflow_descriptor_preparation")
+def workflow_descriptor_preparation(spark, d):
+    """§3.2 analogue: main table = lineitem; descriptor tables = part (with its attributes) and a
+    supplier table widened with constant and null-heavy columns; target = l_extendedprice."""
+    from ecospark.plans.workflows import descriptor_preparation
+
+    main = table(spark, d, "lineitem").select("l_partkey", "l_quantity", "l_discount", "l_tax", TARGET)
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size", "p_retailprice", "p_type",
+                                          F.lit(0.0).alias("p_zero"), F.lit(None).cast("double").alias("p_null"),
+                                          F.when(F.col("p_size") > 45, F.col("p_size")).alias("p_sparse"),
+                                          F.lit(1.0).alias("p_one"), (F.col("p_size") * 0.001).alias("p_low_var"))
+    features, _, _ = descriptor_preparation(main, [part], "l_partkey", TARGET)
+    return rounded(features)
