@@ -150,9 +150,10 @@ def o1(spark, d):
                                ["o_totalprice", "o_orderkey"], descending=True))
 
 
-@register("O2_sort_by_group_key", "SELECT n_regionkey, n_name FROM nation")
+@register("O2_sort_by_group_key", "SELECT c_nationkey, count(*) AS count FROM customer GROUP BY c_nationkey")
 def o2(spark, d):
-    return P.sorted_by(table(spark, d, "nation").select("n_regionkey", "n_name"), ["n_regionkey", "n_name"])
+    """Group counts sorted by the group key."""
+    return P.sorted_by(P.size(table(spark, d, "customer"), ["c_nationkey"]), ["c_nationkey"])
 
 
 @register("O3_top_n", """SELECT o_orderkey, round(o_totalprice, 6) AS o_totalprice FROM orders

@@ -42,18 +42,23 @@ def a4(spark, d):
     return rounded(back.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty")))
 
 
-@register("A5_schema_width", "SELECT count(*) AS width FROM (DESCRIBE lineitem)")
+@register("A5_schema_width", "SELECT (SELECT count(*) FROM (DESCRIBE lineitem)) AS width, 'whole' AS plan, count(*) AS rows FROM lineitem")
 def a5(spark, d):
-    return spark.createDataFrame([(IO.width(table(spark, d, "lineitem")),)], "width long")
+    """Width probe choosing the plan (whole-table join up to 1000 columns, else column blocks), then
+    the chosen plan's scan."""
+    li = table(spark, d, "lineitem")
+    w = IO.width(li)
+    plan = "whole" if w <= 1000 else "blocks"
+    return li.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(w).cast("long").alias("width"), F.lit(plan).alias("plan"), "rows")
 
 
-@register("A7_A8_line_list_by_position", "SELECT n_nationkey, n_name, upper(n_name) AS line FROM nation")
+@register("A7_A8_line_list_by_position", "SELECT c_custkey, c_name, upper(c_name) AS line FROM customer")
 def a7(spark, d):
-    nation = table(spark, d, "nation").select("n_nationkey", "n_name")
+    cust = table(spark, d, "customer").select("c_custkey", "c_name")
     path = IO.scratch(spark, "names_txt")
-    nation.orderBy("n_nationkey").select(F.upper("n_name").alias("value")).coalesce(1).write.text(path)
+    cust.orderBy("c_custkey").select(F.upper("c_name").alias("value")).coalesce(1).write.text(path)
     lines = IO.scan_lines(spark, path)
-    return IO.attach_by_position(nation, lines, "line", order=["n_nationkey"])
+    return IO.attach_by_position(cust, lines, "line", order=["c_custkey"])
 
 
 def _sdf_round_trip(spark, d):
