@@ -316,9 +316,10 @@ def pca(df: DataFrame, cols: Sequence[str], k: int) -> tuple[DataFrame, DataFram
               PCA(k=k, inputCol="_c", outputCol="pca")]
     model = Pipeline(stages=stages).fit(x)
     out = model.transform(x).drop(*tmp, "_v", "_c")
-    ratios = model.stages[-1].explainedVariance.toArray()
-    ev = df.sparkSession.createDataFrame([(i + 1, float(r)) for i, r in enumerate(ratios)], "component int, ratio double")
-    return out, P.cumulative(ev, ["component"], "ratio")
+    ratios = [float(r) for r in model.stages[-1].explainedVariance.toArray()]
+    # k ratios (k = number of components, a parameter): the running total is computed right here
+    rows = [(i + 1, r, float(sum(ratios[:i + 1]))) for i, r in enumerate(ratios)]
+    return out, df.sparkSession.createDataFrame(rows, "component int, ratio double, cumulative double")
 
 
 # ---------------------------------------------------------------- F16-F22: preparation

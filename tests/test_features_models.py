@@ -105,3 +105,12 @@ def test_permutation_importance_ranks_signal(spark):
     m = Mo.chain(["a", "b", "noise"], Mo.estimator("linear"), scale=None).fit(df)
     imp = {r.feature: r.importance for r in X.permutation_importance(m, df, "label", ["a", "b", "noise"]).collect()}
     assert imp["b"] > 0.5 and imp["a"] > 0.2 and abs(imp["noise"]) < 0.05
+
+
+def test_pca_ratios_and_cumulative(spark):
+    rows = [(float(i), 2.0 * i + 1.0, float(i % 3)) for i in range(50)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    proj, ev = X.pca(df, ["a", "b", "c"], 2)
+    r = ev.orderBy("component").collect()
+    assert r[0].ratio > 0.99 and math.isclose(r[1].cumulative, r[0].ratio + r[1].ratio)
+    assert proj.count() == 50 and len(proj.first().pca) == 2
