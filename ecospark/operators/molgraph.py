@@ -160,9 +160,20 @@ def bcut(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- rings
 
 
-def rings(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+def rings(atoms: DataFrame, bonds: DataFrame, dist: DataFrame | None = None) -> DataFrame:
     """Ring counts by the cyclomatic number E - V + C, on the whole graph and on the aromatic
-    subgraph (aromatic bonds between aromatic atoms); aliphatic = total - aromatic."""
+    subgraph (aromatic bonds between aromatic atoms); aliphatic = total - aromatic.
+
+    With ``dist`` (D4 over the same bonds) the whole-graph component count needs no extra
+    iterative job: an atom represents its component iff no atom reachable from it has a smaller id."""
+    def cyclomatic_from_dist(at: DataFrame, bo: DataFrame, name: str) -> DataFrame:
+        v = at.groupBy(M).agg(F.count(F.lit(1)).alias("_v"))
+        e = bo.groupBy(M).agg(F.count(F.lit(1)).alias("_e"))
+        smaller = dist.filter(F.col("dst") < F.col("src")).select(M, F.col("src").alias("atom_id")).distinct()
+        reps = at.select(M, "atom_id").join(smaller, [M, "atom_id"], "left_anti").groupBy(M).agg(F.count(F.lit(1)).alias("_c"))
+        return (v.join(e, M, "left").join(reps, M, "left")
+                .select(M, (F.coalesce("_e", F.lit(0)) - F.col("_v") + F.coalesce("_c", F.lit(0))).alias(name)))
+
     def cyclomatic(at: DataFrame, bo: DataFrame, name: str) -> DataFrame:
         v = at.groupBy(M).agg(F.count(F.lit(1)).alias("_v"))
         e = bo.groupBy(M).agg(F.count(F.lit(1)).alias("_e"))
@@ -176,7 +187,7 @@ def rings(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     arom_ids = arom_atoms.select(M, F.col("atom_id").alias("a"))
     arom_bonds = (bonds.filter(F.coalesce("aromatic", F.lit(False))).join(arom_ids, [M, "a"], "left_semi")
                   .join(arom_ids.withColumnRenamed("a", "b"), [M, "b"], "left_semi"))
-    total = cyclomatic(atoms, bonds, "_rings")
+    total = cyclomatic_from_dist(atoms, bonds, "_rings") if dist is not None else cyclomatic(atoms, bonds, "_rings")
     arom = cyclomatic(arom_atoms, arom_bonds, "NumAromaticRings")
     return total.join(arom, M, "left").select(
         M, F.coalesce("NumAromaticRings", F.lit(0)).alias("NumAromaticRings"),
@@ -290,7 +301,7 @@ def descriptors(atoms: DataFrame, bonds: DataFrame, with_bcut: bool = True) -> D
     dist = distances(atoms, bonds)
     out = (counts(atoms, bonds).join(topological_indices(atoms, bonds, dist), M, "left")
            .join(zagreb(atoms, bonds), M, "left").join(charge_extremes(atoms), M, "left")
-           .join(rings(atoms, bonds), M, "left"))
+           .join(rings(atoms, bonds, dist), M, "left"))
     if with_bcut:
         out = out.join(bcut(atoms, bonds), M, "left")
     return out

@@ -54,3 +54,15 @@ def test_fingerprints(spark):
     assert len(mg["ring"]) == 3  # one environment per round in a symmetric ring
     pf = {r.mol_id: r.on_bits for r in G.paths(a, b, max_bonds=3).collect()}
     assert len(pf["path"]) == 3
+
+
+def test_rings_from_distances_match(spark):
+    a, b = _mols(spark)
+    # add a second fragment to the path molecule: two components
+    extra_a = spark.createDataFrame([("path", 10, "C", False, 0.0), ("path", 11, "C", False, 0.0), ("path", 12, "C", False, 0.0)],
+                                    a.schema)
+    extra_b = spark.createDataFrame([("path", 10, 11, 1.0, False), ("path", 11, 12, 1.0, False), ("path", 10, 12, 1.0, False)], b.schema)
+    a2, b2 = a.unionByName(extra_a), b.unionByName(extra_b)
+    plain = {r.mol_id: (r.NumAromaticRings, r.NumAliphaticRings) for r in G.rings(a2, b2).collect()}
+    via = {r.mol_id: (r.NumAromaticRings, r.NumAliphaticRings) for r in G.rings(a2, b2, G.distances(a2, b2)).collect()}
+    assert plain == via and plain["path"] == (0, 1)
