@@ -239,7 +239,7 @@ _ELEMENTS_SQL = r"""list_distinct(list_transform(regexp_extract_all(text, '(\[[0
 
 
 @register("B31_is_organic", f"""SELECT doc_id, NOT list_has_any(el, {_METALS_SQL}) AND list_contains(el, 'C') AND len(el) > 1 AS organic,
-    len(el) AS n_elements FROM (SELECT doc_id, {_ELEMENTS_SQL} AS el FROM documents)""")
+    len(el)::INT AS n_elements FROM (SELECT doc_id, {_ELEMENTS_SQL} AS el FROM documents)""")
 def b31(spark, d):
     df = C.evaluate_once(spread(table(spark, d, "documents")), "el", K.element_set("text"))
     return df.select("doc_id", K.is_organic(F.col("el")).alias("organic"), F.size("el").alias("n_elements"))

@@ -92,7 +92,7 @@ def c7(spark, d):
     return rounded(D.activity_cliffs(x, "cluster", "v", 0.2))
 
 
-@register("C8_stereo_check", """SELECT d.doc_id, len(regexp_extract_all(d.text, '(@@?)', 1)) AS stereo_centres,
+@register("C8_stereo_check", """SELECT d.doc_id, len(regexp_extract_all(d.text, '(@@?)', 1))::INT AS stereo_centres,
     'Passed Stereochemistry Verification; ' AS Status
     FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE len(regexp_extract_all(d.text, '(@@?)', 1)) = l.quality""")
 def c8(spark, d):

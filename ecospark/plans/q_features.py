@@ -56,7 +56,7 @@ def _f1_row(x):
     num = x != "l_returnflag"
     z = f"count(CASE WHEN {x} = 0 THEN 1 END)" if num else "0::BIGINT"
     o = f"count(CASE WHEN {x} = 1 THEN 1 END)" if num else "0::BIGINT"
-    m = f"count_if({x} IS NULL)"
+    m = f"count(*) FILTER (WHERE {x} IS NULL)"
     return (f"SELECT '{x}' AS column, count(*) AS n, {m} AS missing, {z} AS zeros, {o} AS ones, "
             f"({m} = count(*) OR {z} = count(*) OR {o} = count(*) OR {m} > count(*) * 0.5) AS drop FROM {WIDE_SQL}")
 
@@ -82,7 +82,7 @@ def f3(spark, d):
 
 def _f4_row(x):
     v = f"{x}::DOUBLE" if x != "l_returnflag" else x
-    m = f"count_if({x} IS NULL)"
+    m = f"count(*) FILTER (WHERE {x} IS NULL)"
     single = f"coalesce(min({v}) = max({v}), false)"
     return (f"SELECT '{x}' AS column, count(*) AS n, {m} AS missing, {single} AS single, "
             f"({m} = count(*) OR {single} OR {m} > count(*) * 0.9) AS drop FROM {WIDE_SQL}")
@@ -140,7 +140,7 @@ F8_COLS = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "p_size", "p_ret
 
 
 @register("F8_f_test_top_k", f"""WITH s AS ({" UNION ALL ".join(
-    f"SELECT '{x}' AS feature, corr({x}, {TARGET}) AS r, count_if({x} IS NOT NULL AND {TARGET} IS NOT NULL) AS m FROM {FT_SQL}" for x in F8_COLS)}),
+    f"SELECT '{x}' AS feature, corr({x}, {TARGET}) AS r, count(*) FILTER (WHERE {x} IS NOT NULL AND {TARGET} IS NOT NULL) AS m FROM {FT_SQL}" for x in F8_COLS)}),
     f AS (SELECT feature, r * r / nullif(1 - r * r, 0) * (m - 2) AS f_value FROM s),
     t AS (SELECT feature FROM f WHERE f_value IS NOT NULL ORDER BY f_value DESC, feature LIMIT 3)
     SELECT f.feature, round(f_value, 6) AS f_value, t.feature IS NOT NULL AS selected FROM f LEFT JOIN t ON f.feature = t.feature""")

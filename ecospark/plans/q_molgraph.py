@@ -43,7 +43,7 @@ PAIRS = f"(SELECT x.mol_id, x.atom_id AS src, y.atom_id AS dst, abs(x.atom_id -
 
 
 @register("D1_constitutional_counts", f"""SELECT a.mol_id, count(*) AS NumAtoms, coalesce(max(b.nb), 0) AS NumBonds,
-    count_if(a.aromatic) AS NumAromaticAtoms FROM {AT} a LEFT JOIN (SELECT mol_id, count(*) AS nb FROM {BD} GROUP BY mol_id) b
+    count(*) FILTER (WHERE a.aromatic) AS NumAromaticAtoms FROM {AT} a LEFT JOIN (SELECT mol_id, count(*) AS nb FROM {BD} GROUP BY mol_id) b
     ON a.mol_id = b.mol_id GROUP BY a.mol_id""")
 def d1(spark, d):
     return G.counts(atoms(spark, d), bonds(spark, d))
@@ -102,7 +102,7 @@ RING_BD = f"""(SELECT * FROM {BD} UNION ALL SELECT conv_id, min(turn)::INT, max(
     reach(mol_id, node, lab) AS (SELECT mol_id, a, a FROM e UNION SELECT mol_id, a, b FROM e
         UNION SELECT r.mol_id, r.node, e.b FROM reach r JOIN e ON r.mol_id = e.mol_id AND r.lab = e.a),
     comp AS (SELECT mol_id, count(DISTINCT lab) AS c, count(*) AS v FROM (SELECT mol_id, node, min(lab) AS lab FROM reach GROUP BY 1, 2) GROUP BY 1),
-    va AS (SELECT mol_id, count_if(aromatic) AS v FROM {AT} GROUP BY 1),
+    va AS (SELECT mol_id, count(*) FILTER (WHERE aromatic) AS v FROM {AT} GROUP BY 1),
     tot AS (SELECT a.mol_id, coalesce(b.e, 0) - a.v + 1 AS rings FROM (SELECT mol_id, count(*) AS v FROM {AT} GROUP BY 1) a
             LEFT JOIN (SELECT mol_id, count(*) AS e FROM rb GROUP BY 1) b ON a.mol_id = b.mol_id),
     aro AS (SELECT va.mol_id, coalesce(x.e, 0) - va.v + coalesce(comp.c, 0) + (va.v - coalesce(comp.v, 0)) AS ar

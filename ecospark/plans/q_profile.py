@@ -35,7 +35,7 @@ def g4(spark, d):
 
 
 @register("G7_count_pivot", "SELECT o.o_orderstatus, o.o_orderpriority, "
-          + ", ".join(f"count_if(c.c_mktsegment = '{s}') AS {s.lower()}" for s in SEGMENTS)
+          + ", ".join(f"count(*) FILTER (WHERE c.c_mktsegment = '{s}') AS {s.lower()}" for s in SEGMENTS)
           + " FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1, 2")
 def g7(spark, d):
     o = table(spark, d, "orders").join(
@@ -48,7 +48,7 @@ _DL = "(SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM do
 
 
 @register("G9_missing_values", " UNION ALL ".join(
-    f"SELECT '{x}' AS column, count_if({x} IS NULL) AS missing, round(count_if({x} IS NULL) * 100.0 / count(*), 6) AS percent FROM {_DL}"
+    f"SELECT '{x}' AS column, count(*) FILTER (WHERE {x} IS NULL) AS missing, round(count(*) FILTER (WHERE {x} IS NULL) * 100.0 / count(*), 6) AS percent FROM {_DL}"
     for x in _DL_COLS))
 def g9(spark, d):
     df = table(spark, d, "documents").drop("text").join(table(spark, d, "labels"), "doc_id", "left")
@@ -64,7 +64,7 @@ def g10(spark, d):
 
 
 @register("G11_describe_text", " UNION ALL ".join(
-    f"""SELECT '{x}' AS column, sum(freq) AS count, count(*) AS unique, arg_min(v, (-freq, v)) AS top, max(freq) AS freq
+    f"""SELECT '{x}' AS column, sum(freq)::BIGINT AS count, count(*) AS unique, arg_min(v, (-freq, v)) AS top, max(freq) AS freq
     FROM (SELECT {x} AS v, count(*) AS freq FROM part WHERE {x} IS NOT NULL GROUP BY {x})"""
     for x in ["p_name", "p_brand", "p_type"]))
 def g11(spark, d):
@@ -136,7 +136,7 @@ def g22(spark, d):
     return rounded(P.histogram(table(spark, d, "lineitem"), "l_extendedprice", 50))
 
 
-@register("G23_running_total", """SELECT ship_day, n, sum(n) OVER (ORDER BY ship_day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative
+@register("G23_running_total", """SELECT ship_day, n, (sum(n) OVER (ORDER BY ship_day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS cumulative
     FROM (SELECT strftime(l_shipdate, '%Y-%m-%d') AS ship_day, count(*) AS n FROM lineitem GROUP BY 1)""")
 def g23(spark, d):
     daily = table(spark, d, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM-dd").alias("ship_day")).agg(

@@ -179,7 +179,7 @@ WORDS = ["the", "und", "les", "los"]
 
 
 @register("R10_source_keyword_counts", " UNION ALL ".join(
-    f"SELECT '{w}' AS source, count_if(coalesce(contains(lower(text), '{w}'), false)) AS count FROM documents" for w in WORDS))
+    f"SELECT '{w}' AS source, count(*) FILTER (WHERE coalesce(contains(lower(text), '{w}'), false)) AS count FROM documents" for w in WORDS))
 def r10(spark, d):
     return R.source_counts(table(spark, d, "documents"), "text", WORDS)
 

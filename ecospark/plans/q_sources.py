@@ -74,7 +74,7 @@ def _sdf_round_trip(spark, d):
 
 
 @register("A9_A10_sdf_round_trip", """SELECT conv_id::VARCHAR AS name, count(*)::INT AS n_atoms, (count(*) - 1)::INT AS n_bonds,
-    count(*)::VARCHAR AS turns, 'Passed' AS status, count_if(role = 'user') AS user_atoms FROM conversations GROUP BY conv_id""")
+    count(*)::VARCHAR AS turns, 'Passed' AS status, count(*) FILTER (WHERE role = 'user') AS user_atoms FROM conversations GROUP BY conv_id""")
 def a9(spark, d):
     records, atoms_, bonds_ = _sdf_round_trip(spark, d)
     ua = atoms_.groupBy("mol_id").agg(F.count_if(F.col("element") == "U").alias("user_atoms"))
