@@ -181,7 +181,9 @@ class SVRegressor:
         self.kernel, self.gamma, self.D, self.max_iter, self.step, self.seed = kernel, gamma, n_components, max_iter, step, seed
 
     def _features(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
-        x = [F.coalesce(c(n).cast("double"), F.lit(0.0)) for n in self.cols]
+        # standardised inputs (statistics from the training data), as the reference's scaler does
+        x = [(F.coalesce(c(n).cast("double"), F.lit(m)) - F.lit(m)) / F.lit(sd)
+             for n, m, sd in zip(self.cols, self.mean_, self.std_)]
         if self.kernel == "linear":
             names = [f"_x{i}" for i in range(len(x))]
             return df.select(*[e.alias(n) for e, n in zip(x, names)], c(self.label).cast("double").alias("_y")), names
@@ -194,20 +196,31 @@ class SVRegressor:
         return df.select(*[e.alias(n) for e, n in zip(z, names)], c(self.label).cast("double").alias("_y")), names
 
     def fit(self, df: DataFrame) -> SVRegressor:
+        stats = df.agg(*[F.avg(c(n).cast("double")).alias(f"m{i}") for i, n in enumerate(self.cols)],
+                       *[F.stddev_pop(c(n).cast("double")).alias(f"s{i}") for i, n in enumerate(self.cols)],
+                       F.percentile_approx(c(self.label).cast("double"), F.lit(0.5), F.lit(10000)).alias("med"),
+                       F.stddev_pop(c(self.label).cast("double")).alias("ys")).first()
+        self.mean_ = [float(stats[f"m{i}"] or 0.0) for i in range(len(self.cols))]
+        self.std_ = [float(stats[f"s{i}"] or 1.0) or 1.0 for i in range(len(self.cols))]
+        # the intercept starts at the median (the best constant under an absolute-type loss) and
+        # steps are taken in units of the target's spread, then mapped back
+        self.y0_, self.yscale_ = float(stats["med"] or 0.0), float(stats["ys"] or 1.0) or 1.0
         data, names = self._features(df)
-        data = data.cache()
+        data = data.withColumn("_y", (F.col("_y") - F.lit(self.y0_)) / F.lit(self.yscale_)).cache()
         n = data.count()
+        eps = self.eps / self.yscale_
         coef, bias = np.zeros(len(names)), 0.0
         for t in range(self.max_iter):
             r = sum((F.lit(float(coef[i])) * F.col(nm) for i, nm in enumerate(names)), F.lit(bias)) - F.col("_y")
-            g = F.when(r > self.eps, 1.0).when(r < -self.eps, -1.0).otherwise(0.0)
+            g = F.when(r > eps, 1.0).when(r < -eps, -1.0).otherwise(0.0)
             sums = data.agg(F.sum(g).alias("gb"), *[F.sum(g * F.col(nm)).alias(f"g{i}") for i, nm in enumerate(names)]).first()
             grad = np.array([sums[f"g{i}"] for i in range(len(names))]) * (self.C / n) + coef / n
             lr = self.step / math.sqrt(t + 1)
             coef = coef - lr * grad
             bias = bias - lr * sums["gb"] * (self.C / n)
         data.unpersist()
-        self.coef_, self.intercept_ = coef, bias
+        self.coef_ = coef * self.yscale_
+        self.intercept_ = bias * self.yscale_ + self.y0_
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
