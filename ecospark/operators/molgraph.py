@@ -290,7 +290,8 @@ def paths(atoms: DataFrame, bonds: DataFrame, max_bonds: int = 7, n_bits: int =
 
 def bits_to_columns(fp: DataFrame, family: str, n_bits: int) -> DataFrame:
     """On-bit array -> ``{family}_0 .. {family}_{n-1}`` 0/1 columns (export only)."""
-    return fp.select(M, *[F.array_contains("on_bits", i).cast("int").alias(f"{family}_{i}") for i in range(n_bits)])
+    # one selectExpr call: n_bits generated expressions analysed JVM-side (no Py4J round trip per column)
+    return fp.selectExpr(M, *[f"CAST(array_contains(on_bits, {i}) AS INT) AS `{family}_{i}`" for i in range(n_bits)])
 
 
 # ---------------------------------------------------------------- assembly
