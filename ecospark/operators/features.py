@@ -38,24 +38,56 @@ def _blocks(cols: Sequence[str]) -> list[list[str]]:
     return [cols[i:i + BLOCK] for i in range(0, len(cols), BLOCK)] or [[]]
 
 
-def _report(df: DataFrame, cols: Sequence[str], stats) -> DataFrame:
-    """Long-form per-column statistics: ``stats(col) -> list[(name, Column)]``, block by block."""
+WIDE = 64
+
+
+def _report(df: DataFrame, cols: Sequence[str], stats, target: str | None = None) -> DataFrame:
+    """Long-form per-column statistics ``(column, n, <stat>...)``. ``stats(col)`` returns
+    ``[(name, sql)]`` with ``{v}`` standing for the column (and ``{t}`` for ``target``).
+
+    Narrow frames: one global aggregate per block of columns (one ``selectExpr``). Wide frames
+    (more than ``WIDE`` columns): the columns are unpivoted with one ``stack`` expression and
+    aggregated by column name -- partial aggregation leaves one row per column and task, so the
+    shuffle is tiny, and no plan holds hundreds of aggregate expressions."""
+    cols = list(cols)
+    tcol = _q(target) if target else None
+    if len(cols) > WIDE:
+        num = set(numeric(df))
+        out = None
+        for group, typ in (([x for x in cols if x in num], "DOUBLE"), ([x for x in cols if x not in num], "STRING")):
+            if not group:
+                continue
+            names = [n for n, _ in stats(group[0])]
+            stack = f"stack({len(group)}, " + ", ".join(f"{_sql_str(x)}, CAST({_q(x)} AS {typ})" for x in group) + ") AS (column, v)"
+            extra = [f"CAST({tcol} AS DOUBLE) AS t"] if tcol else []
+            long = df.selectExpr(stack, *extra)
+            aggs = [F.count(F.lit(1)).alias("n")] + [F.expr(e.format(v="v", t="t")).alias(n) for n, e in stats(group[0])]
+            rows = long.groupBy("column").agg(*aggs).select("column", "n", *names)
+            out = rows if out is None else out.unionByName(rows)
+        return out
     out = None
     for block in _blocks(cols):
         if not block:
             continue
-        aggs = [F.count(F.lit(1)).alias("_n")]
-        for i, x in enumerate(block):
-            aggs += [e.alias(f"{n}__{i}") for n, e in stats(x)]
-        one = df.agg(*aggs)
         names = [n for n, _ in stats(block[0])]
-        rows = one.select(F.explode(F.array(*[
-            F.struct(F.lit(x).alias("column"), F.col("_n").alias("n"), *[F.col(f"{n}__{i}").alias(n) for n in names])
-            for i, x in enumerate(block)])).alias("r")).select("r.*")
+        aggs = ["count(1) AS _n"] + [f"{e.format(v=_q(x), t=tcol)} AS `{n}__{i}`" for i, x in enumerate(block) for n, e in stats(x)]
+        one = df.selectExpr(*aggs)
+        structs = ", ".join(
+            "named_struct('column', " + _sql_str(x) + ", 'n', _n, "
+            + ", ".join(f"'{n}', `{n}__{i}`" for n in names) + ")" for i, x in enumerate(block))
+        rows = one.selectExpr(f"inline(array({structs}))")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def _sql_str(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _q(x: str) -> str:
+    return "`" + x.replace("`", "``") + "`"
+
+
 def _kept(report: DataFrame, df: DataFrame, drop_col: str = "drop") -> list[str]:
     dropped = {r["column"] for r in report.filter(F.col(drop_col)).select("column").collect()}
     return [x for x in df.columns if x not in dropped]
@@ -71,10 +103,9 @@ def uninformative_report(df: DataFrame, ratio: float = 0.5, cols: Sequence[str]
     num = set(numeric(df))
 
     def stats(x):
-        v = c(x)
-        eq0 = F.count_if(v == 0) if x in num else F.lit(0).cast("long")
-        eq1 = F.count_if(v == 1) if x in num else F.lit(0).cast("long")
-        return [("missing", F.count_if(v.isNull())), ("zeros", eq0), ("ones", eq1)]
+        eq0 = "count_if({v} = 0)" if x in num else "CAST(0 AS BIGINT)"
+        eq1 = "count_if({v} = 1)" if x in num else "CAST(0 AS BIGINT)"
+        return [("missing", "count_if({v} IS NULL)"), ("zeros", eq0), ("ones", eq1)]
 
     r = _report(df, cols, stats)
     drop = ((F.col("missing") == F.col("n")) | (F.col("zeros") == F.col("n")) | (F.col("ones") == F.col("n"))
@@ -90,7 +121,7 @@ def drop_uninformative(df: DataFrame, ratio: float = 0.5, keep: Sequence[str] =
 def constant_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """a column with one distinct non-null value that is 0 or 1 (min == max in {0, 1})."""
     cols = list(cols) if cols else numeric(df)
-    r = _report(df, cols, lambda x: [("lo", F.min(c(x)).cast("double")), ("hi", F.max(c(x)).cast("double"))])
+    r = _report(df, cols, lambda x: [("lo", "CAST(min({v}) AS DOUBLE)"), ("hi", "CAST(max({v}) AS DOUBLE)")])
     return r.withColumn("drop", F.coalesce((F.col("lo") == F.col("hi")) & F.col("lo").isin(0.0, 1.0), F.lit(False)))
 
 
@@ -102,7 +133,7 @@ def variance_report(df: DataFrame, threshold: float = 0.01, cols: Sequence[str]
     """population variance (nulls ignored); ``drop`` unless variance > threshold (all-null
     columns have no variance and go too). Non-numeric columns are not judged."""
     cols = list(cols) if cols else numeric(df)
-    r = _report(df, cols, lambda x: [("variance", F.var_pop(c(x).cast("double")))])
+    r = _report(df, cols, lambda x: [("variance", "var_pop(CAST({v} AS DOUBLE))")])
     return r.withColumn("drop", ~F.coalesce(F.col("variance") > threshold, F.lit(False)))
 
 
@@ -117,8 +148,8 @@ def sparse_report(df: DataFrame, ratio: float = 0.9, cols: Sequence[str] | None
     num = set(numeric(df))
 
     def stats(x):
-        v = c(x).cast("double") if x in num else c(x).cast("string")
-        return [("missing", F.count_if(c(x).isNull())), ("single", F.coalesce(F.min(v) == F.max(v), F.lit(False)))]
+        v = "CAST({v} AS DOUBLE)" if x in num else "CAST({v} AS STRING)"
+        return [("missing", "count_if({v} IS NULL)"), ("single", f"coalesce(min({v}) = max({v}), false)")]
 
     r = _report(df, cols, stats)
     return r.withColumn("drop", (F.col("missing") == F.col("n")) | F.col("single")
@@ -177,8 +208,9 @@ def f_test(df: DataFrame, target: str, k: int, cols: Sequence[str] | None = None
     """F8: univariate regression F statistic per feature, F = r^2 / (1 - r^2) * (n - 2) over the
     pairwise-complete rows; the k best are ``selected`` (ties by name)."""
     cols = [x for x in (cols or numeric(df)) if x != target]
-    stats = _report(df, cols, lambda x: [("r", F.corr(c(x).cast("double"), c(target).cast("double"))),
-                                          ("m", F.count_if(c(x).isNotNull() & c(target).isNotNull()))])
+    corr = P.SAFE_CORR_SQL.format(a="CAST({v} AS DOUBLE)", b="CAST({t} AS DOUBLE)")
+    stats = _report(df, cols, lambda x: [("r", corr),
+                                          ("m", "count_if({v} IS NOT NULL AND {t} IS NOT NULL)")], target=target)
     fv = F.try_divide(F.col("r") * F.col("r"), 1 - F.col("r") * F.col("r")) * (F.col("m") - 2)
     scored = stats.select(F.col("column").alias("feature"), fv.alias("f_value"))
     top = scored.filter(F.col("f_value").isNotNull()).orderBy(F.col("f_value").desc(), "feature").limit(k).select(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ecospark.functions.cols import c, numeric
+from ecospark.session import cut_lineage
 
 # ---------------------------------------------------------------- counts
 
@@ -172,7 +173,9 @@ def prefix_sum(df: DataFrame, order: Sequence[str], value: str, out: str = "cumu
     by = list(by)
     n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [*by, *order]
-    ranged = df.repartitionByRange(n_parts, *[c(k) for k in keys]).withColumn("_pid", F.spark_partition_id())
+    # the partition id of a row must be the same for the running sums and the per-partition
+    # totals: range bounds come from sampling, so the assignment is materialised once
+    ranged = cut_lineage(df.repartitionByRange(n_parts, *[c(k) for k in keys]).withColumn("_pid", F.spark_partition_id()))
     local = Window.partitionBy("_pid", *[c(b) for b in by]).orderBy(*[c(o) for o in order]).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     ranged = ranged.withColumn("_local", F.sum(c(value)).over(local))
@@ -205,6 +208,18 @@ def cumulative(df: DataFrame, order: Sequence[str], value: str, out: str = "cumu
 # ---------------------------------------------------------------- correlations
 
 
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson r over the rows where both sides are present; null (not an error) when either side
+    is constant. (``corr`` divides by zero on a constant column under ANSI mode.)"""
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(F.covar_pop(x, y),
+                        F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+
+
+SAFE_CORR_SQL = ("try_divide(covar_pop({a}, {b}), stddev_pop(CASE WHEN {b} IS NOT NULL THEN {a} END) "
+                 "* stddev_pop(CASE WHEN {a} IS NOT NULL THEN {b} END))")
+
+
 def pearson(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """Pairwise-complete Pearson r for each pair (all i < j by default), long form (a, b, r).
 
@@ -212,7 +227,7 @@ def pearson(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str, str]]
     into null first so it is skipped too."""
     pairs = list(pairs) if pairs else [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     clean = lambda x: F.nanvl(c(x).cast("double"), F.lit(None).cast("double"))
-    one = df.agg(*[F.corr(clean(a), clean(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.agg(*[safe_corr(clean(a), clean(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     return one.select(_long([F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
                              for i, (a, b) in enumerate(pairs)]).alias("x")).select("x.*")
 
@@ -240,13 +255,13 @@ def spearman(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
         ranked_y = average_rank(base, [], "_y", "_ry")
         long = melt(ranked_y, cols, keep=["_ry"])
         rx = average_rank(long, ["feature"], "value", "_rx")
-        rho = rx.groupBy("feature").agg(F.corr("_rx", "_ry").alias("rho"))
+        rho = rx.groupBy("feature").agg(safe_corr(F.col("_rx"), F.col("_ry")).alias("rho"))
         return names.join(rho, "feature", "left")
     long = melt(df, cols, keep=[target]).withColumn("_y", y).drop(target)
     long = long.filter(valid(F.col("value")) & valid(F.col("_y")))
     rx = average_rank(long, ["feature"], "value", "_rx")
     ry = average_rank(rx, ["feature"], "_y", "_ry")
-    rho = ry.groupBy("feature").agg(F.corr("_rx", "_ry").alias("rho"))
+    rho = ry.groupBy("feature").agg(safe_corr(F.col("_rx"), F.col("_ry")).alias("rho"))
     return names.join(rho, "feature", "left")
 
 

@@ -56,3 +56,13 @@ def test_join_variants(spark):
     first = J.left_first(a, b, "k", ["v"], require=["v"]).collect()
     assert sorted((r.k, r.v) for r in first) == [(1, 10), (2, 20)]
     assert [r.k for r in J.anti(a, b, "k").collect()] == [3]
+
+
+def test_prefix_sum_and_ranks_at_sampling_scale(spark):
+    # large enough that range bounds come from sampling (the partition assignment must be stable)
+    big = spark.range(0, 120000).withColumn("x", F.lit(1))
+    assert P.prefix_sum(big, ["id"], "x", partitions=16).filter(F.col("cumulative") != F.col("id") + 1).count() == 0
+    df = spark.range(30000).selectExpr("id", "CAST(0 AS DOUBLE) AS const", "CAST(id % 5 AS DOUBLE) AS m")
+    rho = {r.feature: r.rho for r in P.spearman(df, "id", ["const", "m"]).collect()}
+    assert rho["const"] is None  # ties everywhere: undefined, not an error
+    assert abs(rho["m"]) < 0.01
