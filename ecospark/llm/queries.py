@@ -25,6 +25,21 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ecospark.llm import quality
+
+    out = quality.quality(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *quality.FIELDS, "base_failed", "kept", "distance")
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ecospark.llm import packing
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer(WORDS)).drop("tokens")
+
+
 @query
 def op9_sentencepiece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ecospark.llm import transducer
