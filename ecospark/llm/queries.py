@@ -40,6 +40,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer(WORDS)).drop("tokens")
 
 
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ecospark.llm import langid
+
+    return langid.identify(table(spark, sf_dir, "documents"), tokenizer(PIECES))
+
+
 @query
 def op9_sentencepiece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ecospark.llm import transducer
