@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ecospark.session import table
 
@@ -47,6 +48,35 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), tokenizer(PIECES))
 
 
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ecospark.llm import linededup
+
+    out = linededup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", F.size("deleted").cast("long").alias("n_deleted"),
+                      F.array_join(F.col("deleted").cast("array<string>"), ",").alias("deleted"), "text")
+
+
+ORACLES["op8_line_dedup"] = r"""
+WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+ l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM split),
+ w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw FROM l),
+ c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS j,
+         sum(nw) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM w WHERE nw > 0),
+ run AS (SELECT a.doc_id, a.j AS s, min(b.j) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.j >= a.j AND b.j < a.j + 50
+           AND b.upto - a.upto + a.nw >= 50 GROUP BY a.doc_id, a.j
+         UNION SELECT b.doc_id, max(a.j), b.j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.j >= a.j AND b.j < a.j + 50
+           AND b.upto - a.upto + a.nw >= 50 GROUP BY b.doc_id, b.j),
+ body AS (SELECT r.doc_id, r.s, r.e, string_agg(c.line, chr(10) ORDER BY c.j) AS body FROM run r
+          JOIN c ON c.doc_id = r.doc_id AND c.j BETWEEN r.s AND r.e GROUP BY r.doc_id, r.s, r.e),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS k FROM body),
+ gone AS (SELECT DISTINCT c.doc_id, c.pos FROM ranked r JOIN c ON c.doc_id = r.doc_id AND c.j BETWEEN r.s AND r.e WHERE r.k > 1)
+SELECT d.doc_id, len(d.ls) AS n_lines, count(g.pos) AS n_deleted, coalesce(string_agg(CAST(g.pos AS VARCHAR), ',' ORDER BY g.pos), '') AS deleted,
+  coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS text
+FROM split d JOIN l ON l.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY d.doc_id, d.ls
+"""
+
+
 @query
 def op9_sentencepiece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ecospark.llm import transducer
