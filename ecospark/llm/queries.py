@@ -62,6 +62,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer(WORDS)).drop("tokens")
 
 
+@query
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ecospark.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ecospark.llm import langid
