@@ -33,9 +33,11 @@ GROUP = 3000
 
 
 class WordTokenizer:
-    """A ``tokenizers`` file whose pre-tokenizer drops white space: the ids of a text are the ids of its
-    space-separated words one after another, so a word seen before costs a look-up. Special strings and everything
-    else inside a word are left to the library. ``words=False`` encodes whole texts."""
+    """A ``tokenizers`` file whose normaliser lower-cases and whose pre-tokenizer drops white space and keeps letters and
+    punctuation apart: the ids of a text are the ids of its space-separated words one after another, and a word's
+    are those of its stem and of the punctuation after it. Parts seen before cost a look-up; new stems of letters are
+    encoded many at a time and told apart by their word-end tokens. Words that could hold a special string, and all
+    else, are left to the library as they are. ``words=False`` encodes whole texts."""
 
     def __init__(self, path: str, words: bool = True) -> None:
         import os
@@ -44,21 +46,50 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library, self.words, self.known = Tokenizer.from_file(path), words, {}
+        self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(self.library.get_vocab_size())])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _stems(self, stems: list[str]) -> list[bytes]:
+        """Ids of words made of letters."""
+        out: list[bytes] = []
+        for i in range(0, len(stems), 500):
+            part = stems[i : i + 500]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(part) and cut[-1] == len(ids):
+                raw, at = ids.tobytes(), [0, *(4 * cut).tolist()]
+                out += [raw[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
+            else:  # a letter that lower-cases to more than a letter
+                out += self._encode(part)
+        return out
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, parts = self.known, {}
+        for w in words:
+            stem = w.rstrip(b".,;:!?")
+            parts[w] = (stem, w[len(stem) :]) if b"<|" not in w and stem[-1:].isalpha() else (w, b"")
+        fresh = {x: x.decode("utf-8", "surrogatepass") for p in parts.values() for x in p if x and x not in known}
+        letters = [x for x, t in fresh.items() if t.isalpha()]
+        other = [x for x, t in fresh.items() if not t.isalpha()]
+        known.update(zip(letters, self._stems([fresh[x] for x in letters]), strict=True))
+        known.update(zip(other, self._encode([fresh[x] for x in other]), strict=True))
+        known.update((w, known[stem] + known[tail]) for w, (stem, tail) in parts.items() if tail)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
         if not self.words:
             return self._encode(texts)
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]  # ASCII white space
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        # A-Z can be lower-cased first, but not inside a special string; the words end at ASCII white space
+        split = [(t if b"<|" in t else t.lower()).split() for t in raw]
         known = self.known
-        fresh = list({w for ws in split for w in ws if w not in known})
+        fresh = {w for ws in split for w in ws if w not in known}
         if len(known) + len(fresh) > CACHE:
             known.clear()
-            fresh = list({w for ws in split for w in ws})
-        known.update(zip(fresh, self._encode([w.decode("utf-8", "surrogatepass") for w in fresh]), strict=True))
+            fresh = {w for ws in split for w in ws}
+        self._learn(fresh)
         return [b"".join([known[w] for w in ws]) for ws in split]
 
 

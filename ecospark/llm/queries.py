@@ -69,6 +69,13 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ecospark.llm import lm
+
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ecospark.llm import langid
