@@ -69,6 +69,13 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ecospark.llm import embeddings
+
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ecospark.llm import lm
