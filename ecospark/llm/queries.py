@@ -131,3 +131,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ecospark.llm import tokencount
 
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer(PIECES))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
