@@ -93,16 +93,18 @@ def fill_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def quantile_value(df: DataFrame, col: str, q: float, exact: bool = True) -> float | None:
     """G13 helper: one quantile as a driver scalar (linear interpolation like pandas when exact)."""
-    agg = F.percentile(c(col), F.lit(q)) if exact else F.percentile_approx(c(col), F.lit(q), F.lit(100000))
-    return df.agg(agg.alias("q")).first()["q"]
+    from ecospark.operators.profile import quantile
+
+    return quantile(df, col, q, exact).first()["quantile"]
 
 
 def clip_upper(df: DataFrame, col: str, q: float = 0.99, exact: bool = True) -> DataFrame:
-    """Clip above at the q-quantile of the column."""
+    """Clip above at the q-quantile of the column. Missing values (null, NaN) stay missing."""
     bound = quantile_value(df, col, q, exact)
     if bound is None:
         return df
-    return df.withColumn(col, F.least(c(col), F.lit(float(bound))))
+    v = c(col).cast("double")
+    return df.withColumn(col, F.when(~F.isnan(v) & (v > F.lit(float(bound))), F.lit(float(bound))).otherwise(c(col)))
 
 
 def log1p(col: ColumnOrName) -> Column:

@@ -3,11 +3,11 @@
 * Similarity (C5) is an exact set-similarity join. Identical sets are collapsed to one
   representative first; candidates come from *prefix filtering* (a pair with Jaccard >= t must
   share one of the first ``|A| - ceil(t|A|) + 1`` tokens of each set under a global
-  rare-first token order), then every candidate is verified exactly. No token posting list is
-  expanded into all its pairs, so frequent tokens cost nothing.
+  rare-first token order), then every candidate is verified exactly. A token that is in many
+  prefixes still pairs its sets: low thresholds (long prefixes) over frequent words are quadratic there.
 * Clustering (C6) is DBSCAN with ``min_samples = 2``: a cluster is a connected component (size
-  >= 2) of the graph ``1 - sim <= eps``. Components come from min-label propagation with pointer
-  jumping; each round is checkpointed to the shared checkpoint folder.
+  >= 2) of the graph ``1 - sim <= eps``. Components come from alternating large-star and small-star
+  rounds, each checkpointed to the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from ecospark.functions.cols import c, evaluate_once
 from ecospark.operators import joins as J
 from ecospark.operators.profile import prefix_sum
 from ecospark.operators.resolve import tanimoto  # noqa: F401  (S1 lives with the set helpers)
-from ecospark.session import cut_lineage, spread
+from ecospark.session import cut_lineage
 
 # ---------------------------------------------------------------- exact dedup
 
@@ -53,7 +53,7 @@ def repeated_keys(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
 def token_sets(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     """``(id, toks)`` with ``toks`` the distinct, sorted tokens of each row (tokenised once per row,
     even when later filters test the set)."""
-    return evaluate_once(spread(df).select(c(id_col).alias("id"), tokens.alias("_raw")), "toks",
+    return evaluate_once(df.select(c(id_col).alias("id"), tokens.alias("_raw")), "toks",
                          F.array_sort(F.array_distinct("_raw"))).drop("_raw")
 
 
@@ -136,32 +136,38 @@ def similar_pairs(df: DataFrame, id_col: str, tokens: Column, min_sim: float = 0
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 500, group: Sequence[str] = ()) -> DataFrame:
-    """Min-label connected components of an undirected edge list ``(*group, a, b)``.
-
-    Each round: every node takes the smallest label among itself and its neighbours, then
-    jumps to its label's label (pointer jumping halves chains). The label table is checkpointed
-    every round (reliable checkpoint, so executor loss never replays the whole loop). With
-    ``group`` columns (e.g. a molecule id) components never cross groups.
-    Returns ``(*group, node, label)``."""
+    """Connected components of an undirected edge list ``(*group, a, b)`` by alternating star rounds.
+
+    A *large-star* round hangs every larger neighbour of a node on the smallest node of its neighbourhood; a
+    *small-star* round does so with the smaller neighbours and the node itself. The edges shrink to one star per
+    component, whose centre is the smallest node. No join has a component's label as its key: rows meet on nodes,
+    minima are folded in every task first, and only a hub's own edges share a key (which an adaptive skew join
+    splits). Every round is a reliable checkpoint, so executor loss never replays the loop. With ``group`` columns
+    (e.g. a molecule id) components never cross groups. Returns ``(*group, node, label)`` of the nodes with an edge
+    to another node; raises if ``max_rounds`` don't suffice."""
     g = list(group)
-    und = edges.select(*g, "a", "b").unionByName(edges.select(*g, F.col("b").alias("a"), F.col("a").alias("b")))
-    und = cut_lineage(und.filter(F.col("a") != F.col("b")).distinct())
-    label = und.groupBy(*g, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    label = cut_lineage(label)
+
+    def pairs(df: DataFrame, u: Column, v: Column) -> DataFrame:
+        return df.select(*g, F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v")
+
+    def size(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*g, "u", "v").cast("decimal(38,0)"))).first())
+
+    e = cut_lineage(pairs(edges, F.col("a"), F.col("b")).distinct())
+    before = size(e)
     for _ in range(max_rounds):
-        nbr = und.join(label.select(*g, F.col("node").alias("b"), F.col("label").alias("lb")), [*g, "b"]).groupBy(
-            *g, F.col("a").alias("node")).agg(F.min("lb").alias("lb"))
-        step = label.join(nbr, [*g, "node"], "left").select(
-            *g, "node", F.least("label", F.coalesce("lb", "label")).alias("label"))
-        hop = step.select(*g, F.col("node").alias("label"), F.col("label").alias("l2"))
-        jumped = step.join(hop, [*g, "label"], "left").select(
-            *g, "node", F.least("label", F.coalesce("l2", "label")).alias("label"))
-        jumped = cut_lineage(jumped)
-        changed = (jumped.join(label.withColumnRenamed("label", "old"), [*g, "node"])
-                   .filter(F.col("label") != F.col("old")).limit(1).count())
-        label = jumped
-        if changed == 0:
-            return label
+        both = e.unionByName(e.select(*g, F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy(*g, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        e = pairs(both.filter("v > u").join(low, [*g, "u"]), F.col("v"), F.col("m")).distinct()
+        low = e.groupBy(*g, "u").agg(F.min("v").alias("m"))
+        hung = e.join(low, [*g, "u"])
+        e = pairs(hung, F.col("v"), F.col("m")).unionByName(pairs(low, F.col("u"), F.col("m"))).distinct()
+        e = cut_lineage(e)
+        now = size(e)
+        if now == before:
+            centres = e.select(*g, F.col("v").alias("node")).distinct().withColumn("label", F.col("node"))
+            return e.select(*g, F.col("u").alias("node"), F.col("v").alias("label")).unionByName(centres)
+        before = now
     raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
 
 
@@ -190,13 +196,13 @@ def cluster(pairs: DataFrame, ids: DataFrame, eps: float = 0.5, id_col: str = "i
 
 def activity_cliffs(df: DataFrame, cluster_col: str, value: str, min_range: float = 0.2) -> DataFrame:
     """Rows of clusters (not noise) whose value range >= ``min_range``; all rows if none."""
+    # three passes read ``df``: materialised once, so that the join chain behind it runs once
+    df = cut_lineage(df)
     ranges = (df.filter(c(cluster_col) != -1).groupBy(c(cluster_col))
               .agg((F.max(c(value)) - F.min(c(value))).alias("_r")).filter(F.col("_r") >= min_range)
               .select(c(cluster_col)))
-    hits = df.join(ranges, cluster_col, "left_semi")
-    if hits.limit(1).count() == 0:
-        return df
-    return hits
+    hits = cut_lineage(df.join(ranges, cluster_col, "left_semi"))
+    return df if hits.isEmpty() else hits
 
 
 def stereo_centres(smiles: Column) -> Column:

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from ecospark.functions.cols import c, numeric
 from ecospark.operators import profile as P
 
-BLOCK = 200
+BLOCK = 100
 
 
 def _blocks(cols: Sequence[str]) -> list[list[str]]:
@@ -38,33 +38,15 @@ def _blocks(cols: Sequence[str]) -> list[list[str]]:
     return [cols[i:i + BLOCK] for i in range(0, len(cols), BLOCK)] or [[]]
 
 
-WIDE = 64
-
-
 def _report(df: DataFrame, cols: Sequence[str], stats, target: str | None = None) -> DataFrame:
     """Long-form per-column statistics ``(column, n, <stat>...)``. ``stats(col)`` returns
     ``[(name, sql)]`` with ``{v}`` standing for the column (and ``{t}`` for ``target``).
 
-    Narrow frames: one global aggregate per block of columns (one ``selectExpr``). Wide frames
-    (more than ``WIDE`` columns): the columns are unpivoted with one ``stack`` expression and
-    aggregated by column name -- partial aggregation leaves one row per column and task, so the
-    shuffle is tiny, and no plan holds hundreds of aggregate expressions."""
+    One global aggregate per block of ``BLOCK`` columns (each scans only its columns), whatever the width, so no plan
+    holds more than a few hundred aggregate expressions. NaN is missing, like null."""
     cols = list(cols)
+    df = P.nan_to_null(df, [*cols, target] if target else cols)
     tcol = _q(target) if target else None
-    if len(cols) > WIDE:
-        num = set(numeric(df))
-        out = None
-        for group, typ in (([x for x in cols if x in num], "DOUBLE"), ([x for x in cols if x not in num], "STRING")):
-            if not group:
-                continue
-            names = [n for n, _ in stats(group[0])]
-            stack = f"stack({len(group)}, " + ", ".join(f"{_sql_str(x)}, CAST({_q(x)} AS {typ})" for x in group) + ") AS (column, v)"
-            extra = [f"CAST({tcol} AS DOUBLE) AS t"] if tcol else []
-            long = df.selectExpr(stack, *extra)
-            aggs = [F.count(F.lit(1)).alias("n")] + [F.expr(e.format(v="v", t="t")).alias(n) for n, e in stats(group[0])]
-            rows = long.groupBy("column").agg(*aggs).select("column", "n", *names)
-            out = rows if out is None else out.unionByName(rows)
-        return out
     out = None
     for block in _blocks(cols):
         if not block:
@@ -142,14 +124,12 @@ def drop_low_variance(df: DataFrame, threshold: float = 0.01) -> DataFrame:
 
 
 def sparse_report(df: DataFrame, ratio: float = 0.9, cols: Sequence[str] | None = None) -> DataFrame:
-    """drop all-null, single-valued (one distinct non-null value) and > ratio null columns.
-    ``(column, n, missing, single, drop)``."""
+    """drop all-null, single-valued (one distinct non-null value, compared in the column's own type) and
+    > ratio null columns. ``(column, n, missing, single, drop)``."""
     cols = list(cols) if cols else df.columns
-    num = set(numeric(df))
 
     def stats(x):
-        v = "CAST({v} AS DOUBLE)" if x in num else "CAST({v} AS STRING)"
-        return [("missing", "count_if({v} IS NULL)"), ("single", f"coalesce(min({v}) = max({v}), false)")]
+        return [("missing", "count_if({v} IS NULL)"), ("single", "coalesce(min({v}) = max({v}), false)")]
 
     r = _report(df, cols, stats)
     return r.withColumn("drop", (F.col("missing") == F.col("n")) | F.col("single")
@@ -220,23 +200,24 @@ def f_test(df: DataFrame, target: str, k: int, cols: Sequence[str] | None = None
 
 
 def mutual_info(df: DataFrame, target: str, k: int, bins: int = 10, cols: Sequence[str] | None = None) -> DataFrame:
-    """F9 (re-aimed): mutual information between equal-width-binned feature and target (nats),
-    from one ``groupBy(feature, bin_x, bin_y).count``; the k best are ``selected``."""
+    """F9 (re-aimed): mutual information between quantile-binned feature and target (nats), from one
+    ``groupBy(feature, bin_x, bin_y).count``; the k best are ``selected``. A value's bin is the number of inner
+    quantile edges (1/bins, 2/bins, ...) below it, so an outlier moves no edge. Rows where either side is missing
+    (null or NaN) don't count for that feature."""
     cols = [x for x in (cols or numeric(df)) if x != target]
     use = [*cols, target]
-    mm = df.agg(*[F.min(c(x)).cast("double").alias(f"lo{i}") for i, x in enumerate(use)],
-                *[F.max(c(x)).cast("double").alias(f"hi{i}") for i, x in enumerate(use)]).first()
-
-    def binned(i, x):
-        lo, hi = mm[f"lo{i}"], mm[f"hi{i}"]
-        if lo is None:
-            return F.lit(None).cast("int")
-        w = (hi - lo) / bins if hi > lo else 1.0
-        return F.least(F.floor((c(x).cast("double") - F.lit(lo)) / F.lit(w)).cast("int"), F.lit(bins - 1))
-
-    yb = binned(len(cols), target)
-    long = df.select(yb.alias("by"), F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), binned(i, x).alias("bx"))
-                                                           for i, x in enumerate(cols)])).alias("r")).select("by", "r.*")
+    df = P.nan_to_null(df, use)
+    inner = [i / bins for i in range(1, bins)]
+    edges: dict[str, list[float]] = {}
+    for r in P.exact_quantiles(df, use, inner).orderBy("column", "q").collect():  # columns x (bins - 1) rows
+        edges.setdefault(r["column"], []).append(r["value"])
+
+    def binned(x):
+        v = c(x).cast("double")
+        return F.when(v.isNotNull(), sum((F.when(v > F.lit(e), 1).otherwise(0) for e in edges.get(x, [])), F.lit(0)))
+
+    long = df.select(binned(target).alias("by"), F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), binned(x).alias("bx"))
+                                                                     for x in cols])).alias("r")).select("by", "r.*")
     long = long.filter(F.col("bx").isNotNull() & F.col("by").isNotNull())
     joint = long.groupBy("feature", "bx", "by").agg(F.count(F.lit(1)).alias("nxy"))
     tot = joint.groupBy("feature").agg(F.sum("nxy").alias("n"))
@@ -317,7 +298,9 @@ def permutation_importance(model: PipelineModel, df: DataFrame, target: str, col
     names = list(cols)
 
     def copies(it):
-        rng = np.random.default_rng(seed)
+        from pyspark import TaskContext
+
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         for pdf in it:
             yield pdf.assign(_permuted="")
             for x in names:
@@ -330,7 +313,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, target: str, col
     scored = model.transform(scattered.mapInPandas(copies, tagged_schema))
     y, yh = c(target).cast("double"), F.col("prediction")
     per = scored.groupBy("_permuted").agg(
-        (1 - F.sum((y - yh) * (y - yh)) / (F.count(y) * F.var_pop(y))).alias("r2"), F.avg((y - yh) * (y - yh)).alias("mse"))
+        (1 - F.try_divide(F.sum((y - yh) * (y - yh)), F.count(y) * F.var_pop(y))).alias("r2"), F.avg((y - yh) * (y - yh)).alias("mse"))
     base = per.filter(F.col("_permuted") == "").select(F.col("r2").alias("_r2"), F.col("mse").alias("_mse"))
     change = (F.col("_r2") - F.col("r2")) if metric == "r2" else (F.col("mse") - F.col("_mse"))
     # ``base`` is one row: the cross product with the per-feature rows is bounded by the feature count
@@ -419,10 +402,11 @@ def encode(df: DataFrame, cols: Sequence[str], method: str = "one-hot") -> DataF
 
 
 def split(df: DataFrame, key: Sequence[str] | str, test: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """deterministic train/test split by a hash of the key and the seed: stable under any
-    repartitioning, no shuffle, disjoint by construction."""
+    """deterministic train/test split by a digest of the seed and the key (joined by ``|``, the first 32 bits of
+    its md5): stable under any repartitioning and engine, no shuffle, disjoint by construction."""
     keys = [key] if isinstance(key, str) else list(key)
-    u = F.pmod(F.xxhash64(F.lit(seed), *[c(k) for k in keys]), F.lit(1_000_000)) / 1_000_000.0
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[c(k).cast("string") for k in keys]))
+    u = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(1_000_000)) / 1_000_000.0
     marked = df.withColumn("_u", u)
     return marked.filter(F.col("_u") >= test).drop("_u"), marked.filter(F.col("_u") < test).drop("_u")
 

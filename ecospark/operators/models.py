@@ -53,9 +53,10 @@ def ridge_reg_param(df: DataFrame, label: str, alpha: float) -> float:
 
 
 # Fixed values that must equal the reference's: tuning grids and search spaces, named with the MLlib
-# parameter each maps to. ``None`` depth becomes MLlib's maximum 30; scikit-learn's ``min_samples_split``
+# parameter each maps to. ``None`` depth becomes MLlib's maximum 30 (and falls
+# together with the grids' own 30); depths above 30 in the search space end at 30 for the same reason; scikit-learn's ``min_samples_split``
 # has no MLlib counterpart and is left out; ``min_samples_leaf`` maps to ``minInstancesPerNode``.
-FOREST_GRID_NOTEBOOK = {"numTrees": [100, 200, 300], "maxDepth": [30, 10, 20, 30], "minInstancesPerNode": [1, 2, 4]}
+FOREST_GRID_NOTEBOOK = {"numTrees": [100, 200, 300], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2, 4]}
 SVR_GRID_NOTEBOOK = {"c_reg": [0.1, 1, 10], "epsilon": [0.01, 0.1, 1], "kernel": ["linear", "rbf"]}
 FOREST_GRID_WORKFLOW = {"numTrees": [50, 100, 200], "maxDepth": [30, 10, 20]}
 BOOSTING_GRID_WORKFLOW = {"maxIter": [50, 100, 200], "stepSize": [0.01, 0.1, 0.2]}
@@ -70,11 +71,11 @@ def chain(cols: Sequence[str], est, impute: bool = True, scale: str | None = "st
 
 
 def evaluate(model, df: DataFrame, label: str = "label") -> DataFrame:
-    """R2 and MSE as one aggregate over the scored rows."""
+    """R2 (null for a constant target) and MSE as one aggregate over the scored rows."""
     p = model.transform(df)
     y, yh = F.col(label).cast("double"), F.col("prediction")
     return p.agg(
-        (1 - F.sum((y - yh) * (y - yh)) / (F.count(y) * F.var_pop(y))).alias("r2"),
+        (1 - F.try_divide(F.sum((y - yh) * (y - yh)), F.count(y) * F.var_pop(y))).alias("r2"),
         F.avg((y - yh) * (y - yh)).alias("mse"),
         F.count(y).alias("n"),
     )
@@ -114,42 +115,59 @@ def score_matrix(train: DataFrame, test: DataFrame, feature_sets: dict[str, Sequ
 
 
 def grid_search(df: DataFrame, cols: Sequence[str], est, grid: dict, folds: int = 5, seed: int = 42,
-                parallelism: int = 4, label: str = "label"):
-    """M6: exhaustive grid, k-fold, lowest MSE. Returns (best PipelineModel, results DataFrame)."""
+                parallelism: int = 4, label: str = "label", metric: str = "mse"):
+    """M6: exhaustive grid, k-fold; lowest MSE or highest R2 wins. Returns (best PipelineModel, results DataFrame)."""
     pipe = chain(cols, est)
     b = ParamGridBuilder()
     for pname, values in grid.items():
         b = b.addGrid(est.getParam(pname), list(values))
     maps = b.build()
-    return _cv(df, pipe, maps, folds, seed, parallelism, label)
+    return _cv(df, pipe, maps, folds, seed, parallelism, label, metric)
 
 
 def random_search(df: DataFrame, cols: Sequence[str], est, space: dict, n: int = 20, folds: int = 5, seed: int = 42,
-                  parallelism: int = 4, label: str = "label"):
+                  parallelism: int = 4, label: str = "label", metric: str = "mse"):
     """M7 (re-aimed from a sampler library): n seeded random draws from the space, k-fold CV."""
     from ecospark.operators.features import random_params
 
     pipe = chain(cols, est)
     maps = [{est.getParam(k): v for k, v in p.items()} for p in random_params(space, n, seed)]
-    return _cv(df, pipe, maps, folds, seed, parallelism, label)
+    return _cv(df, pipe, maps, folds, seed, parallelism, label, metric)
 
 
-def cv_score(df: DataFrame, cols: Sequence[str], est, folds: int = 5, seed: int = 42, label: str = "label") -> float:
-    """M8: k-fold mean MSE of one configuration (no tuning)."""
-    _, res = _cv(df, chain(cols, est), [{}], folds, seed, 1, label)
-    return float(res.first()["mse"])
+def cv_score(df: DataFrame, cols: Sequence[str], est, folds: int = 5, seed: int = 42, label: str = "label", metric: str = "mse") -> float:
+    """M8: k-fold mean score of one configuration (no tuning)."""
+    _, res = _cv(df, chain(cols, est), [{}], folds, seed, 1, label, metric)
+    return float(res.first()[metric])
 
 
-def _cv(df, pipe, maps, folds, seed, parallelism, label):
-    ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="mse")
+def _cv(df, pipe, maps, folds, seed, parallelism, label, metric="mse"):
+    ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName=metric)
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, numFolds=folds, seed=seed,
                         parallelism=parallelism)
     m = cv.fit(df)
     rows = [(i, str({p.name: v for p, v in pm.items()}), float(s)) for i, (pm, s) in enumerate(zip(maps, m.avgMetrics))]
-    res = df.sparkSession.createDataFrame(rows, "candidate int, params string, mse double")
+    res = df.sparkSession.createDataFrame(rows, f"candidate int, params string, {metric} double")
     return m.bestModel, res
 
 
+def compare_families(df: DataFrame, cols: Sequence[str], families: dict[str, tuple], folds: int = 5, seed: int = 42,
+                     parallelism: int = 4, label: str = "label", metric: str = "mse"):
+    """Tune each family (name -> (estimator, grid)) by k-fold cross-validation on ``df`` alone and pick the
+    best cross-validated score; no test row takes part. Returns (best family, its refitted model, table of
+    ``(family, candidate, params, score)`` best first)."""
+    found, table = {}, None
+    for name, (est, grid) in families.items():
+        model, res = grid_search(df, cols, est, grid, folds, seed, parallelism, label, metric)
+        res = res.select(F.lit(name).alias("family"), *[c(x) for x in res.columns])
+        found[name] = model
+        table = res if table is None else table.unionByName(res)
+    order = F.col(metric).desc() if metric == "r2" else F.col(metric).asc()
+    table = table.orderBy(order, "family", "candidate")
+    pick = table.first()["family"]
+    return pick, found[pick], table
+
+
 def best(results: DataFrame, metric: str = "mse") -> DataFrame:
     """Results ordered by the metric (lowest first); the first row is the pick."""
     return results.orderBy(F.col(metric).asc(), *[x for x in results.columns if x != metric])

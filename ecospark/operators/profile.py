@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ecospark.functions.cols import c, numeric
 from ecospark.session import cut_lineage
@@ -59,34 +60,65 @@ def _long(row_exprs: list[Column]) -> Column:
     return F.explode(F.array(*row_exprs))
 
 
+def nan_to_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The one rule for missing numbers: NaN is missing, like null (as ``dropna`` and pandas treat it)."""
+    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))} & set(cols)
+    return df.withColumns({x: F.nanvl(c(x), F.lit(None).cast(df.schema[x].dataType)) for x in floating}) if floating else df
+
+
 def missing(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Null count and percentage per column, sorted by count desc then name."""
+    """Null (and NaN) count and percentage per column, sorted by count desc then name."""
     cols = list(cols) if cols else df.columns
+    df = nan_to_null(df.select(*[c(x) for x in cols]), cols)
     one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(c(x).isNull()).alias(f"_m{i}") for i, x in enumerate(cols)])
     rows = one.select(
         _long([F.struct(F.lit(x).alias("column"), F.col(f"_m{i}").alias("missing"), F.col("_n").alias("n"))
                for i, x in enumerate(cols)]).alias("r")
     ).select("r.*")
     return rows.select(
-        "column", "missing", (F.col("missing") * 100.0 / F.col("n")).alias("percent")
+        "column", "missing", F.try_divide(F.col("missing") * 100.0, F.col("n")).alias("percent")
     ).orderBy(F.col("missing").desc(), "column")
 
 
+def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> DataFrame:
+    """Exact quantiles (linear interpolation, as pandas) of numeric columns, nulls and NaN left out: ``(column, q, value)``,
+    one row per column with values and quantile.
+
+    Distributed: distinct values are counted (folded per task), a range-partitioned prefix sum gives each value its
+    ranks, and the two values at the ranks next to ``q * (n - 1)`` are picked. No task sees a whole column."""
+    values = melt(nan_to_null(df, cols), cols, name="column").filter("value IS NOT NULL")
+    counts = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_cnt"))
+    cum = prefix_sum(counts, ["value"], "_cnt", out="_cum", by=["column"])
+    n = cum.groupBy("column").agg(F.max("_cum").alias("_n"))  # one row per column
+    ranks = n.select("column", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"), "_n")
+    ranks = ranks.withColumn("_at", F.col("q") * (F.col("_n") - 1))
+    both = cum.join(F.broadcast(ranks), "column")
+    holds = lambda k: (F.col("_cum") - F.col("_cnt") <= k) & (k < F.col("_cum"))
+    low, high = F.floor("_at"), F.ceil("_at")
+    picked = both.filter(holds(low) | holds(high)).groupBy("column", "q", "_at").agg(
+        F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    return picked.select("column", "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))).alias("value"))
+
+
 def describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Count, mean, std (sample), min, quartiles (linear), max per numeric column, long form
-    ``(column, count, mean, std, min, p25, p50, p75, max)``; one aggregate pass."""
+    ``(column, count, mean, std, min, p25, p50, p75, max)``. NaN counts as missing. ``exact=False``: approximate
+    quartiles in one pass."""
     cols = list(cols) if cols else numeric(df)
+    df = nan_to_null(df.select(*[c(x) for x in cols]), cols)
     aggs = []
     for i, x in enumerate(cols):
         v = c(x).cast("double")
-        q = (F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-             else F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(100000)))
-        aggs.append(F.struct(
-            F.lit(x).alias("column"), F.count(v).alias("count"), F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max"),
-        ).alias(f"s{i}"))
-    one = df.agg(*aggs)
-    rows = one.select(_long([F.col(f"s{i}") for i in range(len(cols))]).alias("r")).select("r.*")
+        stats = [F.lit(x).alias("column"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                 F.min(v).alias("min"), F.max(v).alias("max")]
+        if not exact:
+            stats.append(F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(100000)).alias("_q"))
+        aggs.append(F.struct(*stats).alias(f"s{i}"))
+    rows = df.agg(*aggs).select(_long([F.col(f"s{i}") for i in range(len(cols))]).alias("r")).select("r.*")
+    if exact:
+        quart = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+        at = lambda q: F.max(F.when(F.col("q") == q, F.col("value")))
+        rows = rows.join(quart.groupBy("column").agg(F.array(at(0.25), at(0.5), at(0.75)).alias("_q")), "column", "left")
     return rows.select("column", "count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
                        F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
 
@@ -116,8 +148,9 @@ def schema(df: DataFrame) -> DataFrame:
 
 
 def variances(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Population variance per column (nulls ignored, like ``np.nanvar``)."""
+    """Population variance per column (nulls and NaN ignored, like ``np.nanvar``)."""
     cols = list(cols) if cols else numeric(df)
+    df = nan_to_null(df, cols)
     one = df.agg(*[F.var_pop(c(x).cast("double")).alias(f"v{i}") for i, x in enumerate(cols)])
     return one.select(_long([F.struct(F.lit(x).alias("column"), F.col(f"v{i}").alias("variance"))
                              for i, x in enumerate(cols)]).alias("r")).select("r.*")
@@ -137,9 +170,10 @@ def distinct(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def quantile(df: DataFrame, col: str, q: float, exact: bool = True) -> DataFrame:
-    """One-row quantile (linear interpolation, as pandas)."""
-    agg = F.percentile(c(col), F.lit(q)) if exact else F.percentile_approx(c(col), F.lit(q), F.lit(100000))
-    return df.agg(agg.alias("quantile"))
+    """One-row quantile (linear interpolation, as pandas; null for a column without values)."""
+    if not exact:
+        return nan_to_null(df, [col]).agg(F.percentile_approx(c(col), F.lit(q), F.lit(100000)).alias("quantile"))
+    return exact_quantiles(df, [col], [q]).agg(F.max("value").alias("quantile"))
 
 
 def spread(df: DataFrame, by: Sequence[str], col: str, name: str = "range") -> DataFrame:

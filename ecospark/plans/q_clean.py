@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ecospark.functions import clean as K
 from ecospark.functions import cols as C
 from ecospark.plans.registry import register, rounded
-from ecospark.session import spread, table
+from ecospark.session import table
 
 
 def _docs_labels(spark, d):
@@ -166,11 +166,15 @@ def b20(spark, d):
     return rounded(out.select("event_id", "value", "unit"))
 
 
-@register("B22_clip_upper", """SELECT l_orderkey, l_linenumber,
-    round(least(l_extendedprice, (SELECT quantile_cont(l_extendedprice, 0.99) FROM lineitem)), 6) AS l_extendedprice FROM lineitem""")
+_B22 = "(SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 3 THEN l_extendedprice END AS price FROM lineitem)"
+
+
+@register("B22_clip_upper", f"""WITH v AS {_B22}, q AS (SELECT quantile_cont(price, 0.99) AS q FROM v)
+    SELECT l_orderkey, l_linenumber, round(CASE WHEN price > q THEN q ELSE price END, 6) AS price FROM v, q""")
 def b22(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return rounded(K.clip_upper(li, "l_extendedprice", 0.99))
+    """Prices, missing for every third line: a missing value must stay missing."""
+    price = F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice")).alias("price")
+    return rounded(K.clip_upper(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", price), "price", 0.99))
 
 
 @register("B23_log1p", "SELECT l_orderkey, l_linenumber, round(ln(1 + l_quantity), 6) AS lq FROM lineitem")
@@ -241,7 +245,7 @@ _ELEMENTS_SQL = r"""list_distinct(list_transform(regexp_extract_all(text, '(\[[0
 @register("B31_is_organic", f"""SELECT doc_id, NOT list_has_any(el, {_METALS_SQL}) AND list_contains(el, 'C') AND len(el) > 1 AS organic,
     len(el)::INT AS n_elements FROM (SELECT doc_id, {_ELEMENTS_SQL} AS el FROM documents)""")
 def b31(spark, d):
-    df = C.evaluate_once(spread(table(spark, d, "documents")), "el", K.element_set("text"))
+    df = C.evaluate_once(table(spark, d, "documents"), "el", K.element_set("text"))
     return df.select("doc_id", K.is_organic(F.col("el")).alias("organic"), F.size("el").alias("n_elements"))
 
 
@@ -270,7 +274,7 @@ def b32(spark, d):
            CASE WHEN mix THEN 'Is mixture' END], lambda z: z IS NOT NULL) AS failure_reasons FROM x)
     SELECT doc_id, failure_reasons, 'Passed Initial Structural Checks; ' AS Status FROM r WHERE len(failure_reasons) = 0""")
 def b33(spark, d):
-    df = spread(table(spark, d, "documents")).select("doc_id", F.col("text").alias("smiles"), "n_chars")
+    df = table(spark, d, "documents").select("doc_id", F.col("text").alias("smiles"), "n_chars")
     out = K.compound_filter(df, "smiles", mass="n_chars", mixture_sep="!")
     return out.select("doc_id", "failure_reasons", "Status")
 

@@ -25,13 +25,14 @@ def c1(spark, d):
 @register("C2_first_per_key", """SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars, doc_id) AS rn
     FROM documents) WHERE rn = 1""")
 def c2(spark, d):
-    return D.first_by(table(spark, d, "documents"), ["lang", "source"], ["n_chars", "doc_id"]).select("doc_id", "lang", "source")
+    return D.first_by(table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), ["lang", "source"], ["n_chars", "doc_id"]).select("doc_id", "lang", "source")
 
 
 @register("C3_compound_dedup", """SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang, md5(text) ORDER BY doc_id) AS rn
     FROM documents) WHERE rn = 1""")
 def c3(spark, d):
-    docs = table(spark, d, "documents").withColumn("canon", F.md5("text"))
+    # only the key and order columns enter the aggregate; the text itself is never shuffled
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.md5("text").alias("canon"))
     return D.compounds(docs, "lang", "canon", ["doc_id"]).select("doc_id", "lang")
 
 
@@ -160,6 +161,8 @@ def o8(spark, d):
     """Evaluate a per-structure function once per distinct key, then join the result back to all rows."""
     from ecospark.functions.clean import is_biologic, is_mixture
 
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    per_key = docs.select("text").distinct().select("text", (is_biologic("text") | is_mixture("text", "!")).alias("flagged"))
-    return docs.join(per_key, "text").select("doc_id", "flagged")
+    # the key is a digest and the length, so that no text is shuffled or compared; one text stands for each key
+    docs = table(spark, d, "documents").select("doc_id", "text", F.sha2("text", 256).alias("key"), F.length("text").alias("n"))
+    flagged = (is_biologic("text") | is_mixture("text", "!")).alias("flagged")
+    per_key = docs.filter("text IS NOT NULL").select("key", "n", flagged).groupBy("key", "n").agg(F.first("flagged").alias("flagged"))
+    return docs.select("doc_id", "key", "n").join(per_key, ["key", "n"]).select("doc_id", "flagged")

@@ -40,11 +40,11 @@ def feature_table(spark, d):
 
 
 def materialized_features(spark, d):
-    """The feature table for model-based selection (several MLlib passes): spread over the cores
-    and written once to the checkpoint folder."""
-    from ecospark.session import cut_lineage, spread
+    """The feature table for model-based selection (several MLlib passes), written once to
+    the checkpoint folder."""
+    from ecospark.session import cut_lineage
 
-    return cut_lineage(spread(feature_table(spark, d)))
+    return cut_lineage(feature_table(spark, d))
 
 
 FT_SQL = """(SELECT l.l_orderkey, l.l_linenumber, l.l_quantity, l.l_discount, l.l_tax, l.l_extendedprice, p.p_size,
@@ -152,11 +152,11 @@ MI_COLS = ["l_quantity", "l_discount", "l_tax", "p_size"]
 
 
 def _mi_sql(bins=10):
-    use = [*MI_COLS, TARGET]
-    mm = ", ".join(f"min({x})::DOUBLE AS lo_{x}, (max({x})::DOUBLE - min({x})::DOUBLE) / {bins} AS w_{x}" for x in use)
+    qs = "[" + ", ".join(str(i / bins) for i in range(1, bins)) + "]"
+    mm = ", ".join(f"quantile_cont({x}, {qs}) AS q_{x}" for x in [*MI_COLS, TARGET])
 
     def b(x):
-        return f"least(floor(({x} - lo_{x}) / CASE WHEN w_{x} > 0 THEN w_{x} ELSE 1.0 END)::INT, {bins - 1})"
+        return f"len(list_filter(q_{x}, lambda e: {x} > e))"
 
     long = " UNION ALL ".join(f"SELECT '{x}' AS feature, {b(x)} AS bx, {b(TARGET)} AS yb FROM {FT_SQL}, mm WHERE {x} IS NOT NULL AND {TARGET} IS NOT NULL" for x in MI_COLS)
     return f"""WITH mm AS (SELECT {mm} FROM {FT_SQL}), l AS ({long}),
@@ -260,7 +260,8 @@ def f21(spark, d):
     return rounded(X.poly2(li, ["l_quantity", "l_discount"]))
 
 
-@register("F22_hash_split")
+@register("F22_hash_split", f"""SELECT l_orderkey, l_linenumber, CASE WHEN (('0x' || substr(md5('42|' || l_orderkey || '|' || l_linenumber
+    || '|' || l_partkey), 1, 8))::BIGINT % 1000000) / 1000000.0 < 0.2 THEN 'test' ELSE 'train' END AS part FROM lineitem""")
 def f22(spark, d):
     ft = feature_table(spark, d)
     train, test = X.split(ft, ["l_orderkey", "l_linenumber", "l_partkey"], 0.2, 42)

@@ -18,15 +18,15 @@ SMALL_GBT = {"maxIter": 20, "maxDepth": 3}
 def data(spark, d):
     """Train/test halves of the feature table; the joined table is materialised once (reliable
     checkpoint) so every MLlib pass and evaluation reads it instead of recomputing the join."""
-    from ecospark.session import cut_lineage, spread
+    from ecospark.session import cut_lineage
 
-    ft = spread(feature_table(spark, d).withColumn("label", F.col(TARGET).cast("double")))
+    ft = feature_table(spark, d).withColumn("label", F.col(TARGET).cast("double"))
     train, test = X.split(ft, ["l_orderkey", "l_linenumber", "l_partkey"], 0.2, 42)
     return cut_lineage(train), cut_lineage(test)
 
 
-def _scores(name, est, spark, d, cols=FEATURES, scale="standard"):
-    train, test = data(spark, d)
+def _scores(name, est, halves, cols=FEATURES, scale="standard"):
+    train, test = halves
     m = Mo.chain(cols, est, scale=scale).fit(train)
     tr = Mo.evaluate(m, train).select(F.lit(name).alias("model"), F.lit("train").alias("part"), "r2", "mse", "n")
     te = Mo.evaluate(m, test).select(F.lit(name).alias("model"), F.lit("test").alias("part"), "r2", "mse", "n")
@@ -35,22 +35,22 @@ def _scores(name, est, spark, d, cols=FEATURES, scale="standard"):
 
 @register("M1_linear_ridge_lasso")
 def m1(spark, d):
-    out = _scores("linear", Mo.estimator("linear"), spark, d)
-    train, _ = data(spark, d)
-    ridge = Mo.estimator("ridge", regParam=Mo.ridge_reg_param(train, "label", 1.0))  # scikit-learn's default alpha
-    out = out.unionByName(_scores("ridge", ridge, spark, d))
-    return out.unionByName(_scores("lasso", Mo.estimator("lasso", regParam=0.01), spark, d))
+    halves = data(spark, d)
+    ridge = Mo.estimator("ridge", regParam=Mo.ridge_reg_param(halves[0], "label", 1.0))  # scikit-learn's default alpha
+    out = _scores("linear", Mo.estimator("linear"), halves).unionByName(_scores("ridge", ridge, halves))
+    return out.unionByName(_scores("lasso", Mo.estimator("lasso", regParam=0.01), halves))
 
 
 @register("M2_tree_and_forest")
 def m2(spark, d):
-    return _scores("tree", Mo.estimator("tree", maxDepth=6), spark, d, scale=None).unionByName(
-        _scores("forest", Mo.estimator("forest", **SMALL_FOREST), spark, d, scale=None))
+    halves = data(spark, d)
+    return _scores("tree", Mo.estimator("tree", maxDepth=6), halves, scale=None).unionByName(
+        _scores("forest", Mo.estimator("forest", **SMALL_FOREST), halves, scale=None))
 
 
 @register("M3_gradient_boosting")
 def m3(spark, d):
-    return _scores("gbt", Mo.estimator("gbt", **SMALL_GBT), spark, d, scale=None)
+    return _scores("gbt", Mo.estimator("gbt", **SMALL_GBT), data(spark, d), scale=None)
 
 
 @register("M4_support_vector_regression")
@@ -63,7 +63,7 @@ def m4(spark, d):
         for part, df in (("train", train), ("test", test)):
             p = svr.transform(df)
             y, yh = F.col("label"), F.col("prediction")
-            r = p.agg((1 - F.sum((y - yh) * (y - yh)) / (F.count(y) * F.var_pop(y))).alias("r2"),
+            r = p.agg((1 - F.try_divide(F.sum((y - yh) * (y - yh)), F.count(y) * F.var_pop(y))).alias("r2"),
                       F.avg((y - yh) * (y - yh)).alias("mse"), F.count(y).alias("n")).select(
                 F.lit(f"svr_{kernel}").alias("model"), F.lit(part).alias("part"), "r2", "mse", "n")
             rows = r if rows is None else rows.unionByName(r)
@@ -102,16 +102,17 @@ def m8(spark, d):
 
 @register("M9_M14_best_model")
 def m9(spark, d):
-    train, test = data(spark, d)
-    sets = {"all": FEATURES}
-    ests = {"linear": Mo.estimator("linear"), "tree": Mo.estimator("tree", maxDepth=5), "lasso": Mo.estimator("lasso")}
-    scores = Mo.score_matrix(train, test, sets, ests).withColumn("mse_rank", -F.col("test_r2"))
-    return rounded(Mo.best(scores, "mse_rank"))
+    """Families compared by 5-fold CV MSE on the training half only."""
+    train, _ = data(spark, d)
+    families = {"linear": (Mo.estimator("linear"), {}), "lasso": (Mo.estimator("lasso"), {"regParam": [0.01, 1.0]}),
+                "tree": (Mo.estimator("tree"), {"maxDepth": [5]})}
+    _, _, scores = Mo.compare_families(train, FEATURES, families)
+    return rounded(scores)
 
 
 @register("M10_evaluate")
 def m10(spark, d):
-    return _scores("linear", Mo.estimator("linear"), spark, d)
+    return _scores("linear", Mo.estimator("linear"), data(spark, d))
 
 
 @register("M11_impute_scale_poly_pipeline")

@@ -1,9 +1,9 @@
 """Analogue queries for identity resolution.
 
-Service answers come from ``documents``: key = ``source`` (the "chemical"), service = ``lang``
-(priority en, fr, de, es), candidate value = md5 of the service's first text for that key,
-validity = at least 100 characters, structure = the text's word set (for similarities).
-The fallback chain resolves customers against supplier names."""
+Service answers come from ``conversations``, every row one answer: key = ``conv_id`` (the "chemical"), service = the
+turn (``t0``, ``t1``, ...; priority in turn order), candidate value = md5 of the turn's text, validity = at least
+100 characters, structure = the text's word set (for similarities). The fallback chain resolves customers against
+supplier names."""
 
 from __future__ import annotations
 
@@ -13,8 +13,7 @@ from ecospark.operators import resolve as R
 from ecospark.plans.registry import register, rounded
 from ecospark.session import table
 
-SERVICES = ["en", "fr", "de", "es"]
-_PRIO_SQL = "CASE lang " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(SERVICES)) + " END"
+SERVICES = ["t0", "t1", "t2"]
 
 
 def word_set(col):
@@ -22,23 +21,19 @@ def word_set(col):
 
 
 def lookup(spark, d):
-    docs = table(spark, d, "documents")
-    first = docs.groupBy(F.col("source").alias("key"), F.col("lang").alias("source")).agg(
-        F.min(F.struct("doc_id", "text", "n_chars")).alias("f"))
-    prio = F.create_map(*[x for i, s in enumerate(SERVICES) for x in (F.lit(s), F.lit(i))])
-    return first.select("key", "source", prio[F.col("source")].alias("priority"), F.md5("f.text").alias("value"),
-                        (F.col("f.n_chars") >= 100).alias("valid"), word_set(F.col("f.text")).alias("bits"))
+    cv = table(spark, d, "conversations")
+    return cv.select(F.col("conv_id").alias("key"), F.concat(F.lit("t"), "turn").alias("source"), F.col("turn").alias("priority"),
+                     F.md5("text").alias("value"), (F.length("text") >= 100).alias("valid"), word_set(F.col("text")).alias("bits"))
 
 
-LK = f"""lk AS (SELECT source AS key, lang AS source, {_PRIO_SQL} AS priority, md5(text) AS value, n_chars >= 100 AS valid,
-      list_distinct(string_split_regex(text, '\\s+')) AS bits
-    FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1),
+LK = """lk AS (SELECT conv_id AS key, 't' || turn AS source, turn AS priority, md5(text) AS value, length(text) >= 100 AS valid,
+      list_distinct(string_split_regex(text, '\\s+')) AS bits FROM conversations),
   u AS (SELECT * FROM lk WHERE valid AND value IS NOT NULL)"""
 SIM = "(len(list_intersect({a}, {b})) / nullif(len(list_distinct(list_concat({a}, {b}))), 0))"
 
 
 def keys(spark, d):
-    return table(spark, d, "documents").select(F.col("source").alias("key")).distinct()
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("key")).distinct()
 
 
 @register("R1_unique_keys", """SELECT DISTINCT lang, source FROM documents WHERE coalesce(lang, source) IS NOT NULL""")
@@ -47,7 +42,7 @@ def r1(spark, d):
 
 
 R2_SQL = f"""WITH {LK}, b AS (SELECT key, arg_min(value, priority) AS value, arg_min(source, priority) AS source FROM u GROUP BY key)
-    SELECT k.key, b.value, b.source FROM (SELECT DISTINCT source AS key FROM documents) k LEFT JOIN b ON k.key = b.key"""
+    SELECT k.key, b.value, b.source FROM (SELECT DISTINCT conv_id AS key FROM conversations) k LEFT JOIN b ON k.key = b.key"""
 
 
 @register("R2_priority_resolution", R2_SQL)
@@ -121,22 +116,21 @@ def _r5_sql(a, b, t):
     FROM w"""
 
 
-@register("R5_two_source_decision", f"WITH {LK}, {_wide_sql(['en', 'fr', 'de'])} {_r5_sql('en', 'fr', 'de')}")
+@register("R5_two_source_decision", f"WITH {LK}, {_wide_sql(SERVICES)} {_r5_sql(*SERVICES)}")
 def r5(spark, d):
-    return R.two_source(R.wide_candidates(lookup(spark, d), ["en", "fr", "de"]), "en", "fr", "de")
+    return R.two_source(R.wide_candidates(lookup(spark, d), SERVICES), *SERVICES)
 
 
 @register("R6_synonym_expansion", f"""WITH {LK},
-    syn AS (SELECT DISTINCT source AS name, {_PRIO_SQL} AS rank, source || '/' || lang AS synonym FROM documents),
+    syn AS (SELECT DISTINCT conv_id AS name, turn AS rank, conv_id || '/t' || turn AS synonym FROM conversations),
     lk2 AS (SELECT key || '/' || source AS synonym, value FROM u),
     hits AS (SELECT s.name AS key, arg_min(l.value, s.rank) AS value, arg_min(s.synonym, s.rank) AS synonym
              FROM syn s JOIN lk2 l ON s.synonym = l.synonym GROUP BY s.name)
-    SELECT k.key, hits.value, hits.synonym FROM (SELECT DISTINCT source AS key FROM documents) k LEFT JOIN hits ON k.key = hits.key""")
+    SELECT k.key, hits.value, hits.synonym FROM (SELECT DISTINCT conv_id AS key FROM conversations) k LEFT JOIN hits ON k.key = hits.key""")
 def r6(spark, d):
-    docs = table(spark, d, "documents")
-    prio = F.create_map(*[x for i, s in enumerate(SERVICES) for x in (F.lit(s), F.lit(i))])
-    syn = docs.select(F.col("source").alias("name"), prio[F.col("lang")].alias("rank"),
-                      F.concat("source", F.lit("/"), "lang").alias("synonym")).distinct()
+    cv = table(spark, d, "conversations")
+    syn = cv.select(F.col("conv_id").alias("name"), F.col("turn").alias("rank"),
+                    F.concat("conv_id", F.lit("/t"), "turn").alias("synonym")).distinct()
     lk = lookup(spark, d)
     lk2 = lk.select(F.concat("key", F.lit("/"), "source").alias("key"), F.lit(0).alias("priority"), "value", "valid")
     return R.via_synonyms(keys(spark, d), syn, lk2)
@@ -160,12 +154,12 @@ def r7(spark, d):
 
 
 def _propagated(spark, d, drop):
-    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("key"))
-    return R.propagate(docs, R.by_priority(keys(spark, d), lookup(spark, d)), "key", "value", drop_unresolved=drop)
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.col("conv_id").alias("key"))
+    return R.propagate(rows, R.by_priority(keys(spark, d), lookup(spark, d)), "key", "value", drop_unresolved=drop)
 
 
 @register("R8_propagate", f"""WITH r2 AS ({R2_SQL})
-    SELECT DISTINCT d.doc_id, d.source AS key, r2.value FROM documents d JOIN r2 ON d.source = r2.key WHERE r2.value IS NOT NULL""")
+    SELECT DISTINCT d.conv_id * 1000 + d.turn AS row_id, d.conv_id AS key, r2.value FROM conversations d JOIN r2 ON d.conv_id = r2.key WHERE r2.value IS NOT NULL""")
 def r8(spark, d):
     return _propagated(spark, d, True)
 
@@ -212,23 +206,23 @@ def r13(spark, d):
     return rounded(R.add_mass(o, mass, "o_custkey"))
 
 
-@register("R14_coverage", f"""WITH r2 AS ({R2_SQL}), p AS (SELECT d.doc_id, d.source AS key, r2.value FROM documents d LEFT JOIN r2 ON d.source = r2.key)
+@register("R14_coverage", f"""WITH r2 AS ({R2_SQL}), p AS (SELECT d.conv_id AS key, r2.value FROM conversations d LEFT JOIN r2 ON d.conv_id = r2.key)
     SELECT count(DISTINCT key) AS unique_names, count(DISTINCT CASE WHEN value IS NOT NULL THEN key END) AS resolved_names,
            count(*) AS rows, count(value) AS resolved_rows FROM p""")
 def r14(spark, d):
     return R.coverage(_propagated(spark, d, False), "key", "value")
 
 
-@register("R15_key_verification", f"""WITH {LK}, {_wide_sql(['en', 'fr', 'de'])}
+@register("R15_key_verification", f"""WITH {LK}, {_wide_sql(SERVICES)}
     SELECT key,
-      CASE WHEN en_value = fr_value AND de_value = en_value THEN en_value WHEN de_value IS NOT NULL THEN de_value
-           ELSE coalesce(en_value, fr_value) END AS verified_key,
-      CASE WHEN en_value = fr_value AND de_value = en_value THEN 'Sources and regenerated key match'
-           WHEN de_value IS NOT NULL THEN 'Regenerated key used'
-           WHEN en_value IS NOT NULL OR fr_value IS NOT NULL THEN 'Single source key used' ELSE 'No key found' END AS verification,
-      CASE WHEN en_value IS NOT NULL AND fr_value IS NULL THEN 'first only'
-           WHEN en_value IS NULL AND fr_value IS NOT NULL THEN 'second only' END AS "case"
+      CASE WHEN t0_value = t1_value AND t2_value = t0_value THEN t0_value WHEN t2_value IS NOT NULL THEN t2_value
+           ELSE coalesce(t0_value, t1_value) END AS verified_key,
+      CASE WHEN t0_value = t1_value AND t2_value = t0_value THEN 'Sources and regenerated key match'
+           WHEN t2_value IS NOT NULL THEN 'Regenerated key used'
+           WHEN t0_value IS NOT NULL OR t1_value IS NOT NULL THEN 'Single source key used' ELSE 'No key found' END AS verification,
+      CASE WHEN t0_value IS NOT NULL AND t1_value IS NULL THEN 'first only'
+           WHEN t0_value IS NULL AND t1_value IS NOT NULL THEN 'second only' END AS "case"
     FROM w""")
 def r15(spark, d):
-    w = R.wide_candidates(lookup(spark, d), ["en", "fr", "de"])
-    return R.verify_keys(w, "en_value", "fr_value", "de_value").select("key", "verified_key", "verification", "case")
+    w = R.wide_candidates(lookup(spark, d), SERVICES)
+    return R.verify_keys(w, "t0_value", "t1_value", "t2_value").select("key", "verified_key", "verification", "case")

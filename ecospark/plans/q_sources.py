@@ -42,21 +42,18 @@ def a4(spark, d):
     return rounded(back.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty")))
 
 
-@register("A5_schema_width", "SELECT (SELECT count(*) FROM (DESCRIBE lineitem)) AS width, 'whole' AS plan, count(*) AS rows FROM lineitem")
+@register("A5_schema_width", "SELECT (SELECT count(*) FROM (DESCRIBE lineitem)) AS width, count(*) AS rows FROM lineitem")
 def a5(spark, d):
-    """Width probe choosing the plan (whole-table join up to 1000 columns, else column blocks), then
-    the chosen plan's scan."""
+    """Width probe (schema only) beside the scan's row count."""
     li = table(spark, d, "lineitem")
-    w = IO.width(li)
-    plan = "whole" if w <= 1000 else "blocks"
-    return li.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(w).cast("long").alias("width"), F.lit(plan).alias("plan"), "rows")
+    return li.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(IO.width(li)).cast("long").alias("width"), "rows")
 
 
 @register("A7_A8_line_list_by_position", "SELECT c_custkey, c_name, upper(c_name) AS line FROM customer")
 def a7(spark, d):
     cust = table(spark, d, "customer").select("c_custkey", "c_name")
     path = IO.scratch(spark, "names_txt")
-    cust.orderBy("c_custkey").select(F.upper("c_name").alias("value")).coalesce(1).write.text(path)
+    cust.orderBy("c_custkey").select(F.upper("c_name").alias("value")).write.text(path)
     lines = IO.scan_lines(spark, path)
     return IO.attach_by_position(cust, lines, "line", order=["c_custkey"])
 
@@ -126,7 +123,14 @@ def a16(spark, d):
     return rounded(back.select("column", "count", "mean", "max"))
 
 
-@register("A17_prune_and_rewrite")
+def _a17_sql():
+    from ecospark.plans.q_features import WIDE_SQL
+
+    # all-zero, all-one, all-null and more than 70 % null columns go
+    return f"SELECT l_quantity, l_discount, l_tax, l_returnflag, const7, zeros_some_null, qty_copy FROM {WIDE_SQL}"
+
+
+@register("A17_prune_and_rewrite", _a17_sql())
 def a17(spark, d):
     from ecospark.plans.q_features import wide
 
@@ -183,5 +187,5 @@ def a22(spark, d):
 def j9(spark, d):
     sup = table(spark, d, "supplier").select("s_suppkey", "s_name")
     path = IO.scratch(spark, "supplier_lines")
-    sup.orderBy("s_suppkey").select(F.lower("s_name").alias("value")).coalesce(1).write.text(path)
+    sup.orderBy("s_suppkey").select(F.lower("s_name").alias("value")).write.text(path)
     return IO.attach_by_position(sup, IO.scan_lines(spark, path), "line", order=["s_suppkey"])

@@ -31,7 +31,8 @@ def descriptor_preparation(main: DataFrame, descriptors: Sequence[DataFrame], ke
     step = X.drop_low_variance(joined, variance)
     step = X.drop_constant(step)
     protected = {key, target}
-    numeric_features = [x for x in step.columns if x not in protected and x in set(P.numeric(step))]
+    numbers = set(P.numeric(step))
+    numeric_features = [x for x in step.columns if x not in protected and x in numbers]
     weak = X.weak_report(step, target, spearman, numeric_features)
     dropped = {r["feature"] for r in weak.filter("drop").select("feature").collect()}
     features = step.select(*[c(x) for x in step.columns if x not in dropped])

@@ -59,10 +59,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin ``df`` over the default parallelism when it has fewer partitions than that
-    (e.g. a small file with one row group) and the next stage is CPU-heavy row-local work.
-    On a large input this is a no-op: the scan already has far more splits than cores."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df

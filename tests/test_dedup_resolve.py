@@ -90,3 +90,23 @@ def test_fallback_chain(spark):
     out = {r.key: (r.value, r.stage) for r in R.fallback_chain(
         keys, ref, [("name", F.col("name")), ("formatted CAS", format_cas("cas"))]).collect()}
     assert out == {1: ("I1", "name"), 2: ("I2", "formatted CAS"), 3: (None, "unresolved")}
+
+
+def test_components_of_chains_stars_and_groups(spark):
+    import random
+
+    rng = random.Random(1)
+    edges, truth = [], {}
+    for k in range(12):  # chains, stars, cycles and random trees with shuffled names, plus loops and repeats
+        nodes = rng.sample(range(k * 1000, k * 1000 + 999), 40)
+        for i in range(1, 40):
+            j = i - 1 if k % 3 == 0 else 0 if k % 3 == 1 else rng.randrange(i)
+            edges.append((nodes[i], nodes[j]))
+        edges += [(nodes[5], nodes[5]), edges[-1]]
+        truth.update(dict.fromkeys(nodes, min(nodes)))
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.label for r in D.connected_components(df).collect()} == truth
+    two = df.selectExpr("'g' AS g", "a", "b").unionByName(spark.createDataFrame([("h", 1, 2), ("h", 2, 5)], "g string, a long, b long"))
+    got = {(r.g, r.node): r.label for r in D.connected_components(two, group=["g"]).collect()}
+    assert got == {("g", k): v for k, v in truth.items()} | {("h", 1): 1, ("h", 2): 1, ("h", 5): 1}
+    assert D.connected_components(df.limit(0)).count() == 0

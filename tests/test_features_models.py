@@ -1,7 +1,6 @@
 import math
 
 from pyspark.sql import functions as F
-
 from ecospark.operators import features as X
 from ecospark.operators import models as Mo
 
@@ -114,3 +113,63 @@ def test_pca_ratios_and_cumulative(spark):
     r = ev.orderBy("component").collect()
     assert r[0].ratio > 0.99 and math.isclose(r[1].cumulative, r[0].ratio + r[1].ratio)
     assert proj.count() == 50 and len(proj.first().pca) == 2
+
+
+def test_missing_values_and_wide_integers(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, nan, 2**53, 3.0), (2, nan, 2**53 + 1, None), (3, nan, 2**53, 5.0)], "k int, allnan double, big long, x double")
+    drop = lambda r: {x["column"]: x["drop"] for x in r.collect()}
+    assert drop(X.uninformative_report(df))["allnan"] and drop(X.variance_report(df))["allnan"]
+    sparse = drop(X.sparse_report(df))
+    assert sparse["allnan"] and not sparse["big"]
+    from ecospark.operators import profile as P
+
+    assert {r["column"]: r["missing"] for r in P.missing(df).collect()} == {"allnan": 3, "x": 1, "big": 0, "k": 0}
+    assert {r["column"]: r["variance"] for r in P.variances(df, ["allnan", "x"]).collect()} == {"allnan": None, "x": 1.0}
+
+
+def test_wide_frames_use_the_same_path(spark):
+    n = 800
+    df = spark.range(20).selectExpr(*[f"CAST(IF({i} % 4 = 0, 0, id % ({i % 7} + 2)) AS DOUBLE) AS c{i}" for i in range(n)])
+    got = {r["column"]: r["drop"] for r in X.constant_report(df).collect()}
+    assert len(got) == n and all(got[f"c{i}"] == (i % 4 == 0) for i in range(n))
+
+
+def test_quantiles_are_exact_and_skip_missing(spark):
+    import numpy as np
+
+    from ecospark.functions import clean as K
+    from ecospark.operators import profile as P
+
+    rng = np.random.default_rng(3)
+    v = [float(x) for x in rng.integers(0, 50, 400)] + [1e9, None, float("nan")]
+    df = spark.createDataFrame([(i, x, x if i % 2 else None) for i, x in enumerate(v)], "k int, v double, w double")
+    clean = np.array([x for x in v if x is not None and x == x])
+    odd = np.array([x for i, x in enumerate(v) if i % 2 and x is not None and x == x])
+    got = {(r.column, r.q): r.value for r in P.exact_quantiles(df, ["v", "w"], [0.0, 0.1, 0.5, 0.99, 1.0]).collect()}
+    for q in (0.0, 0.1, 0.5, 0.99, 1.0):
+        assert abs(got["v", q] - np.quantile(clean, q)) < 1e-6 and abs(got["w", q] - np.quantile(odd, q)) < 1e-6
+    out = {r.k: r.v for r in K.clip_upper(df, "v", 0.5).collect()}
+    assert out[401] is None and out[402] != out[402] and out[400] == np.quantile(clean, 0.5)
+
+
+def test_mutual_information_drops_missing_rows(spark):
+    rows = [(float(i), float(i % 10), float(i)) for i in range(200)] + [(None, 5.0, None)] * 300
+    df = spark.createDataFrame(rows, "x double, noise double, y double")
+    mi = {r.feature: r.mi for r in X.mutual_info(df, "y", 1, bins=10, cols=["x", "noise"]).collect()}
+    assert abs(mi["x"] - math.log(10)) < 0.05 and mi["noise"] < 0.5
+
+
+def test_constant_target_has_no_r2(spark):
+    df = spark.createDataFrame([(float(i), 2.0) for i in range(10)], "x double, label double")
+    m = Mo.chain(["x"], Mo.estimator("linear")).fit(df)
+    assert Mo.evaluate(m, df).first()["r2"] is None
+
+
+def test_families_are_compared_by_cross_validation(spark):
+    rows = [(float(i), float(i % 7), 3.0 * i + 1.0) for i in range(120)]
+    df = spark.createDataFrame(rows, "x double, z double, label double")
+    pick, model, table = Mo.compare_families(df, ["x", "z"], {"linear": (Mo.estimator("linear"), {}), "tree": (Mo.estimator("tree"), {"maxDepth": [2, 3]})}, folds=5)
+    assert pick == "linear" and table.count() == 3 and table.first()["family"] == "linear"
+    assert Mo.evaluate(model, df).first()["mse"] < 1e-6
+    assert Mo.cv_score(df, ["x", "z"], Mo.estimator("linear"), metric="r2") > 0.99

@@ -75,3 +75,39 @@ def test_payload_fields(spark):
     assert [(r.cid, r.inchi) for r in out] == [(7, "InChI=1S/X"), (None, None)]
     csv = IO.csv_fields(spark.createDataFrame([("a,1,2.5",)], "p string"), "p", "n string, i int, x double").first()
     assert (csv.n, csv.i, csv.x) == ("a", 1, 2.5)
+
+
+def test_sdf_crlf_charges_and_aromatic_atoms(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "crlf.sdf")
+    ring = SDF.split("$$$$\n")[0].replace("  1  2  1  0", "  1  2  4  0").replace("M  END", "M  CHG  1   3  -1\nM  END")
+    with open(p, "w", newline="") as f:
+        f.write((ring + "$$$$\n" + "\n" + ring.split("\n", 1)[1] + "$$$$\n").replace("\n", "\r\n"))
+    recs, atoms, bonds = IO.scan_sdf(spark, p)
+    assert sorted(r.name for r in recs.collect()) == ["", "mol-a"]
+    rows = sorted({(a.atom_id, a.element, a.aromatic, a.charge) for a in atoms.collect()})
+    assert rows == [(1, "C", True, None), (2, "C", True, None), (3, "O", False, -1.0)]
+    assert recs.filter("tags['Status'] = 'Passed'").count() == 2
+
+
+def test_molecules_beyond_three_digits_round_trip(spark, tmp_dir):
+    """More than 999 atoms and bonds (V3000) beside an ordinary molecule, built with joins from ids."""
+    n = 1201
+    atoms = spark.range(n).selectExpr("1L AS mol_id", "int(id + 1) AS atom_id", "if(id % 3 = 0, 'N', 'C') AS element").unionByName(
+        spark.range(3).selectExpr("2L AS mol_id", "int(id + 1) AS atom_id", "'O' AS element"))
+    bonds = spark.range(n - 1).selectExpr("1L AS mol_id", "int(id + 1) AS a", "int(id + 2) AS b", "1.0D AS bond_order", "id < 2 AS aromatic").unionByName(
+        spark.range(1).selectExpr("2L AS mol_id", "1 AS a", "2 AS b", "2.0D AS bond_order", "false AS aromatic"))
+    p = os.path.join(tmp_dir, "big")
+    IO.write_sdf(IO.molblocks(atoms, bonds), p)
+    recs, back, edges = IO.scan_sdf(spark, p)
+    got = {r.name: (r.n_atoms, r.n_bonds) for r in recs.collect()}
+    assert got == {"1": (n, n - 1), "2": (3, 1)}
+    assert back.groupBy("element").count().collect().__len__() == 3 and back.filter("element = 'N'").count() == 401
+    assert back.filter("aromatic").count() == 3 and edges.filter("a + 1 <> b").count() == 0
+    assert edges.filter("bond_order = 2").count() == 1
+
+
+def test_lines_of_many_files_are_numbered_in_path_order(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "parts")
+    spark.range(500).repartitionByRange(7, "id").sortWithinPartitions("id").selectExpr("cast(id AS string) AS value").write.text(p)
+    got = {r.line_no: int(r.value) for r in IO.scan_lines(spark, p).collect()}
+    assert got == {i: i for i in range(500)}
