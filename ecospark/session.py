@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("ECOSPARK_DRIVER_MEMORY", "16g"))
@@ -59,3 +61,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
+
+#: folders this process made under the shared checkpoint folder, by session
+_MADE: list[str] = []
+
+
+def new_folder(spark: SparkSession, prefix: str = "ecospark") -> str:
+    """Path of a fresh folder under the shared checkpoint folder for written intermediates; :func:`cleanup` removes it."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Remove the folders that :func:`new_folder` gave out in this process, and nothing else. To be called when no
+    DataFrame that reads them is needed any more; returns how many were removed. (Spark removes its own checkpoints
+    when ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.)"""
+    jvm, conf, removed = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed

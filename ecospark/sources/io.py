@@ -9,7 +9,6 @@ splits before it), never row order after a shuffle.
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ecospark.functions.cols import c
-from ecospark.session import checkpoint_dir, cut_lineage
+from ecospark.session import cut_lineage, new_folder
 
 # ---------------------------------------------------------------- scans
 
@@ -256,6 +255,5 @@ def run_pairs(base: DataFrame, others: dict[str, DataFrame], fn: Callable[[DataF
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory for intermediate files."""
-    root = checkpoint_dir(spark)
-    return os.path.join(root, "ecospark-scratch", uuid.uuid4().hex, name)
+    """A fresh folder under the shared checkpoint directory for intermediate files (``session.cleanup`` removes it)."""
+    return os.path.join(new_folder(spark, "ecospark-scratch"), name)

@@ -111,3 +111,15 @@ def test_lines_of_many_files_are_numbered_in_path_order(spark, tmp_dir):
     spark.range(500).repartitionByRange(7, "id").sortWithinPartitions("id").selectExpr("cast(id AS string) AS value").write.text(p)
     got = {r.line_no: int(r.value) for r in IO.scan_lines(spark, p).collect()}
     assert got == {i: i for i in range(500)}
+
+
+def test_cleanup_removes_only_what_the_run_made(spark):
+    from ecospark import session
+
+    path, other = IO.scratch(spark, "x"), IO.scratch(spark, "y") + "-kept"
+    session._MADE.remove(os.path.dirname(other.removesuffix("-kept")))
+    for p in (path, other):
+        spark.range(3).write.parquet(p)
+    assert spark.read.parquet(path).count() == 3 and session.cleanup(spark) >= 1
+    local = lambda p: p.removeprefix("file:")
+    assert not os.path.exists(local(path)) and os.path.exists(local(other)) and not session._MADE
