@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ecospark.functions.cols import c
-from ecospark.session import checkpoint_dir
+from ecospark.session import new_folder
 
 #: rows of (at most) two longs and a flag a broadcast may hold: about 64 MB as a hash relation
 BROADCAST_ROWS = 1_000_000
@@ -19,9 +18,9 @@ BROADCAST_ROWS = 1_000_000
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared checkpoint folder and read again: later jobs start from the files,
-    so a lost executor never replays what came before."""
+    so a lost executor never replays what came before. ``session.cleanup`` removes the folder."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    path = new_folder(spark, "llm")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
