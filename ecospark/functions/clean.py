@@ -180,10 +180,11 @@ def filter_status(converted: Column, passed: Column) -> Column:
 # ---------------------------------------------------------------- structure rules
 
 # Fixed values that must equal the reference's: the metal symbols that make a structure inorganic.
-METALS = (
-    "Li Be Na Mg Al K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb "
-    "Cs Ba La Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi"
-).split()
+METALS = [
+    "Li", "Be", "Na", "Mg", "Al", "K", "Ca", "Sc", "Ti", "V", "Cr", "Mn", "Fe", "Co", "Ni", "Cu",
+    "Zn", "Ga", "Rb", "Sr", "Y", "Zr", "Nb", "Mo", "Tc", "Ru", "Rh", "Pd", "Ag", "Cd", "In", "Sn",
+    "Sb", "Cs", "Ba", "La", "Hf", "Ta", "W", "Re", "Os", "Ir", "Pt", "Au", "Hg", "Tl", "Pb", "Bi",
+]
 
 # Standard atomic weights (IUPAC conventional values) for formula masses.
 ATOMIC_MASS = {

@@ -19,7 +19,6 @@ from pyspark.ml.feature import (
     MinMaxScaler,
     PolynomialExpansion,
     StandardScaler,
-    StringIndexer,
     VectorAssembler,
 )
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
@@ -387,17 +386,28 @@ def stages(cols: Sequence[str], impute: bool = True, scale: str | None = "standa
     return st
 
 
+#: levels that one-hot encoding makes columns of
+MAX_LEVELS = 10_000
+
+
 def encode(df: DataFrame, cols: Sequence[str], method: str = "one-hot") -> DataFrame:
     """F19 one-hot with the first (alphabetical) level dropped; F20 label codes in sorted order.
-    Levels are the distinct values of each categorical column (bounded by its cardinality)."""
+
+    A null level is no level: null (and only null) in every dummy column, and code = number of levels. F19 turns
+    levels into columns, so a column with more than ``MAX_LEVELS`` levels is refused, before any level is collected.
+    F20 counts the levels, ranks them by the distributed prefix sum and joins the codes on (nothing is collected)."""
     out = df
     for x in cols:
+        levels = df.select(c(x).alias("_level")).filter("_level IS NOT NULL").groupBy("_level").agg(F.lit(1).alias("_one"))
         if method == "label":
-            out = StringIndexer(inputCol=x, outputCol=f"{x}__idx", stringOrderType="alphabetAsc",
-                                handleInvalid="keep").fit(out).transform(out).drop(x).withColumnRenamed(f"{x}__idx", x)
+            codes = P.prefix_sum(levels, ["_level"], "_one", out="_upto").select("_level", (F.col("_upto") - 1).cast("double").alias("_code"))
+            code = F.coalesce("_code", F.lit(float(codes.count()))).alias(x)
+            out = out.join(codes, c(x) == F.col("_level"), "left").select(*[c(n) for n in out.columns if n != x], code)
             continue
-        levels = sorted(r[0] for r in df.select(c(x)).distinct().filter(c(x).isNotNull()).collect())
-        out = out.withColumns({f"{x}_{v}": (c(x) == F.lit(v)).cast("double") for v in levels[1:]}).drop(x)
+        names = sorted(r[0] for r in levels.select("_level").limit(MAX_LEVELS + 1).collect())
+        if len(names) > MAX_LEVELS:
+            raise ValueError(f"{x} has more than {MAX_LEVELS} levels: use label codes")
+        out = out.withColumns({f"{x}_{v}": (c(x) == F.lit(v)).cast("double") for v in names[1:]}).drop(x)
     return out
 
 

@@ -1,6 +1,6 @@
 """Joins. Spark picks the strategy: AQE turns a sort-merge join into a
 broadcast join when the *measured* side is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
-We hint ``broadcast`` only for sides whose size is bounded by construction (literal tables)."""
+We hint ``broadcast`` only for sides that are counted to be small."""
 
 from __future__ import annotations
 
@@ -21,10 +21,16 @@ def left(a: DataFrame, b: DataFrame, key: str | Sequence[str]) -> DataFrame:
     return a.join(b, on=_keys(key), how="left")
 
 
+#: rows of a lookup table that may be broadcast
+BROADCAST_ROWS = 100_000
+
+
 def lookup(df: DataFrame, small: DataFrame, key: str | Sequence[str], bounded: bool = False) -> DataFrame:
-    """Dictionary lookup as a left join. ``bounded=True`` declares ``small`` fixed-size
-    (e.g. a literal rule table) and broadcasts it; otherwise AQE decides from runtime size."""
-    return df.join(F.broadcast(small) if bounded else small, on=_keys(key), how="left")
+    """Dictionary lookup as a left join. ``bounded=True`` says that ``small`` is meant to be a small table (e.g. a
+    literal rule table): it is broadcast if it is counted to hold at most ``BROADCAST_ROWS`` rows, else joined like
+    any other table. By default AQE decides from runtime size."""
+    hint = bounded and small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(small) if hint else small, on=_keys(key), how="left")
 
 
 def left_coalescing(a: DataFrame, b: DataFrame, key: str | Sequence[str], suffix: str = "_dup") -> DataFrame:
