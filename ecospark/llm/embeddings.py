@@ -86,15 +86,22 @@ def centres_of(nodes: DataFrame) -> dict[str, list[np.ndarray]]:
 
 def clustered(nodes: DataFrame, centres: dict[str, list[np.ndarray]], overlap: int) -> DataFrame:
     """``(node, label, dim, unit, weight, clusters, cluster)``: a row per node and cluster; ``clusters`` lists all of a node's."""
-    shared = nodes.sparkSession.sparkContext.broadcast(centres)
+    stacked: dict[tuple[str, int], np.ndarray] = {}
+    for label, own in centres.items():
+        for dim in {len(y) for y in own}:
+            stacked[label, dim] = np.stack([y for y in own if len(y) == dim])
+    shared = nodes.sparkSession.sparkContext.broadcast(stacked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = []
-            for label, unit in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                x = np.frombuffer(unit, dtype="<f8")
-                own = [(-float(x @ y), i) for i, y in enumerate(shared.value.get(label, [])) if len(y) == len(x)]
-                near.append([i for _, i in sorted(own)[:overlap]] or [-1])
+            units, near, same = b.column(2).to_pylist(), [[-1]] * b.num_rows, {}
+            for i, (label, unit) in enumerate(zip(b.column(1).to_pylist(), units, strict=True)):
+                same.setdefault((label, len(unit) // 8), []).append(i)
+            for key, rows in same.items():
+                if key in shared.value:
+                    close = np.argsort(-(_matrix([units[i] for i in rows]) @ shared.value[key].T), axis=1, kind="stable")[:, :overlap]
+                    for i, k in zip(rows, close.tolist(), strict=True):
+                        near[i] = k
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.list_(pa.int32()))], names=["node", "label", "unit", "weight", "clusters"])
 
     out = nodes.select("node", "label", "unit", "weight").mapInArrow(run, "node long, label string, unit binary, weight long, clusters array<int>")
