@@ -69,6 +69,14 @@ def rename(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in mapping.items() if k in present})
 
 
+def rename_values(df: DataFrame, name: str, rules: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
+    """B5, long form: replace the values of column ``name`` by a rule table ``(old, new)``; values without a rule (and
+    nulls) stay. ``old`` must be unique in the rules, else rows would multiply."""
+    r = rules.select(c(old).alias("_old"), c(new).alias("_new"))
+    joined = df.join(r, c(name) == F.col("_old"), "left").withColumn(name, F.coalesce("_new", c(name)))
+    return joined.select(*[c(x) for x in df.columns])
+
+
 def evaluate_once(df: DataFrame, name: str, expr: Column) -> DataFrame:
     """Add ``expr`` as column ``name`` so that it is evaluated once per row.
 

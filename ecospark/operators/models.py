@@ -14,6 +14,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.feature import PCA, UnivariateFeatureSelector
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
@@ -65,9 +66,18 @@ FOREST_SPACE = {"numTrees": ("int", 100, 500), "maxDepth": ("int", 5, 30), "minI
 SVR_SPACE = {"c_reg": ("log", 1e-2, 1e2), "epsilon": ("log", 1e-3, 1e1), "kernel": ("choice", ["linear", "rbf"])}
 
 
-def chain(cols: Sequence[str], est, impute: bool = True, scale: str | None = "standard", poly: bool = False) -> Pipeline:
-    """Impute -> (scale) -> (poly) -> model, fitted as one MLlib Pipeline."""
-    return Pipeline(stages=[*prep_stages(cols, impute, scale, poly, out=est.getFeaturesCol()), est])
+def chain(cols: Sequence[str], est, impute: bool = True, scale: str | None = "standard", poly: bool = False,
+          top_k: int | None = None, components: int | None = None) -> Pipeline:
+    """Impute -> (scale) -> (poly) -> (top-k by univariate F-test) -> (PCA) -> model, fitted as one MLlib Pipeline,
+    so that prediction reuses every fitted stage."""
+    out = est.getFeaturesCol()
+    stages = prep_stages(cols, impute, scale, poly, out="_prepared" if top_k or components else out)
+    if top_k:
+        stages.append(UnivariateFeatureSelector(featuresCol="_prepared", outputCol="_selected" if components else out, labelCol=est.getLabelCol())
+                      .setFeatureType("continuous").setLabelType("continuous").setSelectionMode("numTopFeatures").setSelectionThreshold(top_k))
+    if components:
+        stages.append(PCA(k=components, inputCol="_selected" if top_k else "_prepared", outputCol=out))
+    return Pipeline(stages=[*stages, est])
 
 
 def evaluate(model, df: DataFrame, label: str = "label") -> DataFrame:

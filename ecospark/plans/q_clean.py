@@ -54,6 +54,16 @@ def b5(spark, d):
     return C.rename(p, {"p_name": "name", "p_size": "size", "unknown": "x"})
 
 
+_SEGMENTS = [("BUILDING", "construction"), ("MACHINERY", "industry"), ("AUTOMOBILE", "industry")]
+
+
+@register("B5_rename_values", "SELECT c_custkey, CASE c_mktsegment " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _SEGMENTS)
+          + " ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def b5_values(spark, d):
+    rules = spark.createDataFrame(_SEGMENTS, "old string, new string")
+    return C.rename_values(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", rules)
+
+
 @register("B6_exclude_names",
           "SELECT p_partkey, p_type FROM part WHERE p_type IS NULL OR p_type NOT IN ('PROMO', 'SMALL', 'ECONOMY', 'MEDIUM')")
 def b6(spark, d):

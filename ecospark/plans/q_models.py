@@ -122,6 +122,14 @@ def m11(spark, d):
     return rounded(Mo.evaluate(m, test))
 
 
+@register("M11_selection_and_pca_pipeline")
+def m11_selection(spark, d):
+    """Training with selection and PCA inside the fitted pipeline; the test half passes through the same stages."""
+    train, test = data(spark, d)
+    m = Mo.chain(FEATURES, Mo.estimator("linear"), top_k=4, components=3).fit(train)
+    return rounded(Mo.evaluate(m, test))
+
+
 @register("M12_predict_new_data")
 def m12(spark, d):
     train, test = data(spark, d)
