@@ -12,9 +12,9 @@ is derived from the threshold so that a pair at the threshold is missed with pro
 *No pair explosion.* Texts with equal shingle sets are one class. In every bucket only pairs with the bucket's
 most central class (the one that meets most others over all bands) are verified first; that joins large groups of
 near copies at linear cost. Then only buckets that still hold several components are looked at: their members outside
-the largest component are compared, in blocks of bounded size, with all members; pairs inside one component, pairs met in
-an earlier band and pairs whose estimate lies 4 standard deviations under the threshold are passed over. No link
-that could join two components is left out (up to ``MISS``). Links count only when the full shingle sets confirm
+the largest component are compared, in blocks of bounded size inside the tasks, with all members; pairs inside one
+component, pairs met in an earlier band and pairs whose estimate lies 4 standard deviations under the threshold are
+passed over. No link that could join two components is left out (up to ``MISS``). Links count only when the full shingle sets confirm
 them in integers.
 
 Null texts and texts without a word have an empty set and are linked with nothing. Rows that repeat a doc_id are
@@ -39,8 +39,8 @@ from ecospark.operators.dedup import connected_components
 
 #: places of a signature; probability of missing a pair at the threshold
 PLACES, MISS = 256, 1e-5
-#: members of a bucket compared at once
-BLOCK = 256
+#: members of a bucket compared at once, and shingles they may hold together (expected)
+BLOCK, BLOCK_SHINGLES = 256, 250_000
 _U = np.uint64
 
 
@@ -164,10 +164,10 @@ def full_sets(docs: DataFrame, classes: DataFrame, n: int, text_col: str = "text
 
 
 def buckets(classes: DataFrame, t: float) -> DataFrame:
-    """``(band, key, cls)`` of the bands that more than one class shares."""
+    """``(band, key, cls, n, size)`` of the bands that more than one class shares."""
     bands, rows = banding(t)
     keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.substring("sig", b * rows + 1, rows), F.lit(b)).alias("key")) for b in range(bands)])
-    every = classes.select("cls", F.inline(keys))
+    every = classes.select("cls", "n", F.inline(keys))
     shared = every.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     return every.join(shared, ["band", "key"])
 
@@ -203,37 +203,62 @@ def _central(m: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _across(m: DataFrame, label: DataFrame, classes: DataFrame, t: float) -> DataFrame:
-    """Pairs that share a bucket, lie in different components and whose estimate allows a link, each once."""
+def _overlap(p: np.ndarray, q: np.ndarray) -> int:
+    """Common elements of two sets."""
+    both = np.concatenate([p, q])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _across(m: DataFrame, label: DataFrame, classes: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links ``(a, b)`` between different components in the buckets that hold several: for every class outside a
+    bucket's largest component and every other component one confirmed link at most. The comparisons stay in the
+    tasks, block against block; pairs are never rows."""
+    t = num / den
     bands, rows = banding(t)
     least = estimate_least(t)
     known = label.select(F.col("node").alias("cls"), F.col("label").alias("comp"))
     u = m.join(known, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    parts = u.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s"))
-    mixed = parts.groupBy("band", "key").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("parts"),
+    parts = u.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"),
+                                                 F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s"))
+    mixed = parts.groupBy("band", "key").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"),
                                              F.sum("k").alias("size"), F.sum("s").alias("s")).filter("parts > 1")
     # buckets with the same members: the one of the first band stands for all
-    mixed = mixed.groupBy("s", "size").agg(F.min(F.struct("band", "key", "top")).alias("x")).select("x.band", "x.key", F.col("x.top.comp").alias("main"), "size")
-    u = stored(u.drop("size").join(mixed, ["band", "key"]))
-    body = u.join(classes.select("cls", "sig", "n"), "cls").withColumn(
-        "block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / BLOCK)).cast("int"))
-    packed = lambda rows_, p: rows_.groupBy("band", "key", "block").agg(*[F.collect_list(x).alias(f"{p}_{x}") for x in ("cls", "comp", "n", "sig")])
-    ours = packed(body.filter("comp != main"), "y").drop("block")
-    both = ours.join(packed(body, "x").drop("block"), ["band", "key"])
+    mixed = mixed.groupBy("s", "size", "n").agg(F.min(F.struct("band", "key", "top")).alias("x"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("n") / BLOCK_SHINGLES))
+    mixed = mixed.select("x.band", "x.key", F.col("x.top.comp").alias("main"), blocks.alias("blocks"))
+    u = stored(u.drop("size", "n").join(mixed, ["band", "key"]))
+    body = u.join(classes.select("cls", "sig"), "cls").join(members, "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    fields = ("cls", "comp", "sig", "members")
+    packed = lambda rows_, p: rows_.groupBy("band", "key", "main", "block").agg(
+        F.collect_list(F.struct(*fields)).alias(p)).select("band", "key", "main", p)
+    both = packed(body.filter("comp <> main"), "y").join(packed(body, "x"), ["band", "key", "main"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                row = {n: b.column(n)[i].as_py() for n in b.schema.names}
-                y, x = ({k: np.array(row[f"{p}_{k}"]) for k in ("cls", "comp", "n")} for p in "yx")
-                ys, xs = (np.frombuffer(b"".join(row[f"{p}_sig"]), dtype=np.uint8).reshape(-1, PLACES) for p in "yx")
+                band, main = b.column("band")[i].as_py(), b.column("main")[i].as_py()
+                y, x = (list(zip(*((r[f] for f in fields) for r in b.column(p)[i].as_py()), strict=True)) for p in "yx")
+                ys, xs = (np.frombuffer(b"".join(s[2]), dtype=np.uint8).reshape(-1, PLACES) for s in (y, x))
+                yn, xn = (np.array([len(k) // 8 for k in s[3]]) for s in (y, x))
+                yc, xc = (np.array(s[1]) for s in (y, x))
                 equal = ys[:, None, :] == xs[None, :, :]
                 met = equal[:, :, : bands * rows].reshape(len(ys), len(xs), bands, rows).all(axis=3)
-                ok = (met.argmax(axis=2) == row["band"]) & (_agreement(equal.mean(axis=2)) >= least)
-                ok &= (y["comp"][:, None] != x["comp"][None]) & (y["n"][:, None] >= t * x["n"][None]) & (x["n"][None] >= t * y["n"][:, None])
+                like = _agreement(equal.mean(axis=2))
+                ok = (met.argmax(axis=2) == band) & (like >= least) & (yc[:, None] != xc[None])
+                ok &= (yn[:, None] * den >= num * xn[None]) & (xn[None] * den >= num * yn[:, None])
+                ok &= (xc[None] == main) | (np.array(y[0])[:, None] < np.array(x[0])[None])  # two outsiders meet twice
                 p, q = np.nonzero(ok)
-                a, c = y["cls"][p], x["cls"][q]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], names=["a", "b"])
+                order = np.argsort(-like[p, q], kind="stable")  # likely links first
+                done, found = set(), []
+                for j, k in zip(p[order].tolist(), q[order].tolist(), strict=True):
+                    if (j, x[1][k]) in done:
+                        continue
+                    common = _overlap(np.frombuffer(y[3][j], dtype=_U), np.frombuffer(x[3][k], dtype=_U))
+                    if den * common >= num * (int(yn[j] + xn[k]) - common):
+                        done.add((j, x[1][k]))
+                        found.append((y[0][j], x[0][k]))
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long").distinct()
 
@@ -246,9 +271,7 @@ def _confirmed(pairs: DataFrame, members: DataFrame, num: int, den: int) -> Data
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), dtype=_U), np.frombuffer(y.as_buffer(), dtype=_U)
-                both = np.concatenate([p, q])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
+                common = _overlap(p, q)
                 keep.append(den * common >= num * (len(p) + len(q) - common))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -269,7 +292,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     members = stored(full_sets(docs, stored(m.select("cls").distinct()), n, text_col))
     links = stored(_confirmed(_similar(_central(m), classes, t), members, num, den))
     label = stored(connected_components(links))
-    more = stored(_confirmed(_across(m, label, classes, t), members, num, den))
+    more = stored(_across(m, label, classes, members, num, den))
     if not more.isEmpty():
         label = stored(connected_components(links.unionByName(more)))
     rows = flat.select("id", "n", "cls").join(label.select(F.col("node").alias("cls"), F.col("label").alias("_comp")), "cls", "left")
