@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ecospark.llm.pieces import SPACE, vocabulary
 from ecospark.llm.tables import column, slices, stored
@@ -270,7 +271,7 @@ def identify(docs: DataFrame, model: str, keep_rows: bool = False) -> DataFrame:
 
     carried = F.struct("*") if keep_rows else column(docs, "doc_id", "long")
     rows = docs.select(carried.alias("_row"), column(docs, "text", "string").alias("_text"))
-    out = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, lang_pred string, score double")
+    out = rows.mapInArrow(run, T.StructType([rows.schema["_row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     if keep_rows:
         return out
     held = F.coalesce(F.crc32(F.col("_row").cast("string")) % 5 == 0, F.lit(False))

@@ -109,12 +109,12 @@ def deletions(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
 
 def _marked(docs: DataFrame, min_words: int) -> DataFrame:
-    """``docs`` with ``_gone``: the places of the lines to delete (null: none). The deletions are broadcast if they are
+    """``docs`` with ``_llm_gone``: the places of the lines to delete (null: none). The deletions are broadcast if they are
     counted to be few; beyond that the join shuffles."""
-    gone = stored(deletions(docs, min_words).select(F.col("d").alias("_d"), F.col("th").alias("_th"), F.col("gone").alias("_gone")))
-    size = gone.agg(F.coalesce(F.sum(F.size("_gone") + 4), F.lit(0))).first()[0]
-    same = column(docs, "doc_id", "long").eqNullSafe(F.col("_d")) & (F.xxhash64(column(docs, "text", "string")) == F.col("_th"))
-    return docs.join(F.broadcast(gone) if size <= BROADCAST_PLACES else gone, same, "left").drop("_d", "_th")
+    gone = stored(deletions(docs, min_words).select(F.col("d").alias("_llm_d"), F.col("th").alias("_llm_th"), F.col("gone").alias("_llm_gone")))
+    size = gone.agg(F.coalesce(F.sum(F.size("_llm_gone") + 4), F.lit(0))).first()[0]
+    same = column(docs, "doc_id", "long").eqNullSafe(F.col("_llm_d")) & (F.xxhash64(column(docs, "text", "string")) == F.col("_llm_th"))
+    return docs.join(F.broadcast(gone) if size <= BROADCAST_PLACES else gone, same, "left").drop("_llm_d", "_llm_th")
 
 
 def _left(text: Column, gone: Column) -> Column:
@@ -129,10 +129,10 @@ def line_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     base = docs.select(column(docs, "doc_id", "long"), column(docs, "text", "string"))
     out = _marked(base, min_words)
     return out.select("doc_id", F.coalesce(F.size(_lines(F.col("text"))), F.lit(0)).cast("long").alias("n_lines"),
-                      F.coalesce("_gone", F.array().cast("array<int>")).alias("deleted"), _left(F.col("text"), F.col("_gone")).alias("text"))
+                      F.coalesce("_llm_gone", F.array().cast("array<int>")).alias("deleted"), _left(F.col("text"), F.col("_llm_gone")).alias("text"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """All rows of ``docs``, all columns, with the repeated runs deleted from ``text`` (a document may become empty)."""
     out = _marked(docs, min_words)
-    return out.withColumn("text", _left(F.col("text"), F.col("_gone"))).select(*docs.columns)
+    return out.withColumn("text", _left(F.col("text"), F.col("_llm_gone"))).select(*docs.columns)

@@ -305,5 +305,5 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs``, all columns, without those whose component holds a smaller doc_id."""
-    gone = stored(near_duplicates(docs, n, num, den).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(small(gone), column(docs, "doc_id", "long") == F.col("_gone"), "left_anti")
+    gone = stored(near_duplicates(docs, n, num, den).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_llm_gone")).distinct())
+    return docs.join(small(gone), column(docs, "doc_id", "long") == F.col("_llm_gone"), "left_anti")

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ecospark.llm.stats import FIELDS, text_stats
 from ecospark.llm.tables import column, slices, stored
@@ -57,9 +58,8 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: dict[str, str] | N
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(rows[:, i]) for i in range(len(FIELDS)))],
                                              names=[*keep, *FIELDS])
 
-    schema = ", ".join([f"`{n}` {t}" for n, t in keep.items()] + [f"{f} long" for f in FIELDS])
-    return docs.select(*[column(docs, n, t) for n, t in keep.items()],
-                       column(docs, text_col, "string").alias("_text")).mapInArrow(run, schema)
+    rows = docs.select(*[column(docs, n, t) for n, t in keep.items()], column(docs, text_col, "string").alias("_text"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *[T.StructField(f, T.LongType()) for f in FIELDS]]))
 
 
 def base_failed() -> Column:
@@ -166,6 +166,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(stats[:, i]) for i in range(len(FIELDS)))],
                                              names=["_row", "lang", "source", *FIELDS])
 
-    schema = f"_row {docs.select(F.struct('*').alias('r')).schema['r'].dataType.simpleString()}, lang string, source string, "
-    stats = rows.mapInArrow(run, schema + ", ".join(f"{f} long" for f in FIELDS))
+    schema = T.StructType([*rows.schema.fields[:3], *[T.StructField(f, T.LongType()) for f in FIELDS]])
+    stats = rows.mapInArrow(run, schema)
     return verdicts(stats, model, sizes).filter("kept").select("_row.*")
