@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ecospark.llm.pieces import SPACE, vocabulary
-from ecospark.llm.tables import column, slices, stored
+from ecospark.llm.tables import column, slices, small, stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: labelled rows per language that teach (expected number)
@@ -175,7 +175,8 @@ def _counts(docs: DataFrame) -> DataFrame:
     """``(lang, word, n)`` of the sampled teaching rows."""
     rows = docs.select(column(docs, "doc_id", "long").alias("id"), column(docs, "lang", "string").alias("lang"),
                        column(docs, "text", "string").alias("text")).filter(teaches(F.col("id"), F.col("lang")))
-    share = rows.groupBy("lang").agg((F.lit(float(SAMPLE)) / F.count(F.lit(1))).alias("share"))
+    # one row per language, counted before it is broadcast: the texts stay where they are
+    share = small(stored(rows.groupBy("lang").agg((F.lit(float(SAMPLE)) / F.count(F.lit(1))).alias("share"))))
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     taken = rows.withColumn("draw", draw).join(share, "lang").filter("draw < share").select("lang", "text")
 
