@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ecospark.llm.pieces import SPACE, vocabulary
+from ecospark.llm.pieces import SPACE, normal_pieces
 from ecospark.llm.tables import column, slices, small, stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -45,10 +45,11 @@ class Lattice:
     """The pieces as a letter tree in arrays: all words of a batch are walked together."""
 
     def __init__(self, path: str) -> None:
-        vocab = vocabulary(path)
-        self.pieces = sorted(vocab.ids)
-        letters = sorted({x for p in self.pieces for x in p})
-        self.letter = {x: i + 1 for i, x in enumerate(letters)}  # 0: any other character
+        self.pieces = normal_pieces(path)
+        inside = sorted({x for p in self.pieces if len(p) > 1 for x in p})
+        alone = sorted({x for p in self.pieces for x in p} - set(inside))
+        self.letter = {x: i + 1 for i, x in enumerate([*inside, *alone])}  # 0: any other character
+        self.width = len(inside) + 1
         heads = {"": 0}
         for p in self.pieces:
             for n in range(1, len(p)):
@@ -58,12 +59,15 @@ class Lattice:
             if p not in heads:
                 leaves[p] = inner + len(leaves)
         node = heads | leaves
-        #: next node by (inner node, letter); the last node is the dead end
+        #: next node by (inner node, letter of longer pieces), first node by any letter; the last node is the dead end
         self.dead, self.inner = len(node), inner
-        self.table = np.full((inner, len(letters) + 1), self.dead, dtype=np.int32)
+        self.table = np.full((inner, self.width), self.dead, dtype=np.int32)
+        self.first = np.full(len(self.letter) + 1, self.dead, dtype=np.int32)
         for p, k in node.items():
-            if p:
+            if len(p) > 1:
                 self.table[node[p[:-1]], self.letter[p[-1]]] = k
+            elif p:
+                self.first[self.letter[p]] = k
         #: the piece that ends at a node (-1: none)
         self.piece = np.full(len(node) + 1, -1, dtype=np.int32)
         for i, p in enumerate(self.pieces):
@@ -79,13 +83,13 @@ class Lattice:
     def steps(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Every piece of the words: (start, end, word rows, piece ids; -1 for a lone character outside the
         vocabulary), in order of the start."""
-        n = codes.shape[1]
+        n, next_ = codes.shape[1], np.where(codes < self.width, codes, 0)
         for start in range(n):
             rows = np.arange(len(codes))
-            at = self.table[0, codes[:, start]]
+            at = self.first[codes[:, start]]
             for end in range(start + 1, min(n, start + self.longest) + 1):
                 if end > start + 1:
-                    at = self.table[at, codes[rows, end - 1]]
+                    at = self.table[at, next_[rows, end - 1]]
                 piece = self.piece[at]
                 hit = np.flatnonzero(piece >= 0) if end > start + 1 else np.arange(len(rows))
                 if len(hit):
@@ -122,12 +126,13 @@ class Lattice:
     def _log_long(self, word: str, p: np.ndarray) -> np.ndarray:
         """One long word: the forward sums of a sliding window of positions, rescaled as they go."""
         codes = self.codes([word])[0]
+        next_ = np.where(codes < self.width, codes, 0)
         ahead = np.zeros((self.longest + 1, p.shape[1]))
         ahead[0], scale = 1.0, np.zeros(p.shape[1])
         for start in range(len(codes)):
             here, at = ahead[0], 0
             for k in range(min(self.longest, len(codes) - start)):
-                at = self.table[at, codes[start + k]]
+                at = self.table[at, next_[start + k]] if k else self.first[codes[start]]
                 if self.piece[at] >= 0 or k == 0:
                     ahead[k + 1] += here * p[self.piece[at]]
                 if at >= self.inner:
@@ -197,7 +202,7 @@ def fit(docs: DataFrame, model: str) -> tuple[list[str], np.ndarray]:
     """Languages and their piece probabilities ((pieces + 1) x languages)."""
     counts = stored(_counts(docs))
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    n_pieces = len(lattice(model).pieces)
+    n_pieces = len(normal_pieces(model))
     p = np.full((n_pieces + 1, len(langs)), 1.0 / n_pieces)
     p[-1] = OTHER
     for _ in range(ROUNDS if langs else 0):

@@ -172,6 +172,16 @@ class Vocabulary:
         return [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
 
+def normal_pieces(path: str) -> list[str]:
+    """The ordinary pieces of a model file, sorted, without the tables."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    return sorted({p.piece for p in model.pieces if p.type == NORMAL})
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     """One vocabulary per Python worker and file."""
