@@ -31,7 +31,8 @@ from ecospark.llm.tables import column, stored
 from ecospark.operators.profile import prefix_sum
 
 WORD = r"[^\x20\x09-\x0D]+"
-KEY = ["d", "th"]
+#: a document: whether it has an id, the id (0 for null), the text's hash; no part is null, so plain equi-joins find all
+KEY = ["o", "d", "th"]
 #: places of deleted lines that a broadcast may hold
 BROADCAST_PLACES = 4_000_000
 
@@ -41,11 +42,12 @@ def _lines(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(column(docs, "doc_id", "long").alias("d"), column(docs, "text", "string").alias("t")).withColumn("th", F.xxhash64("t"))
+    keyed = docs.select(column(docs, "doc_id", "long").alias("d"), column(docs, "text", "string").alias("t")).withColumn("th", F.xxhash64("t"))
+    return keyed.withColumn("o", F.col("d").isNotNull()).withColumn("d", F.coalesce("d", F.lit(0)))
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """``(d, th, at, j, seg, h, h2, nw)``: the lines that occur more than once; ``at`` is the place among all lines of
+    """``(o, d, th, at, j, seg, h, h2, nw)``: the lines that occur more than once; ``at`` is the place among all lines of
     the document, ``j`` among its lines with a word; ``seg`` names its segments of neighbours."""
     placed = F.transform(_lines(F.col("t")), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
     worded = F.filter(placed, lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]"))
@@ -83,7 +85,7 @@ def deletions(docs: DataFrame, min_words: int = 50) -> DataFrame:
     s = stored(short_runs(suffixes(docs), min_words))
     longest = s.agg(F.max(F.greatest("ahead", "back"))).first()[0]
     if longest is None:  # no segment holds enough words
-        return s.select(*KEY, F.array("at").alias("gone")).limit(0)
+        return s.select("d", "th", F.array("at").alias("gone")).limit(0)
     top = longest.bit_length() - 1
     s = s.join(ranked(s, ["h", "h2"]), ["h", "h2"]).withColumnRenamed("rank", "r0").drop("h", "h2")
     line = Window.partitionBy(*KEY, "seg").orderBy("j")
@@ -103,9 +105,9 @@ def deletions(docs: DataFrame, min_words: int = 50) -> DataFrame:
     first = runs.groupBy("m", "a", "b").agg(F.min(F.struct(*KEY, "j")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     later = runs.join(first, ["m", "a", "b"]).filter(~F.struct(*KEY, "j").eqNullSafe(F.col("first")))
     gone = later.select(*KEY, F.explode(F.expr("sequence(j, int(j + m - 1))")).alias("j")).distinct()
-    s = s.select(*[F.col(x).alias(f"s_{x}") for x in (*KEY, "j", "at")])
-    same = F.col("d").eqNullSafe(F.col("s_d")) & (F.col("th") == F.col("s_th")) & (F.col("j") == F.col("s_j"))
-    return gone.join(s, same).groupBy(*KEY).agg(F.sort_array(F.collect_list("s_at")).alias("gone"))
+    s = s.select(*KEY, "j", "at")
+    places = gone.join(s, [*KEY, "j"]).groupBy(*KEY).agg(F.sort_array(F.collect_list("at")).alias("gone"))
+    return places.select(F.when(F.col("o"), F.col("d")).alias("d"), "th", "gone")
 
 
 def _marked(docs: DataFrame, min_words: int) -> DataFrame:

@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ecospark.llm import langid, licenses, linededup, lm, minhash, quality
 from ecospark.llm.stats import text_stats
@@ -348,6 +349,18 @@ def test_lines(docs, rows, none, least):
     assert linededup.line_dedup(none).count() == 0
 
 
+def test_lines_of_documents_with_null_ids(spark):
+    """Null ids come first in the order: their passages are the first occurrences, and later ones among them go."""
+    run, other = ("\n".join(f"{w}{i} b c d e f g h i j k l" for i in range(6)) for w in "xy")
+    rows = [(None, f"head\n{run}"), (0, f"{run}\nzero"), (1, f"one\n{run}\n{other}"), (None, f"{other}\nmid\n{other}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.text.split("\n")[0] if r.text else "": (r.doc_id, r.deleted) for r in linededup.line_dedup(df).collect()}
+    later = list(range(7, 13))
+    assert got == {"head": (None, []), "zero": (0, list(range(6))), "one": (1, [*range(1, 13)]), "y0 b c d e f g h i j k l": (None, later)}
+    gone = linededup.line_dedup(df.select(F.lit(None).cast("long").alias("doc_id"), "text"))  # no ids at all
+    assert sum(len(r.deleted) for r in gone.collect()) == 6 * 4
+
+
 def test_runs_of_many_lengths(spark):
     """Short lines (runs of many lines), overlapping runs, runs within one document and a line that is everywhere."""
     rng = np.random.default_rng(6)
