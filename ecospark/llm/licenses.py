@@ -5,10 +5,12 @@ every word of the licence templates, its postings (template, position) and its r
 over the templates and the corpus: words that few templates and few documents hold come first). For each document
 
 1. the positions of index words are taken (all other words drop out at once),
-2. its ``RAREST`` highest-IDF licence words are looked up and their postings intersected by relative position: a hit
-   at document position p of a word at template position q votes for an alignment (template, p - q); a template
-   occurs where an alignment gathers votes of at least ``SHARE`` of the template's looked-up words, and
-3. the template's mandatory key phrases must stand consecutively within the aligned span.
+2. the ``RAREST`` highest-IDF key phrase words of every template are looked up and their postings intersected by
+   relative position: a hit at document position p of a word at template position q votes for an alignment
+   (template, p - q), and an alignment with all votes is a candidate. Key words are mandatory, so no occurrence is
+   missed, whatever else the document holds, and
+3. a template occurs where its mandatory key phrases stand consecutively within the aligned span and at least ``SHARE``
+   of its words stand at their places.
 
 The base labels come from three phrases that are counted in every text, every place. ``score`` is the best share of a
 template's words that stand at their aligned places, 1 for a base label without an alignment, else 0.
@@ -59,7 +61,7 @@ TEMPLATES: dict[str, tuple[str, str, tuple[str, ...]]] = {
 }
 #: words that are in every text: indexed only where a key phrase needs them
 FUNCTION_WORDS = set("a all and any are as by for in into is it of or that the this to you with".split())
-#: words looked up per document; share of their votes that an alignment must gather
+#: words looked up per template; share of a template's words that must stand at their places
 RAREST, SHARE = 8, 0.6
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -108,24 +110,25 @@ def matches(base: DataFrame) -> DataFrame:
     for w, t, *_ in index:
         holders[w].add(t)
     seen = base.select(F.explode(F.array_distinct(F.col("hits.w"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    # one row per index word: a fixed number
+    # one row per index word or posting: a fixed number
     rarity = spark.createDataFrame([(w, math.log(len(TEMPLATES) / len(t))) for w, t in sorted(holders.items())], "w string, idf double")
-    idf = F.broadcast(rarity.join(seen, "w").select("w", (F.col("idf") - F.log(F.col("df").cast("double"))).alias("idf")))
-    own = hits.select("row", "w").distinct().join(idf, "w")
-    looked = own.withColumn("k", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("idf"), "w"))).filter(F.col("k") <= RAREST).select("row", "w")
-    post = F.broadcast(spark.createDataFrame(index, "w string, template string, q long, key boolean"))
+    idf = rarity.join(seen, "w", "left").select("w", (F.col("idf") - F.log(F.coalesce("df", F.lit(0.5)))).alias("idf"))
+    post = spark.createDataFrame(index, "w string, template string, q long, key boolean")
+    order = Window.partitionBy("template").orderBy(F.desc("idf"), "w", "q")
+    rare = post.filter("key").join(idf, "w").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= RAREST)
+    rare = stored(rare.withColumn("most", F.count(F.lit(1)).over(Window.partitionBy("template"))).select("w", "template", "q", "most"))
     sizes = defaultdict(lambda: [0, 0])
     for _, t, _, key in index:
         sizes[t][0] += 1
         sizes[t][1] += key
     size = F.broadcast(spark.createDataFrame([(t, TEMPLATES[t][0], *n) for t, n in sizes.items()], "template string, label string, size long, keys long"))
-    most = looked.join(post, "w").groupBy("row", "template").agg(F.count(F.lit(1)).alias("most"))
-    # every hit votes for the alignments its word allows; the votes of the looked-up words decide
-    votes = hits.join(looked.withColumn("rare", F.lit(1)), ["row", "w"], "left").join(post, "w").withColumn("at", F.col("pos") - F.col("q"))
-    aligned = votes.groupBy("row", "template", "at").agg(F.count("rare").alias("votes"), F.count(F.lit(1)).alias("stand"),
-                                                         F.count(F.when(F.col("key"), 1)).alias("key"))
-    good = (aligned.join(most, ["row", "template"]).join(size, "template")
-            .filter((F.col("votes") >= SHARE * F.col("most")) & (F.col("key") == F.col("keys")) & (F.col("stand") >= SHARE * F.col("size"))))
+    votes = hits.join(F.broadcast(rare), "w").groupBy("row", "template", (F.col("pos") - F.col("q")).alias("at"))
+    found = votes.agg(F.count(F.lit(1)).alias("votes"), F.first("most").alias("most")).filter("votes = most").drop("votes", "most")
+    # the places where the candidates' words should be, against the words that stand there
+    due = found.join(F.broadcast(post), "template").withColumn("pos", F.col("at") + F.col("q")).drop("q")
+    aligned = due.join(hits, ["row", "pos", "w"]).groupBy("row", "template", "at").agg(
+        F.count(F.lit(1)).alias("stand"), F.count(F.when(F.col("key"), 1)).alias("key"))
+    good = aligned.join(size, "template").filter((F.col("key") == F.col("keys")) & (F.col("stand") >= SHARE * F.col("size")))
     return good.groupBy("row").agg(F.collect_set("label").alias("own"), F.max(F.col("stand") / F.col("size")).alias("share"))
 
 

@@ -193,6 +193,20 @@ def test_templates_are_found_in_place_only(spark):
     assert got == {1: "bsd", 2: "", 3: ""}
 
 
+def test_several_notices_and_notices_in_long_prose(spark):
+    """Every notice counts, whatever else its document holds."""
+    prose = "a deal with the author of the files for a fee and a copy of the terms to publish in any form for the public use of this work "
+    texts = {t: x for t, (_, x, _) in licenses.TEMPLATES.items()}
+    six = ["mit grant", "bsd conditions", "isc grant", "mpl header", "unlicense", "cc0"]
+    rows = [(0, ". ".join(texts[t] for t in six)), (1, "\n".join(texts.values()))]
+    rows += [(i, prose * 30 + texts[t] + " " + prose) for i, t in enumerate(texts, 100)] + [(i, texts[t]) for i, t in enumerate(texts, 200)]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == "bsd,cc0,isc,mit,mpl,unlicense"
+    assert got[1] == ",".join(sorted({lab for lab, *_ in licenses.TEMPLATES.values()}))
+    for i, (lab, *_) in enumerate(licenses.TEMPLATES.values()):
+        assert got[100 + i] == got[200 + i] and lab in got[100 + i].split(",")
+
+
 # ---------------------------------------------------------------- LM scoring
 
 
