@@ -133,6 +133,39 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer(PIECES))
 
 
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ecospark.llm import filteraudit
+
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_audit"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+     FROM documents),
+ f AS (SELECT w.doc_id, part, CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+     + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+     + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+     + CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS bits FROM w),
+ l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+ cells AS (SELECT part, bits, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+     FROM f LEFT JOIN l ON l.doc_id = f.doc_id GROUP BY part, bits),
+ letter AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(name, bit)),
+ o(ord, used) AS (SELECT '', 0 UNION ALL SELECT ord || name, used + bit FROM o, letter WHERE used & bit = 0),
+ s AS (SELECT o.ord, k.step, l.bit, coalesce((SELECT sum(b.bit) FROM letter b WHERE strpos(o.ord, b.name) < k.step), 0) AS before
+     FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step) k, letter l WHERE length(o.ord) = 5 AND l.name = substr(o.ord, k.step, 1))
+SELECT c.part, s.ord AS filter_order, CAST(s.step AS INTEGER) AS step,
+  CAST(sum(CASE WHEN c.bits & CAST(s.before + s.bit AS INTEGER) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN c.bits & CAST(s.before AS INTEGER) = 0 AND c.bits & s.bit <> 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN c.bits & CAST(s.before AS INTEGER) <> 0 AND c.bits & s.bit <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN c.bits = s.bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN c.bits & CAST(s.before AS INTEGER) = 0 AND c.bits & s.bit <> 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN c.bits & CAST(s.before AS INTEGER) = 0 AND c.bits & s.bit <> 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+  CAST(sum(CASE WHEN c.bits & s.bit <> 0 THEN n * 120 // bit_count(c.bits) ELSE 0 END) AS BIGINT) AS shapley
+FROM cells c, s GROUP BY c.part, s.ord, s.step
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
