@@ -1,10 +1,12 @@
 """Operator 11: filter interaction audit over a sparse document-term matrix.
 
 The texts become compressed sparse rows: each shard (a bounded slice of documents) counts its words exactly, word bytes
-as keys, under local numbers; the distinct words of all shards are numbered once for the whole corpus (the global
-dictionary), and every shard's local numbers are replaced by the global ones. A document's words are its row's sum, its
-distinct words the row's non-zero count. Those two decide filters A and B; flags taken from the text's bytes while it
-was read decide C and D, and the smallest ``doc_id`` with the same text decides E.
+as keys, and stores them as CSR arrays whose columns are the shard's terms, named by global ids. The global dictionary
+numbers every word of the corpus once: its id is a 63-bit hash, the dictionary (one aggregate over the shards' distinct
+words) proves that no two words share one, and words that do get ids of their own (negative), which the shards then
+take over. So ids are exact, and neither texts nor matrix are shuffled. A document's words are its row's sum, its
+distinct words the row's non-zero count. Those two decide filters A and B; flags taken from the text's bytes while it was read
+decide C and D, and the smallest ``doc_id`` with the same text decides E.
 
 What an order of filters removes depends only on how many documents fail which set of filters, so the audit folds the
 documents to counts per (part, set of failed filters) before anything is shuffled: a source that holds a third of all
@@ -27,115 +29,126 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ecospark.functions.cols import c
 from ecospark.llm.tables import column, lookup, slices, small, stored
+from ecospark.llm.words import word_hashes
 
 #: bytes of text in a shard (one document at least)
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
 UPPER = bytes(range(0x41, 0x5B))
 SYMBOLS = b"#$%&*|"
 #: bytes that continue a UTF-8 character: the others start one
 _CONTINUE = bytes(range(0x80, 0xC0))
+#: shards are long rows: pages and row groups are closed by size from the first rows on
+_LONG_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.max": "4",
+              "parquet.block.size.row.check.max": "4", "parquet.block.size": str(32 << 20)}
 
-_LOCAL = ("shard long, words array<binary>, doc_id array<long>, part array<string>, same array<binary>, upper array<long>, "
-          "points array<long>, symbols array<boolean>, indptr binary, indices binary, data binary")
+_DOCUMENTS = "doc_id array<long>, part array<string>, same array<binary>, upper array<long>, points array<long>, symbols array<boolean>"
+_CSR = "terms binary, indptr binary, indices binary, data binary"
 _ROWS = "doc_id long, part string, same binary, n_words long, n_distinct long, upper long, points long, symbols boolean"
 
 
 @dataclass
 class Matrix:
-    """``dictionary``: (word binary, id long, shards long), ids 0, 1, ... over the corpus. ``shards``: one row per shard with
-    the documents' columns as arrays and the CSR arrays ``indptr``, ``indices`` (global ids) and ``data`` as the bytes of
-    int64 numbers. ``documents``: the documents' columns of the shards without the matrix, a written table."""
+    """``dictionary``: (id long, word binary, shards long), one row per word of the corpus. ``shards``: one row per shard with the
+    documents' columns as arrays and the CSR arrays as bytes: ``indptr`` (int64), ``indices`` (int32, places in ``terms``), ``data`` (int32)
+    and ``terms`` (int64, the dictionary's ids). ``documents``: the documents' columns alone."""
 
     dictionary: DataFrame
     shards: DataFrame
     documents: DataFrame
 
 
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per slice of documents: local dictionary, CSR arrays with local numbers, flags of the texts."""
-    task, made = TaskContext.get().partitionId(), 0
+def _word_ids(words: list[bytes], bits: int) -> np.ndarray:
+    """Non-negative 64-bit hashes of words (words hold no white space, so one text holds them all)."""
+    return (word_hashes(np.frombuffer(b" ".join(words), np.uint8)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _shards(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """One row per slice of documents: distinct words, CSR arrays, flags of the texts."""
     lists = lambda x, kind: pa.array([x], type=pa.list_(kind))
+    blob = lambda x: pa.array([x.tobytes()], type=pa.binary())
     for batch in slices(batches, "text", SHARD_BYTES):
-        ids, parts, texts = (batch.column(i).to_pylist() for i in range(3))
-        vocabulary: dict[bytes, int] = {}
-        number = vocabulary.setdefault
+        number: dict[bytes, int] = {}
         indices, data, indptr = [], [], [0]
         same, upper, points, symbols = [], [], [], []
-        for raw in texts:
-            raw = raw or b""
+        for text in batch.column(2):
+            raw = text.as_py() or b""
             counts = Counter(raw.split())  # bytes are split at [\x20\x09-\x0D] exactly
-            indices.append(np.fromiter((number(w, len(vocabulary)) for w in counts), np.int32, len(counts)))
+            indices.append(np.fromiter((number.setdefault(w, len(number)) for w in counts), np.int32, len(counts)))
             data.append(np.fromiter(counts.values(), np.int32, len(counts)))
             indptr.append(indptr[-1] + len(counts))
             same.append(hashlib.blake2b(raw, digest_size=16).digest())
             upper.append(len(raw) - len(raw.translate(None, UPPER)))
             points.append(len(raw.translate(None, _CONTINUE)))
             symbols.append(len(raw.translate(None, SYMBOLS)) < len(raw))
-        blob = lambda x, kind: pa.array([np.asarray(x, kind).tobytes()], type=pa.binary())
+        words = list(number)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([(task << 32) + made], type=pa.int64()), lists(list(vocabulary), pa.binary()), lists(ids, pa.int64()),
-             lists(parts, pa.string()), lists(same, pa.binary()), lists(upper, pa.int64()), lists(points, pa.int64()),
-             lists(symbols, pa.bool_()), blob(indptr, np.int32), blob(np.concatenate(indices), np.int32), blob(np.concatenate(data), np.int32)],
-            ["shard", "words", "doc_id", "part", "same", "upper", "points", "symbols", "indptr", "indices", "data"])
-        made += 1
+            [lists(batch.column(0).to_pylist(), pa.int64()), lists(batch.column(1).to_pylist(), pa.string()), lists(same, pa.binary()),
+             lists(upper, pa.int64()), lists(points, pa.int64()), lists(symbols, pa.bool_()), lists(words, pa.binary()), blob(_word_ids(words, bits)),
+             blob(np.array(indptr, np.int64)), blob(np.concatenate(indices)), blob(np.concatenate(data))],
+            ["doc_id", "part", "same", "upper", "points", "symbols", "words", "terms", "indptr", "indices", "data"])
 
 
-def _global(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Local word numbers replaced by the dictionary's, rows sorted by them; all arrays as int64."""
+def _renamed(batches: Iterator[pa.RecordBatch], other: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    """Shards whose terms take the ids of words that share a hash."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            get = lambda name, kind: np.frombuffer(row.column(row.schema.get_field_index(name))[0].as_py(), kind)
-            indptr, indices, data = get("indptr", np.int32).astype(np.int64), get("indices", np.int32), get("data", np.int32)
-            ids = row.column(row.schema.get_field_index("ids"))[0]
-            wide = np.asarray(ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else [], np.int64)[indices]
-            order = np.lexsort((wide, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
-            arrays = {"indptr": indptr, "indices": wide[order], "data": data[order].astype(np.int64)}
-            keep = [n for n in row.schema.names if n not in ("ids", *arrays)]
-            yield pa.RecordBatch.from_arrays(
-                [row.column(row.schema.get_field_index(n)) for n in keep] + [pa.array([a.tobytes()], type=pa.binary()) for a in arrays.values()],
-                [*keep, *arrays])
-
-
-def matrix(docs: DataFrame, part: str = "source") -> Matrix:
-    """The corpus as a document-term matrix with one dictionary.
-
-    Shards are written once; only a shard's distinct words meet the other shards' (a word that stands in every text
-    comes once per shard), and only its numbers travel back to it."""
+        at = batch.schema.names.index("terms")
+        terms = []
+        for words, old in zip(batch.column(batch.schema.names.index("words")).to_pylist(), batch.column(at).to_pylist(), strict=True):
+            new = np.frombuffer(old, np.int64).copy()
+            for i, w in enumerate(words):
+                if w in other:
+                    new[i] = other[w]
+            terms.append(new.tobytes())
+        yield batch.set_column(at, "terms", pa.array(terms, type=pa.binary())).drop_columns(["words"])
+
+
+def matrix(docs: DataFrame, part: str = "source", bits: int = 63) -> Matrix:
+    """The corpus as a document-term matrix with one dictionary. The shards are written once; of them only the distinct
+    words are shuffled, folded per task first (a word that stands in every text comes once per task)."""
     base = docs.select(column(docs, "doc_id", "long"), F.coalesce(column(docs, part, "string"), F.lit("")).alias("part"),
                        column(docs, "text", "string").cast("binary").alias("text"))
-    local = stored(base.mapInArrow(_local, _LOCAL))
-    used = local.select("shard", F.posexplode("words").alias("local", "word"))
-    words = used.groupBy("word").agg(F.count(F.lit(1)).alias("shards"))
-    # number within a written partition, plus the partitions before it: dense ids without a global sort
-    numbered = stored(words.withColumn("_at", F.monotonically_increasing_id()))
-    task, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = sorted((r["t"], r["n"]) for r in numbered.groupBy(task.alias("t")).agg(F.count(F.lit(1)).alias("n")).collect())  # one row per task
-    starts = np.concatenate([[0], np.cumsum([n for _, n in sizes])])[:-1].tolist()
-    offsets = docs.sparkSession.createDataFrame([(t, int(s)) for (t, _), s in zip(sizes, starts, strict=True)], "_task long, _start long")
-    dictionary = numbered.join(F.broadcast(offsets), task == F.col("_task")).select("word", (F.col("_start") + at).alias("id"), "shards")
-    numbers = used.join(dictionary.select("word", "id"), "word").groupBy("shard").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("local", "id"))), lambda x: x["id"]).alias("ids"))  # a shard's words: bounded
-    schema = _LOCAL.replace(", words array<binary>", "")
-    return Matrix(dictionary, local.drop("words").join(numbers, "shard", "left").mapInArrow(_global, schema),
-                  local.select("shard", "doc_id", "part", "same"))
+    made = stored(base.mapInArrow(lambda b: _shards(b, bits), f"{_DOCUMENTS}, words array<binary>, {_CSR}"), **_LONG_ROWS)
+    # the ids are hashes computed beside the words; the aggregate proves them to be unique
+    terms = made.mapInArrow(_terms, "id long, word binary")
+    ids = stored(terms.groupBy("id").agg(F.min("word").alias("word"), F.max("word").alias("_last"), F.count(F.lit(1)).alias("shards")))
+    shared = ids.filter("word <> _last").select("id")
+    if shared.isEmpty():
+        return Matrix(ids.drop("_last"), made.drop("words"), made.select("doc_id", "part", "same"))
+    # about n^2 / 2^64 words of n share a hash: a handful, whatever the corpus
+    clash = terms.join(F.broadcast(shared), "id").groupBy("word").agg(F.count(F.lit(1)).alias("shards")).orderBy("word").collect()
+    other = {bytes(r["word"]): -1 - i for i, r in enumerate(clash)}
+    named = docs.sparkSession.createDataFrame([(other[bytes(r["word"])], r["word"], r["shards"]) for r in clash], "id long, word binary, shards long")
+    dictionary = ids.filter("word = _last").drop("_last").unionByName(named)
+    return Matrix(dictionary, made.mapInArrow(lambda b: _renamed(b, other), f"{_DOCUMENTS}, {_CSR}"), made.select("doc_id", "part", "same"))
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each shard with their ids."""
+    for batch in batches:
+        words, terms = (batch.column(batch.schema.names.index(n)) for n in ("words", "terms"))
+        for i in range(batch.num_rows):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms[i].as_py(), np.int64)), words[i].values], ["id", "word"])
 
 
 def _row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document: the sum of its row and its non-zero columns."""
     for batch in batches:
         col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         for i in range(batch.num_rows):
-            indptr, data = (np.frombuffer(col[n][i].as_py(), np.int64) for n in ("indptr", "data"))
-            sums = np.concatenate([[0], np.cumsum(data)])[indptr]
+            read = lambda n, kind: np.frombuffer(col[n][i].as_py(), kind)  # noqa: B023, E731
+            indptr, terms, indices, data = read("indptr", np.int64), read("terms", np.int64), read("indices", np.int32), read("data", np.int32)
+            sums = np.concatenate([[0], np.cumsum(data, dtype=np.int64)])[indptr]
+            # rows without a repeated column: a row's distinct ids are its length
+            distinct = np.diff(indptr) if len(np.unique(terms)) == len(terms) else np.array(
+                [len(np.unique(terms[indices[a:b]])) for a, b in zip(indptr[:-1], indptr[1:], strict=True)], np.int64)
             flat = {n: col[n][i].values for n in ("doc_id", "part", "same", "upper", "points", "symbols")}
             yield pa.RecordBatch.from_arrays(
-                [flat["doc_id"], flat["part"], flat["same"], pa.array(np.diff(sums)), pa.array(np.diff(indptr)), flat["upper"], flat["points"],
+                [flat["doc_id"], flat["part"], flat["same"], pa.array(np.diff(sums)), pa.array(distinct), flat["upper"], flat["points"],
                  flat["symbols"]], ["doc_id", "part", "same", "n_words", "n_distinct", "upper", "points", "symbols"])
 
 

@@ -166,6 +166,51 @@ FROM cells c, s GROUP BY c.part, s.ord, s.step
 """
 
 
+@query
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ecospark.llm import warc
+    from ecospark.session import new_folder
+
+    path = new_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path, at_least=0)
+    records = warc.read_archives(spark, path)
+    return warc.page_rows(warc.captures(records, keep=())).drop("url")
+
+
+ORACLES["op12_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+ b AS (SELECT page_id, h, min(page_id) OVER (PARTITION BY h) AS first, list_reduce(list_transform(string_split(sha1(h), ''),
+       lambda x: lpad(bin(strpos('0123456789abcdef', x) - 1), 4, '0')), lambda x, y: x || y) AS bits FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, list_reduce(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST(list_sum(list_transform([1, 2, 3, 4, 5], lambda i: CAST(substr(bits, CAST(5 * k + i AS BIGINT), 1) AS INT) * (1 << (5 - i)))) AS INT), 1)),
+    lambda x, y: x || y) AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b
+"""
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ecospark.llm import negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.hard_negatives(vectors, anchor=F.col("id") % 100 == 0)
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+     list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+     WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+     FROM e a JOIN e b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+ p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+ n AS (SELECT p.a, p.b, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank, s.b AS neg, p.score AS ps, s.score AS ns
+     FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT a AS anchor_id, b AS positive_id, CAST(rank AS INTEGER) AS rank, neg AS negative_id, ps AS positive_score, ns AS negative_score
+FROM n WHERE rank <= 5
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -16,12 +16,12 @@ from ecospark.session import new_folder
 BROADCAST_ROWS = 1_000_000
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared checkpoint folder and read again: later jobs start from the files,
-    so a lost executor never replays what came before. ``session.cleanup`` removes the folder."""
+def stored(df: DataFrame, **options: str) -> DataFrame:
+    """``df`` written as Parquet (with the writer's ``options``) in the shared checkpoint folder and read again: later jobs
+    start from the files, so a lost executor never replays what came before. ``session.cleanup`` removes the folder."""
     spark = df.sparkSession
     path = new_folder(spark, "llm")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
