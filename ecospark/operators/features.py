@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from ecospark.functions.cols import c, numeric
 from ecospark.operators import profile as P
+from ecospark.session import cut_lineage
 
 BLOCK = 100
 
@@ -159,10 +160,12 @@ def weak_and_collinear_report(df: DataFrame, target: str, low: float = 0.1, high
     """drop features with abs(Pearson vs target) < low, and both members of any feature pair
     with abs(r) > high. ``(column, r_target, collinear, drop)``."""
     cols = [x for x in (cols or numeric(df)) if x != target]
-    rt = P.pearson(df, cols, [(x, target) for x in cols]).select(F.col("a").alias("column"), F.col("r").alias("r_target"))
-    pairs = P.pearson(df, cols).filter(F.abs("r") > high)
-    members = pairs.select(F.col("a").alias("column")).unionByName(pairs.select(F.col("b").alias("column"))).distinct()
-    out = rt.join(members.withColumn("collinear", F.lit(True)), "column", "left")
+    found = cut_lineage(P.pearson(df, [*cols, target]))  # one pass over the data for both rules
+    rt = found.filter(F.col("b") == target).select(F.col("a").alias("column"), F.col("r").alias("r_target"))
+    pairs = found.filter((F.col("b") != target) & (F.abs("r") > high))
+    members = pairs.select(F.explode(F.array("a", "b")).alias("column")).distinct().withColumn("collinear", F.lit(True))
+    names = df.sparkSession.createDataFrame([(x,) for x in cols], "column string")
+    out = names.join(rt, "column", "left").join(members, "column", "left")
     out = out.withColumn("collinear", F.coalesce("collinear", F.lit(False)))
     return out.withColumn("drop", F.coalesce(F.abs("r_target") < low, F.lit(False)) | F.col("collinear"))
 

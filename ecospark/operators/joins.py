@@ -101,3 +101,22 @@ def chain(base: DataFrame, steps: Sequence[tuple[DataFrame, str | Sequence[str]]
     for o, k in steps:
         out = out.join(o, on=_keys(k), how="left")
     return out
+
+
+# ---------------------------------------------------------------- hot keys
+
+def counted_lookup(rows: DataFrame, side: DataFrame, on: Sequence[str], weight: str, limit: int | None = None) -> DataFrame:
+    """``rows`` left-joined to ``side`` (one row per key; its column ``weight`` counts the rows of that key) without a hot
+    task: a side counted to hold at most ``limit`` rows is broadcast; of a larger one only the heaviest keys are (those
+    over 1/100,000 of all rows and 10,000 rows: 100,000 keys at most, whatever the data), while the others are
+    shuffled. ``side`` should be materialised (it is counted first); with a large side ``rows`` is read twice. Null keys
+    find nothing, as in any join."""
+    on = list(on)
+    n, total = side.agg(F.count(F.lit(1)), F.sum(c(weight))).first()
+    if n <= (BROADCAST_ROWS if limit is None else limit):
+        return rows.join(F.broadcast(side), on, "left")
+    heavy = c(weight) > F.lit(max(10_000, int(total) // 100_000))
+    hot, cold = side.filter(heavy), side.filter(~heavy)
+    at_hot = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(*[c(x) for x in on])), on, "left_anti").join(cold, on, "left")
+    return at_hot.unionByName(rest)

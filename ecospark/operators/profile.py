@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ecospark.functions.cols import c, numeric
+from ecospark.operators.joins import counted_lookup
 from ecospark.session import cut_lineage
 
 # ---------------------------------------------------------------- counts
@@ -226,12 +227,18 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str = "rank"
     """Average rank (ties share the mean of their positions, 1-based) of ``value`` within ``by``.
 
     Distinct values are counted first (one shuffle), ranked by a distributed prefix sum of the
-    counts, then joined back to the rows."""
+    counts, then joined back to the rows, frequent values without a shuffle."""
     by = list(by)
-    counts = df.groupBy(*[c(b) for b in by], c(value)).agg(F.count(F.lit(1)).alias("_cnt"))
+    return counted_lookup(df, value_ranks(df, by, value, out), [*by, value], "_cnt").drop("_cnt")
+
+
+def value_ranks(df: DataFrame, by: Sequence[str], value: str, out: str = "rank", sums: Sequence[Column] = ()) -> DataFrame:
+    """(by..., value, ``_cnt``, ``out``) per distinct value: its number of rows and average rank within ``by``, plus further
+    aggregates. Rows of one value are folded per task, so a value that half of all rows hold is one row per task, and
+    values are ranked by the distributed prefix sum of their counts."""
+    counts = df.groupBy(*[c(b) for b in by], c(value)).agg(F.count(F.lit(1)).alias("_cnt"), *sums)
     cum = prefix_sum(counts, [value], "_cnt", out="_cum", by=by)
-    ranks = cum.select(*[c(b) for b in by], c(value), (F.col("_cum") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0).alias(out))
-    return df.join(ranks, on=[*by, value], how="left")
+    return cum.withColumn(out, F.col("_cum") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0).drop("_cum")
 
 
 def cumulative(df: DataFrame, order: Sequence[str], value: str, out: str = "cumulative") -> DataFrame:
@@ -257,13 +264,11 @@ SAFE_CORR_SQL = ("try_divide(covar_pop({a}, {b}), stddev_pop(CASE WHEN {b} IS NO
 def pearson(df: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """Pairwise-complete Pearson r for each pair (all i < j by default), long form (a, b, r).
 
-    ``corr`` skips rows where either side is null, exactly the pandas pairwise rule; NaN is turned
-    into null first so it is skipped too."""
-    pairs = list(pairs) if pairs else [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    clean = lambda x: F.nanvl(c(x).cast("double"), F.lit(None).cast("double"))
-    one = df.agg(*[safe_corr(clean(a), clean(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    return one.select(_long([F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
-                             for i, (a, b) in enumerate(pairs)]).alias("x")).select("x.*")
+    Rows where either side is null or NaN don't count for a pair (the pandas pairwise rule); r is null when either side is
+    constant over the pair's rows or a column holds an infinity. Any width: see :mod:`ecospark.operators.gram`."""
+    from ecospark.operators import gram
+
+    return gram.correlations(df, list(cols)) if pairs is None else gram.correlations_of(df, list(pairs))
 
 
 def melt(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), name: str = "feature", value: str = "value") -> DataFrame:
@@ -275,28 +280,51 @@ def melt(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), name: str
 
 def spearman(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
     """Spearman rho of each column with ``target`` over the pairwise-complete rows:
-    average ranks within each feature's complete rows, then Pearson of the ranks. ``(feature, rho)``.
-
-    One-row pre-check: when no feature is null/NaN where the target is present, every feature
-    has the same complete rows, so the target is ranked once on the base table (not once per
-    feature in long form)."""
+    average ranks within each feature's complete rows, then Pearson of the ranks. ``(feature, rho)``; null without two
+    different values on either side.
+
+    The target is ranked once per set of rows: once for all features without gaps (one pre-check counts them), and per
+    feature with gaps. Then a feature needs no ranked rows: rows are folded to (feature, value, rows, sums of the
+    target's ranks), which a task does before anything is shuffled, the values are ranked by their counts, and
+    the sums of products follow from ``rank * sum of target ranks`` per value. So the zeros of a sparse descriptor are one
+    row per task and no row is joined to its rank."""
     y = c(target).cast("double")
     valid = lambda e: e.isNotNull() & ~F.isnan(e)
-    gaps = df.filter(valid(y)).agg(*[F.count_if(~valid(c(x).cast("double"))).alias(f"g{i}") for i, x in enumerate(cols)]).first()
     names = df.sparkSession.createDataFrame([(x,) for x in cols], "feature string")
-    if gaps is not None and all(gaps[f"g{i}"] == 0 for i in range(len(cols))):
-        base = df.filter(valid(y)).select(*[c(x) for x in cols], y.alias("_y"))
-        ranked_y = average_rank(base, [], "_y", "_ry")
-        long = melt(ranked_y, cols, keep=["_ry"])
-        rx = average_rank(long, ["feature"], "value", "_rx")
-        rho = rx.groupBy("feature").agg(safe_corr(F.col("_rx"), F.col("_ry")).alias("rho"))
-        return names.join(rho, "feature", "left")
-    long = melt(df, cols, keep=[target]).withColumn("_y", y).drop(target)
-    long = long.filter(valid(F.col("value")) & valid(F.col("_y")))
-    rx = average_rank(long, ["feature"], "value", "_rx")
-    ry = average_rank(rx, ["feature"], "_y", "_ry")
-    rho = ry.groupBy("feature").agg(safe_corr(F.col("_rx"), F.col("_ry")).alias("rho"))
-    return names.join(rho, "feature", "left")
+    base = df.filter(valid(y)).select(*[c(x).cast("double").alias(x) for x in dict.fromkeys(cols) if x != target], y.alias("_y"))
+    source = lambda x: "_y" if x == target else x
+    seen = base.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(valid(c(x))).alias(f"g{i}") for i, x in enumerate(map(source, cols))]).first()
+    whole = [x for i, x in enumerate(cols) if seen[f"g{i}"] == seen["n"]]
+    parts = []
+    if whole:
+        ranked = average_rank(base, [], "_y", "_ry")
+        parts.append(_melt_as(ranked, {x: source(x) for x in whole}, "_ry"))
+    gaps = [x for x in cols if x not in whole]
+    if gaps:
+        long = _melt_as(base, {x: source(x) for x in gaps}, "_y").filter(valid(F.col("value")))
+        parts.append(average_rank(long, ["feature"], "_y", "_ry").select("feature", "value", "_ry"))
+    found = None
+    for part in parts:
+        folded = value_ranks(part, ["feature"], "value", "_rx", [F.sum("_ry").alias("_sy"), F.sum(F.col("_ry") * F.col("_ry")).alias("_qy")])
+        n, rx, sy = F.col("_cnt"), F.col("_rx"), F.col("_sy")
+        one = folded.groupBy("feature").agg(
+            F.sum(n).alias("n"), F.count(F.lit(1)).alias("values"), F.sum(n * rx).alias("sx"), F.sum(n * rx * rx).alias("qx"), F.sum(sy).alias("sy"),
+            F.sum("_qy").alias("qy"), F.sum(rx * sy).alias("p"))
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return names.select("feature", F.lit(None).cast("double").alias("rho"))
+    mean = (F.col("n") + 1) / 2.0  # of average ranks
+    vx, vy = F.col("qx") - F.col("n") * mean * mean, F.col("qy") - F.col("n") * mean * mean
+    flat = (F.col("values") < 2) | (vy <= F.lit(1e-12) * F.col("qy"))
+    rho = F.try_divide(F.col("p") - F.col("n") * mean * mean, F.sqrt(vx) * F.sqrt(vy))
+    found = found.select("feature", F.when(~flat, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho))).alias("rho"))
+    return names.join(found, "feature", "left")
+
+
+def _melt_as(df: DataFrame, sources: dict[str, str], keep: str) -> DataFrame:
+    """(feature, value, keep): one row per row and named source column."""
+    pairs = F.array(*[F.struct(F.lit(name).alias("feature"), c(x).alias("value")) for name, x in sources.items()])
+    return df.select(c(keep), F.explode(pairs).alias("_r")).select("_r.*", c(keep))
 
 
 def target_correlation(df: DataFrame, target: str, cols: Sequence[str] | None = None) -> DataFrame:
