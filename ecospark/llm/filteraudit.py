@@ -44,7 +44,7 @@ SYMBOLS = b"#$%&*|"
 _CONTINUE = bytes(range(0x80, 0xC0))
 #: shards are long rows: pages and row groups are closed by size from the first rows on
 _LONG_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.max": "4",
-              "parquet.block.size.row.check.max": "4", "parquet.block.size": str(32 << 20)}
+              "parquet.block.size.row.check.max": "4", "parquet.block.size": str(32 << 20), "compression": "zstd"}
 
 _DOCUMENTS = "doc_id array<long>, part array<string>, same array<binary>, upper array<long>, points array<long>, symbols array<boolean>"
 _CSR = "terms binary, indptr binary, indices binary, data binary"
@@ -113,26 +113,28 @@ def matrix(docs: DataFrame, part: str = "source", bits: int = 63) -> Matrix:
     base = docs.select(column(docs, "doc_id", "long"), F.coalesce(column(docs, part, "string"), F.lit("")).alias("part"),
                        column(docs, "text", "string").cast("binary").alias("text"))
     made = stored(base.mapInArrow(lambda b: _shards(b, bits), f"{_DOCUMENTS}, words array<binary>, {_CSR}"), **_LONG_ROWS)
-    # the ids are hashes computed beside the words; the aggregate proves them to be unique
-    terms = made.mapInArrow(_terms, "id long, word binary")
-    ids = stored(terms.groupBy("id").agg(F.min("word").alias("word"), F.max("word").alias("_last"), F.count(F.lit(1)).alias("shards")))
-    shared = ids.filter("word <> _last").select("id")
+    # the ids are hashes computed beside the words; the dictionary proves them to be unique
+    terms = made.mapInArrow(_terms, "id long, word binary, shards long")
+    dictionary = stored(terms.groupBy("id", "word").agg(F.sum("shards").alias("shards")))
+    shared = stored(dictionary.groupBy("id").agg(F.count(F.lit(1)).alias("words")).filter("words > 1"))
+    texts = made.select("doc_id", "part", "same")
     if shared.isEmpty():
-        return Matrix(ids.drop("_last"), made.drop("words"), made.select("doc_id", "part", "same"))
+        return Matrix(dictionary, made.drop("words"), texts)
     # about n^2 / 2^64 words of n share a hash: a handful, whatever the corpus
-    clash = terms.join(F.broadcast(shared), "id").groupBy("word").agg(F.count(F.lit(1)).alias("shards")).orderBy("word").collect()
+    clash = dictionary.join(F.broadcast(shared), "id").select("word").orderBy("word").collect()
     other = {bytes(r["word"]): -1 - i for i, r in enumerate(clash)}
-    named = docs.sparkSession.createDataFrame([(other[bytes(r["word"])], r["word"], r["shards"]) for r in clash], "id long, word binary, shards long")
-    dictionary = ids.filter("word = _last").drop("_last").unionByName(named)
-    return Matrix(dictionary, made.mapInArrow(lambda b: _renamed(b, other), f"{_DOCUMENTS}, {_CSR}"), made.select("doc_id", "part", "same"))
+    named = docs.sparkSession.createDataFrame([(w, i) for w, i in other.items()], "word binary, own long")
+    dictionary = dictionary.join(F.broadcast(named), "word", "left").select(F.coalesce("own", "id").alias("id"), "word", "shards")
+    return Matrix(dictionary, made.mapInArrow(lambda b: _renamed(b, other), f"{_DOCUMENTS}, {_CSR}"), texts)
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words of each shard with their ids."""
+    """The distinct words of a few shards with their ids and how many of these shards hold them."""
     for batch in batches:
         words, terms = (batch.column(batch.schema.names.index(n)) for n in ("words", "terms"))
-        for i in range(batch.num_rows):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms[i].as_py(), np.int64)), words[i].values], ["id", "word"])
+        flat = pa.table({"id": np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in terms]), "word": words.flatten()})
+        folded = flat.group_by(["id", "word"]).aggregate([([], "count_all")])
+        yield from folded.rename_columns(["id", "word", "shards"]).to_batches(max_chunksize=100_000)
 
 
 def _row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ecospark.functions.cols import c
+from ecospark.operators.joins import counted_lookup
 from ecospark.session import new_folder
 
 #: rows of (at most) two longs and a flag a broadcast may hold: about 64 MB as a hash relation
@@ -52,16 +53,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2_000_000)
             yield batch.slice(begin)
 
 
+#: rows of a key of 16 bytes and two longs that :func:`lookup` broadcasts: about 64 MB
+LOOKUP_ROWS = 250_000
+
+
 def lookup(rows: DataFrame, side: DataFrame, key: str, weight: str) -> DataFrame:
-    """``rows`` left-joined to ``side``, a written table with one row per ``key`` whose ``weight`` counts the rows of that key.
-
-    A side counted small is broadcast. Beyond that only its heaviest keys are (those over a fixed share of all rows, so
-    at most 100,000 whatever the data), which keeps a hot key's rows where they are; the other keys are shuffled. Then
-    ``rows`` is read twice, so it should start from written tables."""
-    seen = side.agg(F.count(F.lit(1)), F.sum(weight)).first()
-    if seen[0] <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(side), key, "left")
-    heavy = F.col(weight) > max(10_000, seen[1] // 100_000)
-    hot, cold = side.filter(heavy), side.filter(~heavy)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
-    return rows.join(F.broadcast(hot), key).unionByName(rest)
+    """``rows`` left-joined to ``side``, a written table with one row per ``key`` whose ``weight`` counts the rows of that key:
+    broadcast if counted small, else only its heaviest keys are and the others shuffled."""
+    return counted_lookup(rows, side, [key], weight, LOOKUP_ROWS)

@@ -90,7 +90,7 @@ def test_interactions_of_other_filters(spark):
 
 
 def test_lookup_splits_heavy_keys(spark, monkeypatch):
-    monkeypatch.setattr(tables, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(tables, "LOOKUP_ROWS", 1)
     rows = spark.createDataFrame([(i % 3 if i < 30 else 9, i) for i in range(11_000)] + [(None, -1)], "k int, v int")
     side = tables.stored(rows.filter("k <> 1").groupBy("k").count().withColumnRenamed("count", "n"))
     got = sorted((r["v"], r["n"]) for r in tables.lookup(rows, side, "k", "n").collect())

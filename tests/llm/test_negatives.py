@@ -75,7 +75,7 @@ def test_large_components_are_exact(spark, size, huge):
 
 def test_bounds_prune_and_lose_nothing():
     rng = np.random.default_rng(2)
-    vectors = np.floor(256 * rng.normal(size=(500, 16)) / 4)
+    vectors = np.floor(64 * (rng.normal(size=(8, 16))[np.arange(500) % 8] + 0.2 * rng.normal(size=(500, 16))))
     bucket = N.Bucket(np.arange(500), vectors)
     anchors = N.Anchors.of(list(range(50)), [0] * 50, vectors[:50])
     scores = vectors[:50] @ vectors.T
