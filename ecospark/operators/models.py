@@ -1,17 +1,14 @@
 """Regressors, tuning and scoring with Spark MLlib.
 
 Every fit is an MLlib job over the whole DataFrame; tuning is ``CrossValidator`` with
-``parallelism``. The support-vector regressor (M4) has no MLlib counterpart and is re-aimed as
-full-batch subgradient descent on the epsilon-insensitive loss, each step one distributed
-aggregate of gradient sums; the RBF kernel is approximated by random Fourier features.
+``parallelism``. The support-vector regressor (M4) has no MLlib counterpart and is solved in
+:mod:`ecospark.operators.svr`.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, UnivariateFeatureSelector
@@ -22,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ecospark.functions.cols import c
 from ecospark.operators.features import stages as prep_stages
+from ecospark.operators.svr import SVRegressor, svr_grid_search  # noqa: F401
 
 
 def estimator(name: str, label: str = "label", features: str = "features", **params):
@@ -193,91 +191,6 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-# ---------------------------------------------------------------- support-vector regression (M4)
-
-
-class SVRegressor:
-    """Linear epsilon-insensitive regression, optionally on random Fourier features (RBF).
-
-    ``fit`` runs ``max_iter`` full-batch subgradient steps; each step is one aggregate over the
-    data (sums of per-row subgradients), so only ``p + 1`` numbers travel to the driver."""
-
-    def __init__(self, cols: Sequence[str], label: str = "label", epsilon: float = 0.1, c_reg: float = 1.0,
-                 kernel: str = "linear", gamma: float = 0.1, n_components: int = 50, max_iter: int = 100,
-                 step: float = 0.1, seed: int = 42):
-        self.cols, self.label, self.eps, self.C = list(cols), label, epsilon, c_reg
-        self.kernel, self.gamma, self.D, self.max_iter, self.step, self.seed = kernel, gamma, n_components, max_iter, step, seed
-
-    def _features(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
-        # standardised inputs (statistics from the training data), as the reference's scaler does
-        x = [(F.coalesce(c(n).cast("double"), F.lit(m)) - F.lit(m)) / F.lit(sd)
-             for n, m, sd in zip(self.cols, self.mean_, self.std_)]
-        if self.kernel == "linear":
-            names = [f"_x{i}" for i in range(len(x))]
-            return df.select(*[e.alias(n) for e, n in zip(x, names)], c(self.label).cast("double").alias("_y")), names
-        rng = np.random.default_rng(self.seed)
-        w = rng.normal(0.0, math.sqrt(2 * self.gamma), size=(self.D, len(x)))
-        b = rng.uniform(0, 2 * math.pi, size=self.D)
-        names = [f"_z{j}" for j in range(self.D)]
-        z = [F.lit(math.sqrt(2.0 / self.D)) * F.cos(sum((F.lit(float(w[j, i])) * x[i] for i in range(len(x))), F.lit(float(b[j]))))
-             for j in range(self.D)]
-        return df.select(*[e.alias(n) for e, n in zip(z, names)], c(self.label).cast("double").alias("_y")), names
-
-    def fit(self, df: DataFrame) -> SVRegressor:
-        stats = df.agg(*[F.avg(c(n).cast("double")).alias(f"m{i}") for i, n in enumerate(self.cols)],
-                       *[F.stddev_pop(c(n).cast("double")).alias(f"s{i}") for i, n in enumerate(self.cols)],
-                       F.percentile_approx(c(self.label).cast("double"), F.lit(0.5), F.lit(10000)).alias("med"),
-                       F.stddev_pop(c(self.label).cast("double")).alias("ys")).first()
-        self.mean_ = [float(stats[f"m{i}"] or 0.0) for i in range(len(self.cols))]
-        self.std_ = [float(stats[f"s{i}"] or 1.0) or 1.0 for i in range(len(self.cols))]
-        # the intercept starts at the median (the best constant under an absolute-type loss) and
-        # steps are taken in units of the target's spread, then mapped back
-        self.y0_, self.yscale_ = float(stats["med"] or 0.0), float(stats["ys"] or 1.0) or 1.0
-        data, names = self._features(df)
-        data = data.withColumn("_y", (F.col("_y") - F.lit(self.y0_)) / F.lit(self.yscale_)).cache()
-        n = data.count()
-        eps = self.eps / self.yscale_
-        coef, bias = np.zeros(len(names)), 0.0
-        for t in range(self.max_iter):
-            r = sum((F.lit(float(coef[i])) * F.col(nm) for i, nm in enumerate(names)), F.lit(bias)) - F.col("_y")
-            g = F.when(r > eps, 1.0).when(r < -eps, -1.0).otherwise(0.0)
-            sums = data.agg(F.sum(g).alias("gb"), *[F.sum(g * F.col(nm)).alias(f"g{i}") for i, nm in enumerate(names)]).first()
-            grad = np.array([sums[f"g{i}"] for i in range(len(names))]) * (self.C / n) + coef / n
-            lr = self.step / math.sqrt(t + 1)
-            coef = coef - lr * grad
-            bias = bias - lr * sums["gb"] * (self.C / n)
-        data.unpersist()
-        self.coef_ = coef * self.yscale_
-        self.intercept_ = bias * self.yscale_ + self.y0_
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        data, names = self._features(df)
-        pred = sum((F.lit(float(self.coef_[i])) * F.col(nm) for i, nm in enumerate(names)), F.lit(float(self.intercept_)))
-        return data.select(F.col("_y").alias(self.label), pred.alias("prediction"))
-
-
-def svr_grid_search(df: DataFrame, cols: Sequence[str], grid: dict, key: Sequence[str], folds: int = 5, seed: int = 42,
-                    label: str = "label", **fixed) -> DataFrame:
-    """M6 for the SVR: every grid combination scored by k-fold mean MSE; folds are assigned by a
-    hash of ``key`` (stable, disjoint). ``(params, mse)`` sorted best first."""
-    import itertools
-
-    names = list(grid)
-    fold = F.pmod(F.xxhash64(F.lit(seed), *[c(k) for k in key]), F.lit(folds))
-    data = df.withColumn("_fold", fold)
-    rows = []
-    for combo in itertools.product(*[grid[n] for n in names]):
-        params = dict(zip(names, combo))
-        errs = []
-        for k in range(folds):
-            m = SVRegressor(cols, label, **{**fixed, **params}).fit(data.filter(F.col("_fold") != k))
-            p = m.transform(data.filter(F.col("_fold") == k))
-            errs.append(p.agg(F.avg((F.col(label) - F.col("prediction")) ** 2)).first()[0])
-        rows.append((str(params), float(sum(errs) / len(errs))))
-    return df.sparkSession.createDataFrame(rows, "params string, mse double").orderBy("mse")
-
-
 def run(base: DataFrame, others: Sequence[DataFrame], key: str, target: str, path: str | None = None,
         sparse_ratio: float = 0.9, min_present: float = 0.9, folds: int = 3, seed: int = 42) -> DataFrame:
     """Merge (J3) -> drop sparse columns (F4) -> keep rows with enough values (B12) -> split

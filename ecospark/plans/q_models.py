@@ -56,10 +56,9 @@ def m3(spark, d):
 @register("M4_support_vector_regression")
 def m4(spark, d):
     train, test = data(spark, d)
-    scaled_cols = ["l_quantity", "l_discount", "l_tax", "p_size"]
     rows = None
     for kernel in ("linear", "rbf"):
-        svr = Mo.SVRegressor(scaled_cols, "label", epsilon=0.1, kernel=kernel, max_iter=20, n_components=20, step=1.0).fit(train)
+        svr = Mo.SVRegressor(FEATURES, "label", epsilon=0.1, c_reg=1.0, kernel=kernel).fit(train)
         for part, df in (("train", train), ("test", test)):
             p = svr.transform(df)
             y, yh = F.col("label"), F.col("prediction")

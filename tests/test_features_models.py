@@ -66,7 +66,7 @@ def test_encodings_and_scaling(spark):
 def test_svr_learns_linear_signal(spark):
     rows = [(float(i % 10) / 10, float(i % 7) / 7) for i in range(300)]
     df = spark.createDataFrame(rows, "a double, b double").withColumn("label", 3 * F.col("a") - F.col("b"))
-    svr = Mo.SVRegressor(["a", "b"], epsilon=0.01, max_iter=200, step=2.0).fit(df)
+    svr = Mo.SVRegressor(["a", "b"], epsilon=0.01).fit(df)
     p = svr.transform(df)
     mse = p.agg(F.avg((F.col("label") - F.col("prediction")) ** 2)).first()[0]
     var = df.agg(F.var_pop("label")).first()[0]
@@ -93,7 +93,7 @@ def test_ridge_reg_param_matches_closed_form(spark):
 def test_svr_grid_search_orders_by_mse(spark):
     rows = [(i, float(i % 10) / 10, float(i % 7) / 7) for i in range(120)]
     df = spark.createDataFrame(rows, "id long, a double, b double").withColumn("label", 2 * F.col("a") - F.col("b"))
-    res = Mo.svr_grid_search(df, ["a", "b"], {"c_reg": [0.01, 1.0]}, ["id"], folds=2, max_iter=40, step=2.0).collect()
+    res = Mo.svr_grid_search(df, ["a", "b"], {"c_reg": [0.01, 1.0]}, ["id"], folds=2).collect()
     assert len(res) == 2 and res[0].mse <= res[1].mse
     assert "'c_reg': 1.0" in res[0].params
 
