@@ -204,6 +204,17 @@ def f14(spark, d):
     return rounded(X.permutation_importance(model, ft, "label", FEATURES))
 
 
+@register("F14_tree_attribution")
+def f14_trees(spark, d):
+    """Mean absolute share of each input in a forest's predictions, over all rows."""
+    from ecospark.operators import attribution
+    from ecospark.operators import models as Mo
+
+    ft = materialized_features(spark, d).withColumn("label", F.col(TARGET).cast("double"))
+    model = Mo.chain(FEATURES, Mo.estimator("forest", numTrees=20, maxDepth=6), scale=None).fit(ft)
+    return rounded(attribution.importance(model, ft, FEATURES))
+
+
 @register("F15_pca_explained_variance")
 def f15(spark, d):
     _, ev = X.pca(materialized_features(spark, d), FEATURES, 3)
