@@ -175,6 +175,15 @@ def f9(spark, d):
     return rounded(X.mutual_info(feature_table(spark, d), TARGET, 2, 10, MI_COLS))
 
 
+@register("F9_neighbour_mutual_information")
+def f9_neighbours(spark, d):
+    """The nearest-neighbour estimate (3 neighbours) over all rows."""
+    from ecospark.operators import neighbour_mi
+
+    ft = materialized_features(spark, d).select(*MI_COLS, TARGET)
+    return rounded(neighbour_mi.mutual_info(ft, TARGET, 2, 3, MI_COLS))
+
+
 @register("F10_recursive_elimination")
 def f10(spark, d):
     return X.rfe(materialized_features(spark, d), TARGET, FEATURES, k=3, step=1, num_trees=10, max_depth=5)
