@@ -169,11 +169,12 @@ FROM cells c, s GROUP BY c.part, s.ord, s.step
 @query
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ecospark.llm import warc
+    from ecospark.llm.tables import stored
     from ecospark.session import new_folder
 
     path = new_folder(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path, at_least=0)
-    records = warc.read_archives(spark, path)
+    records = stored(warc.read_archives(spark, path).drop("payload"))  # the archives are read once; their digests were taken then
     return warc.page_rows(warc.captures(records, keep=())).drop("url")
 
 

@@ -220,7 +220,8 @@ def captures(records: DataFrame, keep: tuple[str, ...] = ("payload",)) -> DataFr
 
     A request or metadata record belongs to the capture that its concurrent-to names or whose concurrent-to names it; a
     metadata record may also name the request. Of several candidates the one with the smallest record id is taken; a
-    capture without one has null there. ``keep`` lists heavy columns of the response to carry along (``payload``)."""
+    capture without one has null there. ``keep`` lists heavy columns of the response to carry along (``payload``).
+    ``records`` is read once per kind and link, so it should be a written table where archives are large."""
     side = lambda kind: records.filter(F.col("type") == kind)
     answers = records.filter(F.col("type").isin("response", "revisit"))
     named = answers.select(F.col("record_id").alias("capture_id"), F.explode("concurrent_to").alias("member"))
