@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ecospark.functions.cols import c
+from ecospark.operators import sampler
 from ecospark.operators.features import stages as prep_stages
-from ecospark.operators.svr import SVRegressor, svr_grid_search  # noqa: F401
+from ecospark.operators.svr import SVRegressor, svr_grid_search, svr_scores  # noqa: F401
 
 
 def estimator(name: str, label: str = "label", features: str = "features", **params):
@@ -135,7 +136,7 @@ def grid_search(df: DataFrame, cols: Sequence[str], est, grid: dict, folds: int
 
 def random_search(df: DataFrame, cols: Sequence[str], est, space: dict, n: int = 20, folds: int = 5, seed: int = 42,
                   parallelism: int = 4, label: str = "label", metric: str = "mse"):
-    """M7 (re-aimed from a sampler library): n seeded random draws from the space, k-fold CV."""
+    """M7, its baseline: n seeded random draws from the space, k-fold CV."""
     from ecospark.operators.features import random_params
 
     pipe = chain(cols, est)
@@ -143,6 +144,33 @@ def random_search(df: DataFrame, cols: Sequence[str], est, space: dict, n: int =
     return _cv(df, pipe, maps, folds, seed, parallelism, label, metric)
 
 
+def adaptive_search(df: DataFrame, cols: Sequence[str], est, space: dict, n: int = 20, batch: int = 4, startup: int = 8, folds: int = 5,
+                    seed: int = 42, label: str = "label", metric: str = "mse"):
+    """M7: ``n`` trials chosen by :mod:`ecospark.operators.sampler` from the results of earlier ones, a batch of trials per
+    round as one k-fold ``CrossValidator`` job with that parallelism. Returns (best PipelineModel, results in order of trial)."""
+    pipe, sign, best_of = chain(cols, est), -1.0 if metric == "r2" else 1.0, []
+
+    def evaluate_batch(asked: list[dict]) -> list[float]:
+        model, res = _cv(df, pipe, [{est.getParam(k): v for k, v in p.items()} for p in asked], folds, seed, batch, label, metric)
+        losses = [sign * r[metric] for r in res.orderBy("candidate").collect()]
+        best_of.append((min(losses), model))
+        return losses
+
+    trials = sampler.search(evaluate_batch, space, n, batch, startup, seed)
+    rows = [(i, str(p), sign * s) for i, (p, s) in enumerate(trials)]
+    return min(best_of, key=lambda x: x[0])[1], df.sparkSession.createDataFrame(rows, f"candidate int, params string, {metric} double")
+
+
+def svr_adaptive_search(df: DataFrame, cols: Sequence[str], space: dict, key: Sequence[str], n: int = 20, batch: int = 4, startup: int = 8,
+                        folds: int = 5, seed: int = 42, label: str = "label", **fixed) -> DataFrame:
+    """M7 for the SVR: as :func:`adaptive_search`; a round's batch and folds are solved in the same passes. (candidate, params, mse)."""
+    def evaluate_batch(asked: list[dict]) -> list[float]:
+        return svr_scores(df, cols, asked, key, folds, seed, label, **fixed)
+
+    trials = sampler.search(evaluate_batch, space, n, batch, startup, seed)
+    return df.sparkSession.createDataFrame([(i, str(p), float(s)) for i, (p, s) in enumerate(trials)], "candidate int, params string, mse double")
+
+
 def cv_score(df: DataFrame, cols: Sequence[str], est, folds: int = 5, seed: int = 42, label: str = "label", metric: str = "mse") -> float:
     """M8: k-fold mean score of one configuration (no tuning)."""
     _, res = _cv(df, chain(cols, est), [{}], folds, seed, 1, label, metric)
