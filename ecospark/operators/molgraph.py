@@ -5,9 +5,9 @@ molecule is rows of two tables:
 * ``atoms(mol_id, atom_id, element, aromatic, charge)``
 * ``bonds(mol_id, a, b, bond_order, aromatic)``, undirected, ``a < b``
 
-Topological distances come from a breadth-first search run as iterative joins for all
-molecules at once; each BFS layer only needs the two previous layers (undirected graph), so a
-round costs the size of the frontier, not of everything found so far. Fingerprint features are
+Topological distances, fragments and paths are found within the molecule's row
+(:mod:`ecospark.operators.molecule`); molecules of more than ``molecule.ATOMS`` atoms go through layered
+joins instead, whose rounds need the two previous layers only. Fingerprint features are
 folded to bits with ``pmod(int(md5(feature)[0:8], 16), n_bits)``; the bit positions therefore
 differ from the reference's library (documented), the features do not.
 """
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ecospark.operators.dedup import connected_components
+from ecospark.operators import molecule
 from ecospark.session import cut_lineage
 
 M = "mol_id"
@@ -79,11 +79,16 @@ def charge_extremes(atoms: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- distances
 
 
-def distances(atoms: DataFrame, bonds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def distances(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """All-pairs topological distance within each molecule, ordered pairs with ``src != dst``:
-    ``(mol_id, src, dst, dist)``. Unreachable pairs (other fragments) are absent.
+    ``(mol_id, src, dst, dist)``. Unreachable pairs (other fragments) are absent."""
+    packed, giants = molecule.split_by_size(atoms, bonds)
+    out = molecule.distances(molecule.with_reach(packed))
+    return out if giants is None else out.unionByName(layered_distances(*giants))
 
-    Breadth-first search from every atom at once: layer d+1 = neighbours of layer d minus
+
+def layered_distances(atoms: DataFrame, bonds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """D4 for molecules of any size: breadth-first search from every atom at once, layer d+1 = neighbours of layer d minus
     layers d and d-1. Each layer is checkpointed; the loop ends when a layer is empty."""
     adj = cut_lineage(directed(bonds).select(M, F.col("src").alias("u"), F.col("dst").alias("v")).distinct())
     prev = None
@@ -109,12 +114,14 @@ def distances(atoms: DataFrame, bonds: DataFrame, max_rounds: int = 10_000) -> D
     return out
 
 
-def topological_indices(atoms: DataFrame, bonds: DataFrame, dist: DataFrame | None = None) -> DataFrame:
+def topological_indices(atoms: DataFrame, bonds: DataFrame, reached: tuple | None = None) -> DataFrame:
     """WienerIndex = sum(d)/2, HararyIndex = sum(1/d)/2, and the reference's Balaban-style
     index: 0 when there are no bonds or at most 2 atoms, else
-    (bonds / (atoms - 1)) * (1 / diameter) * sum over ordered pairs of 1/d."""
-    dist = dist if dist is not None else distances(atoms, bonds)
-    agg = dist.groupBy(M).agg(F.sum("dist").alias("_s"), F.sum(1.0 / F.col("dist")).alias("_h"), F.max("dist").alias("_diam"))
+    (bonds / (atoms - 1)) * (1 / diameter) * sum over ordered pairs of 1/d. ``reached``: a :func:`reach` to reuse."""
+    rows, far = reached or reach(atoms, bonds)
+    agg = molecule.sums(rows)
+    if far is not None:
+        agg = agg.unionByName(far[0].groupBy(M).agg(F.sum("dist").alias("_s"), F.sum(1.0 / F.col("dist")).alias("_h"), F.max("dist").alias("_diam")))
     cnt = counts(atoms, bonds)
     j = cnt.join(agg, M, "left")
     balaban = F.when((F.col("NumBonds") == 0) | (F.col("NumAtoms") <= 2), F.lit(0.0)).otherwise(
@@ -123,6 +130,12 @@ def topological_indices(atoms: DataFrame, bonds: DataFrame, dist: DataFrame | No
                     balaban.alias("BalabanJ"), (F.coalesce("_h", F.lit(0.0)) / 2.0).alias("HararyIndex"))
 
 
+def reach(atoms: DataFrame, bonds: DataFrame) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """What several descriptors share: (packed molecules with their distance lists, (distances, atoms) of giants or None)."""
+    packed, giants = molecule.split_by_size(atoms, bonds)
+    return molecule.with_reach(packed), None if giants is None else (layered_distances(*giants), giants[0])
+
+
 # ---------------------------------------------------------------- eigenvalues
 
 _BCUT_SCHEMA = "mol_id {t}, BCUT2D_MWLOW double, BCUT2D_MWUP double"
@@ -160,35 +173,32 @@ def bcut(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- rings
 
 
-def rings(atoms: DataFrame, bonds: DataFrame, dist: DataFrame | None = None) -> DataFrame:
-    """Ring counts by the cyclomatic number E - V + C, on the whole graph and on the aromatic
-    subgraph (aromatic bonds between aromatic atoms); aliphatic = total - aromatic.
+def fragments(atoms: DataFrame, bonds: DataFrame, reached: tuple | None = None) -> DataFrame:
+    """``(mol_id, _c)``: connected fragments per molecule, atoms without bonds included."""
+    rows, far = reached or reach(atoms, bonds)
+    out = molecule.fragments(rows)
+    if far is not None:  # an atom stands for its fragment if it reaches none before it
+        smaller = far[0].filter(F.col("dst") < F.col("src")).select(M, F.col("src").alias("atom_id")).distinct()
+        out = out.unionByName(far[1].select(M, "atom_id").join(smaller, [M, "atom_id"], "left_anti").groupBy(M).agg(F.count(F.lit(1)).alias("_c")))
+    return out
+
 
-    With ``dist`` (D4 over the same bonds) the whole-graph component count needs no extra
-    iterative job: an atom represents its component iff no atom reachable from it has a smaller id."""
-    def cyclomatic_from_dist(at: DataFrame, bo: DataFrame, name: str) -> DataFrame:
+def rings(atoms: DataFrame, bonds: DataFrame, reached: tuple | None = None) -> DataFrame:
+    """Ring counts by the cyclomatic number E - V + C, on the whole graph and on the aromatic
+    subgraph (aromatic bonds between aromatic atoms); aliphatic = total - aromatic. ``reached``: a :func:`reach` over the
+    same bonds to reuse."""
+    def cyclomatic(at: DataFrame, bo: DataFrame, found: DataFrame, name: str) -> DataFrame:
         v = at.groupBy(M).agg(F.count(F.lit(1)).alias("_v"))
         e = bo.groupBy(M).agg(F.count(F.lit(1)).alias("_e"))
-        smaller = dist.filter(F.col("dst") < F.col("src")).select(M, F.col("src").alias("atom_id")).distinct()
-        reps = at.select(M, "atom_id").join(smaller, [M, "atom_id"], "left_anti").groupBy(M).agg(F.count(F.lit(1)).alias("_c"))
-        return (v.join(e, M, "left").join(reps, M, "left")
+        return (v.join(e, M, "left").join(found, M, "left")
                 .select(M, (F.coalesce("_e", F.lit(0)) - F.col("_v") + F.coalesce("_c", F.lit(0))).alias(name)))
 
-    def cyclomatic(at: DataFrame, bo: DataFrame, name: str) -> DataFrame:
-        v = at.groupBy(M).agg(F.count(F.lit(1)).alias("_v"))
-        e = bo.groupBy(M).agg(F.count(F.lit(1)).alias("_e"))
-        comp = connected_components(bo.select(M, "a", "b"), group=[M])
-        linked = comp.groupBy(M).agg(F.count_distinct("label").alias("_cl"), F.count(F.lit(1)).alias("_vl"))
-        # atoms without bonds are components of their own
-        return (v.join(e, M, "left").join(linked, M, "left")
-                .select(M, (F.coalesce("_e", F.lit(0)) - F.col("_v") + F.coalesce("_cl", F.lit(0))
-                            + (F.col("_v") - F.coalesce("_vl", F.lit(0)))).alias(name)))
     arom_atoms = atoms.filter(F.coalesce("aromatic", F.lit(False)))
     arom_ids = arom_atoms.select(M, F.col("atom_id").alias("a"))
     arom_bonds = (bonds.filter(F.coalesce("aromatic", F.lit(False))).join(arom_ids, [M, "a"], "left_semi")
                   .join(arom_ids.withColumnRenamed("a", "b"), [M, "b"], "left_semi"))
-    total = cyclomatic_from_dist(atoms, bonds, "_rings") if dist is not None else cyclomatic(atoms, bonds, "_rings")
-    arom = cyclomatic(arom_atoms, arom_bonds, "NumAromaticRings")
+    total = cyclomatic(atoms, bonds, fragments(atoms, bonds, reached), "_rings")
+    arom = cyclomatic(arom_atoms, arom_bonds, fragments(arom_atoms, arom_bonds), "NumAromaticRings")
     return total.join(arom, M, "left").select(
         M, F.coalesce("NumAromaticRings", F.lit(0)).alias("NumAromaticRings"),
         (F.col("_rings") - F.coalesce("NumAromaticRings", F.lit(0))).alias("NumAliphaticRings"))
@@ -235,9 +245,13 @@ def atom_pair_features(atoms: DataFrame, dist: DataFrame) -> DataFrame:
                                        F.col("dist").cast("string")).alias("feature"))
 
 
-def atom_pair(atoms: DataFrame, dist: DataFrame, n_bits: int = 2048) -> DataFrame:
+def atom_pair(atoms: DataFrame, bonds: DataFrame, n_bits: int = 2048) -> DataFrame:
     """Atom-pair fingerprint."""
-    return _fp(atom_pair_features(atoms, dist).select(M, fold(F.col("feature"), n_bits).alias("bit")), "AtomPair", n_bits)
+    rows, far = reach(atoms, bonds)
+    features = molecule.atom_pair_features(rows)
+    if far is not None:
+        features = features.unionByName(atom_pair_features(far[1], far[0]))
+    return _fp(features.select(M, fold(F.col("feature"), n_bits).alias("bit")), "AtomPair", n_bits)
 
 
 def torsion_features(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
@@ -266,10 +280,19 @@ def torsion(atoms: DataFrame, bonds: DataFrame, n_bits: int = 2048) -> DataFrame
 def paths(atoms: DataFrame, bonds: DataFrame, max_bonds: int = 7, n_bits: int = 2048) -> DataFrame:
     """Path fingerprint: every simple bond path of 1..max_bonds bonds, labelled by its
     element sequence (smaller of both directions), folded to bits."""
+    packed, giants = molecule.split_by_size(atoms, bonds)
+    features = molecule.path_features(packed, max_bonds)
+    if giants is not None:
+        features = features.unionByName(layered_path_features(*giants, max_bonds))
+    return _fp(features.select(M, fold(F.col("feature"), n_bits).alias("bit")), "RDKitFP", n_bits)
+
+
+def layered_path_features(atoms: DataFrame, bonds: DataFrame, max_bonds: int) -> DataFrame:
+    """D14 features for molecules of any size: ``(mol_id, feature)``, walks grown by one join per bond."""
     d = directed(bonds).select(M, "src", "dst")
     el = atoms.select(M, F.col("atom_id").alias("node"), "element")
     walks = d.select(M, F.array("src", "dst").alias("path"), F.col("dst").alias("end"))
-    feats = []
+    out = None
     for k in range(1, max_bonds + 1):
         if k > 1:
             walks = (walks.join(d.withColumnRenamed("src", "end"), [M, "end"])
@@ -281,11 +304,9 @@ def paths(atoms: DataFrame, bonds: DataFrame, max_bonds: int = 7, n_bits: int =
                     .join(el, [M, "node"])
                     .groupBy(M, "path").agg(F.array_sort(F.collect_list(F.struct("i", "element"))).alias("seq")))
         lab = F.transform("seq", lambda s: s["element"])
-        feats.append(labelled.select(M, F.least(F.array_join(lab, "|"), F.array_join(F.reverse(lab), "|")).alias("feature")))
-    out = feats[0]
-    for x in feats[1:]:
-        out = out.unionByName(x)
-    return _fp(out.select(M, fold(F.col("feature"), n_bits).alias("bit")), "RDKitFP", n_bits)
+        found = labelled.select(M, F.least(F.array_join(lab, "|"), F.array_join(F.reverse(lab), "|")).alias("feature"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def bits_to_columns(fp: DataFrame, family: str, n_bits: int) -> DataFrame:
@@ -299,10 +320,10 @@ def bits_to_columns(fp: DataFrame, family: str, n_bits: int) -> DataFrame:
 
 def descriptors(atoms: DataFrame, bonds: DataFrame, with_bcut: bool = True) -> DataFrame:
     """Every descriptor per molecule, keyed by ``mol_id`` (left joins on the molecule key)."""
-    dist = distances(atoms, bonds)
-    out = (counts(atoms, bonds).join(topological_indices(atoms, bonds, dist), M, "left")
+    reached = reach(atoms, bonds)
+    out = (counts(atoms, bonds).join(topological_indices(atoms, bonds, reached), M, "left")
            .join(zagreb(atoms, bonds), M, "left").join(charge_extremes(atoms), M, "left")
-           .join(rings(atoms, bonds, dist), M, "left"))
+           .join(rings(atoms, bonds, reached), M, "left"))
     if with_bcut:
         out = out.join(bcut(atoms, bonds), M, "left")
     return out

@@ -143,7 +143,7 @@ def d11(spark, d):
           FROM {AT} x JOIN {AT} y ON x.mol_id = y.mol_id AND x.atom_id < y.atom_id) GROUP BY mol_id""")
 def d12(spark, d):
     a, b = atoms(spark, d), bonds(spark, d)
-    return G.atom_pair(a, G.distances(a, b))
+    return G.atom_pair(a, b)
 
 
 @register("D13_torsion_fingerprint", f"""SELECT mol_id, 'Torsion' AS family, 2048 AS n_bits, list_sort(list_distinct(list(bit))) AS on_bits

@@ -99,7 +99,7 @@ def a14(spark, d):
     from ecospark.plans.q_molgraph import atoms, bonds
 
     at, bo = atoms(spark, d), bonds(spark, d)
-    fps = G.torsion(at, bo).unionByName(G.atom_pair(at, G.distances(at, bo)))
+    fps = G.torsion(at, bo).unionByName(G.atom_pair(at, bo))
     path = IO.scratch(spark, "fingerprints")
     IO.write_split(fps, path, "family")
     return spark.read.parquet(path).groupBy("family").agg(F.count(F.lit(1)).alias("molecules"), F.sum(F.size("on_bits")).alias("bits"))
