@@ -211,11 +211,11 @@ def stereo_centres(smiles: Column) -> Column:
 
 
 def stereo_check(df: DataFrame, smiles: str, ref: DataFrame | None, key: str, ref_count: str = "ref_count",
-                 keep: bool = True, missing_is_manual: bool = True, status: str = "Status") -> DataFrame:
+                 keep: bool = True, missing_is_manual: bool = True, status: str = "Status", centres: DataFrame | None = None) -> DataFrame:
     """Detected stereo centres vs a reference count per key -> manual-curation flag and a
-    status note; with ``keep=False`` flagged rows are dropped (Q4)."""
-    detected = stereo_centres(c(smiles))
-    out = df.withColumn("stereo_centres", detected)
+    status note; with ``keep=False`` flagged rows are dropped (Q4). ``centres`` (key, stereo_centres) brings the centres found in the
+    molecules' graphs (``molgraph.stereocentres``: assigned and unassigned); without it the string's chirality marks count."""
+    out = df.withColumn("stereo_centres", stereo_centres(c(smiles))) if centres is None else df.join(centres.select(c(key), "stereo_centres"), key, "left")
     if ref is not None:
         out = out.join(ref.select(c(key), c(ref_count).alias("_ref")), key, "left")
     else:

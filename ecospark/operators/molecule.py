@@ -108,3 +108,36 @@ def path_features(packed: DataFrame, max_bonds: int) -> DataFrame:
         found = one_way.select(M, F.least(F.array_join(labels, "|"), F.array_join(F.reverse(labels), "|")).alias("feature"))
         out = found if out is None else out.unionByName(found)
     return out
+
+
+# ---------------------------------------------------------------- equivalence of atoms
+
+
+def pack_bonds(atoms: DataFrame, bonds: DataFrame, describe: Column) -> DataFrame:
+    """(mol_id, ids, about, edges): atom ids in order, per place the struct ``describe`` of its atom, and the bonds as (a, b, bond order) of places."""
+    a = atoms.groupBy(M).agg(F.array_sort(F.collect_list(F.struct(F.col("atom_id").alias("id"), describe.alias("about")))).alias("at"))
+    b = bonds.filter("a <> b").groupBy(M).agg(F.collect_set(F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+                                                                        F.col("bond_order").cast("double").alias("o"))).alias("bo"))
+    place = lambda v: (F.array_position("ids", v) - 1).cast("int")
+    j = a.join(b, M, "left").select(M, F.transform("at", lambda x: x["id"]).alias("ids"), F.transform("at", lambda x: x["about"]).alias("about"), "bo")
+    ends = F.filter(F.transform("bo", lambda e: F.struct(place(e["a"]).alias("a"), place(e["b"]).alias("b"), e["o"].alias("o"))), lambda e: (e["a"] >= 0) & (e["b"] >= 0))
+    return j.select(M, "ids", "about", F.coalesce(ends, F.array().cast("array<struct<a:int,b:int,o:double>>")).alias("edges"))
+
+
+def with_ranks(packed: DataFrame) -> DataFrame:
+    """``packed`` (of :func:`pack_bonds`) with ``near``, per place its (neighbour, bond order) list, and ``ranks``: classes of atoms refined
+    to a fixpoint. An atom's class is first the order of its ``about``; a round orders the atoms by (class, sorted bond orders and
+    classes of the neighbours); the classes are final once a round splits none."""
+    near = F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: F.transform(F.filter("edges", lambda e: (e["a"] == i) | (e["b"] == i)), lambda e: F.struct(
+        F.when(e["a"] == i, e["b"]).otherwise(e["a"]).alias("v"), e["o"].alias("o"))))
+    rank = lambda keys: F.transform(keys, lambda k: F.array_position(F.array_sort(F.array_distinct(keys)), k).cast("int"))
+    one = cut_lineage(packed.withColumn("near", near).withColumn("first", rank(F.col("about"))))
+
+    def step(s: Column, _: Column) -> Column:
+        keys = F.transform(s["ranks"], lambda r, i: F.struct(r.alias("own"), F.array_sort(F.transform(F.get("near", i), lambda e: F.struct(
+            e["o"].alias("o"), F.get(s["ranks"], e["v"]).alias("r")))).alias("around")))
+        new = rank(keys)
+        return F.when(s["done"], s).otherwise(F.struct(new.alias("ranks"), (F.array_max(new) == F.array_max(s["ranks"])).alias("done")))
+
+    start = F.struct(F.col("first").alias("ranks"), F.lit(False).alias("done"))
+    return cut_lineage(one.withColumn("ranks", F.aggregate(F.sequence(F.lit(1), F.size("ids")), start, step, lambda s: s["ranks"])).drop("first"))

@@ -204,6 +204,70 @@ def rings(atoms: DataFrame, bonds: DataFrame, reached: tuple | None = None) -> D
         (F.col("_rings") - F.coalesce("NumAromaticRings", F.lit(0))).alias("NumAliphaticRings"))
 
 
+# ---------------------------------------------------------------- structure keys and stereocentres
+
+
+def _about(atoms: DataFrame) -> Column:
+    """What an atom is, without its neighbours and its number; columns that a table lacks count as unset."""
+    get = lambda n, kind, unset: F.coalesce(F.col(n).cast(kind) if n in atoms.columns else F.lit(None).cast(kind), F.lit(unset)).alias(n)
+    return F.struct(get("element", "string", ""), get("charge", "double", 0.0), get("hydrogens", "int", 0), get("isotope", "string", ""), get("aromatic", "boolean", False),
+                    get("chirality", "string", ""))
+
+
+def canonical_keys(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """``(mol_id, structure)``: a text that two molecules share if and only if they are one labelled graph, however
+    their atoms are numbered. Elements, charges, hydrogens, isotopes, aromaticity and bond orders count; chirality marks don't
+    (they depend on the order of writing). A molecule is one row; the search (:mod:`ecospark.operators.canonical`) runs in
+    Arrow batches of molecules."""
+    import pyarrow as pa
+
+    from ecospark.operators.canonical import canonical_code
+
+    about = _about(atoms)
+    label = F.concat_ws("|", *[about[n].cast("string") for n in ("element", "charge", "hydrogens", "isotope", "aromatic")])
+    packed = molecule.pack_bonds(atoms, bonds, label).select(M, "about", "edges")
+
+    def codes(batches):
+        for batch in batches:
+            labels, edges = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            keys = [canonical_code(x, [(e["a"], e["b"], e["o"]) for e in es]) for x, es in zip(labels, edges)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string())], [M, "structure"])
+
+    return packed.mapInArrow(codes, f"{M} {atoms.schema[M].dataType.simpleString()}, structure string")
+
+
+def stereocentres(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """``(mol_id, centres, assigned, unassigned)``: possible tetrahedral stereocentres, those with a chirality mark and
+    those without; a mark on an atom that is no centre doesn't count.
+
+    A centre has four different neighbours, at most one of them a hydrogen that isn't written as an atom: carbon, silicon,
+    germanium or a cation of nitrogen with single bonds only, phosphorus or arsenic with any; or sulfur or selenium with three
+    different neighbours, one by a double bond (its lone pair is the fourth). Neighbours differ if refinement of all
+    atoms by their neighbourhoods, to a fixpoint, puts them in different classes. Centres that exist only through other
+    centres' configurations aren't found."""
+    # chirality is no part of the classes: two neighbours that differ by marks alone count as equal
+    about = _about(atoms)
+    bare = F.struct(*[about[n].alias(n) for n in ("element", "charge", "hydrogens", "isotope", "aromatic")])
+    marks = atoms.select(M, "atom_id", about["chirality"].alias("mark")) if "chirality" in atoms.columns else atoms.select(M, "atom_id", F.lit("").alias("mark"))
+    marked = marks.filter("mark <> ''").groupBy(M).agg(F.collect_set("atom_id").alias("marked"))
+    rows = molecule.with_ranks(molecule.pack_bonds(atoms, bonds, bare)).join(marked, M, "left")
+
+    def centre(x: Column, i: Column) -> Column:
+        around = F.get("near", i)
+        n, h = F.size(around), x["hydrogens"]
+        single = F.forall(around, lambda e: e["o"] == 1.0)
+        double = F.size(F.filter(around, lambda e: e["o"] == 2.0)) == 1
+        different = F.size(F.array_distinct(F.transform(around, lambda e: F.get("ranks", e["v"])))) == n
+        four = (n + h == 4) & (h <= 1) & ((x["element"].isin("C", "Si", "Ge") & single) | ((x["element"] == "N") & (x["charge"] > 0) & single) | x["element"].isin("P", "As"))
+        three = x["element"].isin("S", "Se") & (n == 3) & (h == 0) & double
+        return different & ~x["aromatic"] & (four | three)
+
+    found = F.transform("about", lambda x, i: centre(x, i))
+    one = rows.withColumn("at", F.filter(F.transform(found, lambda f, i: F.when(f, F.get("ids", i))), lambda x: x.isNotNull()))
+    n, own = F.size("at"), F.size(F.array_intersect("at", F.coalesce("marked", F.slice("ids", 1, 0))))
+    return one.select(M, n.alias("centres"), own.alias("assigned"), (n - own).alias("unassigned"))
+
+
 # ---------------------------------------------------------------- fingerprints
 
 

@@ -174,3 +174,63 @@ def d15(spark, d):
 @register("D16_descriptor_table")
 def d16(spark, d):
     return rounded(G.descriptors(atoms(spark, d), bonds(spark, d, ring=True)))
+
+
+# ---------------------------------------------------------------- structures from strings
+
+# Fixed values of this analogue: the atom that a turn is written as; user turns carry a chlorine branch.
+SYMBOLS = {"user": "C(Cl)", "assistant": "N", "system": "O"}
+
+
+def strings(spark, d, ring: bool = False, turned: bool = False):
+    """One SMILES string per conversation: its turns as a chain, closed to a ring from three turns on if ``ring``; if
+    ``turned``, odd conversations are written from the other end."""
+    turns = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("mol_id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
+    symbol = F.create_map(*[F.lit(x) for kv in SYMBOLS.items() for x in kv])
+    syms = F.transform("roles", lambda r: symbol[r])
+    if ring:
+        n = F.size("roles")
+        mark = lambda s: F.concat(F.substring(s, 1, 1), F.lit("1"), F.substring(s, F.lit(2), F.lit(9)))
+        syms = F.transform(syms, lambda s, i: F.when((n >= 3) & ((i == 0) | (i == n - 1)), mark(s)).otherwise(s))
+    if turned:
+        syms = F.when(F.col("mol_id") % 2 == 1, F.reverse(syms)).otherwise(syms)
+    return turns.select("mol_id", F.array_join(syms, "").alias("smiles"))
+
+
+def _graph(spark, d, **how):
+    from ecospark.functions import smiles
+
+    return smiles.tables(smiles.parse(strings(spark, d, **how), "mol_id", "smiles"))
+
+
+CHAIN_SQL = """(SELECT conv_id AS mol_id, role, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)"""
+
+
+@register("B31_smiles_to_graph", f"""SELECT mol_id, any_value(n) + count(*) FILTER (role = 'user') AS atoms,
+    any_value(n) - 1 + count(*) FILTER (role = 'user') + CASE WHEN any_value(n) >= 3 THEN 1 ELSE 0 END AS bonds, count(*) FILTER (role = 'user') AS carbons,
+    CAST(sum(CASE role WHEN 'user' THEN 3 WHEN 'assistant' THEN 3 ELSE 2 END - CASE WHEN n >= 3 THEN 2 ELSE n - 1 END) AS BIGINT) AS hydrogens FROM {CHAIN_SQL} GROUP BY mol_id""")
+def b31_graph(spark, d):
+    """Strings parsed to atoms and bonds: counts per molecule."""
+    at, bo = _graph(spark, d, ring=True)
+    a = at.groupBy("mol_id").agg(F.count(F.lit(1)).alias("atoms"), F.count_if(F.col("element") == "C").alias("carbons"), F.sum("hydrogens").alias("hydrogens"))
+    b = bo.groupBy("mol_id").agg(F.count(F.lit(1)).alias("bonds"))
+    return a.join(b, "mol_id", "left").select("mol_id", "atoms", F.coalesce("bonds", F.lit(0)).alias("bonds"), "carbons", "hydrogens")
+
+
+@register("C8_potential_stereocentres", f"""WITH t AS {CHAIN_SQL},
+    s AS (SELECT mol_id, string_agg(role[1], '' ORDER BY k) AS fwd, string_agg(role[1], '' ORDER BY k DESC) AS rev, any_value(n) AS n FROM t GROUP BY mol_id)
+    SELECT s.mol_id, CAST(count(*) FILTER (t.role = 'user' AND t.k > 1 AND t.k < t.n AND NOT (fwd = rev AND 2 * t.k = t.n + 1)) AS INTEGER) AS centres, 0 AS assigned
+    FROM s JOIN t ON s.mol_id = t.mol_id GROUP BY s.mol_id""")
+def c8_centres(spark, d):
+    """A turn's atom is a centre unless it ends the chain or the chain reads the same both ways from it."""
+    return G.stereocentres(*_graph(spark, d)).select("mol_id", "centres", "assigned")
+
+
+@register("C3_canonical_structures", f"""WITH t AS {CHAIN_SQL},
+    s AS (SELECT mol_id, string_agg(role[1], '' ORDER BY k) AS fwd, string_agg(role[1], '' ORDER BY k DESC) AS rev FROM t GROUP BY mol_id)
+    SELECT min(mol_id) AS mol_id, count(*) AS writings FROM s GROUP BY least(fwd, rev)""")
+def c3_structures(spark, d):
+    """First molecule of each structure; half of the strings are written from the other end."""
+    keys = G.canonical_keys(*_graph(spark, d, turned=True))
+    return keys.groupBy("structure").agg(F.min("mol_id").alias("mol_id"), F.count(F.lit(1)).alias("writings")).drop("structure")
