@@ -26,18 +26,18 @@ from pyspark.sql import functions as F
 
 from ecospark.llm.tables import column, slices, stored
 
-#: whitespace-separated words remembered by a Python worker before it starts anew
-CACHE = 500_000
-#: pieces per packing group (expected)
-GROUP = 3000
+#: words, and stems of words, of a generation; those of two generations are remembered within a task (about 100 MB)
+CACHE = 200_000
+#: pieces per packing group, and groups per task (expected)
+GROUP, GROUPS_PER_TASK = 3000, 4
 
 
 class WordTokenizer:
     """A ``tokenizers`` file whose normaliser lower-cases and whose pre-tokenizer drops white space and keeps letters and
     punctuation apart: the ids of a text are the ids of its space-separated words one after another, and a word's
-    are those of its stem and of the punctuation after it. Parts seen before cost a look-up; new stems of letters are
-    encoded many at a time and told apart by their word-end tokens. Words that could hold a special string, and all
-    else, are left to the library as they are. ``words=False`` encodes whole texts."""
+    are those of its stem and of the punctuation after it. Parts seen before in the task cost a look-up; new stems of
+    letters are encoded many at a time. Words that could hold a special string, and all else, are left to the library as
+    they are. ``words=False`` encodes whole texts."""
 
     def __init__(self, path: str, words: bool = True) -> None:
         import os
@@ -45,37 +45,53 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
-        self.library, self.words, self.known = Tokenizer.from_file(path), words, {}
+        self.library, self.words = Tokenizer.from_file(path), words
+        self.forget()
         self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(self.library.get_vocab_size())])
 
+    def forget(self) -> None:
+        """Give up what was remembered; the end of a task."""
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
+        self.old_stems: dict[str, bytes] = {}
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _stems(self, stems: list[str]) -> list[bytes]:
-        """Ids of words made of letters."""
+    def _letters(self, stems: list[str]) -> list[bytes]:
+        """Ids of words made of letters, many to a text, told apart by their word-end tokens."""
         out: list[bytes] = []
-        for i in range(0, len(stems), 500):
-            part = stems[i : i + 500]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+        parts = [stems[i : i + 500] for i in range(0, len(stems), 500)]
+        for part, e in zip(parts, self.library.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(part) and cut[-1] == len(ids):
-                raw, at = ids.tobytes(), [0, *(4 * cut).tolist()]
-                out += [raw[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
+                raw, at = ids.tobytes(), (4 * cut).tolist()
+                out += [raw[a:z] for a, z in zip([0, *at[:-1]], at, strict=True)]
             else:  # a letter that lower-cases to more than a letter
                 out += self._encode(part)
         return out
 
-    def _learn(self, words: set[bytes]) -> None:
-        known, parts = self.known, {}
-        for w in words:
-            stem = w.rstrip(b".,;:!?")
-            parts[w] = (stem, w[len(stem) :]) if b"<|" not in w and stem[-1:].isalpha() else (w, b"")
-        fresh = {x: x.decode("utf-8", "surrogatepass") for p in parts.values() for x in p if x and x not in known}
-        letters = [x for x, t in fresh.items() if t.isalpha()]
-        other = [x for x, t in fresh.items() if not t.isalpha()]
-        known.update(zip(letters, self._stems([fresh[x] for x in letters]), strict=True))
-        known.update(zip(other, self._encode([fresh[x] for x in other]), strict=True))
-        known.update((w, known[stem] + known[tail]) for w, (stem, tail) in parts.items() if tail)
+    def _learn(self, fresh: set[bytes]) -> None:
+        words = list(fresh)
+        texts = b"\n".join(words).decode("utf-8", "surrogatepass").split("\n")
+        stems = [t if "<|" in t else t.rstrip(".,;:!?") for t in texts]
+        plain = [s if s.isalpha() else t for s, t in zip(stems, texts, strict=True)]  # what is encoded by itself
+        tails = [t[len(s) :] for s, t in zip(plain, texts, strict=True)]
+        new = set(plain).union(tails).difference(self.stems)
+        if len(self.stems) > CACHE:
+            self.old_stems, self.stems = self.stems, {"": b""}
+            new = set(plain).union(tails).difference(self.stems)
+        again = new.intersection(self.old_stems)
+        self.stems.update((x, self.old_stems[x]) for x in again)
+        new -= again
+        letters = [x for x in new if x.isalpha()]
+        other = [x for x in new if not x.isalpha()]
+        known = self.stems
+        known.update(zip(letters, self._letters(letters), strict=True))
+        known.update(zip(other, self._encode(other), strict=True))
+        self.known.update(zip(words, [known[s] + known[t] for s, t in zip(plain, tails, strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
@@ -84,13 +100,17 @@ class WordTokenizer:
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         # A-Z can be lower-cased first, but not inside a special string; the words end at ASCII white space
         split = [(t if b"<|" in t else t.lower()).split() for t in raw]
-        known = self.known
-        fresh = {w for ws in split for w in ws if w not in known}
-        if len(known) + len(fresh) > CACHE:
-            known.clear()
-            fresh = {w for ws in split for w in ws}
-        self._learn(fresh)
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        words = set().union(*split)
+        if len(self.known) > CACHE:
+            self.old, self.known = self.known, {}
+        fresh = words.difference(self.known)
+        again = fresh.intersection(self.old)
+        self.known.update((x, self.old[x]) for x in again)
+        fresh -= again
+        if fresh:
+            self._learn(fresh)
+        get = self.known.__getitem__
+        return [b"".join(map(get, ws)) for ws in split]
 
 
 _TOKENIZERS: dict[tuple[str, bool], WordTokenizer] = {}
@@ -117,6 +137,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, window: int, words:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array(slot + np.cumsum(full) - full),
                                               pa.array(row + np.arange(len(n)))], names=["id", "tokens", "n", "slot", "row"])
             slot, row = slot + int(full.sum()), row + len(n)
+        t.forget()
 
     return docs.select(column(docs, id_col, "long").alias("id"), column(docs, text_col, "string").alias("text")).mapInArrow(
         run, "id long, tokens binary, n long, slot long, row long")
@@ -216,5 +237,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int
         out["ids_crc32"] = [zlib.crc32(x) for x in out["tokens"]]
         return out[names]
 
-    packed = rest.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups))).groupBy("group").applyInPandas(fill, kind)
+    # as many partitions as keep a few groups in each, whatever the session's number
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // GROUPS_PER_TASK))
+    dealt = rest.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups))).repartition(parts, "group")
+    packed = dealt.groupBy("group").applyInPandas(fill, kind)
     return full.unionByName(packed).withColumnRenamed("id", id_col)

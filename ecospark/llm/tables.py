@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,6 +52,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2_000_000)
             total += n
         if begin < len(sizes):
             yield batch.slice(begin)
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system at the end of a task's input: workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 #: rows of a key of 16 bytes and two longs that :func:`lookup` broadcasts: about 64 MB

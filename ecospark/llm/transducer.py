@@ -35,6 +35,8 @@ CACHE = 300_000
 class Transducer:
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab, self.paths = vocab, {}
+        #: what an id is on the output tape: its piece's bytes, or the byte it stands for
+        self.output = [bytes([vocab.byte_of[i]]) if i in vocab.byte_of else t.encode("utf-8", "surrogatepass") for i, t in enumerate(vocab.text)]
         low = min(vocab.score.values(), default=0.0)
         self.fallback = 10.0 - low  # a unigram model's cost of a character outside the vocabulary, as the library's
 
@@ -87,14 +89,8 @@ class Transducer:
     def decode(self, ids: array) -> str:
         """The inverse machine: bytes of pieces and fallback bytes, visible spaces back, the front space gone.
         Bytes that aren't UTF-8 become U+FFFD."""
-        v, out = self.vocab, bytearray()
-        for i in ids:
-            if i in v.byte_of:
-                out.append(v.byte_of[i])
-            else:
-                out += v.text[i].encode("utf-8", "surrogatepass")
-        text = out.decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if v.prefix and text.startswith(" ") else text
+        text = b"".join(map(self.output.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
+        return text[1:] if self.vocab.prefix and text.startswith(" ") else text
 
 
 _MACHINES: dict[str, Transducer] = {}
