@@ -17,6 +17,7 @@ ids and extra columns change nothing; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,13 +30,21 @@ from pyspark.sql import types as T
 from ecospark.llm.pieces import SPACE, normal_pieces
 from ecospark.llm.tables import column, slices, small, stored
 
-LETTERS = re.compile(r"[^\W\d_]+")
-#: labelled rows per language that teach (expected number)
+
+@lru_cache(maxsize=1)
+def letters() -> re.Pattern:
+    r"""Runs of letters (Unicode category L). ``\w`` also holds decimal digits and number signs that are no letters
+    (fractions, superscripts, Roman numerals): these are taken out."""
+    signs = [x for x in range(sys.maxunicode + 1) if chr(x).isalnum() and not chr(x).isalpha() and not chr(x).isdecimal()]
+    return re.compile(rf"[^\W\d_{re.escape(''.join(map(chr, signs)))}]+")
+
+
+#: labelled rows per language that teach (expected number); a documented bound on a sample of labelled rows
 SAMPLE = 2000
 ROUNDS = 3
-#: words remembered by a Python worker before it starts anew
-CACHE = 300_000
-#: longest words taken through the arrays; longer ones are scaled letter by letter
+#: words remembered within a task before it starts anew
+CACHE = 150_000
+#: longest words taken through the arrays; longer ones are scaled letter by letter, in training and prediction
 LONG = 40
 #: pseudo-count of every piece; probability of a character outside the vocabulary
 PRIOR, OTHER = 0.05, 1e-7
@@ -160,8 +169,27 @@ class Lattice:
                     behind[rows, start] += use
                     known = piece >= 0
                     np.add.at(total, piece[known], (ahead[rows, start] * use)[known])
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            self._expect_long(words[i], float(weight[i]), p, total)
         return total
 
+    def _expect_long(self, word: str, weight: float, p: np.ndarray, total: np.ndarray) -> None:
+        """Adds one long word's expected uses; forward and backward sums are kept as logarithms, so that neither leaves the
+        range of doubles however long the word is."""
+        codes = self.codes([word])
+        n, arcs = codes.shape[1], [(a, z, int(piece[0]), float(p[piece[0], 0])) for a, z, _, piece in self.steps(codes)]
+        log = np.full(n + 1, -np.inf)
+        log[0] = 0.0
+        for a, z, _, q in arcs:  # in order of the start: all sums up to the start are complete
+            log[z] = np.logaddexp(log[z], log[a] + np.log(q))
+        back = np.full(n + 1, -np.inf)
+        back[n] = 0.0
+        for a, z, piece, q in reversed(arcs):
+            way = np.log(q) + back[z]
+            back[a] = np.logaddexp(back[a], way)
+            if piece >= 0:
+                total[piece] += weight * np.exp(log[a] + way - log[n])
+
 
 @lru_cache(maxsize=2)
 def lattice(path: str) -> Lattice:
@@ -169,7 +197,7 @@ def lattice(path: str) -> Lattice:
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    return letters().findall(text.lower()) if text else []
 
 
 def teaches(doc_id: Column, lang: Column) -> Column:

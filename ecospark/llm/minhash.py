@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ecospark.llm import words as W
-from ecospark.llm.tables import column, slices, small, stored
+from ecospark.llm.tables import column, lookup, slices, small, stored
 from ecospark.operators.dedup import connected_components
 
 #: places of a signature; probability of missing a pair at the threshold
@@ -295,15 +295,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     more = stored(_across(m, label, classes, members, num, den))
     if not more.isEmpty():
         label = stored(connected_components(links.unionByName(more)))
-    rows = flat.select("id", "n", "cls").join(label.select(F.col("node").alias("cls"), F.col("label").alias("_comp")), "cls", "left")
-    rows = rows.withColumn("comp", F.coalesce("_comp", "cls")).drop("_comp")
-    least = rows.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("id").alias("least"))
-    out = rows.join(least, "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least")))
+    # sets and components that many rows share are looked up where the rows are
+    by_set = stored(label.select(F.col("node").alias("cls"), F.col("label").alias("_comp")).join(
+        flat.filter("n > 0").groupBy("cls").agg(F.count(F.lit(1)).alias("_rows")), "cls"))
+    rows = lookup(flat.select("id", "n", "cls"), by_set, "cls", "_rows").drop("_rows")
+    rows = stored(rows.withColumn("comp", F.coalesce("_comp", "cls")).drop("_comp", "cls"))
+    least = stored(rows.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("_rows")).filter("_rows > 1"))
+    out = lookup(rows, least, "comp", "_rows").withColumn("component_id", F.when(F.col("_rows").isNull(), F.col("id")).otherwise(F.col("least")))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs``, all columns, without those whose component holds a smaller doc_id."""
-    gone = stored(near_duplicates(docs, n, num, den).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_llm_gone")).distinct())
-    return docs.join(small(gone), column(docs, "doc_id", "long") == F.col("_llm_gone"), "left_anti")
+    """The rows of ``docs``, all columns, one of each component: the one with the smallest doc_id (null ids come last, and of
+    rows with one id any). Decided per row, so rows that share an id but not their text don't decide for each other."""
+    rows = stored(docs.withColumn("_llm_row", F.monotonically_increasing_id()))
+    found = near_duplicates(rows.select("_llm_row", column(rows, "text", "string")), n, num, den, id_col="_llm_row").select("_llm_row", "component_id")
+    ids = rows.select("_llm_row", column(rows, "doc_id", "long").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "_llm_row")
+    stays = found.join(ids, "_llm_row").groupBy("component_id").agg(F.min(order)["_llm_row"].alias("_llm_row"))  # folded per task
+    gone = stored(found.select("_llm_row").join(stays.select("_llm_row"), "_llm_row", "left_anti"))
+    return rows.join(small(gone), "_llm_row", "left_anti").drop("_llm_row")

@@ -1,19 +1,21 @@
 """Quality rules (operator 2): base rules, then robust multivariate outliers per language and source.
 
 Each document becomes a vector of transformed statistics (``FEATURES``). Per (lang, source) group a
-minimum-covariance-determinant estimate of centre and scatter is computed by concentration steps: start from the
-coordinatewise medians and spreads, then repeatedly take the half of the group's documents with the smallest
-Mahalanobis distances and use their mean and covariance, until no group's determinant falls any more. A step is one
-grouped aggregate of moments (folded in every task, so a group with a third of all rows is no hot key) after a
-join with the group's bounded model row. Every document takes part. A document is rejected when its squared distance,
-under the consistency-corrected estimate, exceeds the chi-square quantile ``tail``.
-
-The estimate uses the documents that pass the base rules. Groups of fewer than ``LEAST`` of them are estimated
-together as one group. Each feature has a spread floor, so that a statistic that is constant in a group (no repeated
-line, no symbol) doesn't make the scatter singular and small honest deviations pass; in features with a bad side
-only deviations to that side count against a document.
-
-Null texts have no words and fail the base rules; null ``lang`` or ``source`` forms a group like any other value;
+minimum-covariance-determinant estimate of centre and scatter is computed by concentration steps: take the half of the
+group's documents with the smallest Mahalanobis distances, use their mean and covariance, and again, until the
+determinant of no group falls any more. Every group is started three times (from coordinatewise medians and spreads,
+from all its documents, and from the half nearest to the median in the scaled features) and keeps the estimate with the
+smallest determinant. A step is one grouped aggregate of moments, folded in every task, after a look-up of the group's
+model row, so a group with a third of all rows is no hot key. Every document takes part. A document is rejected when
+its squared distance, under the consistency-corrected estimate, exceeds the chi-square quantile ``TAIL``.
+
+The estimate uses the documents that pass the base rules. Groups of fewer than ``LEAST`` of them (five for each feature,
+the usual least for this estimate) are estimated together as one group. The scatter is at least that of the floors in every
+direction: a statistic that is constant in most documents (no repeated line, no symbol) then has a scale, and
+where documents vary more than that, the floor has no part in the verdict. In features with a bad side only deviations to that
+side count against a document.
+
+Null texts have no words and fail the base rules; very long texts are read whole; null ``lang`` or ``source`` forms a group like any other value;
 repeated rows count as often as they occur; ties in distance at the half's edge are all taken. Missing columns
 ``lang`` or ``source`` read as null; extra columns are ignored; an empty table gives an empty result.
 """
@@ -29,19 +31,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ecospark.llm.stats import FIELDS, text_stats
-from ecospark.llm.tables import column, slices, stored
+from ecospark.llm.tables import column, slices, small, stored
 
-#: name -> (expression over the statistics, spread floor, side: -1 low values are bad, 1 high ones, 0 both)
+#: name -> (expression over the statistics, least spread, side: -1 low values are bad, 1 high ones, 0 both)
 FEATURES: dict[str, tuple[str, float, int]] = {
-    "word_length": ("ln(word_chars / n_words)", 0.12, 0),
-    "symbols": ("sqrt(n_symbols / word_chars)", 0.04, 1),
-    "dup_lines": ("sqrt(n_dup_lines * 10 / (n_words + 10))", 0.15, 1),
-    "repeat_words": ("asin(sqrt(n_repeat_words / n_words))", 0.2, 1),
+    "word_length": ("ln(word_chars / n_words)", 0.04, 0),
+    "symbols": ("sqrt(n_symbols / word_chars)", 0.02, 1),
+    "dup_lines": ("sqrt(n_dup_lines * 10 / (n_words + 10))", 0.1, 1),
+    "repeat_words": ("asin(sqrt(n_repeat_words / n_words))", 0.12, 1),
 }
 NAMES = list(FEATURES)
 P = len(NAMES)
-STEPS = 20
-LEAST = 50
+STEPS = 30
+LEAST = 5 * P
+STARTS = 3
 #: chi-square quantile for 4 degrees of freedom at 1 - 1e-6
 TAIL = 33.38
 #: the covariance of the nearer half of a normal sample of 4 dimensions is this much too small
@@ -82,23 +85,31 @@ MEANS = [f"mu_{i}" for i in range(P)]
 WEIGHTS = [f"w_{i}_{j}" for i in range(P) for j in range(P)]
 
 
+def at_least(cov: np.ndarray) -> np.ndarray:
+    """Covariances (groups x P x P) whose variance is, in units of the floors, at least one in every direction."""
+    floor = np.array([f for _, f, _ in FEATURES.values()])
+    unit = cov / floor[:, None] / floor
+    value, vector = np.linalg.eigh(unit)
+    return np.einsum("gik,gk,gjk->gij", vector, np.maximum(value, 1.0), vector) * floor[:, None] * floor
+
+
 def _model(rows: DataFrame, factor: float) -> DataFrame:
-    """Per group: centre ``mu_i``, inverse scatter ``w_i_j`` and log-determinant ``det``, with ``factor`` on the
-    covariances and the spread floors added to their diagonal. One row per group; the inverses of P x P matrices are
-    a helper in the tasks."""
+    """Per group and start: centre ``mu_i``, inverse scatter ``w_i_j`` and log-determinant ``det``, with ``factor`` on the
+    covariances and variances of at least the floors. One row each; the inverses of P x P matrices are a helper in
+    the tasks."""
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cov = np.zeros((b.num_rows, P, P))
             for i, j in UPPER:
                 cov[:, i, j] = cov[:, j, i] = factor * np.nan_to_num(b.column(f"c_{i}_{j}").to_numpy(zero_copy_only=False).astype(float))
-            for i, n in enumerate(NAMES):
-                cov[:, i, i] += FEATURES[n][1] ** 2
+            cov = at_least(cov)
             inverse = np.linalg.inv(cov).reshape(-1, P * P)
-            yield pa.RecordBatch.from_arrays([b.column("grp"), *(b.column(n) for n in MEANS), pa.array(np.linalg.slogdet(cov)[1]),
-                                              *(pa.array(np.ascontiguousarray(w)) for w in inverse.T)], names=["grp", *MEANS, "det", *WEIGHTS])
+            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("start"), *(b.column(n) for n in MEANS), pa.array(np.linalg.slogdet(cov)[1]),
+                                              *(pa.array(np.ascontiguousarray(w)) for w in inverse.T)], names=["grp", "start", *MEANS, "det", *WEIGHTS])
 
-    return rows.mapInArrow(invert, "grp string, " + ", ".join(f"{n} double" for n in [*MEANS, "det", *WEIGHTS]))
+    return rows.select("grp", "start", *MEANS, *[f"c_{i}_{j}" for i, j in UPPER]).mapInArrow(
+        invert, "grp string, start int, " + ", ".join(f"{n} double" for n in [*MEANS, "det", *WEIGHTS]))
 
 
 def _distance(sided: bool = False) -> Column:
@@ -113,7 +124,7 @@ def _distance(sided: bool = False) -> Column:
 
 def _grouped(stats: DataFrame, sizes: DataFrame) -> DataFrame:
     """Adds ``grp``: the (lang, source) pair, or the empty string for the small groups."""
-    return (stats.withColumn("_key", F.to_json(F.struct("lang", "source"))).join(sizes, "_key", "left")
+    return (stats.withColumn("_key", F.to_json(F.struct("lang", "source"))).join(small(sizes), "_key", "left")
             .withColumn("grp", F.when(F.col("_n") >= LEAST, F.col("_key")).otherwise("")).drop("_key", "_n"))
 
 
@@ -123,26 +134,39 @@ def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = stats.filter(~base_failed())
     sizes = stored(good.groupBy(F.to_json(F.struct("lang", "source")).alias("_key")).agg(F.count(F.lit(1)).alias("_n")))
     x = stored(features(_grouped(good, sizes)).select("grp", *[f"x_{n}" for n in NAMES]))
-    start = x.groupBy("grp").agg(*[F.percentile_approx(f"x_{n}", F.array(*map(F.lit, (0.25, 0.5, 0.75))), 2000).alias(f"q_{i}")
-                                   for i, n in enumerate(NAMES)])
-    start = start.select("grp", *[F.col(f"q_{i}")[1].alias(f"mu_{i}") for i in range(P)], *[
-        (F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in UPPER])
-    model, before = stored(_model(start, 1.0)), None
+    middle = x.groupBy("grp").agg(*[F.percentile_approx(f"x_{n}", F.array(*map(F.lit, (0.25, 0.5, 0.75))), 2000).alias(f"q_{i}")
+                                    for i, n in enumerate(NAMES)])
+    spread = lambda i: (F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349
+    plain = stored(middle.select("grp", F.lit(0).alias("start"), *[F.col(f"q_{i}")[1].alias(f"mu_{i}") for i in range(P)], *[
+        (F.pow(spread(i), F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in UPPER]))
+    # the nearer half to the median, each feature in units of its spread (the floor where that is none)
+    scaled = [F.pow((F.col(f"x_{n}") - F.col(f"mu_{i}")) / F.greatest(F.sqrt(f"c_{i}_{i}"), F.lit(FEATURES[n][1])), F.lit(2.0)) for i, n in enumerate(NAMES)]
+    d = x.join(small(plain), "grp").select("grp", *[f"x_{n}" for n in NAMES], sum(scaled, F.lit(0.0)).alias("_d"))
+    nearer = _half(d, ["grp"]).groupBy("grp").agg(*_moments()).withColumn("start", F.lit(2))
+    every = x.groupBy("grp").agg(*_moments()).withColumn("start", F.lit(1))
+    first = _model(plain, 1.0).unionByName(_model(every, 1.0)).unionByName(_model(nearer, CONSISTENCY))
+    model, key = stored(first), ["grp", "start"]
+    starts = x.withColumn("start", F.explode(F.array(*[F.lit(k) for k in range(STARTS)])))
     for _ in range(STEPS):
-        d = x.join(model, "grp").select(*x.columns, _distance().alias("_d"))
-        half = d.groupBy("grp").agg(F.percentile_approx("_d", 0.5, 2000).alias("_half"))
-        near = d.join(half, "grp").filter(F.col("_d") <= F.col("_half"))
-        model = stored(_model(near.groupBy("grp").agg(*_moments()), CONSISTENCY))
-        det = model.agg(F.sum("det")).first()[0]
-        if before is not None and det is not None and before - det <= 1e-3 * max(1.0, abs(det)):
+        d = starts.join(small(model), key).select(*key, *[f"x_{n}" for n in NAMES], _distance().alias("_d"))
+        new = stored(_model(_half(d, key).groupBy(*key).agg(*_moments()), CONSISTENCY))
+        fell = new.join(small(model.select(*key, F.col("det").alias("_before"))), key).agg(F.max(F.col("_before") - F.col("det"))).first()[0]
+        model = new
+        if fell is None or fell <= 1e-6:
             break
-        before = det
-    return model, sizes
+    best = model.groupBy("grp").agg(F.min(F.struct("det", "start")).alias("_b")).select("grp", F.col("_b.start").alias("start"))
+    return stored(model.join(small(stored(best)), key).drop("start")), sizes
+
+
+def _half(d: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of each group up to the median of ``_d`` (ties at it are all taken)."""
+    half = stored(d.groupBy(*key).agg(F.percentile_approx("_d", 0.5, 5000).alias("_half")))
+    return d.join(small(half), key).filter(F.col("_d") <= F.col("_half"))
 
 
 def verdicts(stats: DataFrame, model: DataFrame, sizes: DataFrame) -> DataFrame:
     """Adds ``base_failed``, ``distance`` (squared, null if there is no model) and ``kept``."""
-    joined = features(_grouped(stats, sizes)).join(model, "grp", "left")
+    joined = features(_grouped(stats, sizes)).join(small(model), "grp", "left")
     out = joined.select(*stats.columns, base_failed().alias("base_failed"), _distance(sided=True).alias("distance"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= TAIL))
 

@@ -126,6 +126,15 @@ def test_one_of_each_keeps_all_columns(docs):
     assert {5, 8, 9} <= kept and not kept & {70, 71, 72, 73} and 74 in kept
 
 
+def test_one_of_each_decides_per_row(spark):
+    """Null ids, and two texts under one id: no clean row goes with a copy, one row of each component stays."""
+    body = [" ".join(f"w{k}{i}" for i in range(40)) for k in range(4)]
+    rows = [(None, body[0]), (None, body[0]), (1, body[0]), (5, body[1]), (5, body[2]), (4, body[1]), (None, body[3]), (None, body[3]), (None, None), (None, None), (7, ""), (7, "")]
+    out = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(
+        {(1, body[0]): 1, (4, body[1]): 1, (5, body[2]): 1, (None, body[3]): 1, (None, None): 2, (7, ""): 2})
+
+
 # ---------------------------------------------------------------- quality rules
 
 
@@ -162,6 +171,67 @@ def test_outliers_go_and_the_rest_stays(spark):
     assert kept == set(range(300))
 
 
+def brute_mcd(x, floors, factor, tries=300):
+    """Concentration steps from many random starts: the estimate of smallest determinant."""
+    rng, n, best = np.random.default_rng(1), len(x), None
+
+    def scatter(c):
+        value, vector = np.linalg.eigh(c / np.outer(floors, floors))
+        return (vector * np.maximum(value, 1)) @ vector.T * np.outer(floors, floors)
+
+    for _ in range(tries):
+        near = x[rng.choice(n, x.shape[1] + 1, replace=False)]
+        for _ in range(50):
+            mu, cov = near.mean(axis=0), scatter(factor * np.cov(near.T, bias=True))
+            d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
+            new = x[d <= np.sort(d)[(n + 1) // 2 - 1]]
+            if len(new) == len(near) and np.allclose(new, near):
+                break
+            near = new
+        det = np.linalg.slogdet(cov)[1]
+        if best is None or det < best[0]:
+            best = det, mu, cov
+    return best
+
+
+def single_outliers():
+    """Two groups of texts, each with outliers in one feature only and ordinary texts that deviate a little."""
+    rng = np.random.default_rng(8)
+    stock = ["".join(rng.choice(list("abcdefgh"), k)) for k in rng.integers(3, 8, 3000)]
+    rows = []
+    for i in range(240):
+        rows.append((i, "\n".join(" ".join(rng.choice(stock, 12)) for _ in range(int(rng.integers(8, 30)))), "en", f"s{i % 2}"))
+    for i in range(8):
+        w = lambda k: " ".join(rng.choice(stock, k))  # noqa: B023, E731
+        rows += [(1000 + i, " ".join(a + b for a, b in zip(rng.choice(stock, 150), rng.choice(stock, 150))), "en", f"s{i % 2}"),  # words run together
+                 (2000 + i, " ".join(x + "#" * (k % 5 == 0) for k, x in enumerate(rng.choice(stock, 150))), "en", f"s{i % 2}"),  # symbols
+                 (3000 + i, "\n".join([w(7)] * 2 + [x for _ in range(8) for x in [w(3)] * 2]), "en", f"s{i % 2}"),  # repeated short lines
+                 (4000 + i, w(110) + "\n" + " ".join([w(10)] * 9), "en", f"s{i % 2}"),  # repeated words in one line
+                 (5000 + i, w(120) + " #1", "en", f"s{i % 2}"), (6000 + i, f"{(x := w(12))}\n{w(200)}\n{x}", "en", f"s{i % 2}")]  # ordinary
+    return rows
+
+
+def test_single_feature_outliers_against_brute_force_estimate(spark):
+    rows = single_outliers()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    stats = quality.features(quality.statistics(df)).toPandas()
+    got = quality.quality(df).toPandas().set_index("doc_id")
+    floors = np.array([f for _, f, _ in quality.FEATURES.values()])
+    sides = [s for *_, s in quality.FEATURES.values()]
+    for source in ("s0", "s1"):
+        own = stats[stats["source"] == source]
+        passed = ~((own["n_words"] < 50) | (100 * own["n_repeat_words"] > 50 * own["n_words"]))
+        x = own[[f"x_{n}" for n in quality.NAMES]].to_numpy()
+        det, mu, cov = brute_mcd(x[passed.to_numpy()], floors, quality.CONSISTENCY)
+        z = np.column_stack([(x[:, i] - mu[i]) if not s else s * np.maximum(s * (x[:, i] - mu[i]), 0) for i, s in enumerate(sides)])
+        far = np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z) > quality.TAIL
+        want = passed.to_numpy() & ~far
+        assert list(got.loc[own["doc_id"], "kept"]) == list(want)
+    kept = got["kept"]
+    assert kept[[i for i, *_ in rows if i < 1000 or i >= 5000]].all()
+    assert not kept[[i for i, *_ in rows if 1000 <= i < 5000]].any()
+
+
 def test_keep_good_carries_all_columns(docs):
     out = quality.keep_good(docs)
     assert out.columns == docs.columns and out.count() > 0
@@ -284,6 +354,21 @@ def test_forward_sums_all_segmentations(pieces):
         assert np.allclose(lat.log_words([w], p)[0], np.log(brute(w))) and np.allclose(lat._log_long(w, p), np.log(brute(w)))
 
 
+def test_long_words_teach_as_short_ones_do(pieces, monkeypatch):
+    lat = langid.lattice(pieces)
+    p = np.random.default_rng(3).random((len(lat.pieces) + 1, 1)) / 100
+    words_, weight = ["▁thing", "▁straße日本", "▁a", "▁" + "xyzingthe" * 4], np.array([3.0, 1.0, 2.0, 5.0])
+    want = lat.expected(words_, weight, p)
+    monkeypatch.setattr(langid, "LONG", 0)
+    assert np.allclose(lat.expected(words_, weight, p), want)
+    far = lat.expected(["▁" + "the" * 20_000], np.array([1.0]), p)
+    assert np.isfinite(far).all() and far.sum() > 10_000
+
+
+def test_letters_are_unicode_letters():
+    assert langid.words_of("½ ² ① Ⅷ 12 a½b x_1 ß日本") == ["a", "b", "x", "ß日本"] and langid.words_of("½ ² ①") == []
+
+
 def test_expected_uses_are_forward_backward(pieces):
     lat = langid.lattice(pieces)
     p = np.random.default_rng(2).random((len(lat.pieces) + 1, 1)) / 100
