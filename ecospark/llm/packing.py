@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from ecospark.llm.tables import column, slices, stored
 
-#: words, and stems of words, of a generation; those of two generations are remembered within a task (about 100 MB)
-CACHE = 200_000
+#: words remembered within a task before they are learnt anew (about 150 MB with their stems)
+CACHE = 500_000
+#: ASCII punctuation after a word is a token run of its own; signs of contractions and special strings aren't cut off
+TAIL = ".,;:!?&$*#%)]}\"/_-"
 #: pieces per packing group, and groups per task (expected)
 GROUP, GROUPS_PER_TASK = 3000, 4
 
@@ -52,9 +54,7 @@ class WordTokenizer:
     def forget(self) -> None:
         """Give up what was remembered; the end of a task."""
         self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {"": b""}
-        self.old_stems: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -76,16 +76,10 @@ class WordTokenizer:
     def _learn(self, fresh: set[bytes]) -> None:
         words = list(fresh)
         texts = b"\n".join(words).decode("utf-8", "surrogatepass").split("\n")
-        stems = [t if "<|" in t else t.rstrip(".,;:!?") for t in texts]
+        stems = [t if "<|" in t else t.rstrip(TAIL) for t in texts]
         plain = [s if s.isalpha() else t for s, t in zip(stems, texts, strict=True)]  # what is encoded by itself
         tails = [t[len(s) :] for s, t in zip(plain, texts, strict=True)]
         new = set(plain).union(tails).difference(self.stems)
-        if len(self.stems) > CACHE:
-            self.old_stems, self.stems = self.stems, {"": b""}
-            new = set(plain).union(tails).difference(self.stems)
-        again = new.intersection(self.old_stems)
-        self.stems.update((x, self.old_stems[x]) for x in again)
-        new -= again
         letters = [x for x in new if x.isalpha()]
         other = [x for x in new if not x.isalpha()]
         known = self.stems
@@ -100,17 +94,15 @@ class WordTokenizer:
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         # A-Z can be lower-cased first, but not inside a special string; the words end at ASCII white space
         split = [(t if b"<|" in t else t.lower()).split() for t in raw]
-        words = set().union(*split)
         if len(self.known) > CACHE:
-            self.old, self.known = self.known, {}
-        fresh = words.difference(self.known)
-        again = fresh.intersection(self.old)
-        self.known.update((x, self.old[x]) for x in again)
-        fresh -= again
+            self.forget()
+        known = self.known
+        found = [list(map(known.get, ws)) for ws in split]
+        fresh = {w for ws, ids in zip(split, found, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None}
         if fresh:
             self._learn(fresh)
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+            found = [ids if None not in ids else [known[w] if x is None else x for w, x in zip(ws, ids, strict=True)] for ws, ids in zip(split, found, strict=True)]
+        return list(map(b"".join, found))
 
 
 _TOKENIZERS: dict[tuple[str, bool], WordTokenizer] = {}
