@@ -199,9 +199,17 @@ def f12(spark, d):
     return rounded(X.by_forest(materialized_features(spark, d), TARGET, FEATURES, num_trees=10, max_depth=5))
 
 
-@register("F13_linear_importance")
+def _f13_sql():
+    from ecospark.plans.q_models import HALVES_SQL, least_squares_sql
+
+    names = "[" + ", ".join(f"'{x}'" for x in FEATURES) + "]"
+    return f"""WITH RECURSIVE {HALVES_SQL}, {least_squares_sql(where="true")}
+      SELECT feature, round(importance, 2) AS importance FROM (SELECT unnest({names}) AS feature, abs(unnest(w)) AS importance FROM w)
+      ORDER BY importance DESC, feature LIMIT 4"""
+
+
 def f13(spark, d):
-    return rounded(X.linear_importance(materialized_features(spark, d), TARGET, FEATURES, n=4))
+    return rounded(X.linear_importance(materialized_features(spark, d), TARGET, FEATURES, n=4), 2)
 
 
 @register("F14_permutation_importance")
@@ -230,6 +238,19 @@ def f15(spark, d):
     return rounded(ev)
 
 
+_COV2 = f"""SELECT covar_pop(l_quantity, l_quantity) AS a, covar_pop(l_quantity, p_retailprice) AS b, covar_pop(p_retailprice, p_retailprice) AS c
+    FROM {FT_SQL} WHERE p_retailprice IS NOT NULL"""
+
+
+@register("F15_pca_two_columns", f"""SELECT component, round(ratio, 6) AS ratio, round(sum(ratio) OVER (ORDER BY component), 6) AS cumulative FROM (
+    SELECT unnest([1, 2]) AS component, unnest([((a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b)) / (a + c),
+      ((a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b)) / (a + c)]) AS ratio FROM ({_COV2}))""")
+def f15_two(spark, d):
+    """Explained variance where the eigenvalues have a closed form."""
+    _, ev = X.pca(materialized_features(spark, d), ["l_quantity", "p_retailprice"], 2)
+    return rounded(ev)
+
+
 _F16_SRC = "(SELECT l_quantity, l_linenumber, CASE WHEN l_linenumber = 1 THEN l_tax END AS mostly_null FROM lineitem)"
 
 
@@ -302,3 +323,6 @@ def workflow_descriptor_preparation(spark, d):
                                           F.lit(1.0).alias("p_one"), (F.col("p_size") * 0.001).alias("p_low_var"))
     features, _, _ = descriptor_preparation(main, [part], "l_partkey", TARGET)
     return rounded(features)
+
+
+register("F13_linear_importance", _f13_sql())(f13)

@@ -155,16 +155,22 @@ def a20(spark, d):
     return IO.html_field(table(spark, d, "pages").select("page_id", "html"), "html", r"(?s)<title>(.*?)</title>", "title").drop("html")
 
 
-@register("A21_model_save_load")
+def _a21_sql():
+    from ecospark.plans.q_models import HALVES_SQL, least_squares_sql, scores_sql
+
+    return f"WITH RECURSIVE {HALVES_SQL}, {least_squares_sql()} SELECT r2, mse, n FROM ({scores_sql('linear', parts=('test',))})"
+
+
+@register("A21_model_save_load", _a21_sql())
 def a21(spark, d):
     from ecospark.operators import models as Mo
-    from ecospark.plans.q_models import data
     from ecospark.plans.q_features import FEATURES
+    from ecospark.plans.q_models import data, scored
 
     train, test = data(spark, d)
     path = IO.scratch(spark, "model")
     Mo.save(Mo.chain(FEATURES, Mo.estimator("linear")).fit(train), path)
-    return rounded(Mo.evaluate(Mo.load(path), test))
+    return scored(Mo.evaluate(Mo.load(path), test))
 
 
 @register("A22_pairwise_runs", """SELECT c.c_custkey, c.c_nationkey, o.n, 'orders' AS pair FROM customer c
