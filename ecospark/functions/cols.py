@@ -77,6 +77,16 @@ def rename_values(df: DataFrame, name: str, rules: DataFrame, old: str = "old",
     return joined.select(*[c(x) for x in df.columns])
 
 
+def canonical_key(df: DataFrame, preferred: str, key: str, fallback: str | None = None, drop: Iterable[str] = ()) -> DataFrame:
+    """The column ``preferred`` takes the place and name of ``key`` if the frame has it; else ``fallback`` does and the columns
+    ``drop`` go; else nothing changes. Neither needs ``key`` to exist."""
+    source = next((x for x in (preferred, fallback) if x and x in df.columns), None)
+    if source is None or source == key:
+        return df
+    out = discard(df, [key]).withColumnRenamed(source, key)
+    return out if source == preferred else discard(out, drop)
+
+
 def evaluate_once(df: DataFrame, name: str, expr: Column) -> DataFrame:
     """Add ``expr`` as column ``name`` so that it is evaluated once per row.
 

@@ -58,24 +58,29 @@ def token_sets(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
 
 
 def _collapse(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Identical token sets -> one representative (smallest id). Returns (reps, members)."""
+    """Identical token sets -> one representative (smallest id): reps ``(sig, rep, toks, size)`` and members ``(sig, id, rep)``.
+    A set that very many rows share is folded per task and looked up where its rows are."""
     sig = F.sha2(F.array_join(F.col("toks"), "\u0001"), 256)
     # tokenising whole texts is the expensive step: materialise once, reuse for reps and members
     keyed = cut_lineage(sets.withColumn("sig", F.concat_ws(":", F.size("toks").cast("string"), sig)))
-    reps = keyed.groupBy("sig").agg(F.min("id").alias("rep"), F.first("toks").alias("toks"))
-    members = keyed.select("sig", "id").join(reps.select("sig", "rep"), "sig")
+    reps = keyed.groupBy("sig").agg(F.min("id").alias("rep"), F.first("toks").alias("toks"), F.count(F.lit(1)).alias("size"))
+    names = cut_lineage(reps.select("sig", "rep", "size"))
+    members = J.counted_lookup(keyed.select("sig", "id"), names, ["sig"], "size").drop("size")
     return reps, members
 
 
 def _ranked_sets(reps: DataFrame) -> DataFrame:
-    """Order each representative's tokens by the global rare-first order ``(document frequency,
-    token)`` -- a total order every set can apply on its own, so no global ranking job is needed.
-    ``(rep, n, ids)`` with ``ids`` the ordered tokens; a set's prefix is ``slice(ids, 1, p)``."""
+    """Each representative's tokens as numbers of the global rare-first order ``(document frequency, token)``, ascending:
+    ``(rep, n, ids)``; a set's prefix is ``slice(ids, 1, p)``. The numbers come from a distributed prefix sum."""
     exploded = reps.select("rep", F.explode("toks").alias("tok"))
-    freq = exploded.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    return (exploded.join(freq, "tok").groupBy("rep")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "tok"))), lambda x: x["tok"]).alias("ids"))
-            .withColumn("n", F.size("ids")))
+    freq = exploded.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).withColumn("one", F.lit(1))
+    ranks = cut_lineage(prefix_sum(freq, ["df", "tok"], "one", out="rank").select("tok", "df", "rank"))
+    return (J.counted_lookup(exploded, ranks, ["tok"], "df").groupBy("rep")
+            .agg(F.array_sort(F.collect_list("rank")).alias("ids")).withColumn("n", F.size("ids")))
+
+
+#: entries of a prefix token's posting list that are paired in one piece
+POSTINGS = 2000
 
 
 def _candidate_pairs(ranked: DataFrame, t: float) -> DataFrame:
@@ -83,12 +88,21 @@ def _candidate_pairs(ranked: DataFrame, t: float) -> DataFrame:
     and a positional bound. Grouping the prefix matches of a pair gives ``m`` shared prefix tokens
     and the positions of the last one; every common token up to it lies in both prefixes, so
     ``overlap <= m + min(na - pa_last, nb - pb_last)``. Pairs whose bound is below the overlap
-    that Jaccard >= t requires (``t / (1 + t) * (na + nb)``) are dropped before verification."""
+    that Jaccard >= t requires (``t / (1 + t) * (na + nb)``) are dropped before verification.
+
+    The posting list of a frequent prefix token is cut into blocks by a hash of the set; every block meets every other
+    (and itself) under a key of its own, so no task pairs more than ``2 * POSTINGS`` entries with each other."""
     prefix_len = (F.col("n") - F.ceil(F.col("n") * F.lit(t) - F.lit(1e-9)) + 1).cast("int")
     prefix = ranked.select("rep", "n", F.posexplode(F.slice("ids", F.lit(1), prefix_len)).alias("pos", "tid"))
-    a = prefix.select(F.col("rep").alias("a"), F.col("n").alias("na"), "tid", (F.col("pos") + 1).alias("pa"))
-    b = prefix.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "tid", (F.col("pos") + 1).alias("pb"))
-    matches = (a.join(b, "tid").filter(F.col("a") < F.col("b"))
+    # at most one long list per POSTINGS entries of all lists
+    long = cut_lineage(prefix.groupBy("tid").agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > POSTINGS))
+    blocks = F.coalesce(F.ceil(F.col("_k") / POSTINGS), F.lit(1))
+    cut = J.counted_lookup(prefix, long, ["tid"], "_k").withColumn("g", blocks).withColumn("x", F.pmod(F.xxhash64("rep"), F.col("g")))
+    cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    cut = cut.select("rep", "n", "pos", "tid", "x", F.least("x", "o").alias("lo"), F.greatest("x", "o").alias("hi"))
+    a = cut.select(F.col("rep").alias("a"), F.col("n").alias("na"), "tid", "lo", "hi", F.col("x").alias("xa"), (F.col("pos") + 1).alias("pa"))
+    b = cut.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "tid", "lo", "hi", F.col("x").alias("xb"), (F.col("pos") + 1).alias("pb"))
+    matches = (a.join(b, ["tid", "lo", "hi"]).filter(F.col("a") < F.col("b")).filter((F.col("lo") == F.col("hi")) | (F.col("xa") != F.col("xb")))
                .filter((F.col("nb") >= F.col("na") * t - 1e-9) & (F.col("na") >= F.col("nb") * t - 1e-9)))
     per_pair = matches.groupBy("a", "b", "na", "nb").agg(
         F.count(F.lit(1)).alias("m"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
@@ -116,7 +130,8 @@ def similar_representatives(df: DataFrame, id_col: str, tokens: Column, min_sim:
 
 
 def similar_pairs(df: DataFrame, id_col: str, tokens: Column, min_sim: float = 0.5) -> DataFrame:
-    """Every pair ``(id_a < id_b)`` with Jaccard/Tanimoto similarity >= ``min_sim``.
+    """Every pair ``(id_a < id_b)`` with Jaccard/Tanimoto similarity >= ``min_sim``, for inputs whose pairs are wanted as
+    rows; ``similar_representatives`` and ``link_counts`` hold the same links without growing with the square of a group.
 
     The representative pairs are expanded to member pairs at the end; rows with identical sets
     pair with similarity 1. Both expansions are exactly the requested output."""
@@ -132,6 +147,16 @@ def similar_pairs(df: DataFrame, id_col: str, tokens: Column, min_sim: float = 0
     return across.unionByName(within)
 
 
+def link_counts(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """``(id, rep, class_size, n_links)``: each row's class (its set's smallest id), that class's rows, and the other rows that it is
+    linked with, from the compressed form of :func:`similar_representatives`."""
+    sizes = cut_lineage(members.groupBy("rep").agg(F.count(F.lit(1)).alias("class_size")))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = both.join(sizes.select(F.col("rep").alias("b"), "class_size"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("class_size").alias("_across"))
+    side = cut_lineage(sizes.join(linked, "rep", "left").select("rep", "class_size", (F.coalesce("_across", F.lit(0)) + F.col("class_size") - 1).alias("n_links")))
+    return J.counted_lookup(members.select("id", "rep"), side, ["rep"], "class_size")
+
+
 # ---------------------------------------------------------------- components
 
 

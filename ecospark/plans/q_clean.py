@@ -32,20 +32,10 @@ def b3(spark, d):
     return rounded(C.by_position(table(spark, d, "part"), 0, 3, drop=["p_brand"]))
 
 
-def canonical_key(df, preferred, key, fallback=None, drop=()):
-    """``preferred`` replaces ``key`` when present; else ``fallback`` replaces it and ``drop``
-    columns go."""
-    if preferred in df.columns:
-        return df.drop(key).withColumnRenamed(preferred, key)
-    if fallback and fallback in df.columns:
-        return C.discard(df.drop(key).withColumnRenamed(fallback, key), drop)
-    return df
-
-
 @register("B4_canonical_key", "SELECT c_custkey, upper(c_name) AS c_name FROM customer")
 def b4(spark, d):
     cu = table(spark, d, "customer").select("c_custkey", "c_name", F.upper("c_name").alias("c_name_clean"))
-    return canonical_key(cu, "c_name_clean", "c_name").select("c_custkey", "c_name")
+    return C.canonical_key(cu, "c_name_clean", "c_name").select("c_custkey", "c_name")
 
 
 @register("B5_rename_map", "SELECT p_partkey, p_name AS name, p_size AS size FROM part")

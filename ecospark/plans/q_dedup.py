@@ -49,9 +49,28 @@ PAIRS_SQL = f"""s AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
             WHERE inter / (na.sz + nb.sz - inter) >= 0.5)"""
 
 
-@register("C5_similar_pairs", f"WITH {PAIRS_SQL} SELECT a AS id_a, b AS id_b, round(similarity, 6) AS similarity FROM pairs")
+def classes_sql(src: str, key: str, least: float) -> str:
+    """CTEs ``k`` (id, rep, class_size), ``pairs`` (a, b, similarity) between representatives and ``links`` (id, rep, class_size, n_links)."""
+    return f"""s AS (SELECT {key} AS id, {WORDS_SQL} AS w FROM {src}),
+  k AS (SELECT id, w, min(id) OVER (PARTITION BY list_sort(w)) AS rep, count(*) OVER (PARTITION BY list_sort(w)) AS class_size FROM s WHERE len(w) > 0),
+  t AS (SELECT id, unnest(w) AS tok FROM k WHERE id = rep), n AS (SELECT id, len(w) AS sz, class_size FROM k WHERE id = rep),
+  i AS (SELECT a.id AS a, b.id AS b, count(*) AS inter FROM t a JOIN t b ON a.tok = b.tok AND a.id < b.id GROUP BY 1, 2),
+  pairs AS (SELECT i.a, i.b, inter / (na.sz + nb.sz - inter) AS similarity FROM i JOIN n na ON i.a = na.id JOIN n nb ON i.b = nb.id
+            WHERE inter / (na.sz + nb.sz - inter) >= {least}),
+  links AS (SELECT k.id, k.rep, k.class_size, k.class_size - 1 + coalesce((SELECT sum(n.class_size) FROM (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs) p
+            JOIN n ON n.id = p.b WHERE p.a = k.rep), 0)::BIGINT AS n_links FROM k)"""
+
+
+@register("C5_similar_pairs", f"WITH {classes_sql('documents', 'doc_id', 0.5)} SELECT a, b, round(similarity, 6) AS similarity FROM pairs")
 def c5(spark, d):
-    return rounded(D.similar_pairs(table(spark, d, "documents"), "doc_id", words(), 0.5))
+    """Pairs between representatives of equal sets; ``C5_similar_links`` holds the membership."""
+    return rounded(D.similar_representatives(table(spark, d, "documents"), "doc_id", words(), 0.5)[0])
+
+
+@register("C5_similar_links", f"WITH {classes_sql('documents', 'doc_id', 0.5)} SELECT id AS doc_id, rep, class_size, n_links FROM links")
+def c5_links(spark, d):
+    """Every document with its class and its number of links."""
+    return D.link_counts(*D.similar_representatives(table(spark, d, "documents"), "doc_id", words(), 0.5)).withColumnRenamed("id", "doc_id")
 
 
 @register("S1_pair_tanimoto", f"""SELECT a.conv_id, a.turn, round(len(list_intersect(wa, wb)) / nullif(len(list_distinct(list_concat(wa, wb))), 0), 6) AS similarity
@@ -143,15 +162,20 @@ def c9(spark, d):
     return rounded(out.select("doc_id", "lang", "cluster", "v", "Status"))
 
 
-@register("J8_similarity_self_join", """WITH s AS (SELECT conv_id * 1000 + turn AS id, list_distinct(string_split_regex(text, '\\s+')) AS w FROM conversations),
-  t AS (SELECT id, unnest(w) AS tok FROM s), n AS (SELECT id, len(w) AS sz FROM s),
-  i AS (SELECT a.id AS a, b.id AS b, count(*) AS inter FROM t a JOIN t b ON a.tok = b.tok AND a.id < b.id GROUP BY 1, 2)
-  SELECT a AS id_a, b AS id_b, round(inter / (na.sz + nb.sz - inter), 6) AS similarity
-  FROM i JOIN n na ON i.a = na.id JOIN n nb ON i.b = nb.id WHERE inter / (na.sz + nb.sz - inter) >= 0.2""")
-def j8(spark, d):
-    """Self-join of every conversation turn against every other by word-set similarity >= 0.2."""
+def _turns(spark, d):
     cv = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return rounded(D.similar_pairs(cv, "id", words(), 0.2))
+    return D.similar_representatives(cv, "id", words(), 0.2)
+
+
+@register("J8_similarity_self_join", f"WITH {classes_sql('conversations', 'conv_id * 1000 + turn', 0.2)} SELECT id, rep, class_size, n_links FROM links")
+def j8(spark, d):
+    """Self-join of every conversation turn against every other by word-set similarity >= 0.2: class and links of each."""
+    return D.link_counts(*_turns(spark, d))
+
+
+@register("J8_representative_pairs", f"WITH {classes_sql('conversations', 'conv_id * 1000 + turn', 0.2)} SELECT a, b, round(similarity, 6) AS similarity FROM pairs")
+def j8_pairs(spark, d):
+    return rounded(_turns(spark, d)[0])
 
 
 @register("O8_map_over_unique_keys", """WITH u AS (SELECT DISTINCT text FROM documents),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ecospark.operators import molgraph as G
-from ecospark.plans.registry import register, rounded
+from ecospark.plans.registry import ORACLES, register, rounded
 from ecospark.session import table
 
 
@@ -166,11 +166,57 @@ def d14(spark, d):
     return G.paths(atoms(spark, d), bonds(spark, d), max_bonds=7)
 
 
-@register("D15_bits_to_columns")
+@register("D8_bcut_per_bond", f"""SELECT x.mol_id, x.a, round(CASE WHEN p > 0 THEN -sqrt(p) ELSE 0 END, 6) AS BCUT2D_MWLOW, round(CASE WHEN p > 0 THEN sqrt(p) ELSE 0 END, 6) AS BCUT2D_MWUP
+    FROM (SELECT b.mol_id, b.a, q1.q * q2.q AS p FROM {BD} b JOIN (SELECT conv_id, turn, length(text) / 1000.0 - 0.5 AS q FROM conversations) q1 ON q1.conv_id = b.mol_id AND q1.turn = b.a
+      JOIN (SELECT conv_id, turn, length(text) / 1000.0 - 0.5 AS q FROM conversations) q2 ON q2.conv_id = b.mol_id AND q2.turn = b.b) x""")
+def d8_bonds(spark, d):
+    """Every bond as a molecule of its own two atoms, where the eigenvalues are plus and minus the root of the charges' product."""
+    at, bo = atoms(spark, d), bonds(spark, d)
+    ids = F.struct("mol_id", "a")
+    one = bo.select(ids.alias("key"), "mol_id", F.explode(F.array("a", "b")).alias("atom_id")).join(at, ["mol_id", "atom_id"])
+    mols = one.select(F.to_json("key").alias("mol_id"), "atom_id", "element", "aromatic", "charge")
+    out = G.bcut(mols, bo.select(F.to_json(ids).alias("mol_id"), "a", "b"))
+    key = F.from_json("mol_id", "mol_id long, a int")
+    out = rounded(out.select(key["mol_id"].alias("mol_id"), key["a"].alias("a"), "BCUT2D_MWLOW", "BCUT2D_MWUP"))
+    # no negative zero
+    return out.withColumns({x: F.when(F.col(x) == 0, F.lit(0.0)).otherwise(F.col(x)) for x in ("BCUT2D_MWLOW", "BCUT2D_MWUP")})
+
+
+@register("D15_bits_to_columns", f"""SELECT mol_id, {", ".join(f'list_contains(on_bits, {i})::INT AS "Morgan_{i}"' for i in range(2048))} FROM ({MORGAN_SQL})""")
 def d15(spark, d):
     return G.bits_to_columns(G.morgan(atoms(spark, d), bonds(spark, d)), "Morgan", 2048)
 
 
+CHAIN_SQL = """(SELECT conv_id AS mol_id, role, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)"""
+RING_PAIRS = f"""(SELECT x.mol_id, CASE WHEN x.n >= 3 THEN least(abs(x.k - y.k), x.n - abs(x.k - y.k)) ELSE abs(x.k - y.k) END AS dist
+    FROM {CHAIN_SQL} x JOIN {CHAIN_SQL} y ON x.mol_id = y.mol_id AND x.k <> y.k)"""
+_DEG_RING = f"""deg AS (SELECT a.mol_id, a.atom_id, coalesce(e.n, 0) AS degree FROM {AT} a LEFT JOIN
+    (SELECT mol_id, x AS atom_id, count(*) AS n FROM (SELECT mol_id, a AS x FROM rb UNION ALL SELECT mol_id, b FROM rb) GROUP BY 1, 2) e
+    ON a.mol_id = e.mol_id AND a.atom_id = e.atom_id)"""
+
+
+def _d16_sql():
+    return f"""WITH RECURSIVE rb AS {RING_BD}, {_DEG_RING}, p AS {RING_PAIRS}, ring AS ({ORACLES["D10_ring_counts"]}),
+    c AS (SELECT a.mol_id, count(*) AS NumAtoms, coalesce(max(b.nb), 0) AS NumBonds, count(*) FILTER (WHERE a.aromatic) AS NumAromaticAtoms FROM {AT} a
+      LEFT JOIN (SELECT mol_id, count(*) AS nb FROM rb GROUP BY mol_id) b ON a.mol_id = b.mol_id GROUP BY a.mol_id),
+    g AS (SELECT mol_id, sum(dist) AS s, sum(1.0 / dist) AS h, max(dist) AS diam FROM p GROUP BY mol_id),
+    z1 AS (SELECT mol_id, sum(degree * degree)::BIGINT AS FirstZagrebIndex FROM deg GROUP BY mol_id),
+    z2 AS (SELECT b.mol_id, sum(da.degree * db.degree)::BIGINT AS z FROM rb b JOIN deg da ON b.mol_id = da.mol_id AND b.a = da.atom_id
+      JOIN deg db ON b.mol_id = db.mol_id AND b.b = db.atom_id GROUP BY b.mol_id), q AS ({ORACLES["D9_partial_charge_extremes"]})
+    SELECT c.mol_id, NumAtoms, NumBonds, NumAromaticAtoms, round(coalesce(s, 0) / 2.0, 6) AS WienerIndex,
+      round(CASE WHEN NumBonds = 0 OR NumAtoms <= 2 THEN 0.0 ELSE (NumBonds / (NumAtoms - 1)) * (1.0 / diam) * h END, 6) AS BalabanJ,
+      round(coalesce(h, 0.0) / 2.0, 6) AS HararyIndex, FirstZagrebIndex, coalesce(z, 0) AS SecondZagrebIndex, MaxAbsPartialCharge, MinAbsPartialCharge,
+      MaxPartialCharge, MinPartialCharge, NumAromaticRings, NumAliphaticRings
+    FROM c LEFT JOIN g ON g.mol_id = c.mol_id LEFT JOIN z1 ON z1.mol_id = c.mol_id LEFT JOIN z2 ON z2.mol_id = c.mol_id LEFT JOIN q ON q.mol_id = c.mol_id
+      LEFT JOIN ring ON ring.mol_id = c.mol_id"""
+
+
+@register("D16_graph_descriptors", _d16_sql())
+def d16_graph(spark, d):
+    """The table without the eigenvalues."""
+    return rounded(G.descriptors(atoms(spark, d), bonds(spark, d, ring=True), with_bcut=False))
+
+
 @register("D16_descriptor_table")
 def d16(spark, d):
     return rounded(G.descriptors(atoms(spark, d), bonds(spark, d, ring=True)))
@@ -204,7 +250,6 @@ def _graph(spark, d, **how):
     return smiles.tables(smiles.parse(strings(spark, d, **how), "mol_id", "smiles"))
 
 
-CHAIN_SQL = """(SELECT conv_id AS mol_id, role, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)"""
 
 
 @register("B31_smiles_to_graph", f"""SELECT mol_id, any_value(n) + count(*) FILTER (role = 'user') AS atoms,

@@ -61,3 +61,13 @@ def test_filters_and_fill(spark):
     assert [r.k for r in K.drop_missing(df, min_present=3).collect()] == [3]
     filled = {r.k: r.v for r in K.fill_mean(df, ["v"]).collect()}
     assert filled[1] == 4.0
+
+
+def test_canonical_key(spark):
+    from ecospark.functions import cols as C
+
+    df = spark.createDataFrame([("a", "A", "x", 1)], "name string, name_clean string, cas string, n int")
+    assert C.canonical_key(df, "name_clean", "name").first().asDict() == {"name": "A", "cas": "x", "n": 1}
+    assert C.canonical_key(df, "absent", "name", "cas", ["n", "zz"]).first().asDict() == {"name": "x", "name_clean": "A"}
+    assert C.canonical_key(df, "absent", "name").columns == df.columns and C.canonical_key(df, "name", "name").columns == df.columns
+    assert C.canonical_key(df, "cas", "key").columns == ["name", "name_clean", "key", "n"]

@@ -26,6 +26,27 @@ def test_similar_pairs_equals_brute_force(spark):
         assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_hot_tokens_and_classes(spark, monkeypatch):
+    """Posting lists cut to blocks, a set that a third of all rows share, and the compressed form of the links."""
+    monkeypatch.setattr(D, "POSTINGS", 4)
+    monkeypatch.setattr(D.J, "BROADCAST_ROWS", 0)
+    rng = random.Random(3)
+    sets = [{"hot", *rng.sample([f"w{i}" for i in range(6)], rng.randint(0, 3))} for _ in range(40)] + [{"hot", "same"}] * 20 + [{f"own{i}"} for i in range(5)]
+    df = spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in enumerate(sets)], "id long, text string").repartition(3)
+    pairs, members = D.similar_representatives(df, "id", F.split("text", " "), 0.5)
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(frozenset(s), i)
+    reps = sorted(first.values())
+    want = {(a, b) for a, b in itertools.combinations(reps, 2) if _jaccard(sets[a], sets[b]) >= 0.5}
+    got = [(r.a, r.b) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {(r.id, r.rep) for r in members.collect()} == {(i, first[frozenset(s)]) for i, s in enumerate(sets)}
+    links = {r.id: (r.rep, r.class_size, r.n_links) for r in D.link_counts(pairs, members).collect()}
+    for i, s in enumerate(sets):
+        assert links[i] == (first[frozenset(s)], sets.count(s), sum(j != i and _jaccard(s, x) >= 0.5 for j, x in enumerate(sets)))
+
+
 def test_dbscan_components(spark):
     # chain 1-2-3 (1 and 3 not direct neighbours), pair 5-6, singleton 9
     pairs = spark.createDataFrame([(1, 2, 0.6), (2, 3, 0.9), (5, 6, 0.5), (1, 3, 0.2), (6, 9, 0.49)], "a long, b long, similarity double")
