@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ecospark.functions.cols import c
-from ecospark.llm.tables import column, lookup, slices, small, stored
+from ecospark.llm.tables import column, lookup, slices, small, small_batches, stored
 from ecospark.llm.words import word_hashes
 
 #: bytes of text in a shard (one document at least)
@@ -110,7 +110,7 @@ def _renamed(batches: Iterator[pa.RecordBatch], other: dict[bytes, int]) -> Iter
 def matrix(docs: DataFrame, part: str = "source", bits: int = 63) -> Matrix:
     """The corpus as a document-term matrix with one dictionary. The shards are written once; of them only the distinct
     words are shuffled, folded per task first (a word that stands in every text comes once per task)."""
-    base = docs.select(column(docs, "doc_id", "long"), F.coalesce(column(docs, part, "string"), F.lit("")).alias("part"),
+    base = small_batches(docs).select(column(docs, "doc_id", "long"), F.coalesce(column(docs, part, "string"), F.lit("")).alias("part"),
                        column(docs, "text", "string").cast("binary").alias("text"))
     made = stored(base.mapInArrow(lambda b: _shards(b, bits), f"{_DOCUMENTS}, words array<binary>, {_CSR}"), **_LONG_ROWS)
     # the ids are hashes computed beside the words; the dictionary proves them to be unique

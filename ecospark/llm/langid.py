@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ecospark.llm.pieces import SPACE, normal_pieces
-from ecospark.llm.tables import column, slices, small, stored
+from ecospark.llm.tables import column, slices, small, small_batches, stored
 
 
 @lru_cache(maxsize=1)
@@ -293,7 +293,7 @@ def _predict(n: np.ndarray, logs: np.ndarray, langs: list[str]) -> tuple[list[st
 def identify(docs: DataFrame, model: str, keep_rows: bool = False) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` of every document; with ``keep_rows`` ``(_row, lang_pred, score)``, the
     whole row in a struct."""
-    langs, p = fit(docs, model)
+    langs, p = fit(small_batches(docs), model)
     shared = docs.sparkSession.sparkContext.broadcast(p)  # languages x pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ecospark.llm import words as W
-from ecospark.llm.tables import column, slices, stored
+from ecospark.llm.tables import column, slices, small_batches, stored
 
 DEPTH, LEAST, DIVERGENCE, PULL = 4, 16, 20.0, 4.0
 #: bytes that no UTF-8 text holds
@@ -225,7 +225,7 @@ def _place(frequent: np.ndarray, word: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every document."""
     sc = docs.sparkSession.sparkContext
-    rows = _rows(docs)
+    rows = _rows(small_batches(docs))
     frequent = sc.broadcast(_frequent(docs))
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ecospark.llm import words as W
-from ecospark.llm.tables import column, lookup, slices, small, stored
+from ecospark.llm.tables import column, lookup, slices, small, small_batches, stored
 from ecospark.operators.dedup import connected_components
 
 #: places of a signature; probability of missing a pair at the threshold
@@ -143,7 +143,7 @@ def signed(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(_names(shingle, bound), mask=none),
                                               pa.array([s.tobytes() for s in sig], pa.binary(), mask=none)], names=["id", "n", "cls", "sig"])
 
-    return docs.select(column(docs, id_col, "long").alias("id"), column(docs, text_col, "string").alias("text")).mapInArrow(
+    return small_batches(docs).select(column(docs, id_col, "long").alias("id"), column(docs, text_col, "string").alias("text")).mapInArrow(
         run, "id long, n long, cls long, sig binary")
 
 

@@ -24,10 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ecospark.llm.tables import column, slices, stored
+from ecospark.llm.tables import column, slices, small_batches, stored
 
-#: words remembered within a task before they are learnt anew (about 150 MB with their stems)
-CACHE = 500_000
+#: words remembered within a task before they are learnt anew (about 80 MB with their stems)
+CACHE = 300_000
 #: ASCII punctuation after a word is a token run of its own; signs of contractions and special strings aren't cut off
 TAIL = ".,;:!?&$*#%)]}\"/_-"
 #: pieces per packing group, and groups per task (expected)
@@ -131,7 +131,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, window: int, words:
             slot, row = slot + int(full.sum()), row + len(n)
         t.forget()
 
-    return docs.select(column(docs, id_col, "long").alias("id"), column(docs, text_col, "string").alias("text")).mapInArrow(
+    return small_batches(docs).select(column(docs, id_col, "long").alias("id"), column(docs, text_col, "string").alias("text")).mapInArrow(
         run, "id long, tokens binary, n long, slot long, row long")
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ecospark.llm.stats import FIELDS, text_stats
-from ecospark.llm.tables import column, slices, small, stored
+from ecospark.llm.tables import column, slices, small, small_batches, stored
 
 #: name -> (expression over the statistics, least spread, side: -1 low values are bad, 1 high ones, 0 both)
 FEATURES: dict[str, tuple[str, float, int]] = {
@@ -61,7 +61,7 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: dict[str, str] | N
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(rows[:, i]) for i in range(len(FIELDS)))],
                                              names=[*keep, *FIELDS])
 
-    rows = docs.select(*[column(docs, n, t) for n, t in keep.items()], column(docs, text_col, "string").alias("_text"))
+    rows = small_batches(docs).select(*[column(docs, n, t) for n, t in keep.items()], column(docs, text_col, "string").alias("_text"))
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *[T.StructField(f, T.LongType()) for f in FIELDS]]))
 
 

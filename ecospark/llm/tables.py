@@ -55,6 +55,21 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2_000_000)
     release()
 
 
+#: bytes of an Arrow batch that goes to a Python worker
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` as it is. Its session's bound on the bytes of an Arrow batch is lowered to ``ARROW_BYTES`` (never raised): rows of
+    whole texts are long, and by default a batch of them takes up to 64 MB on either side of each task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    now = conf.get(name).rstrip("bB")
+    if not now.isdigit() or int(now) > ARROW_BYTES or int(now) <= 0:
+        conf.set(name, str(ARROW_BYTES))
+    return df
+
+
 def release() -> None:
     """Give freed memory back to the system at the end of a task's input: workers are used again by later stages."""
     pa.default_memory_pool().release_unused()
