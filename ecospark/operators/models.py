@@ -7,6 +7,7 @@ Every fit is an MLlib job over the whole DataFrame; tuning is ``CrossValidator``
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from ecospark.functions.cols import c
 from ecospark.operators import sampler
 from ecospark.operators.features import stages as prep_stages
+from ecospark.operators.forests import forest_grid_search
 from ecospark.operators.svr import SVRegressor, svr_grid_search, svr_scores  # noqa: F401
+from ecospark.session import cut_lineage
 
 
 def estimator(name: str, label: str = "label", features: str = "features", **params):
@@ -188,20 +191,32 @@ def _cv(df, pipe, maps, folds, seed, parallelism, label, metric="mse"):
 
 
 def compare_families(df: DataFrame, cols: Sequence[str], families: dict[str, tuple], folds: int = 5, seed: int = 42,
-                     parallelism: int = 4, label: str = "label", metric: str = "mse"):
+                     parallelism: int = 4, label: str = "label", metric: str = "mse", key: Sequence[str] | None = None):
     """Tune each family (name -> (estimator, grid)) by k-fold cross-validation on ``df`` alone and pick the
-    best cross-validated score; no test row takes part. Returns (best family, its refitted model, table of
+    best cross-validated score; no test row takes part. A forest's grid over trees and depths takes one fit per fold
+    (:mod:`ecospark.operators.forests`); the estimator ``"svr"`` stands for the support-vector regressor, whose grid and folds share
+    their passes (folds by ``key``). Both are scored by MSE. Returns (best family, its refitted model, table of
     ``(family, candidate, params, score)`` best first)."""
     found, table = {}, None
     for name, (est, grid) in families.items():
-        model, res = grid_search(df, cols, est, grid, folds, seed, parallelism, label, metric)
+        if isinstance(est, str):
+            combos = [dict(zip(grid, x, strict=True)) for x in itertools.product(*grid.values())]
+            scores = svr_scores(df, cols, combos, key or df.columns, folds, seed, label)
+            res = df.sparkSession.createDataFrame([(i, str(p), s) for i, (p, s) in enumerate(zip(combos, scores, strict=True))], "candidate int, params string, mse double")
+            top = combos[min(range(len(combos)), key=lambda i: scores[i])]  # noqa: B023
+            found[name] = lambda p=top: SVRegressor(cols, label, seed=seed, **p).fit(df)
+        elif isinstance(est, RandomForestRegressor) and metric == "mse" and grid:
+            top, res = forest_grid_search(df, cols, grid, folds, seed, label)
+            found[name] = lambda e=est, p=top: chain(cols, e.copy({e.getParam(k): v for k, v in p.items()})).fit(df)
+        else:
+            model, res = grid_search(df, cols, est, grid, folds, seed, parallelism, label, metric)
+            found[name] = lambda m=model: m
         res = res.select(F.lit(name).alias("family"), *[c(x) for x in res.columns])
-        found[name] = model
         table = res if table is None else table.unionByName(res)
     order = F.col(metric).desc() if metric == "r2" else F.col(metric).asc()
     table = table.orderBy(order, "family", "candidate")
     pick = table.first()["family"]
-    return pick, found[pick], table
+    return pick, found[pick](), table
 
 
 def best(results: DataFrame, metric: str = "mse") -> DataFrame:
@@ -219,10 +234,18 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def families_of_the_workflow(label: str = "label") -> dict[str, tuple]:
+    """The families and full grids that the workflow tunes."""
+    return {"forest": (estimator("forest", label=label), FOREST_GRID_WORKFLOW), "boosting": (estimator("gbt", label=label), BOOSTING_GRID_WORKFLOW),
+            "svr": ("svr", SVR_GRID_WORKFLOW)}
+
+
 def run(base: DataFrame, others: Sequence[DataFrame], key: str, target: str, path: str | None = None,
-        sparse_ratio: float = 0.9, min_present: float = 0.9, folds: int = 3, seed: int = 42) -> DataFrame:
+        sparse_ratio: float = 0.9, min_present: float = 0.9, families: dict[str, tuple] | None = None, folds: int = 5, seed: int = 42) -> DataFrame:
     """Merge (J3) -> drop sparse columns (F4) -> keep rows with enough values (B12) -> split
-    (F22) -> tune a forest (M6) -> evaluate on test (M10) -> save (A21). Returns the test scores."""
+    (F22) -> tune every family and pick the best by cross-validation (M9) -> evaluate on test (M10) -> save (A21).
+    ``families`` as in :func:`compare_families`, by default all with the workflow's full grids. Returns the pick with its
+    test scores: (family, r2, mse, n)."""
     from ecospark.functions.clean import drop_missing, min_present_ratio
     from ecospark.operators.features import drop_sparse, split
     from ecospark.operators.joins import star
@@ -233,9 +256,10 @@ def run(base: DataFrame, others: Sequence[DataFrame], key: str, target: str, pat
     num = [f.name for f in rows.schema.fields if f.name not in (key, target)
            and f.dataType.typeName() in ("double", "integer", "long", "float", "short")]
     data = rows.withColumn("label", c(target).cast("double")).filter(F.col("label").isNotNull())
-    train, test = split(data, key, 0.2, seed)
-    est = estimator("forest", numTrees=10, maxDepth=6)
-    model, _ = grid_search(train, num, est, {"maxDepth": [4, 6]}, folds=folds, seed=seed)
-    if path:
+    train, test = (cut_lineage(x) for x in split(data, key, 0.2, seed))
+    pick, model, _ = compare_families(train, num, families or families_of_the_workflow(), folds, seed, key=[key, *num])
+    if path and isinstance(model, SVRegressor):
+        model.save(train.sparkSession, path)
+    elif path:
         save(model, path)
-    return evaluate(model, test)
+    return evaluate(model, test).select(F.lit(pick).alias("family"), "*")
