@@ -7,11 +7,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ecospark.operators import features as X
+from ecospark.plans.least_squares import FEATURES, HALVES_SQL, TARGET, least_squares_sql
 from ecospark.plans.registry import register, rounded
 from ecospark.session import table
 
-TARGET = "l_extendedprice"
-FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "p_size", "p_retailprice"]
 
 _EXTRA = {
     "zero_col": ("0.0", lambda: F.lit(0.0)),
@@ -199,15 +198,12 @@ def f12(spark, d):
     return rounded(X.by_forest(materialized_features(spark, d), TARGET, FEATURES, num_trees=10, max_depth=5))
 
 
-def _f13_sql():
-    from ecospark.plans.q_models import HALVES_SQL, least_squares_sql
-
-    names = "[" + ", ".join(f"'{x}'" for x in FEATURES) + "]"
-    return f"""WITH RECURSIVE {HALVES_SQL}, {least_squares_sql(where="true")}
-      SELECT feature, round(importance, 2) AS importance FROM (SELECT unnest({names}) AS feature, abs(unnest(w)) AS importance FROM w)
-      ORDER BY importance DESC, feature LIMIT 4"""
+_NAMES_SQL = "[" + ", ".join(f"'{x}'" for x in FEATURES) + "]"
 
 
+@register("F13_linear_importance", f"""WITH RECURSIVE {HALVES_SQL}, {least_squares_sql(where="true")}
+    SELECT feature, round(importance, 2) AS importance FROM (SELECT unnest({_NAMES_SQL}) AS feature, abs(unnest(w)) AS importance FROM w)
+    ORDER BY importance DESC, feature LIMIT 4""")
 def f13(spark, d):
     return rounded(X.linear_importance(materialized_features(spark, d), TARGET, FEATURES, n=4), 2)
 
@@ -323,6 +319,3 @@ def workflow_descriptor_preparation(spark, d):
                                           F.lit(1.0).alias("p_one"), (F.col("p_size") * 0.001).alias("p_low_var"))
     features, _, _ = descriptor_preparation(main, [part], "l_partkey", TARGET)
     return rounded(features)
-
-
-register("F13_linear_importance", _f13_sql())(f13)

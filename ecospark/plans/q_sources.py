@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ecospark.plans import q_molgraph  # noqa: F401  (A14's oracle reuses the D12/D13 oracles)
+from ecospark.plans.least_squares import FEATURES, HALVES_SQL, least_squares_sql, scored, scores_sql
 from ecospark.plans.registry import register, rounded
 from ecospark.sources import io as IO
 from ecospark.session import table
@@ -155,17 +156,11 @@ def a20(spark, d):
     return IO.html_field(table(spark, d, "pages").select("page_id", "html"), "html", r"(?s)<title>(.*?)</title>", "title").drop("html")
 
 
-def _a21_sql():
-    from ecospark.plans.q_models import HALVES_SQL, least_squares_sql, scores_sql
-
-    return f"WITH RECURSIVE {HALVES_SQL}, {least_squares_sql()} SELECT r2, mse, n FROM ({scores_sql('linear', parts=('test',))})"
-
-
-@register("A21_model_save_load", _a21_sql())
+@register("A21_model_save_load", f"""WITH RECURSIVE {HALVES_SQL}, {least_squares_sql()}
+    SELECT r2, mse, n FROM ({scores_sql('linear', parts=('test',))})""")
 def a21(spark, d):
     from ecospark.operators import models as Mo
-    from ecospark.plans.q_features import FEATURES
-    from ecospark.plans.q_models import data, scored
+    from ecospark.plans.q_models import data
 
     train, test = data(spark, d)
     path = IO.scratch(spark, "model")
