@@ -68,3 +68,22 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == [
         ("1", 2, "1", True), ("1", 2, "1", True), ("4", 0, "4", True), ("None", 0, "None", True), ("None", 2, "1", False)]
     assert embeddings.near_duplicates(table(spark, [])).count() == 0
+
+
+def test_audit_needs_evidence_and_sees_lost_pairs(spark, monkeypatch):
+    """Each linked node counts once: a lost pair shows beside a clump; nodes without links are no evidence."""
+    monkeypatch.setattr(embeddings, "EVIDENCE", 1)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=16)
+    rows = [(i, (v + rng.normal(size=16) * 1e-3).tolist(), 0) for i in range(30)] + [(30 + i, rng.normal(size=16).tolist(), 0) for i in range(30)]
+    rows += [(60, rows[40][1], 0), (61, (np.array(rows[41][1]) * (1 + 1e-4 * np.arange(16))).tolist(), 0)]
+    _, nodes = embeddings.nodes_of(table(spark, rows), "vec_id", "label", "embedding")
+    n, _ = brute(rows, 0.98)
+    node = {r["node"]: r for r in nodes.collect()}
+    full = spark.createDataFrame([(k, 29 if r["weight"] == 1 else 0) for k, r in node.items()], "node long, n long")
+    recall, evidence = embeddings.audit(nodes, full, 0.98)
+    assert (recall, evidence) == (1.0, 32) and sum(x > 0 for x in n) == 34  # equal vectors are one node
+    lost = full.filter("n > 0").limit(0)
+    assert embeddings.audit(nodes, lost, 0.98) == (0.0, 32)
+    alone = nodes.limit(0)
+    assert embeddings.audit(alone, full, 0.98)[1] == 0
