@@ -39,11 +39,12 @@ def feature_table(spark, d):
 
 
 def materialized_features(spark, d):
-    """The feature table for model-based selection (several MLlib passes), written once to
-    the checkpoint folder."""
+    """The feature table for model-based selection (several MLlib passes), dealt over all tasks by a hash of the rows'
+    key and written once to the checkpoint folder."""
     from ecospark.session import cut_lineage
 
-    return cut_lineage(feature_table(spark, d))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return cut_lineage(feature_table(spark, d).repartition(parts, "l_orderkey", "l_linenumber", "l_partkey"))
 
 
 FT_SQL = """(SELECT l.l_orderkey, l.l_linenumber, l.l_quantity, l.l_discount, l.l_tax, l.l_extendedprice, p.p_size,
@@ -185,7 +186,7 @@ def f9_neighbours(spark, d):
 
 @register("F10_recursive_elimination")
 def f10(spark, d):
-    return X.rfe(materialized_features(spark, d), TARGET, FEATURES, k=3, step=1, num_trees=10, max_depth=5)
+    return X.rfe(materialized_features(spark, d), TARGET, FEATURES, k=3, step=1, num_trees=20, max_depth=8)
 
 
 @register("F11_lasso_selection")
@@ -195,7 +196,7 @@ def f11(spark, d):
 
 @register("F12_forest_selection")
 def f12(spark, d):
-    return rounded(X.by_forest(materialized_features(spark, d), TARGET, FEATURES, num_trees=10, max_depth=5))
+    return rounded(X.by_forest(materialized_features(spark, d), TARGET, FEATURES, num_trees=50, max_depth=8))
 
 
 _NAMES_SQL = "[" + ", ".join(f"'{x}'" for x in FEATURES) + "]"

@@ -84,24 +84,36 @@ def m4(spark, d):
 
 @register("M5_score_matrix")
 def m5(spark, d):
+    """Four feature sets by five models."""
     train, test = data(spark, d)
-    sets = {"all": FEATURES, "top3": ["l_quantity", "p_retailprice", "p_size"]}
-    ests = {"linear": Mo.estimator("linear"), "tree": Mo.estimator("tree", maxDepth=5)}
+    sets = {"all": FEATURES, "top3": ["l_quantity", "p_retailprice", "p_size"], "order": ["l_quantity", "l_discount", "l_tax", "l_linenumber"], "part": ["p_size", "p_retailprice"]}
+    ests = {"linear": Mo.estimator("linear"), "ridge": Mo.estimator("ridge"), "lasso": Mo.estimator("lasso"), "tree": Mo.estimator("tree", maxDepth=5),
+            "forest": Mo.estimator("forest", numTrees=10, maxDepth=5)}
     return rounded(Mo.score_matrix(train, test, sets, ests))
 
 
 @register("M6_grid_search")
 def m6(spark, d):
+    """Twelve combinations, five folds, five fits."""
     train, _ = data(spark, d)
-    _, res = Mo.grid_search(train, FEATURES, Mo.estimator("forest", numTrees=10), {"maxDepth": [3, 5]}, folds=3)
+    _, res = Mo.forest_grid_search(train, FEATURES, {"numTrees": [5, 10, 20], "maxDepth": [3, 5, 8, 10]}, folds=5)
     return rounded(res)
 
 
+@register("M6_support_vector_grid")
+def m6_svr(spark, d):
+    """The notebook's penalties and tolerances for the linear kernel: nine combinations, five folds, solved in the same passes."""
+    train, _ = data(spark, d)
+    grid = {k: v for k, v in Mo.SVR_GRID_NOTEBOOK.items() if k != "kernel"} | {"kernel": ["linear"]}
+    return rounded(Mo.svr_grid_search(train, FEATURES, grid, ["l_orderkey", "l_linenumber", "l_partkey"], folds=5))
+
+
 @register("M7_random_search")
 def m7(spark, d):
+    """Twenty draws, the later ones from the densities of good and bad earlier ones."""
     train, _ = data(spark, d)
-    space = {"maxDepth": ("int", 2, 6), "stepSize": ("log", 0.05, 0.3)}
-    _, res = Mo.random_search(train, FEATURES, Mo.estimator("gbt", maxIter=10), space, n=3, folds=3)
+    space = {"maxDepth": ("int", 1, 12), "minInstancesPerNode": ("int", 1, 200)}
+    _, res = Mo.adaptive_search(train, FEATURES, Mo.estimator("tree"), space, n=20, batch=5, folds=5)
     return rounded(res)
 
 
@@ -117,8 +129,9 @@ def m9(spark, d):
     """Families compared by 5-fold CV MSE on the training half only."""
     train, _ = data(spark, d)
     families = {"linear": (Mo.estimator("linear"), {}), "lasso": (Mo.estimator("lasso"), {"regParam": [0.01, 1.0]}),
-                "tree": (Mo.estimator("tree"), {"maxDepth": [5]})}
-    _, _, scores = Mo.compare_families(train, FEATURES, families)
+                "tree": (Mo.estimator("tree"), {"maxDepth": [5]}), "forest": (Mo.estimator("forest"), {"numTrees": [10, 20], "maxDepth": [5, 10]}),
+                "svr": ("svr", {"c_reg": [0.1, 1, 10], "kernel": ["linear"]})}
+    _, _, scores = Mo.compare_families(train, FEATURES, families, key=["l_orderkey", "l_linenumber", "l_partkey"])
     return rounded(scores)
 
 
@@ -174,4 +187,6 @@ def m15(spark, d):
 
     li = table(spark, d, "lineitem").select("l_partkey", "l_quantity", "l_discount", "l_tax", TARGET)
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size", "p_retailprice")
-    return rounded(Mo.run(li, [part], "l_partkey", TARGET, folds=2))
+    families = {"linear": (Mo.estimator("linear"), {}), "forest": (Mo.estimator("forest"), {"numTrees": [10, 20], "maxDepth": [4, 6, 8]}),
+                "svr": ("svr", {"c_reg": [0.1, 1, 10], "kernel": ["linear"]})}
+    return rounded(Mo.run(li, [part], "l_partkey", TARGET, families=families, folds=5))
