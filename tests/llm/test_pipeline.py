@@ -6,7 +6,7 @@ from ecospark.llm.queries import ORACLES, QUERIES
 
 
 def test_queries_are_registered():
-    assert {int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")} == set(range(1, 14))
     assert "pipeline" in QUERIES and set(ORACLES) <= set(QUERIES)
 
 
