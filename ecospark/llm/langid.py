@@ -17,7 +17,6 @@ ids and extra columns change nothing; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,19 +30,13 @@ from ecospark.llm.pieces import SPACE, normal_pieces
 from ecospark.llm.tables import column, slices, small, small_batches, stored
 
 
-@lru_cache(maxsize=1)
-def letters() -> re.Pattern:
-    r"""Runs of letters (Unicode category L). ``\w`` also holds decimal digits and number signs that are no letters
-    (fractions, superscripts, Roman numerals): these are taken out."""
-    signs = [x for x in range(sys.maxunicode + 1) if chr(x).isalnum() and not chr(x).isalpha() and not chr(x).isdecimal()]
-    return re.compile(rf"[^\W\d_{re.escape(''.join(map(chr, signs)))}]+")
-
-
+#: runs of letters, with number signs (fractions, superscripts, Roman numerals) that ``\\w`` also holds
+WORDLIKE = re.compile(r"[^\W\d_]+")
 #: labelled rows per language that teach (expected number); a documented bound on a sample of labelled rows
 SAMPLE = 2000
 ROUNDS = 3
 #: words remembered within a task before it starts anew
-CACHE = 150_000
+CACHE = 300_000
 #: longest words taken through the arrays; longer ones are scaled letter by letter, in training and prediction
 LONG = 40
 #: pseudo-count of every piece; probability of a character outside the vocabulary
@@ -197,7 +190,11 @@ def lattice(path: str) -> Lattice:
 
 
 def words_of(text: str | None) -> list[str]:
-    return letters().findall(text.lower()) if text else []
+    """Lower-cased runs of letters (Unicode category L)."""
+    words = WORDLIKE.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    return [run for w in words for run in ([w] if w.isalpha() else "".join(x if x.isalpha() else " " for x in w).split())]
 
 
 def teaches(doc_id: Column, lang: Column) -> Column:
