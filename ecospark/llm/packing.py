@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from ecospark.llm.tables import column, slices, small_batches, stored
 
-#: words remembered within a task before they are learnt anew (about 80 MB with their stems)
-CACHE = 300_000
+#: words remembered within a task before they are learnt anew (about 40 MB with their stems)
+CACHE = 150_000
 #: ASCII punctuation after a word is a token run of its own; signs of contractions and special strings aren't cut off
 TAIL = ".,;:!?&$*#%)]}\"/_-"
 #: pieces per packing group, and groups per task (expected)
