@@ -186,3 +186,27 @@ def test_blocks_hold_every_set_once(spark, monkeypatch):
     assert "CartesianProduct" in plan and plan.count("Exchange") == 1
     want = {(i, j, round(_jaccard(a, b), 9)) for (a, i), (b, j) in itertools.combinations(sorted(distinct.items(), key=lambda x: x[1]), 2) if _jaccard(a, b) >= 0.4}
     assert {(r.a, r.b, round(r.similarity, 9)) for r in pairs.collect()} == want
+
+
+def test_pairs_and_links_leave_no_pair_to_a_shuffle(spark, monkeypatch):
+    """Copies, near copies, unknown and repeated ids: rows are paired and links counted where the blocks meet."""
+    monkeypatch.setattr(D, "POSTINGS", 4)
+    monkeypatch.setattr(D, "FOUND", 7)
+    rng = random.Random(11)
+    sets = [frozenset(rng.sample([f"w{i}" for i in range(9)], rng.randint(2, 5))) for _ in range(25)] * 3 + [frozenset({"a", "b"})] * 30
+    rows = [(i, " ".join(sorted(s))) for i, s in enumerate(sets)]
+    known = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    want = {(i, j): _jaccard(sets[i], sets[j]) for i, j in itertools.combinations(range(len(sets)), 2) if _jaccard(sets[i], sets[j]) >= 0.5}
+    first = {s: i for i, s in reversed(list(enumerate(sets)))}
+    for copies, representatives in ((1000, 1_000_000), (10, 1_000_000), (10, 0)):
+        monkeypatch.setattr(D, "COPIES", copies)
+        monkeypatch.setattr(D, "REPRESENTATIVES", representatives)
+        out = D.similar_pairs(known, "id", F.split("text", " "), 0.5)
+        if copies > 30:
+            assert not any(x in out._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "SortMergeJoin"))
+        got = [(r.id_a, r.id_b, r.similarity) for r in out.collect()]
+        assert len(got) == len(want) and {(a, b): s for a, b, s in got} == want
+        links = {r.id: (r.rep, r.class_size, r.n_links) for r in D.similar_links(known, "id", F.split("text", " "), 0.5).collect()}
+        assert links == {i: (first[s], sets.count(s), sum((min(i, j), max(i, j)) in want for j in range(len(sets)) if j != i)) for i, s in enumerate(sets)}
+    twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "a b"), (None, "a b")], "id long, text string")
+    assert [(r.id_a, r.id_b) for r in D.similar_pairs(twice, "id", F.split("text", " "), 0.5).collect()] == [(1, 2)] * 2
