@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ from ecospark.llm.tables import column, stored
 from ecospark.operators.dedup import connected_components
 
 #: nodes per cluster (wanted); most clusters over all labels; nodes per shard
-CLUSTER, CENTRES, CAP = 600, 16_000, 2000
+CLUSTER, CENTRES, CAP = 400, 16_000, 2000
 #: candidates, neighbours kept, pruning factor, beam width
 NEAR, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 24
 #: probes of the audit at first and at most, those with links that make a verdict, share of them with all links found
@@ -153,54 +154,76 @@ def graph(cells: DataFrame) -> DataFrame:
     return edges.distinct().groupBy("node").agg(F.collect_list("to").alias("near"))
 
 
-def _range_search(q: np.ndarray, x: np.ndarray, near: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) with cosine >= ``least`` that the graph leads to, and nothing else."""
+def _around(near: tuple[np.ndarray, np.ndarray], who: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``who`` and neighbour of every neighbour of the nodes; ``near`` holds the bounds of each node's neighbours and all of them."""
+    bounds, flat = near
+    n = bounds[node + 1] - bounds[node]
+    return np.repeat(who, n), flat[np.repeat(bounds[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+def _range_search(q: np.ndarray, x: np.ndarray, near: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, node) with cosine >= ``least`` that the graph leads to, and nothing else. A step costs a query what it meets: its beam
+    and the new neighbours of the nodes expanded, not the shard's nodes."""
     n = len(x)
-    width = max((len(k) for k in near), default=0)
-    table = np.full((n, max(width, 1)), -1, dtype=np.int64)
-    for i, k in enumerate(near):
-        table[i, : len(k)] = k
-    centre = x.mean(axis=0)
-    medoid = int((x @ centre).argmax())
     # nodes that no edge reaches from the medoid are started from as well
-    seen, front = np.zeros(n, bool), [medoid]
-    starts = [medoid]
+    seen, starts = np.zeros(n, bool), []
+    front = np.array([int((x @ x.mean(axis=0)).argmax())])
     while True:
-        while front:
+        starts.append(int(front[0]))
+        while len(front):
             seen[front] = True
-            front = [k for k in np.unique(table[front]).tolist() if k >= 0 and not seen[k]]
+            to = np.unique(_around(near, front, front)[1])
+            front = to[~seen[to]]
         rest = np.flatnonzero(~seen)
         if not len(rest):
             break
-        starts.append(int(rest[0]))
-        front = [int(rest[0])]
-    hits = []
+        front = rest[:1]
+    hits, far = [], 2 * least - 1 - 1e-9
     for cut in range(0, len(q), 256):
         part = q[cut : cut + 256]
         m = len(part)
-        sim = np.full((m, n), -np.inf)
-        sim[:, starts] = part @ x[starts].T
-        done = np.zeros((m, n), bool)
-        while True:
-            open_ = np.where(done, -np.inf, sim)
-            best = np.argpartition(-open_, min(4, n - 1), axis=1)[:, :4]
-            value = np.take_along_axis(open_, best, axis=1)
-            beam = -np.partition(-sim, min(BEAM, n) - 1, axis=1)[:, min(BEAM, n) - 1]  # the beam's last
-            go = np.isfinite(value) & ((value >= beam[:, None]) | (value >= 2 * least - 1 - 1e-9))
-            who, which = np.nonzero(go)
-            if not len(who):
-                break
-            node = best[who, which]
-            done[who, node] = True
-            to = table[node]
-            who = np.repeat(who, to.shape[1])[to.ravel() >= 0]
-            to = to.ravel()[to.ravel() >= 0]
-            fresh = np.isneginf(sim[who, to])
-            key = np.unique(who[fresh] * n + to[fresh])
-            who, to = key // n, key % n
-            sim[who, to] = np.einsum("ij,ij->i", part[who], x[to])
-        who, to = np.nonzero(sim >= least)
-        hits.append((who + cut, to))
+        met, slot = np.zeros((m, n), bool), np.zeros((m, n), np.int32)
+
+        def new(who: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The pairs not met before, each once."""
+            fresh = ~met[who, to]  # noqa: B023
+            who, to = who[fresh], to[fresh]
+            at = np.arange(len(who))
+            slot[who, to] = at  # noqa: B023
+            once = slot[who, to] == at  # noqa: B023
+            return who[once], to[once]
+
+        who, to = np.repeat(np.arange(m), len(starts)), np.tile(starts, m)
+        # what is held of every query, best first: its beam, and all nodes in range whose neighbours weren't looked at
+        held, node, value, done = (np.zeros(0, t) for t in (np.int64, np.int64, float, bool))
+        last = np.full(m, -np.inf)  # the beam's last
+        while len(who):
+            met[who, to] = True
+            sim = np.einsum("ij,ij->i", part[who], x[to])
+            hit = sim >= least
+            hits.append((who[hit] + cut, to[hit]))
+            good = (sim >= last[who]) | (sim >= far)
+            held, node, value = (np.concatenate(v) for v in ((held, who[good]), (node, to[good]), (value, sim[good])))
+            done = np.concatenate([done, np.zeros(good.sum(), bool)])
+            order = np.lexsort((-value, held))
+            held, node, value, done = held[order], node[order], value[order], done[order]
+            first = np.searchsorted(held, np.arange(m))
+            rank = np.arange(len(held)) - first[held]
+            full = rank == BEAM - 1
+            last[held[full]] = value[full]
+            keep = (rank < BEAM) | ((value >= far) & ~done)
+            held, node, value, done, rank = held[keep], node[keep], value[keep], done[keep], rank[keep]
+            # the four best that are open, and whatever is in range
+            waiting = np.cumsum(~done)
+            before = np.concatenate([[0], waiting])[np.searchsorted(held, np.arange(m))]
+            go = ~done & ((waiting - before[held] <= 4) | (value >= far))
+            done |= go
+            who, to = _around(near, held[go], node[go])
+            who, to = new(who, to)
+            if not len(who) and not done.all():  # neighbours known already, but the beam holds more
+                who, to = _around(near, held[~done], node[~done])
+                done[:] = True
+                who, to = new(who, to)
     return np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
 
 
@@ -239,17 +262,19 @@ def links(cells: DataFrame, near: DataFrame, least: float) -> DataFrame:
         order = np.argsort(ids)
         x = {"ids": ids[order], "x": _matrix(row[f"{p}_unit"])[order], "w": np.array(row[f"{p}_weight"])[order],
              "clusters": [frozenset(row[f"{p}_clusters"][i]) for i in order]}
-        near = []
-        for i in order:
-            k = np.array(row[f"{p}_near"][i], dtype=np.int64)
-            at = np.minimum(np.searchsorted(x["ids"], k), len(ids) - 1)
-            near.append(at[x["ids"][at] == k])
-        return x | {"near": near}
+        lists = row[f"{p}_near"].values
+        to = lists.flatten().to_numpy()
+        owner = np.repeat(np.argsort(order), pa.compute.list_value_length(lists).to_numpy())
+        at = np.minimum(np.searchsorted(x["ids"], to), len(ids) - 1)
+        here = x["ids"][at] == to
+        owner, at = owner[here], at[here]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(ids)))])
+        return x | {"near": (bounds, at[np.argsort(owner, kind="stable")])}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                row = {n: batch.column(n)[r].as_py() for n in batch.schema.names}
+                row = {n: batch.column(n)[r] if n.endswith("_near") else batch.column(n)[r].as_py() for n in batch.schema.names}
                 a = side(row, "a")
                 b = a if row["i"] == row["j"] else side(row, "b")
                 p, q = _range_search(a["x"], b["x"], b["near"], least)

@@ -87,3 +87,21 @@ def test_audit_needs_evidence_and_sees_lost_pairs(spark, monkeypatch):
     assert embeddings.audit(nodes, lost, 0.98) == (0.0, 32)
     alone = nodes.limit(0)
     assert embeddings.audit(alone, full, 0.98)[1] == 0
+
+
+def test_search_costs_what_it_meets(monkeypatch):
+    """A query is compared with a part of the shard's nodes and finds all in range that the graph leads to."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1200, 16))
+    x[600:] = x[:600] + rng.normal(size=(600, 16)) * 0.02
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    a, b = embeddings.pruned(x)
+    edges = np.unique(np.concatenate([a * 1200 + b, b * 1200 + a]))
+    near = (np.searchsorted(edges // 1200, np.arange(1201)), edges % 1200)
+    met, real = [], np.einsum
+    monkeypatch.setattr(embeddings.np, "einsum", lambda how, p, q: met.append(len(p)) or real(how, p, q))
+    who, to = embeddings._range_search(x, x, near, 0.98)
+    monkeypatch.undo()
+    want = set(zip(*(v.tolist() for v in np.nonzero(x @ x.T >= 0.98)), strict=True))
+    got = set(zip(who.tolist(), to.tolist(), strict=True))
+    assert got <= want and len(got) == len(who) and len(got) >= 0.95 * len(want) and sum(met) < 0.6 * 1200 * 1200
