@@ -88,6 +88,33 @@ def test_words_equal_the_tokenizer(hf, words_file):
     assert w.encode(texts) == want
 
 
+def test_words_of_any_kind_equal_the_tokenizer(hf, words_file, monkeypatch):
+    """Words longer than a key, zero bytes, letters that lower-case to a letter and a mark, and a full table that grows or is forgotten."""
+    letters = [*"abcdefghijklmnopqrstuvwxyzéñßÿ÷ÀİΑΣςя日ºµ\x00\x85'.,;!?-0 \n\t  ", "the", "ing", "\u0307", "\u0958", "a" * 20, "ß" * 9, "<|endoftext|>"]
+    rng = random.Random(9)
+    w = packing.WordTokenizer(words_file)
+    for cache, slots, batch in [(300_000, 1 << 19, 1 << 16), (100, 1 << 10, 64), (2000, 256, 50)]:
+        monkeypatch.setattr(packing, "CACHE", cache)
+        monkeypatch.setattr(packing, "SLOTS", slots)
+        monkeypatch.setattr(packing, "BATCH", batch)
+        monkeypatch.setattr(packing.Table.__init__, "__defaults__", (slots,))
+        for _ in range(3):
+            texts = ["", " ", "x" * 16, "x" * 17, "İ,", "a" * 15 + "."] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+            want = [np.array(e.ids, dtype="<u4").tobytes() for e in hf.encode_batch(texts, add_special_tokens=False)]
+            assert w.encode(texts) == want
+        w.forget()
+
+
+def test_merges_of_many_words_at_once_equal_the_library(hf, words_file):
+    """Stems go through array operations: the library is not asked for a word of Latin letters."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdeéinorstuß") for _ in range(rng.randint(1, 8))) for _ in range(3000)]
+    w = packing.WordTokenizer(words_file)
+    w._letters = w._encode = lambda texts: [] if not texts else pytest.fail(f"the library was asked for {texts[:3]}")
+    assert w.encode([" ".join(words), "The end."]) == [np.array(hf.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                                                       for x in (" ".join(words), "The end.")]
+
+
 def test_closest_is_the_best_subset_sum():
     rng = random.Random(5)
     for _ in range(200):
