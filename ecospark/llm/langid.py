@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ecospark.llm.pieces import SPACE, normal_pieces
-from ecospark.llm.tables import column, slices, small, small_batches, stored
+from ecospark.llm.tables import column, kept, slices, small, small_batches, stored
 
 
 #: runs of letters, with number signs (fractions, superscripts, Roman numerals) that ``\\w`` also holds
@@ -184,9 +183,8 @@ class Lattice:
                 total[piece] += weight * np.exp(log[a] + way - log[n])
 
 
-@lru_cache(maxsize=2)
 def lattice(path: str) -> Lattice:
-    return Lattice(path)
+    return kept(Lattice, path)
 
 
 def words_of(text: str | None) -> list[str]:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ecospark.llm.tables import column, release, slices, small_batches, stored
+from ecospark.llm.tables import column, kept, release, slices, small_batches, stored
 from ecospark.llm.words import mix, word_spans
 
 #: words remembered within a task before they are learnt anew, and places of their table (about 20 MB with their ids)
@@ -305,13 +305,8 @@ class WordTokenizer:
         return [library.get(i, ids[a:z]) for i, (a, z) in enumerate(zip(at[:-1], at[1:], strict=True))]
 
 
-_TOKENIZERS: dict[tuple[str, bool], WordTokenizer] = {}
-
-
 def word_tokenizer(path: str, words: bool = True) -> WordTokenizer:
-    if (path, words) not in _TOKENIZERS:
-        _TOKENIZERS[path, words] = WordTokenizer(path, words)
-    return _TOKENIZERS[path, words]
+    return kept(WordTokenizer, path, words)
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int, window: int, words: bool = True, id_col: str = "doc_id",

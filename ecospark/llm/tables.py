@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -78,6 +79,21 @@ def release() -> None:
         trim(0)
 
 
+_KEPT: dict[tuple, Any] = {}
+
+
+def kept(make: Callable[..., Any], *args: Any) -> Any:
+    """``make(*args)``, kept by a Python worker for its later tasks until it needs another such table: workers outlive their stage,
+    and would otherwise hold the tables of every stage they served."""
+    key = (make.__module__, make.__qualname__, *args)
+    if key not in _KEPT:
+        _KEPT.clear()
+        release()
+        _KEPT[key] = make(*args)
+        release()
+    return _KEPT[key]
+
+
 #: rows of a key of 16 bytes and two longs that :func:`lookup` broadcasts: about 64 MB
 LOOKUP_ROWS = 250_000
 

@@ -1,13 +1,15 @@
 """Operators 3, 9 and 10 against the libraries, piece by piece and over tables."""
 
+import gc
 import random
+import weakref
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from ecospark.llm import packing, tokencount, transducer
+from ecospark.llm import langid, packing, tokencount, transducer
 from ecospark.llm.pieces import UNIGRAM, Vocabulary
 
 ALPHABET = list("abcdefghij  \n\t.,▁éß日<>0x'sXYZ|") + ["th", "ing", " the", "<|endoftext|>", "<s>", "  "]
@@ -115,6 +117,18 @@ def test_merges_of_many_words_at_once_equal_the_library(hf, words_file):
                                                        for x in (" ".join(words), "The end.")]
 
 
+def test_a_worker_keeps_the_tables_of_one_stage(words_file, pieces):
+    """Python workers outlive their stage: what the stages before it needed must go."""
+    first = weakref.ref(langid.lattice(pieces))
+    assert langid.lattice(pieces) is first()
+    second = weakref.ref(packing.word_tokenizer(words_file))
+    gc.collect()
+    assert first() is None and packing.word_tokenizer(words_file) is second()
+    langid.lattice(pieces)
+    gc.collect()
+    assert second() is None
+
+
 def test_closest_is_the_best_subset_sum():
     rng = random.Random(5)
     for _ in range(200):
