@@ -203,3 +203,17 @@ def test_features_are_dealt_to_few_tasks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
     assert train.count() + test.count() == 40 and 0 < test.count() < 40
+
+
+def test_score_matrix_scores_a_sets_models_together(spark, monkeypatch):
+    """M5: one preparation per feature set and one pass per half; the scores are those of every chain by itself."""
+    df = spark.range(300).selectExpr("double(id % 17) a", "double(id % 5) b", "if(id % 11 = 0, null, double(id % 7)) c",
+                                     "double(id % 17) * 3 - double(id % 5) + double(id % 3) label")
+    train, test = df.filter("a < 12"), df.filter("a >= 12")
+    sets, ests = {"two": ["a", "b"], "all": ["a", "b", "c"]}, {"linear": Mo.estimator("linear"), "tree": Mo.estimator("tree", maxDepth=3)}
+    want = {(s, n): [Mo.r2(m, x) for x in (train, test)] for s, cols in sets.items() for n, e in ests.items()
+            for m in [Mo.chain(cols, e.copy()).fit(train)]}
+    monkeypatch.setattr(Mo, "r2", lambda *a, **k: 1 / 0)
+    for r in Mo.score_matrix(train, test, sets, ests).collect():
+        assert all(math.isclose(x, y, abs_tol=1e-9) for x, y in zip((r.train_r2, r.test_r2), want.pop((r.feature_set, r.model))))
+    assert not want
